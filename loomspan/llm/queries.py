@@ -6,8 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomspan.llm import source_mixing
+from loomspan.llm.ann_blocks import op1_ann_blocks
+from loomspan.llm.bpe_codec import op6_bpe
 from loomspan.llm.common import table
+from loomspan.llm.ogg_media import op7_ogg
+from loomspan.llm.quality_knn import op5_quality
+from loomspan.llm.sentence_spans import op10_sentence_spans
+from loomspan.llm.separator_scan import op9_separator_scan
 from loomspan.llm.simhash_trie import op8_simhash
+from loomspan.llm.source_mixing import op4_mixing
+from loomspan.llm.toxicity import op2_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,8 +25,22 @@ def _over_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
 
 
+def _with_labels(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_ann_blocks": lambda spark, sf_dir: op1_ann_blocks(table(spark, sf_dir, "embeddings")),
+    "op2_toxicity": _with_labels(op2_toxicity),
+    "op4_mixing": _over_documents(op4_mixing),
+    "op5_quality": _with_labels(op5_quality),
+    "op6_bpe": _over_documents(op6_bpe),
+    "op7_ogg": _over_documents(op7_ogg),
     "op8_simhash": _over_documents(op8_simhash),
+    "op9_separator_scan": _over_documents(op9_separator_scan),
+    "op10_sentence_spans": _over_documents(op10_sentence_spans),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_mixing": source_mixing.oracle_sql(),
+}
