@@ -3,7 +3,7 @@
 Terms are character-shape n-grams: every byte falls into one of 40 classes (all lower-case letters
 are one class, all capitals another, digits, bytes beyond ASCII, blanks, line ends, each punctuation
 mark its own), and pairs and hashed triples of classes are counted over the whole text, with a few
-terms for repeated lines and words. Counts are damped by log, weighted by inverse document frequency
+terms for repeated lines, repeated words and words that repeat the one before. Counts are damped by log, weighted by inverse document frequency
 and projected by the leading singular vectors of a labelled sample to ``DIMENSIONS`` latent ones.
 
 At most ``NEIGHBOURS`` labelled vectors (rows of smallest id hash) are broadcast: a fixed
@@ -35,7 +35,7 @@ BLOCK = 256
 CLASSES = 40
 PAIRS = CLASSES * CLASSES
 TRIPLES = 2048
-EXTRA = 3
+EXTRA = 4
 TERMS = PAIRS + TRIPLES + EXTRA
 
 
@@ -82,6 +82,7 @@ def term_counts(text: str | None) -> np.ndarray:
     out[n] = 64 * (1 - len(set(lines)) / len(lines))
     out[n + 1] = 64 * (1 - len(set(words)) / max(len(words), 1))
     out[n + 2] = min(len(words), 64)
+    out[n + 3] = 4096 * sum(map(bytes.__eq__, words[:-1], words[1:])) / max(len(words), 1)
     return out
 
 

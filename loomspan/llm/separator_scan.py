@@ -55,7 +55,7 @@ def write_token_files(docs: DataFrame, codec: BpeCodec | None = None, end: int =
                 now = min(size, block_ids)
                 inside = [d for e, d in ends if e <= now]
                 ends = [(e - now, d) for e, d in ends if e > now]
-                yield pa.record_batch([pa.array([file]), pa.array([block]), pa.array([data[at : at + 2 * now]], pa.binary()), pa.array([inside], pa.list_(pa.int64()))], ["file", "block", "ids", "doc_ids"])
+                yield pa.record_batch([pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([data[at : at + 2 * now]], pa.binary()), pa.array([inside], pa.list_(pa.int64()))], ["file", "block", "ids", "doc_ids"])
                 at, size, block = at + 2 * now, size - now, block + 1
             flat = [data[at:]]
 
