@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import source_mixing
+from loomspan.llm import license_scan, source_mixing
 from loomspan.llm.ann_blocks import op1_ann_blocks
 from loomspan.llm.bpe_codec import op6_bpe
 from loomspan.llm.common import table
@@ -32,6 +32,7 @@ def _with_labels(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Query
 QUERIES: dict[str, Query] = {
     "op1_ann_blocks": lambda spark, sf_dir: op1_ann_blocks(table(spark, sf_dir, "embeddings")),
     "op2_toxicity": _with_labels(op2_toxicity),
+    "op3_license_scan": _over_documents(license_scan.op3_license_scan),
     "op4_mixing": _over_documents(op4_mixing),
     "op5_quality": _with_labels(op5_quality),
     "op6_bpe": _over_documents(op6_bpe),
@@ -42,5 +43,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_license_scan": license_scan.oracle_sql(),
     "op4_mixing": source_mixing.oracle_sql(),
 }
