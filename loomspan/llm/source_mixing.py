@@ -113,16 +113,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Columns as in ``docs``; documents that the mix does not reach are not in it.
     """
-    plan = mix(docs, id_col, text_col, source_col).where("taken > 0").select(F.col("doc_id").alias("_mix_id"), F.col("text_key").alias("_mix_key"), "size", "epochs", "partial")
+    plan = mix(docs, id_col, text_col, source_col).where("taken > 0").select(F.col("doc_id").alias("_mix_id"), F.col("text_key").alias("_mix_key"), *[F.col(c).alias(f"_mix_{c}") for c in ("size", "epochs", "partial")])
     # rows repeated whole under one id: one plan row each, numbered on both sides
-    twin = Window.partitionBy("_mix_id", "_mix_key").orderBy("epochs", "partial")
+    twin = Window.partitionBy("_mix_id", "_mix_key").orderBy("_mix_epochs", "_mix_partial")
     plan = plan.withColumn("_mix_no", F.row_number().over(twin))
     keyed = docs.withColumn("_row_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     keyed = keyed.withColumn("_row_no", F.row_number().over(Window.partitionBy(F.col(id_col), "_row_key").orderBy(F.col(source_col))))
     met = F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id")) & (F.col("_row_key") == F.col("_mix_key")) & (F.col("_row_no") == F.col("_mix_no"))
     copies = F.concat(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.col("epochs"), F.lit(1))), lambda i: F.when(i <= F.col("epochs"), F.lit(-1).cast("long"))),
-        F.array(F.when(F.col("partial") == F.col("size"), F.lit(-1).cast("long")).when(F.col("partial") > 0, F.col("partial"))),
+        F.transform(F.sequence(F.lit(1), F.greatest(F.col("_mix_epochs"), F.lit(1))), lambda i: F.when(i <= F.col("_mix_epochs"), F.lit(-1).cast("long"))),
+        F.array(F.when(F.col("_mix_partial") == F.col("_mix_size"), F.lit(-1).cast("long")).when(F.col("_mix_partial") > 0, F.col("_mix_partial"))),
     )
     opened = keyed.join(plan, met).withColumn("_take", F.explode(F.filter(copies, lambda x: x.isNotNull())))
     words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), 1, F.col("_take").cast("int"))
