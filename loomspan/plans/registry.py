@@ -5,9 +5,580 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspan.functions import text as T
+from loomspan.operators import cache, glossary, ledger, matching, packing, responses, review, units
+from loomspan.plans import jobs
+from loomspan.sources import books
+from loomspan.streaming import ledger as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "j1_term_matches"
+
+#: A small glossary that occurs in the synthetic prose: ord, term, translation, approved, status, source_chapter.
+TERMS = [
+    (0, "the", "le", True, "verified", None), (1, "of the", "du", True, "verified", 1), (2, "in the", "dans le", True, "verified", 3),
+    (3, "and the", "et le", False, "provisional", 2), (4, "la", "the", True, "verified", 6), (5, "de la", "of the", True, "verified", 2),
+    (6, "MIT license", "licence MIT", True, "verified", 4), (7, "Apache  License", "licence Apache", False, "rejected", 5), (8, "éç", "x", True, "verified", None),
+    (9, "the", "la", True, "verified", 1), (10, "und", "and", True, "verified", 8), (11, "", "nothing", True, "verified", None),
+]
+TERM_SCHEMA = "ord long, term string, translation string, approved boolean, status string, source_chapter int"
+
+
+def query(name: str, sql: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _terms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TERMS, TERM_SCHEMA)
+
+
+def _q(x) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, (int, bool)) else "'" + x.replace("'", "''") + "'"
+
+
+def _units(spark: SparkSession, sf: str) -> DataFrame:
+    return units.units(table(spark, sf, "documents"))
+
+
+def _part_terms(spark: SparkSession, sf: str) -> DataFrame:
+    second = F.element_at(F.split("p_name", " "), 2)
+    term = F.when(F.col("p_partkey") % 5 == 0, second).when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("  "), F.upper("p_name"))).otherwise(F.col("p_name"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), term.alias("term"), F.col("p_type").alias("translation"), (F.col("p_size") % 4 != 0).alias("approved"))
+
+
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select(F.col("event_id").alias("request_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("scope"), F.col("ts").cast("timestamp").alias("sent"), F.floor(F.col("value") * 100).cast("long").alias("tokens"), "event_type")
+
+
+# ---- SQL shared by the oracles ----------------------------------------------------------------------
+
+S_TERMS = "terms(ord, term, translation, approved, status, source_chapter) AS (VALUES " + ", ".join("(" + ", ".join([f"{t[0]}::BIGINT", *map(_q, t[1:])]) + ")" for t in TERMS) + ")"
+S_UNITS = r"units AS (SELECT doc_id, source, i - 1 AS unit_ord, doc_id::VARCHAR || ':' || (i - 1)::VARCHAR AS unit_id, l[i] AS text FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE regexp_matches(l[i], '\S'))"
+WORD = r"[\p{L}\p{N}_]"
+S_NORM = r"lower(trim(regexp_replace({x}, '[\s\p{{Z}}]+', ' ', 'g'), ' '))"
+S_PATTERN = r"'(?i)(^|[^\p{L}\p{N}_])' || regexp_replace(trim(term), '\s+', '[\\s\\p{Z}]+', 'g') || '($|[^\p{L}\p{N}_])'"
+S_MATCH = f"m AS (SELECT DISTINCT unit_id, term, translation, source FROM units JOIN (SELECT term, min(translation) AS translation FROM terms WHERE trim(term) <> '' GROUP BY term) t ON regexp_matches(text, {S_PATTERN}))"
+S_PARTS = "parts AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 5 = 0 THEN split_part(p_name, ' ', 2) WHEN p_partkey % 7 = 0 THEN '  ' || upper(p_name) ELSE p_name END AS term, p_type AS translation, p_size % 4 <> 0 AS approved FROM part)"
+S_REQ = "req AS (SELECT event_id AS request_id, 'u' || user_id::VARCHAR AS scope, ts AS sent, floor(value * 100)::BIGINT AS tokens, event_type FROM events)"
+S_TOKENS = rf"""list_sum(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'), lambda w: CASE WHEN strlen(w) <> length(w) THEN ceil(strlen(w) / 2.0) WHEN regexp_matches(w, '^[A-Za-z0-9_]') THEN ceil(length(w) / 5.0) ELSE 1 END))"""
+S_MIDNIGHT = "(date_trunc('day', (sent AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles') AT TIME ZONE 'America/Los_Angeles') AT TIME ZONE 'UTC'"
+
+
+# ---- texts and units --------------------------------------------------------------------------------
+
+
+@query("b_units", f"WITH {S_UNITS} SELECT doc_id, unit_ord::INTEGER AS unit_ord, unit_id, sha256(text) AS digest FROM units")
+def _(spark, sf):
+    return _units(spark, sf).select("doc_id", "unit_ord", "unit_id", T.digest("text").alias("digest"))
+
+
+@query("d5_chapters", "SELECT source AS book, chapter, doc_id FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER AS chapter, doc_id, text FROM documents) WHERE length(text) > 0")
+def _(spark, sf):
+    return units.chapters(table(spark, sf, "documents")).select("book", "chapter", "doc_id")
+
+
+@query("a7_block_texts", r"""WITH b AS (SELECT page_id, regexp_extract_all(html, '(?is)<(?:title|p|h[1-3])(?:\s[^>]*)?>(.*?)</(?:title|p|h[1-3])>', 1) AS l FROM pages),
+o AS (SELECT page_id, i - 1 AS block_ord, trim(regexp_replace(regexp_replace(l[i], '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS text FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM b))
+SELECT page_id, block_ord::INTEGER AS block_ord, text FROM o WHERE text <> ''""")
+def _(spark, sf):
+    return books.block_texts(table(spark, sf, "pages"))
+
+
+@query("d3_slots")
+def _(spark, sf):
+    return books.slots(table(spark, sf, "pages"))
+
+
+@query("s1_render", "SELECT page_id, sha256(html) AS digest FROM pages")
+def _(spark, sf):
+    pages = table(spark, sf, "pages")
+    same = books.slots(pages).select("page_id", "run_ord", F.col("text").alias("target"))
+    return books.rendered(pages, same).select("page_id", T.digest("html").alias("digest"))
+
+
+@query("j16_broken_links", r"""WITH r AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
+e AS (SELECT DISTINCT '/' || split_part(lower(split_part(html, '<title>', 2)), ' ', 1) AS name FROM pages) SELECT page_id::VARCHAR AS base, href FROM r WHERE href NOT IN (SELECT name FROM e)""")
+def _(spark, sf):
+    pages = table(spark, sf, "pages")
+    hrefs, anchors = books.links(pages)
+    refs = hrefs.select(F.col("page_id").cast("string").alias("base"), "href", F.col("href").alias("target"), F.lit("").alias("fragment"))
+    entries = pages.select(F.concat(F.lit("/"), F.get(F.split(F.lower(F.get(F.split("html", "<title>"), F.lit(1))), " "), F.lit(0))).alias("name"))
+    return books.broken_links(refs, entries, anchors.select(F.col("page_id").cast("string").alias("name"), "anchor"))
+
+
+@query("b3_exact_parts", "SELECT doc_id, sha256(text) AS digest, true AS bounded FROM documents WHERE length(text) > 0")
+def _(spark, sf):
+    parts = units.exact_parts(table(spark, sf, "documents").select("doc_id", "text"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_ord", "part"))), lambda x: x["part"]), "")
+    return parts.groupBy("doc_id").agg(T.digest(whole).alias("digest"), (F.max(F.length("part")) <= 1801).alias("bounded"))
+
+
+@query("b4_affixes", rf"""WITH {S_UNITS}, a AS (SELECT unit_id, text, regexp_extract(text, '^([\s\p{{Z}}]*)', 1) AS prefix, regexp_extract(text, '([\s\p{{Z}}]*)$', 1) AS suffix FROM units)
+SELECT unit_id, length(prefix) AS n_prefix, length(suffix) AS n_suffix, sha256(substr(text, length(prefix)::INTEGER + 1, (length(text) - length(prefix) - length(suffix))::INTEGER)) AS core FROM a""")
+def _(spark, sf):
+    return units.affixes(_units(spark, sf)).select("unit_id", F.length("prefix").cast("long").alias("n_prefix"), F.length("suffix").cast("long").alias("n_suffix"), T.digest("core").alias("core"))
+
+
+@query("b8_chapter_texts", rf"""WITH {S_UNITS} SELECT doc_id, sha256(string_agg(regexp_replace(text, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), chr(10) || chr(10) ORDER BY unit_ord)) AS digest FROM units GROUP BY doc_id""")
+def _(spark, sf):
+    return units.chapter_texts(_units(spark, sf)).select("doc_id", T.digest("text").alias("digest"))
+
+
+@query("e6_first_marks", f"""WITH {S_UNITS}, o AS (SELECT *, row_number() OVER (PARTITION BY source, text ORDER BY doc_id, unit_ord) AS n, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id, unit_ord) AS before FROM units),
+c AS (SELECT *, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id, unit_ord) - 1 AS k FROM o)
+SELECT unit_id, before IS DISTINCT FROM doc_id AS names_document, first_value(k) OVER (PARTITION BY source, text ORDER BY doc_id, unit_ord)::BIGINT AS context_no FROM c""")
+def _(spark, sf):
+    return units.first_marks(_units(spark, sf)).select("unit_id", "names_document", "context_no")
+
+
+@query("e7_grouped_units")
+def _(spark, sf):
+    runs = _units(spark, sf).select(F.col("doc_id").alias("block"), F.col("unit_ord").alias("run_ord"), "text")
+    return units.grouped_units(runs).groupBy("block", "unit_no").agg(F.count("*").alias("runs"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("g9_book_ids", """WITH d AS (SELECT source, doc_id, sha256(coalesce(text, '')) AS h FROM documents), b AS (SELECT source, doc_id // 1024 AS b, sha256(string_agg(h, '' ORDER BY doc_id, h)) AS h FROM d GROUP BY ALL)
+SELECT source, 'bm_' || left(sha256(string_agg(h, '' ORDER BY b)), 16) AS book_id FROM b GROUP BY source""")
+def _(spark, sf):
+    return units.book_ids(table(spark, sf, "documents"))
+
+
+@query("f7_text_tokens", rf"SELECT doc_id, greatest(1, coalesce({S_TOKENS}, 0)::BIGINT + (length(text) - length(replace(text, chr(10), ''))) // 4)::BIGINT AS tokens FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.text_tokens("text").alias("tokens"))
+
+
+@query("f8_word_count", rf"SELECT doc_id, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+(?:[''’-][\p{{L}}\p{{N}}_]+)*'))::BIGINT AS words FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.word_count("text").alias("words"))
+
+
+@query("g7_progress", rf"""WITH {S_UNITS}, a AS (SELECT length(text) AS c, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+(?:[''’-][\p{{L}}\p{{N}}_]+)*')) AS w, greatest(1, coalesce({S_TOKENS}, 0))::BIGINT AS t, doc_id % 3 = 0 AS done FROM units)
+SELECT sum(c)::BIGINT AS total_chars, sum(c) FILTER (done)::BIGINT AS done_chars, sum(w)::BIGINT AS total_words, sum(w) FILTER (done)::BIGINT AS done_words, sum(t)::BIGINT AS total_tokens, sum(t) FILTER (done)::BIGINT AS done_tokens FROM a""")
+def _(spark, sf):
+    return units.progress(_units(spark, sf).withColumn("done", F.col("doc_id") % 3 == 0))
+
+
+@query("f9_text_fault", rf"""WITH {S_UNITS}, p AS (SELECT unit_id, text, CASE unit_ord % 5 WHEN 0 THEN '   ' WHEN 1 THEN repeat(text || ' ', 9) WHEN 2 THEN left(text, 20) WHEN 3 THEN text || chr(1) ELSE text END AS target FROM units),
+t AS (SELECT *, regexp_replace(target, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS s FROM p)
+SELECT unit_id, CASE WHEN s = '' THEN 'empty' WHEN contains(target, chr(1)) THEN 'illegal_character' WHEN length(s) > greatest(300, length(text) * 8) THEN 'too_long' WHEN length(text) > 160 AND length(s) < length(text) * 0.25 THEN 'too_short' END AS fault FROM t""")
+def _(spark, sf):
+    k = F.col("unit_ord") % 5
+    target = F.when(k == 0, F.lit("   ")).when(k == 1, F.repeat(F.concat("text", F.lit(" ")), F.lit(9))).when(k == 2, F.left("text", F.lit(20))).when(k == 3, F.concat("text", F.lit("\x01"))).otherwise(F.col("text"))
+    return _units(spark, sf).withColumn("target", target).select("unit_id", T.text_fault("text", "target").alias("fault"))
+
+
+@query("f3_norm_term", f"WITH {S_PARTS} SELECT ord, {S_NORM.format(x='term')} AS key, length(term) AS n FROM parts")
+def _(spark, sf):
+    return _part_terms(spark, sf).select("ord", T.norm_term("term").alias("key"), F.length("term").cast("long").alias("n"))
+
+
+@query("f_identity", """SELECT c_custkey, sha256('{"id":' || c_custkey::VARCHAR || ',"name":"' || c_name || '"}') AS digest, 'model:' || left(sha256(c_name), 16) AS scope, '#' || c_custkey::VARCHAR || ' (' || left(sha256(c_name), 8) || '…)' AS label,
+left(regexp_replace(c_name, '[^A-Za-z0-9_-]', '_', 'g'), 60) AS safe, left(replace('key ' || c_name || ' used', c_name, '***'), 1200) AS redacted, try_cast(nullif(regexp_extract(c_name, '(\\d{1,9})', 1), '') AS INTEGER) AS known, least(120.0::DOUBLE, 5 * pow(2.0::DOUBLE, c_custkey % 7)) AS backoff FROM customer""")
+def _(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.select(
+        "c_custkey", T.digest(T.canonical(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))).alias("digest"), T.scope_key("model", "c_name").alias("scope"), T.key_label("c_custkey", "c_name").alias("label"),
+        T.safe_name("c_name").alias("safe"), T.redacted(F.concat(F.lit("key "), F.col("c_name"), F.lit(" used")), "c_name").alias("redacted"), T.known_from("c_name").alias("known"), T.backoff(F.col("c_custkey") % 7).alias("backoff"),
+    )
+
+
+@query("f16_quota_kind", """SELECT event_id, CASE event_type WHEN 'view' THEN 'daily' WHEN 'click' THEN 'tpm' WHEN 'signup' THEN 'rpm' WHEN 'error' THEN 'zero' END AS kind, CASE WHEN event_id % 3 = 0 THEN value ELSE greatest(0.0, (event_id % 9)::DOUBLE) END AS wait FROM events""")
+def _(spark, sf):
+    e = F.col("event_type")
+    label = F.when(e == "view", "GenerateRequestsPerDayPerProject x").when(e == "click", "input_token_count").when(e == "signup", "requests per minute").when(e == "error", "other").otherwise("nothing known")
+    raw = table(spark, sf, "events").withColumns({"labels": F.array(label), "zero": e == "error", "delays": F.array(F.concat((F.col("event_id") % 9).cast("string"), F.lit("s")), F.lit("junk")), "head": F.when(F.col("event_id") % 3 == 0, F.col("value").cast("string"))})
+    waits = F.when(F.col("event_id") % 3 == 0, T.retry_after("head", F.lit(None).cast("array<string>"), F.lit(0.0))).otherwise(T.retry_after(F.lit("x"), "delays", F.lit(0.0)))
+    return raw.select("event_id", T.quota_kind(F.lit(""), "labels", "zero").alias("kind"), waits.alias("wait"))
+
+
+@query("f18_pacific_midnight", f"WITH {S_REQ} SELECT request_id, epoch_us({S_MIDNIGHT}) AS midnight FROM req")
+def _(spark, sf):
+    return _requests(spark, sf).select("request_id", F.unix_micros(T.pacific_midnight("sent")).alias("midnight"))
+
+
+@query("f30_languages", "SELECT doc_id, lang IS NULL OR lang = '' OR regexp_matches(lang, '(?i)^en([-_].*)?$') AS english, CASE WHEN regexp_matches(lang, '(?i)^en([-_].*)?$') THEN 'id' ELSE lang END AS out_lang FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.is_english("lang").alias("english"), T.rewritten_lang("lang").alias("out_lang"))
+
+
+# ---- terms ------------------------------------------------------------------------------------------
+
+
+@query("j1_term_matches", f"WITH {S_TERMS}, {S_UNITS}, {S_MATCH} SELECT unit_id, term FROM m")
+def _(spark, sf):
+    return matching.matches(_units(spark, sf), _terms(spark))
+
+
+@query("j2_relevant_glossary", f"WITH {S_TERMS}, {S_UNITS}, {S_MATCH} SELECT source AS batch, array_to_string(list_sort(list(DISTINCT term)), '|') AS terms FROM m GROUP BY source")
+def _(spark, sf):
+    own = matching.relevant_glossary(_units(spark, sf).withColumnRenamed("source", "batch"), _terms(spark))
+    return own.select("batch", F.array_join("terms", "|").alias("terms"))
+
+
+@query("g11_occurrences", rf"""WITH {S_TERMS}, {S_UNITS}, {S_MATCH}, w AS (SELECT unit_id, ' ' || regexp_replace(regexp_replace(lower(text), '([^\p{{L}}\p{{N}}_])', '\1 ', 'g'), '([\p{{L}}\p{{N}}_]+)', ' \1 ', 'g') || ' ' AS s FROM units)
+SELECT m.unit_id, term, ((length(s) - length(replace(s, ' ' || lower(term) || ' ', ''))) // (length(term) + 2))::BIGINT AS n FROM m JOIN w USING (unit_id) WHERE NOT contains(term, ' ')""")
+def _(spark, sf):
+    single = _terms(spark).where("not contains(term, ' ')")
+    return matching.occurrence_counts(_units(spark, sf), single)
+
+
+@query("j3_affected_units", f"WITH {S_TERMS}, {S_UNITS}, {S_MATCH} SELECT DISTINCT unit_id FROM m WHERE term IN ('in the', 'und', 'MIT license')")
+def _(spark, sf):
+    watched = _terms(spark).where("term in ('in the', 'und', 'MIT license')")
+    return matching.affected_units(_units(spark, sf), watched).select("unit_id")
+
+
+@query("j5_inheritance", f"WITH {S_TERMS}, {S_UNITS}, {S_MATCH} SELECT unit_id AS run_id, sha256(upper(text)) AS digest FROM units WHERE unit_id NOT IN (SELECT unit_id FROM m WHERE term IN ('the', 'la'))")
+def _(spark, sf):
+    own = _units(spark, sf)
+    runs = own.select(F.col("unit_id").alias("run_id"), "unit_id")
+    targets = own.select(F.col("unit_id").alias("run_id"), T.digest(F.upper("text")).alias("digest"))
+    kept, _redo = matching.inheritance(targets, runs, matching.affected_units(own, _terms(spark).where("term in ('the', 'la')")))
+    return kept
+
+
+@query("g12_violations")
+def _(spark, sf):
+    own = _units(spark, sf)
+    targets = own.select("unit_id", F.regexp_replace("text", r"(?i)\bof the\b", "du").alias("target"))
+    return matching.violations(own, targets, glossary.usable(_terms(spark)))
+
+
+@query("j12_alignment", f"WITH {S_UNITS}, s AS (SELECT source, count(*) AS n, count(*) FILTER (doc_id % 50 = 0 AND unit_ord = 0) AS off FROM units GROUP BY source) SELECT CASE WHEN sum(off) = 0 THEN 'verified' ELSE 'unverifiable' END AS status, sum(n)::BIGINT AS source_units, sum(n)::BIGINT AS output_units FROM s")
+def _(spark, sf):
+    own = _units(spark, sf).select(F.col("unit_id").alias("unit_ord"), F.col("doc_id").alias("document"), "text")
+    other = own.withColumn("document", F.when((F.col("document") % 50 == 0) & F.col("unit_ord").endswith(":0"), -1).otherwise(F.col("document")))
+    return matching.aligned(own, other)
+
+
+@query("b16_unchanged_long", f"WITH {S_UNITS} SELECT unit_id FROM units WHERE length(text) > 100 AND doc_id % 4 = 0")
+def _(spark, sf):
+    pairs = _units(spark, sf).withColumn("target", F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(F.concat("text", F.lit("!"))))
+    return matching.unchanged_long(pairs).select("unit_id")
+
+
+@query("a8_parse_glossary", """WITH l AS (SELECT p_partkey AS n, p_name AS k, p_type AS v, p_partkey % 11 AS m FROM part), p AS (SELECT n, CASE WHEN m = 1 THEN NULL WHEN m = 2 THEN '' ELSE k END AS term, CASE WHEN m = 1 THEN NULL ELSE v END AS translation FROM l WHERE m <> 0),
+s AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY n) AS i FROM p) SELECT n AS line_no, term, translation, CASE WHEN term IS NULL THEN 'form' WHEN term = '' THEN 'empty' WHEN i > 1 THEN 'duplicate' END AS fault FROM s""")
+def _(spark, sf):
+    m = F.col("p_partkey") % 11
+    value = F.when(m == 0, F.lit("  # comment = x")).when(m == 1, F.col("p_name")).when(m == 2, F.concat(F.lit(" = "), "p_type")).when(m == 3, F.concat("p_name", F.lit(" => "), "p_type")).otherwise(F.concat(F.lit(" "), "p_name", F.lit(" = "), "p_type", F.lit("  ")))
+    return glossary.parse_lines(table(spark, sf, "part").select(F.col("p_partkey").alias("line_no"), value.alias("value")))
+
+
+@query("a16_key_list", "SELECT c_custkey, array_to_string(list_distinct_ordered, '|') AS keys FROM (SELECT c_custkey, CASE WHEN c_mktsegment = c_name THEN [c_name] ELSE [c_name, c_mktsegment] END AS list_distinct_ordered FROM customer)")
+def _(spark, sf):
+    raw = F.concat(F.lit(" "), "c_name", F.lit(",,\n"), "c_mktsegment", F.lit(" , "), "c_name")
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(T.keep_list(raw), "|").alias("keys"))
+
+
+@query("b9_usable_terms", f"WITH {S_TERMS} SELECT ord, term, translation FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ord) AS n FROM terms WHERE approved AND term <> '' AND translation <> '') WHERE n = 1")
+def _(spark, sf):
+    return glossary.usable(_terms(spark)).select("ord", "term", "translation")
+
+
+@query("b10_as_of", f"WITH {S_TERMS}, c AS (SELECT DISTINCT turn AS chapter FROM conversations) SELECT chapter, ord, term, translation FROM (SELECT *, row_number() OVER (PARTITION BY chapter, term ORDER BY ord) AS n FROM terms JOIN c ON source_chapter IS NULL OR source_chapter < chapter WHERE approved AND term <> '' AND translation <> '') WHERE n = 1")
+def _(spark, sf):
+    chapters = table(spark, sf, "conversations").select(F.col("turn").alias("chapter"))
+    return glossary.as_of(chapters, _terms(spark)).select("chapter", "ord", "term", "translation")
+
+
+@query("b11_pending", f"WITH {S_TERMS} SELECT ord, term FROM terms WHERE NOT approved AND status <> 'rejected' AND {S_NORM.format(x='term')} NOT IN ('apache license')")
+def _(spark, sf):
+    return glossary.pending(_terms(spark), spark.createDataFrame([("apache license",)], "key string")).select("ord", "term")
+
+
+@query("b12_visible", f"WITH {S_TERMS} SELECT 'unset' AS progress, ord FROM terms WHERE source_chapter IS NULL OR source_chapter <= 1 UNION ALL SELECT '3', ord FROM terms WHERE source_chapter IS NULL OR source_chapter <= 3 UNION ALL SELECT 'all', ord FROM terms")
+def _(spark, sf):
+    t = _terms(spark)
+    parts = [("unset", glossary.visible(t)), ("3", glossary.visible(t, 3)), ("all", glossary.visible(t, show_all=True))]
+    out = [df.select(F.lit(name).alias("progress"), "ord") for name, df in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("b13_notes", r"""WITH n AS (SELECT c_custkey AS ord, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'bab ' || (c_custkey % 10)::VARCHAR WHEN 2 THEN 'unclear' ELSE (c_custkey % 7)::VARCHAR || '-9' END AS k FROM customer),
+s AS (SELECT *, try_cast(nullif(regexp_extract(k, '(\d{1,9})', 1), '') AS INTEGER) AS start FROM n) SELECT ord, name, k <> '' AND start IS NULL AS warning FROM s WHERE start IS NULL OR start <= 4""")
+def _(spark, sf):
+    k = F.col("c_custkey") % 4
+    raw = F.when(k == 0, "").when(k == 1, F.concat(F.lit("bab "), (F.col("c_custkey") % 10).cast("string"))).when(k == 2, "unclear").otherwise(F.concat((F.col("c_custkey") % 7).cast("string"), F.lit("-9")))
+    notes = table(spark, sf, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_name").alias("name"), raw.alias("known_from"))
+    return glossary.notes_for_chapter(notes, 4).select("ord", "name", "warning")
+
+
+@query("j4_glossary_diff", f"""WITH {S_PARTS}, o AS (SELECT ord, term, {S_NORM.format(x='term')} AS key, {S_NORM.format(x='translation')} AS t, approved FROM parts WHERE key NOT IN ('red plate', 'ring')),
+n AS (SELECT ord, term, {S_NORM.format(x='term')} AS key, CASE WHEN {S_NORM.format(x='term')} LIKE 'hot%' THEN 'new' ELSE {S_NORM.format(x='translation')} END AS t, approved FROM parts WHERE key NOT IN ('old rod')),
+om AS (SELECT key, max_by((t, approved), ord) AS sig FROM o GROUP BY key), nm AS (SELECT key, max_by((t, approved), ord) AS sig FROM n GROUP BY key),
+d AS (SELECT coalesce(om.key, nm.key) AS key, CASE WHEN om.key IS NULL THEN 'added' WHEN nm.key IS NULL THEN 'removed' WHEN om.sig IS DISTINCT FROM nm.sig THEN 'changed' END AS change FROM om FULL JOIN nm ON om.key = nm.key)
+SELECT change, ord, term FROM d JOIN n USING (key) WHERE change IN ('added', 'changed') UNION ALL SELECT change, ord, term FROM d JOIN o USING (key) WHERE change = 'removed'""")
+def _(spark, sf):
+    parts = _part_terms(spark, sf)
+    key = T.norm_term("term")
+    old = parts.where(~key.isin("red plate", "ring"))
+    new = parts.where(key != "old rod").withColumn("translation", F.when(key.startswith("hot"), "new").otherwise(F.col("translation")))
+    return glossary.difference(old, new)
+
+
+@query("j9_conflicts", rf"""WITH {S_PARTS}, k AS (SELECT *, {S_NORM.format(x='term')} AS key, {S_NORM.format(x='translation')} AS t FROM parts),
+r AS (SELECT *, row_number() OVER w AS n, first_value(term) OVER w AS f, first_value(t) OVER w AS ft FROM k WHERE key <> '' WINDOW w AS (PARTITION BY key ORDER BY ord)), u AS (SELECT * FROM r WHERE n = 1)
+SELECT CASE WHEN ft = t THEN 'duplicate' ELSE 'translation_mismatch' END AS kind, f AS term_a, term AS term_b FROM r WHERE n > 1
+UNION ALL SELECT 'overlap', CASE WHEN s.ord < l.ord THEN s.term ELSE l.term END, CASE WHEN s.ord < l.ord THEN l.term ELSE s.term END FROM u s JOIN u l ON s.key <> l.key AND length(s.key) <= length(l.key) AND contains(' ' || l.key || ' ', ' ' || s.key || ' ')""")
+def _(spark, sf):
+    return glossary.conflicts(_part_terms(spark, sf))
+
+
+@query("j15_manual_wins", f"WITH {S_PARTS}, a AS (SELECT * FROM parts WHERE ord % 2 = 0), m AS (SELECT * FROM parts WHERE ord % 100 = 1) SELECT ord, term FROM a WHERE lower(term) NOT IN (SELECT lower(term) FROM m) UNION ALL SELECT ord, term FROM m")
+def _(spark, sf):
+    parts = _part_terms(spark, sf)
+    return glossary.manual_wins(parts.where("ord % 2 = 0"), parts.where("ord % 100 = 1")).select("ord", "term")
+
+
+@query("j17_unknown_candidates", f"WITH {S_PARTS}, k AS (SELECT *, {S_NORM.format(x='term')} AS key FROM parts) SELECT ord, source_term FROM (SELECT ord, term AS source_term, row_number() OVER (PARTITION BY key ORDER BY ord) AS n FROM k WHERE ord % 2 = 0 AND key NOT IN (SELECT key FROM k WHERE ord % 40 = 1)) WHERE n = 1")
+def _(spark, sf):
+    parts = _part_terms(spark, sf)
+    return glossary.unknown_candidates(parts.where("ord % 2 = 0").withColumnRenamed("term", "source_term"), parts.where("ord % 40 = 1")).select("ord", "source_term")
+
+
+@query("g10_fingerprint")
+def _(spark, sf):
+    return glossary.fingerprint(_terms(spark))
+
+
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents as candidates: the first word is the term, its line the quote."""
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").where("length(text) > 0")
+    line = F.get(F.split("text", "\\n"), F.lit(0))
+    first = F.get(F.split(line, " "), F.lit(0))
+    k = F.col("doc_id")
+    return docs.select(
+        k.alias("ord"), k.alias("chapter"), "text", first.alias("source_term"),
+        F.when(k % 3 == 0, first).when(k % 3 == 1, F.lower(first)).otherwise("sebuah naga").alias("proposed"), F.when(k % 5 == 0, F.lit("not in the text at all")).otherwise(line).alias("supporting_text"),
+        F.when(k % 2 == 0, "person").otherwise("artifact").alias("category"), F.when(F.col("quality") == 1, F.when(F.col("toxic") == 0, "verified").otherwise("ambiguous")).otherwise("provisional").alias("verdict"), F.lit(None).cast("string").alias("corrected"),
+    )
+
+
+@query("v_rules")
+def _(spark, sf):
+    c = _candidates(spark, sf)
+    judged = review.findings(c.drop("text"), c.select("chapter", "text"), glossary.usable(_terms(spark)))
+    return judged.select("ord", F.array_join("rules", ",").alias("rules"))
+
+
+@query("v9_router", """WITH c AS (SELECT l.doc_id AS ord, l.doc_id % 10 = 0 AS conflict, l.doc_id % 4 = 0 AS dirty, CASE WHEN l.doc_id % 2 = 0 THEN 'person' ELSE 'artifact' END AS category, CASE WHEN quality = 1 THEN CASE WHEN toxic = 0 THEN 'verified' ELSE 'ambiguous' END ELSE 'provisional' END AS v FROM labels l)
+SELECT ord, CASE WHEN conflict OR v = 'ambiguous' THEN false WHEN dirty OR v <> 'verified' OR category <> 'person' THEN false ELSE true END AS approved,
+CASE WHEN conflict OR v = 'ambiguous' THEN 'ambiguous' WHEN dirty OR v <> 'verified' OR category <> 'person' THEN CASE WHEN v <> 'verified' THEN v ELSE 'provisional' END ELSE 'verified' END AS status FROM c""")
+def _(spark, sf):
+    k = F.col("doc_id")
+    rules = F.array_compact(F.array(F.when(k % 4 == 0, "R1"), F.when(k % 10 == 0, "R5")))
+    verdict = F.when(F.col("quality") == 1, F.when(F.col("toxic") == 0, "verified").otherwise("ambiguous")).otherwise("provisional")
+    judged = table(spark, sf, "labels").select(k.alias("ord"), F.concat(F.lit("term "), k.cast("string")).alias("source_term"), rules.alias("rules"), F.when(k % 2 == 0, "person").otherwise("artifact").alias("category"), verdict.alias("verdict"), F.lit(None).cast("string").alias("corrected"))
+    return review.routed(judged, spark.createDataFrame([("never",)], "key string")).select("ord", "decision.approved", "decision.status")
+
+
+@query("g14_discovery_counts", """WITH c AS (SELECT doc_id % 20 AS chapter, doc_id % 4 = 0 AS approved, doc_id % 3 = 0 AS rejected FROM labels) SELECT chapter, count(*)::BIGINT AS discovered, count(*) FILTER (approved)::BIGINT AS auto_approved, count(*) FILTER (NOT approved AND NOT rejected)::BIGINT AS pending, count(*) FILTER (rejected AND NOT approved)::BIGINT AS rejected FROM c GROUP BY chapter""")
+def _(spark, sf):
+    k = F.col("doc_id")
+    status = F.when(k % 4 == 0, "verified").when(k % 3 == 0, "rejected").otherwise("provisional")
+    return review.discovery_counts(table(spark, sf, "labels").select((k % 20).alias("chapter"), F.struct((k % 4 == 0).alias("approved"), status.alias("status")).alias("decision")))
+
+
+# ---- ledger -----------------------------------------------------------------------------------------
+
+
+@query("e1_rolling_usage", f"WITH {S_REQ} SELECT request_id, count(*) OVER w AS window_requests, sum(tokens) OVER w::BIGINT AS window_tokens FROM req WINDOW w AS (PARTITION BY scope ORDER BY sent RANGE BETWEEN INTERVAL 59999999 MICROSECONDS PRECEDING AND CURRENT ROW)")
+def _(spark, sf):
+    return ledger.rolling_usage(_requests(spark, sf)).select("request_id", "window_requests", "window_tokens")
+
+
+@query("e2_rpm_waits", f"WITH {S_REQ} SELECT request_id, greatest(0.0::DOUBLE, coalesce((epoch_us(lag(sent, 2) OVER w) + 60000000 - epoch_us(sent)) / 1e6::DOUBLE, 0.0::DOUBLE)) AS wait FROM (SELECT request_id, scope, TIMESTAMP '2024-01-01' + to_microseconds((epoch_us(sent) - 1704067200000000) // 1000) AS sent FROM req) WINDOW w AS (PARTITION BY scope ORDER BY sent, request_id)")
+def _(spark, sf):
+    # the month squeezed into three quarters of an hour, so that limits are reached
+    fast = F.timestamp_micros(F.lit(1704067200000000) + F.floor((F.unix_micros("sent") - 1704067200000000) / 1000).cast("long"))
+    return ledger.rpm_waits(_requests(spark, sf).withColumn("sent", fast), 2).select("request_id", "wait")
+
+
+@query("e3_tpm_waits")
+def _(spark, sf):
+    fast = F.timestamp_micros(F.lit(1704067200000000) + F.floor((F.unix_micros("sent") - 1704067200000000) / 1000).cast("long"))
+    return ledger.tpm_waits(_requests(spark, sf).withColumn("sent", fast), 8000, 10000).select("request_id", "wait")
+
+
+@query("g1_daily_usage", f"WITH {S_REQ} SELECT scope, epoch_us({S_MIDNIGHT}) AS day_start, count(*) AS used FROM req GROUP BY ALL")
+def _(spark, sf):
+    return ledger.daily_usage(_requests(spark, sf)).select("scope", F.unix_micros("day_start").alias("day_start"), "used")
+
+
+@query("g2_adjusted_usage", f"WITH {S_REQ}, d AS (SELECT scope, {S_MIDNIGHT} AS day, count(*) AS used FROM req GROUP BY ALL), c AS (SELECT scope, max(day) AS day, -2 AS off FROM d GROUP BY scope) SELECT d.scope, epoch_us(d.day) AS day_start, greatest(0, used + coalesce(c.off, 0))::BIGINT AS used FROM d LEFT JOIN c ON d.scope = c.scope AND d.day = c.day")
+def _(spark, sf):
+    daily = ledger.daily_usage(_requests(spark, sf))
+    stated = daily.groupBy("scope").agg(F.max("day_start").alias("day_start"), F.lit(-2).alias("offset"))
+    return ledger.adjusted_usage(daily, stated).select("scope", F.unix_micros("day_start").alias("day_start"), "used")
+
+
+@query("g4_latest", f"WITH {S_REQ} SELECT scope, epoch_us(max(sent)) AS latest FROM req GROUP BY scope")
+def _(spark, sf):
+    return ledger.latest(_requests(spark, sf)).select("scope", F.unix_micros("latest").alias("latest"))
+
+
+@query("g5_session_averages", f"WITH {S_REQ}, c AS (SELECT CASE WHEN event_type = 'view' THEN 'count' ELSE 'generate' END AS kind, event_type <> 'error' AS success, tokens AS i, CASE WHEN request_id % 3 = 0 THEN NULL ELSE tokens * 2 END AS o, request_id % 2 = 0 AS a FROM req) SELECT avg(i) FILTER (kind = 'generate' AND success) AS avg_input, avg(o) FILTER (kind = 'generate' AND success) AS avg_output, count(*) FILTER (kind = 'generate' AND success AND a) AS measured, count(*) FILTER (kind = 'count') AS count_calls FROM c")
+def _(spark, sf):
+    k = F.col("request_id")
+    calls = _requests(spark, sf).select(F.when(F.col("event_type") == "view", "count").otherwise("generate").alias("kind"), (F.col("event_type") != "error").alias("success"), F.col("tokens").alias("input"), F.when(k % 3 != 0, F.col("tokens") * 2).alias("output"), (k % 2 == 0).alias("actual"))
+    return ledger.session_averages(calls)
+
+
+@query("j7_generation_requests", f"WITH {S_REQ} SELECT request_id FROM req WHERE request_id % 3 = 0 OR event_type <> 'view'")
+def _(spark, sf):
+    r = _requests(spark, sf)
+    metrics = r.where("request_id % 3 <> 0").select("request_id", F.when(F.col("event_type") == "view", "count").otherwise("generate").alias("kind"))
+    return ledger.generation_requests(r, metrics).select("request_id")
+
+
+@query("j8_orphaned_metrics", f"WITH {S_REQ} SELECT request_id FROM req WHERE sent < TIMESTAMP '2024-01-28 12:00:00'")
+def _(spark, sf):
+    r = _requests(spark, sf)
+    return ledger.orphaned_metrics(r.select("request_id"), ledger.retained(r, "2024-01-30 12:00:00"))
+
+
+@query("w7_cooldowns", f"WITH {S_REQ} SELECT scope, epoch_us(max(sent + to_seconds(tokens::INTEGER))) AS until FROM req WHERE event_type = 'error' GROUP BY scope HAVING max(sent + to_seconds(tokens::INTEGER)) > TIMESTAMP '2024-01-30 00:00:00'")
+def _(spark, sf):
+    stated = _requests(spark, sf).where("event_type = 'error'").select("scope", F.timestamp_micros(F.unix_micros("sent") + F.col("tokens") * 1_000_000).alias("until"))
+    return ledger.cooldowns(stated, "2024-01-30 00:00:00").select("scope", F.unix_micros("until").alias("until"))
+
+
+@query("w5_corrected", f"WITH {S_REQ} SELECT request_id, CASE WHEN request_id % 4 = 0 THEN tokens + 2 ELSE tokens END AS tokens FROM req")
+def _(spark, sf):
+    r = _requests(spark, sf)
+    late = r.where("request_id % 4 = 0")
+    actual = late.select("request_id", F.lit(1).alias("version"), (F.col("tokens") + 1).alias("tokens")).union(late.select("request_id", F.lit(2), F.col("tokens") + 2))
+    return ledger.corrected(r, actual).select("request_id", "tokens")
+
+
+@query("w15_budget_stop", f"WITH {S_REQ} SELECT request_id, coalesce(sum(tokens) OVER w, 0)::BIGINT AS spent, coalesce(sum(tokens) OVER w, 0) + tokens > 50000 AS paused FROM req WINDOW w AS (PARTITION BY scope ORDER BY sent, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def _(spark, sf):
+    return ledger.budget_stop(_requests(spark, sf), 50_000).select("request_id", "spent", "paused")
+
+
+@query("e17_next_key", f"WITH {S_REQ}, d AS (SELECT scope, count(*) AS used FROM req GROUP BY scope) SELECT min_by(scope, (substr(scope, 2)::BIGINT - 20 + 300) % (SELECT count(*) FROM d)) AS scope FROM d WHERE used < (SELECT avg(used) FROM d)")
+def _(spark, sf):
+    daily = _requests(spark, sf).groupBy("scope").agg(F.count("*").alias("used"))
+    limit = daily.agg(F.avg("used")).first()[0]
+    keys = daily.select("scope", F.substring("scope", 2, 9).cast("long").alias("key_no"))
+    n = keys.count()
+    return ledger.next_key(keys, daily, limit, 20 - 300 % n)
+
+
+@query("g13_api_usage", f"WITH {S_REQ} SELECT event_type AS kind, sum(tokens)::BIGINT AS tokens, count(*)::BIGINT AS requests FROM req GROUP BY event_type")
+def _(spark, sf):
+    return ledger.api_usage(_requests(spark, sf).select(F.col("event_type").alias("kind"), "tokens", F.lit(1).alias("requests")))
+
+
+@query("w4_admissions")
+def _(spark, sf):
+    r = _requests(spark, sf).select("scope", (F.unix_micros("sent") / 1e9).alias("at"), "tokens")
+    return live.admission_replay(r, 2, 10_000)
+
+
+@query("e15_controller")
+def _(spark, sf):
+    e = F.col("event_type")
+    events = _requests(spark, sf).select("scope", F.col("request_id").alias("at"), F.when(e == "error", "quota").when(e == "view", "invalid").otherwise("success").alias("event"), F.when(F.col("request_id") % 2 == 0, "tpm").otherwise("rpm").alias("kind"), F.col("tokens").alias("source"), (F.col("tokens") * 2).alias("output"), F.lit(10).alias("overhead"), F.col("tokens").alias("size"))
+    return live.controller_replay(events, ceiling_tpm=250_000, ceiling_rpm=15, ceiling_workers=4, batch=12_000, max_batch=40_000)
+
+
+# ---- cache, batches and responses -------------------------------------------------------------------
+
+
+@query("t1_recent_jobs", "SELECT o_orderkey AS id, o_totalprice AS updated FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")
+def _(spark, sf):
+    return cache.recent_jobs(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("updated")))
+
+
+@query("s2_upsert", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'new' ELSE o_orderstatus END AS state FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 7 = 0")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"), F.lit(0).alias("version"))
+    fresh = o.where("id % 7 = 0")
+    twice = fresh.withColumn("state", F.lit("old")).withColumn("version", F.lit(1)).union(fresh.withColumn("state", F.lit("new")).withColumn("version", F.lit(2)))
+    return cache.upsert(o.where("id % 2 = 0"), twice, ["id"]).select("id", "state")
+
+
+@query("j6_cache_lookup", f"WITH {S_UNITS} SELECT unit_id AS run_id, sha256(text) AS digest FROM units WHERE doc_id % 5 NOT IN (0, 1) AND regexp_matches(text, '[^\\s\\p{{Z}}]')")
+def _(spark, sf):
+    runs = _units(spark, sf).select("unit_id", F.col("unit_id").alias("run_id"), "text", F.lit(None).cast("string").alias("context"), "doc_id")
+    marked = cache.fingerprints(runs)
+    k = F.col("doc_id") % 5  # 0: another fingerprint, 1: a damaged text
+    stored = marked.select(F.lit("j").alias("job"), F.col("run_id").alias("run"), F.when(k == 0, F.lit("x")).otherwise(F.col("fingerprint")).alias("fingerprint"), F.col("text").alias("target"), F.when(k == 1, F.lit("y")).otherwise(T.digest("text")).alias("checksum"))
+    return cache.lookup(marked, stored, "j").select("run_id", T.digest("target").alias("digest"))
+
+
+@query("b15_pending_runs", f"WITH {S_UNITS} SELECT unit_id AS run_id FROM units WHERE doc_id % 3 <> 0")
+def _(spark, sf):
+    runs = _units(spark, sf).select(F.col("unit_id").alias("run_id"), "doc_id")
+    return cache.pending_runs(runs, runs.where("doc_id % 3 = 0")).select("run_id")
+
+
+@query("u2_coverage", f"WITH {S_UNITS} SELECT 'missing' AS side, unit_id AS run_id FROM units WHERE doc_id % 9 = 0 UNION ALL SELECT 'unknown', 'x' || unit_id FROM units WHERE doc_id % 10 = 0")
+def _(spark, sf):
+    runs = _units(spark, sf).select(F.col("unit_id").alias("run_id"), "doc_id")
+    targets = runs.where("doc_id % 9 <> 0").select("run_id").union(runs.where("doc_id % 10 = 0").select(F.concat(F.lit("x"), "run_id")))
+    return cache.coverage(runs, targets)
+
+
+@query("s5_failure_stats", "SELECT event_type AS kind, count(*) AS failures, sum(event_id % 10)::BIGINT AS units, sum(event_id % 20)::BIGINT AS runs, sum(floor(value * 100)::BIGINT)::BIGINT AS est_input_tokens FROM events GROUP BY event_type")
+def _(spark, sf):
+    r = _requests(spark, sf)
+    return cache.failure_stats(r.select(F.col("event_type").alias("kind"), (F.col("request_id") % 10).alias("units"), (F.col("request_id") % 20).alias("runs"), F.col("tokens").alias("est_input_tokens")))
+
+
+@query("j11_reconcile", rf"""WITH {S_UNITS} SELECT unit_id AS run_id, CASE WHEN unit_ord % 7 = 3 THEN 'unit_missing' WHEN unit_ord % 7 = 4 THEN 'unit_duplicate' WHEN unit_ord % 7 = 5 THEN 'run_missing' WHEN unit_ord % 7 = 6 THEN 'run_duplicate'
+WHEN NOT regexp_matches(text, '[^\s\p{{Z}}]') THEN 'empty' END AS fault FROM units""")
+def _(spark, sf):
+    own = _units(spark, sf).select(F.col("doc_id").cast("string").alias("batch"), "unit_id", F.col("unit_id").alias("run_id"), "unit_ord", "text")
+    k = F.col("unit_ord") % 7
+    run = F.struct(F.col("run_id").alias("id"), F.col("text"))
+    none = F.array().cast("array<struct<id:string,text:string>>")
+    unit = F.struct(F.col("unit_id").alias("id"), F.when(k == 5, none).when(k == 6, F.array(run, run)).otherwise(F.array(run)).alias("runs"))
+    rows = own.where(k != 3).select("batch", F.explode(F.when(k == 4, F.array(unit, unit)).otherwise(F.array(unit))).alias("u"))
+    body = F.concat(F.lit('```json\n{"data": '), F.to_json(F.collect_list("u")), F.lit("}\n```"))
+    bodies = rows.groupBy("batch").agg(body.alias("body"))
+    return responses.reconciled(own, responses.decoded(bodies)).select("run_id", "fault")
+
+
+@query("j14_aliases", f"WITH {S_UNITS} SELECT unit_id, 'u' || (dense_rank() OVER (PARTITION BY doc_id ORDER BY unit_ord) - 1)::VARCHAR AS unit_alias, 'r' || (row_number() OVER (PARTITION BY doc_id ORDER BY unit_ord) - 1)::VARCHAR AS run_alias FROM units")
+def _(spark, sf):
+    own = _units(spark, sf).withColumn("batch", F.col("doc_id")).withColumn("run_ord", F.lit(0))
+    return responses.aliases(own).select("unit_id", "unit_alias", "run_alias")
+
+
+@query("e8_packing")
+def _(spark, sf):
+    own = _units(spark, sf).select(F.col("doc_id").cast("string").alias("book"), F.col("unit_ord").cast("long").alias("unit_ord"), "unit_id", F.col("doc_id").cast("string").alias("document"), F.col("unit_id").alias("block_key"), F.col("unit_id").alias("run_stem"), T.text_tokens("text").alias("tokens"))
+    return packing.pack(packing.paragraph_marks(own), 600, 16_000).groupBy("book", "batch_no").agg(F.count("*").alias("units"), F.max("est_input").alias("est_input"))
+
+
+@query("e11_halves")
+def _(spark, sf):
+    own = _units(spark, sf).select(F.col("doc_id").alias("batch"), "unit_ord", "unit_id", T.text_tokens("text").alias("tokens"), (F.col("unit_ord") % 3 == 0).alias("starts_paragraph"))
+    return packing.halves(own).select("unit_id", "half")
+
+
+@query("w1_job", rf"WITH {S_UNITS} SELECT unit_id AS run_id, sha256('«' || text || '»') AS digest FROM units WHERE regexp_matches(text, '[^\s\p{{Z}}]') AND doc_id < 40")
+def _(spark, sf):
+    own = _units(spark, sf).where("doc_id < 40")  # a job is one small book; the query names which
+    runs = own.select(F.col("source").alias("book"), (F.col("doc_id") * 100_000 + F.col("unit_ord")).alias("unit_ord"), "unit_id", F.col("unit_id").alias("run_id"), F.lit(0).alias("run_ord"), "text", F.lit(None).cast("string").alias("context"))
+    done, _kept = jobs.run_job(runs, jobs.echo, "job", target=20_000, output_limit=65_536)
+    return done.select("run_id", T.digest("target").alias("digest"))
