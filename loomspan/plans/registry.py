@@ -71,8 +71,16 @@ S_TERMS = "terms(ord, term, translation, approved, status, source_chapter) AS (V
 S_UNITS = r"units AS (SELECT doc_id, source, i - 1 AS unit_ord, doc_id::VARCHAR || ':' || (i - 1)::VARCHAR AS unit_id, l[i] AS text FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE regexp_matches(l[i], '\S'))"
 WORD = r"[\p{L}\p{N}_]"
 S_NORM = r"lower(trim(regexp_replace({x}, '[\s\p{{Z}}]+', ' ', 'g'), ' '))"
-S_PATTERN = r"'(?i)(^|[^\p{L}\p{N}_])' || regexp_replace(trim(term), '\s+', '[\\s\\p{Z}]+', 'g') || '($|[^\p{L}\p{N}_])'"
-S_MATCH = f"m AS (SELECT DISTINCT unit_id, term, translation, source FROM units JOIN (SELECT term, min(translation) AS translation FROM terms WHERE trim(term) <> '' GROUP BY term) t ON regexp_matches(text, {S_PATTERN}))"
+
+
+def _match_sql(term: str) -> str:
+    """One constant regex per term: engines compile it once."""
+    words = r"[\s\p{Z}]+".join(term.split())
+    edge = r"[^\p{L}\p{N}_]"
+    return f"SELECT unit_id, source, {_q(term)} AS term FROM units WHERE regexp_matches(text, {_q(f'(?i)(^|{edge}){words}($|{edge})')})"
+
+
+S_MATCH = "m AS (" + " UNION ALL ".join(_match_sql(t) for t in dict.fromkeys(t[1] for t in TERMS if t[1])) + ")"
 S_PARTS = "parts AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 5 = 0 THEN split_part(p_name, ' ', 2) WHEN p_partkey % 7 = 0 THEN '  ' || upper(p_name) ELSE p_name END AS term, p_type AS translation, p_size % 4 <> 0 AS approved FROM part)"
 S_REQ = "req AS (SELECT event_id AS request_id, 'u' || user_id::VARCHAR AS scope, ts AS sent, floor(value * 100)::BIGINT AS tokens, event_type FROM events)"
 S_TOKENS = rf"""list_sum(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'), lambda w: CASE WHEN strlen(w) <> length(w) THEN ceil(strlen(w) / 2.0) WHEN regexp_matches(w, '^[A-Za-z0-9_]') THEN ceil(length(w) / 5.0) ELSE 1 END))"""
@@ -244,11 +252,11 @@ def _(spark, sf):
     return matching.affected_units(_units(spark, sf), watched).select("unit_id")
 
 
-@query("j5_inheritance", f"WITH {S_TERMS}, {S_UNITS}, {S_MATCH} SELECT unit_id AS run_id, sha256(upper(text)) AS digest FROM units WHERE unit_id NOT IN (SELECT unit_id FROM m WHERE term IN ('the', 'la'))")
+@query("j5_inheritance", f"WITH {S_TERMS}, {S_UNITS}, {S_MATCH} SELECT unit_id AS run_id, sha256(text || '!') AS digest FROM units WHERE unit_id NOT IN (SELECT unit_id FROM m WHERE term IN ('the', 'la'))")
 def _(spark, sf):
     own = _units(spark, sf)
     runs = own.select(F.col("unit_id").alias("run_id"), "unit_id")
-    targets = own.select(F.col("unit_id").alias("run_id"), T.digest(F.upper("text")).alias("digest"))
+    targets = own.select(F.col("unit_id").alias("run_id"), T.digest(F.concat("text", F.lit("!"))).alias("digest"))
     kept, _redo = matching.inheritance(targets, runs, matching.affected_units(own, _terms(spark).where("term in ('the', 'la')")))
     return kept
 

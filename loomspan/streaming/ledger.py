@@ -52,7 +52,7 @@ class Limiter:
             return (float("inf"), float("inf"))
         when = now
         while (more := self.wait(when, tokens)) > 0:
-            when += more
+            when += max(more, 1e-6)  # rounding must not stop the clock
         self.past.append((when, tokens))
         self.past.sort()
         return when, when - now
