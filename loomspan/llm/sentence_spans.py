@@ -2,14 +2,15 @@
 
 A text is cut into sentences without losing a character. From every sentence the shortest run of
 consecutive sentences with at least ``min_words`` words and ``min_sentences`` sentences is hashed
-(128 bits); a sentence of ``alone_words`` words or more is also a run of its own, so that one long
-repeated sentence is found. Runs meet by hash over the whole table; the first occurrence in the order
+(128 bits), and so is, from the end of every line and of the text backwards, the shortest such run: the last
+sentences of a passage are then covered too. A sentence of ``alone_words`` words or more is also a run of its own, so that
+one long repeated sentence is found. Runs meet by hash over the whole table; the first occurrence in the order
 (id with nulls last, text key, place) stays, and every sentence that another occurrence covers goes.
 That order is global, so some copy of each removed sentence always remains.
 
 Runs are compared lower-cased (A-Z) and with blanks collapsed. Counting by hash combines on the map
 side; the join against the repeated hashes is a plain equi-join with one row per hash on its right
-side, which Spark may split when a passage is very common.
+side.
 
 Defined cases: null or empty text has no sentences and stays as it is; rows that share id and text are
 one document, whose rows get equal results; an empty table gives an empty result; all other columns
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import map_arrow, size_arrow_batches
 
-MIN_WORDS = 20
+MIN_WORDS = 30
 MIN_SENTENCES = 2
 ALONE_WORDS = 50
 
@@ -51,8 +52,12 @@ def spans(pieces: list[str], min_words: int = MIN_WORDS, min_sentences: int = MI
     stop = np.maximum(np.searchsorted(upto, upto[:-1] + min_words), first + min_sentences)
     ok = (stop <= n) & (counts > 0)
     start, stop = first[ok], stop[ok]
+    ends = 1 + np.array([i for i, p in enumerate(pieces) if i == n - 1 or "\n" in p], np.int64)
+    back = np.minimum(np.searchsorted(upto, upto[ends] - min_words, side="right") - 1, ends - min_sentences)
+    fresh = (back >= 0) & (counts[ends - 1] > 0)
+    fresh[fresh] = ~np.isin(back[fresh] * (n + 1) + ends[fresh], start * (n + 1) + stop)
     alone = np.flatnonzero(counts >= alone_words)
-    start, stop = np.concatenate([start, alone]), np.concatenate([stop, alone + 1])
+    start, stop = np.concatenate([start, back[fresh], alone]), np.concatenate([stop, ends[fresh], alone + 1])
     digest = xxhash.xxh3_128_digest
     return start, stop, [digest(b" ".join(plain[a:b])) for a, b in zip(start.tolist(), stop.tolist())]
 

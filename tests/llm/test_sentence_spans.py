@@ -13,12 +13,18 @@ def test_sentences_lose_nothing(text):
     assert "".join(sentences(text)) == text
 
 
-def by_hand(rows, min_words=20, min_sentences=2, alone=50):
+def by_hand(rows, min_words=30, min_sentences=2, alone=50):
     docs = {(i is None, i, t): sentences(t) for i, t in rows}
     seen = {}
     for key, pieces in docs.items():
         plain = [b" ".join(p.encode().lower().split()) for p in pieces]
         n = [len(p.split()) for p in plain]
+        found = set()
+        for b in range(1, len(pieces) + 1):
+            if n[b - 1] and (b == len(pieces) or "\n" in pieces[b - 1]):
+                a = next((a for a in range(b - min_sentences, -1, -1) if sum(n[a:b]) >= min_words), None)
+                if a is not None:
+                    found.add((a, b))
         for a in range(len(pieces)):
             stops = []
             if n[a]:
@@ -27,11 +33,12 @@ def by_hand(rows, min_words=20, min_sentences=2, alone=50):
                     stops.append(b)
             if n[a] >= alone:
                 stops.append(a + 1)
-            for b in stops:
-                seen.setdefault(b" ".join(plain[a:b]), []).append((key, a, b))
+            found |= {(a, b) for b in stops}
+        for a, b in sorted(found):
+            seen.setdefault(b" ".join(plain[a:b]), []).append((key, a, b))
     gone = {k: set() for k in docs}
     for places in seen.values():
-        places.sort(key=lambda x: (x[0][0], x[0][1] or 0, x[1]))
+        places.sort(key=lambda x: (x[0][0], x[0][1] or 0, x[1], x[2]))
         for key, a, b in places[1:]:
             gone[key].update(range(a, b))
     return {k: "".join(p for i, p in enumerate(v) if i not in gone[k]) for k, v in docs.items()}
