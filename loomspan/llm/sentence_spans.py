@@ -9,8 +9,8 @@ one long repeated sentence is found. Runs meet by hash over the whole table; the
 That order is global, so some copy of each removed sentence always remains.
 
 Runs are compared lower-cased (A-Z) and with blanks collapsed. Counting by hash combines on the map
-side; the join against the repeated hashes is a plain equi-join with one row per hash on its right
-side.
+side; the repeated hashes, one row each, are written to the shared folder, and the join against them is a
+plain equi-join whose left side Spark may split when a passage is very common.
 
 Defined cases: null or empty text has no sentences and stays as it is; rows that share id and text are
 one document, whose rows get equal results; an empty table gives an empty result; all other columns
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import map_arrow, size_arrow_batches
+from loomspan.storage import materialize
 
 MIN_WORDS = 30
 MIN_SENTENCES = 2
@@ -92,7 +93,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``doc_id, text_key, start, stop`` of every occurrence of a repeated run that is not its first."""
     found = span_table(docs, id_col, text_col, **runs)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "start")
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    # written once, so that the join below has a plain exchange on either side and a hot run can be split
+    first = materialize(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"))
     return found.join(first, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "text_key", "start", "stop")
 
 
