@@ -19,7 +19,7 @@ gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate, repeat
 
 import numpy as np
@@ -114,20 +114,28 @@ class _Forest:
         return True
 
 
-def trie_forest(keys: np.ndarray, depth: int, budget: int) -> list[tuple[int, int]]:
+Accept = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def trie_forest(keys: np.ndarray, depth: int, budget: int, cuts: np.ndarray | None = None, steps: Sequence[tuple[int, Accept | None]] = ()) -> list[tuple[int, int]]:
     """Spanning forest of the links (at most ``budget`` differing bits) between keys with equal ``depth`` leading bits.
 
     ``keys``: sorted distinct uint64. A trie node of depth d is the range of keys with one d-bit prefix.
+    With ``cuts`` the ranges between them are tries of their own, each sorted, keys may recur, and only keys of one range link.
+    ``steps`` lists the walks: a budget and a further test of the pairs within it.
     """
     n = len(keys)
     if n < 2:
         return []
     forest = _Forest(n)
-    heads = keys >> np.uint64(64 - depth) if depth else np.zeros(n, np.uint64)
-    cuts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1], True])
+    whole = cuts is None
+    if cuts is None:
+        heads = keys >> np.uint64(64 - depth) if depth else np.zeros(n, np.uint64)
+        cuts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1], True])
     roots = np.stack([cuts[:-1], cuts[1:]], axis=1)
     roots = roots[roots[:, 1] - roots[:, 0] > 1]
-    for limit in range(1, budget + 1):  # near links first: what they join is pruned in the wider walks
+    # near links first: what they join is pruned in the wider walks
+    for limit, accept in steps or [(limit, None) for limit in range(1, budget + 1)]:
         start = np.concatenate([roots, roots, np.zeros((len(roots), 1), np.int64)], axis=1)
         stack = [(depth, start)]
         run = np.cumsum(np.r_[0, forest.label[1:] != forest.label[:-1]])
@@ -146,11 +154,15 @@ def trie_forest(keys: np.ndarray, depth: int, budget: int) -> list[tuple[int, in
             if small.any():
                 a, b = _leaves(pairs[small])
                 near = np.bitwise_count(keys[a] ^ keys[b]) <= limit
-                if forest.link(a[near], b[near]):
+                a, b = a[near], b[near]
+                if accept is not None:
+                    near = accept(a, b)
+                    a, b = a[near], b[near]
+                if forest.link(a, b):
                     run = np.cumsum(np.r_[0, forest.label[1:] != forest.label[:-1]])
                 pairs = pairs[~small]
             if len(pairs):
-                stack.append((d + 1, _children(keys, pairs, d, limit)))
+                stack.append((d + 1, _children(keys, pairs, d, limit, whole)))
     return forest.edges
 
 
@@ -166,13 +178,24 @@ def _leaves(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[keep], b[keep]
 
 
-def _children(keys: np.ndarray, pairs: np.ndarray, d: int, limit: int) -> np.ndarray:
-    """Node pairs one level down, without the empty ones and those beyond the error budget."""
+def _children(keys: np.ndarray, pairs: np.ndarray, d: int, limit: int, whole: bool = True) -> np.ndarray:
+    """Node pairs one level down, without the empty ones and those beyond the error budget.
+
+    ``whole``: the keys are sorted as a whole, not only within each range.
+    """
     bit = np.uint64(1 << (63 - d))
     below = np.uint64((1 << (64 - d)) - 1 if d else 0xFFFFFFFFFFFFFFFF)
 
     def split(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return np.clip(np.searchsorted(keys, (keys[lo] & ~below) | bit), lo, hi)
+        if whole:
+            return np.clip(np.searchsorted(keys, (keys[lo] & ~below) | bit), lo, hi)
+        lo, hi = lo.copy(), hi.copy()
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) >> 1
+            one = (keys[np.minimum(mid, len(keys) - 1)] & bit) != 0
+            hi = np.where(open_ & one, mid, hi)
+            lo = np.where(open_ & ~one, mid + 1, lo)
+        return lo
 
     lo1, hi1, lo2, hi2, diff = pairs.T
     m1, m2 = split(lo1, hi1), split(lo2, hi2)
