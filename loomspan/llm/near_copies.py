@@ -8,8 +8,10 @@ are walked together within a budget of ``BUDGET`` differing bits (over 99 in 100
 first, and pruned once everything below is one component; a forest leaves the task, never all pairs.
 
 A link whose min-hashes agree in ``SURE`` or more stands; one that agrees less is settled by the exact similarity
-of the two shingle sets. As such a link may fall, each cell gives ``FORESTS`` forests that share no unsure link: a
-group stays together unless every forest of every shared cell fails it. Texts with equal shingle sets are one node from the start. Cells with
+of the two shingle sets. As such a link may fall, each cell gives ``FORESTS`` forests that share no unsure link, which settle
+most groups. A cell with unsure links beyond those forests, whose nodes are not one component once the links are tested, is
+*open*: it is walked again from the components found, with each pair tested exactly before it may link, so no pair is
+pruned by a link that falls. Texts with equal shingle sets are one node from the start. Cells with
 more than ``SHARD`` nodes are dealt as pairs of shards.
 
 Defined cases: null or blank texts have the empty set and are copies of each other; fewer than five words
@@ -93,10 +95,8 @@ def _text_key(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key")
 
 
-def cell_links(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
-    """Edges ``a, b, sure`` of a forest over ``node, fp, bands, sketch`` (one row per node)."""
-    spark = nodes.sparkSession
-    size_arrow_batches(spark)
+def dealt_cells(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
+    """``node, cell, i, j``: the cells of two nodes or more, as pairs of shards."""
     dealt = nodes.select("node", F.explode("bands").alias("cell"))
     shared = checkpointed(dealt.groupBy("cell").count().where("count > 1").select("cell", F.ceil(F.col("count") / shard).cast("int").alias("shards")))
     own = F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")
@@ -104,7 +104,33 @@ def cell_links(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
     # every pair of shards is a cell of its own; a cell of n shards sends each node to n - 1 of them
     others = F.when(F.col("shards") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("shards") - 1), lambda x: x != F.col("own")))
     opened = met.withColumn("other", F.explode(others))
-    cells = opened.select("node", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return opened.select("node", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _sorted_cells(whole: pa.Table) -> tuple[np.ndarray, ...]:
+    """Row order, ``cell, node, i, j, fp`` in it, the borders of the cells, and the agreement of pairs of rows."""
+    cell, node, i, j = (whole[c].to_numpy().astype(np.int64) for c in ("cell", "node", "i", "j"))
+    fp = whole["fp"].to_numpy().view(np.uint64)
+    order = np.lexsort((fp, j, i, cell))
+    cell, node, i, j, fp = cell[order], node[order], i[order], j[order], fp[order]
+    sketch = np.frombuffer(b"".join(whole["sketch"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)[order]
+    cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
+
+    def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.empty(len(a))
+        for at in range(0, len(a), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            out[part] = (sketch[a[part]] == sketch[b[part]]).mean(axis=1)
+        return out
+
+    return order, cell, node, i, j, fp, cuts, agree
+
+
+def cell_links(nodes: DataFrame, cells: DataFrame) -> DataFrame:
+    """Edges ``a, b, sure`` of forests over ``node, fp, bands, sketch`` (one row per node); besides, with null ``a`` and ``b``,
+    the ``cell, i, j`` that hold unsure links beyond these forests."""
+    spark = nodes.sparkSession
+    size_arrow_batches(spark)
     full = cells.join(nodes.select("node", "fp", "sketch"), "node")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
@@ -113,41 +139,75 @@ def cell_links(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
         if not got:
             return
         whole = pa.Table.from_batches(got).combine_chunks()
-        cell, node, i, j = (whole[c].to_numpy().astype(np.int64) for c in ("cell", "node", "i", "j"))
-        fp = whole["fp"].to_numpy().view(np.uint64)
-        order = np.lexsort((fp, j, i, cell))
-        cell, node, i, j, fp = cell[order], node[order], i[order], j[order], fp[order]
-        sketch = np.frombuffer(b"".join(whole["sketch"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)[order]
-        cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
-
-        def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            out = np.empty(len(a))
-            for at in range(0, len(a), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                out[part] = (sketch[a[part]] == sketch[b[part]]).mean(axis=1)
-            return out
-
+        _, cell, node, i, j, fp, cuts, agree = _sorted_cells(whole)
         n, used, sure = len(node), np.empty(0, np.int64), np.empty(0, np.int64)
 
         def fresh(floor: float, used: np.ndarray) -> Accept:
             """Agreement of at least ``floor``; an unsure pair only if no forest used it before."""
             return lambda a, b: (agree(a, b) >= floor) & ((floor >= SURE) | ~np.isin(np.minimum(a, b) * n + np.maximum(a, b), used))
 
-        for _ in range(FORESTS):
+        beyond = np.empty(0, np.int64)
+        for forest in range(FORESTS + 1):
             edges = np.array(trie_forest(fp, 0, BUDGET, cuts, [(BUDGET, fresh(floor, used)) for floor in (SURE, *UNSURE)]), np.int64).reshape(-1, 2)
             a, b = edges.T
             plain = agree(a, b) >= SURE
             pair = np.minimum(a, b) * n + np.maximum(a, b)
+            if forest == FORESTS:  # not tested: it says where untested links are left
+                beyond = np.unique(np.searchsorted(cuts, a[~plain], side="right") - 1)
+                break
             sure = np.union1d(sure, pair[plain])
             if plain.all():
                 break
             used = np.union1d(used, pair[~plain])
+        names = ["a", "b", "sure", "cell", "i", "j"]
         for pair, is_sure in ((sure, True), (used, False)):
             if len(pair):
                 a, b = node[pair // n], node[pair % n]
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), is_sure))], ["a", "b", "sure"])
+                empty = [pa.nulls(len(a), pa.int64())] * 3
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), is_sure)), *empty], names)
+        if len(beyond):
+            at = cuts[beyond]
+            empty = [pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.bool_())]
+            yield pa.record_batch([*empty, pa.array(cell[at]), pa.array(i[at]), pa.array(j[at])], names)
+
+    return full.repartition(parts, "cell", "i", "j").mapInArrow(run, "a long, b long, sure boolean, cell long, i long, j long").distinct()
 
-    return full.repartition(parts, "cell", "i", "j").mapInArrow(run, "a long, b long, sure boolean").distinct()
+
+def open_cell_links(rows: DataFrame, least: float) -> DataFrame:
+    """Edges ``a, b`` that join all links of each cell of ``node, cell, i, j, root, fp, sketch, text``, every pair between
+    two roots tested exactly."""
+    spark = rows.sparkSession
+    size_arrow_batches(spark)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, sets = [], {}
+        for batch in batches:
+            # a node stands in several cells: its shingles are held once and the texts not at all
+            for at, own in enumerate(batch.column("node").to_pylist()):
+                if own not in sets:
+                    sets[own] = shingle_set(batch.column("text")[at].as_py())
+            if batch.num_rows:
+                got.append(batch.select(["node", "cell", "i", "j", "root", "fp", "sketch"]))
+        if not got:
+            return
+        whole = pa.Table.from_batches(got).combine_chunks()
+        order, _, node, _, _, fp, cuts, agree = _sorted_cells(whole)
+        root = whole["root"].to_numpy()[order]
+        own = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        _, joined = np.unique(np.stack([own, root]), axis=1, return_inverse=True)
+
+        def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            near = agree(a, b) >= UNSURE[-1]
+            near[near] = [similarity(sets[x], sets[y]) >= least for x, y in zip(node[a[near]].tolist(), node[b[near]].tolist())]
+            return near
+
+        edges = np.array(trie_forest(fp, 0, BUDGET, cuts, [(BUDGET, exact)], joined.reshape(-1)), np.int64).reshape(-1, 2)
+        if len(edges):
+            a, b = node[edges[:, 0]], node[edges[:, 1]]
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return rows.repartition(parts, "cell", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def _exactly(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -167,14 +227,28 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = materialize(described(docs, id_col, text_col))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")
     nodes = materialize(rows.groupBy("node").agg(first, F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")))
-    links = materialize(cell_links(nodes, shard))
+    cells = dealt_cells(nodes, shard)
+    walked = materialize(cell_links(nodes, cells))
+    links = walked.where("a is not null").select("a", "b", "sure")
     spokes = nodes.select("node", F.col("first.doc_id").alias("_first_id"), F.col("first.text_key").alias("_first_key"))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _text_key(text_col))
     wanted = links.where("not sure").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     met = F.col("doc_id").eqNullSafe(F.col("_first_id")) & (F.col("text_key") == F.col("_first_key"))
-    texts = materialize(keyed.join(spokes.join(wanted, "node", "left_semi"), met).groupBy("node").agg(F.min("text").alias("text")))
-    edges = links.where("sure").select("a", "b").union(_exactly(links.where("not sure").select("a", "b"), texts, least))
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        return materialize(keyed.join(spokes.join(some, "node", "left_semi"), met).groupBy("node").agg(F.min("text").alias("text")))
+
+    edges = materialize(links.where("sure").select("a", "b").union(_exactly(links.where("not sure").select("a", "b"), texts_of(wanted), least)))
     roots = connected_components(edges)
+    beyond = walked.where("a is null").select("cell", "i", "j")
+    if not beyond.isEmpty():
+        placed = materialize(cells.join(beyond, ["cell", "i", "j"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        apart = placed.groupBy("cell", "i", "j").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell", "i", "j")
+        left = materialize(placed.join(apart, ["cell", "i", "j"], "left_semi"))
+        if not left.isEmpty():
+            rows_left = left.join(nodes.select("node", "fp", "sketch"), "node").join(texts_of(left.select("node").distinct()), "node")
+            more = materialize(open_cell_links(rows_left.select("node", "cell", "i", "j", "root", "fp", "sketch", "text"), least))
+            roots = connected_components(edges.union(more))
     return rows.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 

@@ -85,9 +85,10 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 class _Forest:
     """Union-find whose labels are also kept as a flat array for vectorised tests."""
 
-    def __init__(self, n: int) -> None:
-        self.parent = list(range(n))
-        self.label = np.arange(n)
+    def __init__(self, n: int, joined: np.ndarray | None = None) -> None:
+        # keys of one value of ``joined`` are one component from the start, named by the first of them
+        self.label = np.arange(n) if joined is None else np.unique(joined, return_index=True)[1][np.unique(joined, return_inverse=True)[1]]
+        self.parent = self.label.tolist()
         self.edges: list[tuple[int, int]] = []
 
     def find(self, x: int) -> int:
@@ -117,17 +118,18 @@ class _Forest:
 Accept = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def trie_forest(keys: np.ndarray, depth: int, budget: int, cuts: np.ndarray | None = None, steps: Sequence[tuple[int, Accept | None]] = ()) -> list[tuple[int, int]]:
+def trie_forest(keys: np.ndarray, depth: int, budget: int, cuts: np.ndarray | None = None, steps: Sequence[tuple[int, Accept | None]] = (), joined: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning forest of the links (at most ``budget`` differing bits) between keys with equal ``depth`` leading bits.
 
     ``keys``: sorted distinct uint64. A trie node of depth d is the range of keys with one d-bit prefix.
     With ``cuts`` the ranges between them are tries of their own, each sorted, keys may recur, and only keys of one range link.
-    ``steps`` lists the walks: a budget and a further test of the pairs within it.
+    ``steps`` lists the walks: a budget and a further test of the pairs within it, made only of pairs still apart.
+    ``joined`` names components that are known before.
     """
     n = len(keys)
     if n < 2:
         return []
-    forest = _Forest(n)
+    forest = _Forest(n, joined)
     whole = cuts is None
     if cuts is None:
         heads = keys >> np.uint64(64 - depth) if depth else np.zeros(n, np.uint64)
@@ -153,7 +155,7 @@ def trie_forest(keys: np.ndarray, depth: int, budget: int, cuts: np.ndarray | No
             small = ((hi1 - lo1) * (hi2 - lo2) <= 16) | (d >= 64)
             if small.any():
                 a, b = _leaves(pairs[small])
-                near = np.bitwise_count(keys[a] ^ keys[b]) <= limit
+                near = (np.bitwise_count(keys[a] ^ keys[b]) <= limit) & (forest.label[a] != forest.label[b])
                 a, b = a[near], b[near]
                 if accept is not None:
                     near = accept(a, b)

@@ -71,3 +71,37 @@ def test_similarity_and_sketch():
     near = np.r_[base[:8000], np.unique(rng.integers(1 << 63, size=1000, dtype=np.uint64))]
     one, two = (np.frombuffer(m.describe(np.sort(x))[3], np.uint8) for x in (base, near))
     assert abs((one == two).mean() - 0.8) < 0.15
+
+
+def test_template_group_keeps_no_tested_away_pair(spark):
+    """Most pairs lie just below 0.8: links that fall must not hide true ones."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for i in range(160):
+        own = list(base)
+        for at in rng.sample(range(200), 3):
+            own[at] = f"x{i}y{at}"
+        texts.append(" ".join(own))
+    made = [m.describe(shingle_set(t)) for t in texts]
+    sets = [shingle_set(t) for t in texts]
+    sketches = np.stack([np.frombuffer(x[3], np.uint8) for x in made])
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = any(made[i][2][k : k + 8] == made[j][2][k : k + 8] for k in range(0, 8 * m.BANDS, 8))
+            agreed = (sketches[i] == sketches[j]).mean()
+            if shared and (made[i][1] ^ made[j][1]).bit_count() <= m.BUDGET and agreed >= m.UNSURE[-1] and (agreed >= m.SURE or similarity(sets[i], sets[j]) >= m.SIMILARITY):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    got = {r["doc_id"]: r["root"] for r in near_copy_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    first = {}
+    for i in sorted(got):
+        first.setdefault(got[i], i)
+    assert [first[got[i]] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
