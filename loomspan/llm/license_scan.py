@@ -1,8 +1,9 @@
 """License scans with ordered signature rules, in DataFrame functions only.
 
 Hundreds of hand-written regexes stand in ``RULES`` as ``priority|keyword|label|regex``. A rule runs on a
-text only if the text holds its keyword; a text without any keyword is done after plain substring
-searches. Each match is an interval. An interval goes if another one contains it that is of higher
+text only if the text holds its keyword, looked for in a copy whose runs of blanks, line ends and comment marks are
+one blank each, so that a keyword wrapped or commented inside is found; a text without any keyword is done after plain
+substring searches. The SQL looks for keywords in the text itself and takes runs of at most 9, so it misses such texts. Each match is an interval. An interval goes if another one contains it that is of higher
 priority, or of equal priority and longer, or the same and of an earlier rule: as containment and rank
 are transitive, one test against all intervals equals suppressing one after another.
 
@@ -31,6 +32,10 @@ PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"),
 PHRASE_SCORE = 0.9
 #: A blank in a rule stands for a run of blanks, line ends and comment marks.
 BLANK = r"[ \t\r\n*#/]{1,9}"
+#: The same of any length: what the scan takes.
+WIDE = r"[ \t\r\n*#/]+"
+#: Keywords that not every match of their rules holds, with what every match does hold.
+HELD = {"beerware": "beer", "license": "licen", "responsible ai": "license"}
 #: Matches are handled in blocks of this many.
 STEP = 64
 
@@ -272,6 +277,11 @@ def parse_rules(text: str = RULES) -> list[tuple[int, str, str, str]]:
     return out
 
 
+def scan_rules() -> list[tuple[int, str, str, str]]:
+    """``parse_rules`` as scanned: a keyword that each match holds, blanks of any length."""
+    return [(p, HELD.get(k, k), label, r.replace(BLANK, WIDE)) for p, k, label, r in parse_rules()]
+
+
 def _write_out(regex: str) -> str:
     """Blanks outside character classes become ``BLANK``; an optional blank stays one, made optional."""
     out, inside, i = [], False, 0
@@ -357,7 +367,7 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``spans``: the intervals that stay, as ``array<struct<start, stop, priority, rule, label>>`` in code points.
     """
-    rules = parse_rules()
+    rules = scan_rules()
     table = F.array(*[F.struct(F.lit(no).alias("no"), F.lit(p).alias("priority"), F.lit(k).alias("keyword"), F.lit(label).alias("label"), F.lit(r).alias("regex")) for no, (p, k, label, r) in enumerate(rules)])
     keywords = F.array(*[F.lit(k) for k in dict.fromkeys(k for _, k, _, _ in rules)])
     t = F.col("_t")
@@ -372,7 +382,7 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         regex = f"(?<!{WORD[:-1]})" + f"{GAP}+".join(own) + f"(?!{WORD[:-1]})"
         holds = F.contains(t, F.lit(own[0])) & F.contains(t, F.lit(own[-1]))
         pieces[f"_p{no}"] = F.when(holds, F.split(t, regex, -1))
-    out = out.withColumns({"n_words": words(t), "_kw": F.filter(keywords, lambda k: F.contains(t, k)), **pieces})
+    out = out.withColumns({"n_words": words(t), "_kw": _bind(F.regexp_replace(t, WIDE, " "), lambda plain: F.filter(keywords, lambda k: F.contains(plain, k))), **pieces})
     counts = [F.when(F.col(f"_p{no}").isNull(), F.lit(0)).otherwise(F.size(f"_p{no}") - 1).cast("long") for no in range(len(PHRASES))]
     firsts = [F.when(c > 0, words(F.get(F.col(f"_p{no}"), F.lit(0)))) for no, c in enumerate(counts)]
     lasts = [F.when(c > 0, F.col("n_words") - words(F.element_at(F.col(f"_p{no}"), -1)) - len(PHRASES[no][0].split(" "))) for no, c in enumerate(counts)]

@@ -1,10 +1,11 @@
+import random
 import re
 import string
 
 import duckdb
 import pytest
 
-from loomspan.llm.license_scan import PHRASES, license_spans, op3_license_scan, oracle_sql, parse_rules
+from loomspan.llm.license_scan import PHRASES, license_spans, op3_license_scan, oracle_sql, parse_rules, scan_rules
 
 TEXTS = [
     "Licensed under the Apache License, Version 2.0. mit license MIT License",
@@ -71,3 +72,45 @@ def test_rules_are_many_and_gated():
 
 def test_empty(no_documents):
     assert op3_license_scan(no_documents).count() == 0
+
+
+def sample(rng, parsed):
+    """A text that the parsed regex may match; runs of blanks are wrapped, commented and long."""
+    out = []
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out.append(chr(arg))
+        elif op == "IN":
+            kinds = [(str(k), v) for k, v in arg]
+            chars = [chr(v) for k, v in kinds if k == "LITERAL"]
+            chars += [chr(rng.randint(*v)) for k, v in kinds if k == "RANGE"] + ["1" for k, v in kinds if k == "CATEGORY"]
+            out.append("~" if kinds[0][0] == "NEGATE" else rng.choice(chars))
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = arg
+            wrap = len(inner) == 1 and str(inner[0][0]) == "IN" and {chr(v) for k, v in inner[0][1] if str(k) == "LITERAL"} >= set(" *#/\n")
+            out.append(rng.choice([" ", "\n", "\n * ", "\n# ", "\n          // "]) if wrap else "".join(sample(rng, inner) for _ in range(rng.randint(low, min(high, low + 2)))))
+        elif op == "BRANCH":
+            out.append(sample(rng, rng.choice(arg[1])))
+        elif op == "SUBPATTERN":
+            out.append(sample(rng, arg[3]))
+        elif op in ("ANY", "NOT_LITERAL"):
+            out.append("~")
+    return "".join(out)
+
+
+def test_no_keyword_hides_a_match(spark):
+    rng = random.Random(2)
+    rules = scan_rules()
+    texts = [x for _, _, _, r in rules for x in (sample(rng, re._parser.parse(r)) for _ in range(12)) if re.search(r, x)]
+    texts += ["permission is\n * hereby granted, free of charge", "redistribution\n# and use in source and binary forms", "the beer-ware license"]
+    assert len(texts) > 10 * len(rules)
+    got = license_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+
+    def beats(e, d):
+        return e != d and e[0] <= d[0] and e[1] >= d[1] and (e[2] > d[2] or e[2] == d[2] and (e[1] - e[0] > d[1] - d[0] or e[:2] == d[:2] and e[3] < d[3]))
+
+    for r in got:
+        t = texts[r["doc_id"]].translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+        hits = [(m.start(), m.end(), p, no) for no, (p, _, _, regex) in enumerate(rules) for m in re.finditer(regex, t)]
+        assert sorted((s["start"], s["stop"], s["priority"], s["rule"]) for s in r["spans"]) == sorted(d for d in hits if not any(beats(e, d) for e in hits)), t
