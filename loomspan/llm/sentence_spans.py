@@ -2,8 +2,8 @@
 
 A text is cut into sentences without losing a character. From every sentence the shortest run of
 consecutive sentences with at least ``min_words`` words and ``min_sentences`` sentences is hashed
-(128 bits), and so is, from the end of every line and of the text backwards, the shortest such run: the last
-sentences of a passage are then covered too. A sentence of ``alone_words`` words or more is also a run of its own, so that
+(128 bits), and so is, from the end of every sentence backwards, the shortest such run: the last
+sentences of a passage are then covered too, wherever it ends. A sentence of ``alone_words`` words or more is also a run of its own, so that
 one long repeated sentence is found. Runs meet by hash over the whole table; the first occurrence in the order
 (id with nulls last, text key, place) stays, and every sentence that another occurrence covers goes.
 That order is global, so some copy of each removed sentence always remains.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from loomspan.llm.common import map_arrow, size_arrow_batches
 from loomspan.storage import materialize
 
-MIN_WORDS = 30
+MIN_WORDS = 20
 MIN_SENTENCES = 2
 ALONE_WORDS = 50
 
@@ -53,7 +53,7 @@ def spans(pieces: list[str], min_words: int = MIN_WORDS, min_sentences: int = MI
     stop = np.maximum(np.searchsorted(upto, upto[:-1] + min_words), first + min_sentences)
     ok = (stop <= n) & (counts > 0)
     start, stop = first[ok], stop[ok]
-    ends = 1 + np.array([i for i, p in enumerate(pieces) if i == n - 1 or "\n" in p], np.int64)
+    ends = first + 1
     back = np.minimum(np.searchsorted(upto, upto[ends] - min_words, side="right") - 1, ends - min_sentences)
     fresh = (back >= 0) & (counts[ends - 1] > 0)
     fresh[fresh] = ~np.isin(back[fresh] * (n + 1) + ends[fresh], start * (n + 1) + stop)

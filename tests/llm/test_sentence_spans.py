@@ -76,3 +76,23 @@ def test_odd_rows(documents, no_documents):
     twins = [r["text"] for r in got if r["doc_id"] == 4]
     assert len(twins) == 3 and len(set(twins)) == 1 and twins[0]  # one document in three equal rows
     assert remove_repeated_spans(no_documents).count() == 0
+
+
+def test_a_passage_in_running_text_goes_to_its_end(spark):
+    rng = random.Random(9)
+    own = iter(range(10**6))
+
+    def line(words):
+        return " ".join(f"w{next(own)}" for _ in range(words)).capitalize() + ". "
+
+    rows = []
+    for i in range(0, 20, 2):
+        passage = "".join(line(rng.choice([3, 5, 8, 11])) for _ in range(rng.randint(7, 12)))
+        rows += [(i, line(9) + passage + line(9)), (i + 1, line(7) + passage + line(7))]
+    short = line(12) + line(11)  # 23 words: a run of 20, none of 30
+    rows += [(20, line(9) + short + line(9)), (21, line(7) + short + line(7))]
+    got = {r["doc_id"]: r["text"] for r in op10_sentence_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(0, 21, 2):
+        assert got[i] == rows[i][1]
+        pieces = sentences(rows[i + 1][1])
+        assert got[i + 1] == pieces[0] + pieces[-1]
