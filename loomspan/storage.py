@@ -1,16 +1,25 @@
 """Where intermediate results live.
 
 Every helper writes to the folder that the session names in ``spark.checkpoint.dir``; all executors
-share it, so a lost executor costs a re-read and never the result.
+share it, so a lost executor costs a re-read and never the result. Tables are grouped by application: those written inside
+``scratch`` go at its end, all others with ``release`` or when the driver's process ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+_to_release: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session. Where none is set and the master is local, a temporary one is made."""
@@ -27,10 +36,59 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends here."""
+def tables_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables; it is emptied when the driver's process ends."""
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+    if path not in _to_release:
+        _to_release.add(path)
+        atexit.register(_delete_at_exit, spark, path)
+    return path
+
+
+def new_path(spark: SparkSession) -> str:
+    """A fresh folder among this application's tables, with the lifetime of a table."""
+    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
+    own = _written.get()
+    if own is not None:
+        own.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    # the JVM may be gone already: then the folder stays for the cluster's own cleaning
+    with contextlib.suppress(Py4JError, OSError, AttributeError):
+        delete(spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has written; frames that read them end with it."""
+    delete(spark, tables_dir(spark))
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; a result must be written outside of it, or by ``materialize(..., stays=True)``."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        for path in _written.get() or ():
+            delete(spark, path)
+        _written.reset(token)
+
+
+def materialize(df: DataFrame, stays: bool = False) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends here.
+
+    ``stays``: the table outlives the ``scratch`` around it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}" if stays else new_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
