@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import size_arrow_batches
+from loomspan.llm.common import small_batches
 from loomspan.storage import materialize
 
 K = 20
@@ -122,7 +122,6 @@ def nearest(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     ``is_query`` is a condition on the column ``vec_id``.
     """
     spark = table.sparkSession
-    size_arrow_batches(spark)
     rows = materialize(vectors(table, id_col, vector_col))
     sizes = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     c_blocks, q_blocks = sizes["n"] // block + 1, sizes["q"] // QUERY_BLOCK + 1

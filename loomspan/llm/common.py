@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a batch that goes to Python. Texts can be long: a small batch bounds a worker's memory.
+#: Rows handled at once in a worker. Spark bounds the bytes of a batch, this bounds the Python objects made of it.
 ARROW_ROWS = 512
 
 
@@ -16,24 +16,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def size_arrow_batches(spark: SparkSession) -> None:
-    """Bound the batches sent to Python by rows and, where the session knows how, by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``rows``; empty batches are passed over."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch; empty batches are passed over."""
-    size_arrow_batches(df.sparkSession)
+    """Apply ``fn`` to each small Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+        yield from map(fn, small_batches(batches))
 
     return df.mapInArrow(run, schema)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted``, each with as many leading underscores as it takes not to clash with a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def text_key(text: Column) -> Column:
+    """64 bits of the text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def row_keys(doc_id: Column, key: Column) -> list[Column]:
+    """``k1, k2``, never null: rows share them only if their id and text key are equal."""
+    return [F.coalesce(doc_id.cast("long"), F.lit(0)).alias("k1"), F.xxhash64(doc_id.isNull(), key).alias("k2")]
+
+
+def first_of_group(groups: DataFrame) -> DataFrame:
+    """``doc_id, text_key`` of the smallest row of each ``root``: by id, nulls last, then by text key."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")
+    return groups.groupBy("root").agg(first).select("first.doc_id", "first.text_key")
+
+
+def keep_rows(docs: DataFrame, keep: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``keep`` (``doc_id, text_key``) names; of rows that share both, one.
+
+    One shuffle of the texts: both steps go by the same keys.
+    """
+    k1, k2 = free_names(docs, "k1", "k2")
+    named = keep.select(*[c.alias(k) for c, k in zip(row_keys(F.col("doc_id"), F.col("text_key")), (k1, k2))])
+    keyed = docs.withColumns(dict(zip((k1, k2), row_keys(F.col(id_col), text_key(F.col(text_col))))))
+    return keyed.join(named, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*docs.columns)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else; null counts as empty."""
     return F.translate(F.coalesce(col, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,22 +1,26 @@
 """Near copies at a stated similarity: the trie self-join of ``simhash_trie`` with a wide error budget.
 
-Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
-Their 64-bit fingerprints then differ in about ten bits, beyond what equal 16-bit blocks can find. So the
+The similarity of two texts is taken over their five-word shingles: the share of a text's words that stand in
+a shingle which the other text has too, the lesser of both directions. Two texts are near copies at 0.8 or more. (A text
+with one word in ten replaced has a Jaccard similarity of shingle sets near 0.5, but 0.85 of its words still stand in
+shared shingles.)
+
+Fingerprints of such pairs differ in about 17 of 64 bits, beyond what equal 16-bit blocks can find. So the
 tries are built below other nodes: a *cell* is one band of ``ROWS`` min-hashes of the shingle set, and of
-``BANDS`` bands a pair at 0.8 shares at least one with probability 0.998. In each cell pairs of trie nodes
-are walked together within a budget of ``BUDGET`` differing bits (over 99 in 100 pairs at 0.8), near links
-first, and pruned once everything below is one component; a forest leaves the task, never all pairs.
+``BANDS`` bands a pair with Jaccard 0.45 shares at least one with probability 0.998. In each cell pairs of trie nodes
+are walked together within a budget of ``BUDGET`` differing bits, likely links first (those whose min-hashes agree
+most, down to ``FLOORS[-1]``), and pruned once everything below is one component; a forest leaves the task, never all pairs.
 
-A link whose min-hashes agree in ``SURE`` or more stands; one that agrees less is settled by the exact similarity
-of the two shingle sets. As such a link may fall, each cell gives ``FORESTS`` forests that share no unsure link, which settle
-most groups. A cell with unsure links beyond those forests, whose nodes are not one component once the links are tested, is
-*open*: it is walked again from the components found, with each pair tested exactly before it may link, so no pair is
-pruned by a link that falls. Texts with equal shingle sets are one node from the start. Cells with
-more than ``SHARD`` nodes are dealt as pairs of shards.
+Every link is then settled by the exact similarity of the two whole texts. As a link may fall, each cell gives ``FORESTS``
+forests without a common pair, which settle most groups. A cell with candidates beyond those forests is walked again from the
+components found; where two of them still have a candidate between them, the cell is *open*: every such pair
+is tested exactly before it may link. So no pair of one cell is pruned by a link that falls, however the cell is dealt.
+Texts with equal shingle sets are one node from the start. Cells with
+more than ``SHARD`` nodes are dealt as pairs of shards, and the text of a node with many links is dealt in parts.
 
 Defined cases: null or blank texts have the empty set and are copies of each other; fewer than five words
-are one shingle; ties go to the smallest id (nulls last), then the smaller text key; rows repeated whole
-are copies; an empty table gives an empty result.
+are one shingle; very long texts are taken whole; ties go to the smallest id (nulls last), then the smaller text key; rows repeated whole
+are copies; an empty table gives an empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,35 +33,48 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import map_arrow, size_arrow_batches
-from loomspan.llm.simhash_trie import SHARD, Accept, connected_components, shingle_hashes, trie_forest
+from loomspan.llm.common import first_of_group, keep_rows, map_arrow, row_keys, small_batches, text_key
+from loomspan.llm.simhash_trie import connected_components, shingle_hashes, trie_forest
 from loomspan.storage import checkpointed, materialize
 
 WIDTH = 5
 SIMILARITY = 0.8
-BANDS = 16
-ROWS = 5
-BUDGET = 18
-SURE = 0.93
-UNSURE = (0.86, 0.8, 0.74, 0.64)
-FORESTS = 3
+BANDS = 28
+ROWS = 2
+BUDGET = 28
+#: Shares of agreeing min-hashes from which on a pair is a candidate, one walk each.
+FLOORS = (0.7, 0.45, 0.27)
+FORESTS = 2
+#: Nodes of a cell beyond which it is cut into shards of about this size.
+SHARD = 10_000
+#: Links of one node that meet in one task.
+HUB = 4_096
 
 _MIX = np.random.default_rng(42).integers(1 << 63, size=(2, BANDS * ROWS, 1), dtype=np.uint64)
 _XOR, _ODD = _MIX[0], _MIX[1] | np.uint64(1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the five-word shingles."""
-    return np.unique(shingle_hashes(text, WIDTH))
+def similarity(a: np.ndarray, b: np.ndarray, distinct_a: np.ndarray | None = None, distinct_b: np.ndarray | None = None) -> float:
+    """Share of words in common shingles, the lesser of both directions; of two empty texts 1.
+
+    ``a`` and ``b``: shingle hashes in the order of the texts; their sorted distinct values may be given.
+    """
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    distinct_a = np.unique(a) if distinct_a is None else distinct_a
+    distinct_b = np.unique(b) if distinct_b is None else distinct_b
+    return min(_covered(a, distinct_b), _covered(b, distinct_a))
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two shingle sets; of two empty ones 1."""
-    if not len(a) and not len(b):
-        return 1.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def _covered(own: np.ndarray, other: np.ndarray) -> float:
+    at = np.minimum(np.searchsorted(other, own), len(other) - 1)
+    hit = other[at] == own
+    # a word is covered if one of the up to WIDTH shingles over it is shared
+    upto = np.r_[0, np.cumsum(hit)]
+    n = len(own)
+    word = np.arange(n + WIDTH - 1)
+    return float((upto[np.minimum(word + 1, n)] > upto[np.maximum(word - WIDTH + 1, 0)]).mean())
 
 
 def describe(found: np.ndarray) -> tuple[int, int, bytes, bytes]:
@@ -81,20 +98,16 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, text_key, node, fp, bands, sketch`` for each row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [describe(shingle_set(t)) for t in batch.column(1).to_pylist()]
+        rows = [describe(np.unique(shingle_hashes(t, WIDTH))) for t in batch.column(1).to_pylist()]
         nodes, fps = (pa.array(np.array([r[i] for r in rows], np.uint64).view(np.int64)) for i in (0, 1))
         cells = np.frombuffer(b"".join(r[2] for r in rows), ">i8").astype(np.int64)
         bands = pa.ListArray.from_arrays(np.arange(0, len(cells) + 1, BANDS, dtype=np.int32), cells)
         return pa.record_batch([batch.column(0), batch.column(2), nodes, fps, bands, pa.array([r[3] for r in rows], pa.binary())], ["doc_id", "text_key", "node", "fp", "bands", "sketch"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _text_key(text_col))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key"))
     return map_arrow(narrow, run, "doc_id long, text_key long, node long, fp long, bands array<long>, sketch binary")
 
 
-def _text_key(text_col: str):
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key")
-
-
 def dealt_cells(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
     """``node, cell, i, j``: the cells of two nodes or more, as pairs of shards."""
     dealt = nodes.select("node", F.explode("bands").alias("cell"))
@@ -107,156 +120,195 @@ def dealt_cells(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
     return opened.select("node", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
-def _sorted_cells(whole: pa.Table) -> tuple[np.ndarray, ...]:
-    """Row order, ``cell, node, i, j, fp`` in it, the borders of the cells, and the agreement of pairs of rows."""
-    cell, node, i, j = (whole[c].to_numpy().astype(np.int64) for c in ("cell", "node", "i", "j"))
-    fp = whole["fp"].to_numpy().view(np.uint64)
-    order = np.lexsort((fp, j, i, cell))
-    cell, node, i, j, fp = cell[order], node[order], i[order], j[order], fp[order]
-    sketch = np.frombuffer(b"".join(whole["sketch"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)[order]
-    cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
+class _Cells:
+    """Rows ``node, cell, i, j, fp, sketch`` as arrays, sorted by cell and fingerprint."""
 
-    def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def __init__(self, whole: pa.Table) -> None:
+        cell, node, i, j = (whole[c].to_numpy().astype(np.int64) for c in ("cell", "node", "i", "j"))
+        fp = whole["fp"].to_numpy().view(np.uint64)
+        self.order = order = np.lexsort((fp, j, i, cell))
+        self.cell, self.node, self.i, self.j, self.fp = cell[order], node[order], i[order], j[order], fp[order]
+        self.sketch = np.frombuffer(b"".join(whole["sketch"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)[order]
+        change = (self.cell[1:] != self.cell[:-1]) | (self.i[1:] != self.i[:-1]) | (self.j[1:] != self.j[:-1])
+        self.cuts = np.flatnonzero(np.r_[True, change, True])
+
+    def agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Share of equal min-hashes of the pairs of rows."""
         out = np.empty(len(a))
         for at in range(0, len(a), 1 << 16):
             part = slice(at, at + (1 << 16))
-            out[part] = (sketch[a[part]] == sketch[b[part]]).mean(axis=1)
+            out[part] = (self.sketch[a[part]] == self.sketch[b[part]]).mean(axis=1)
         return out
 
-    return order, cell, node, i, j, fp, cuts, agree
+    def joined(self, root: np.ndarray) -> np.ndarray:
+        """Components known before, each for its cell."""
+        own = np.repeat(np.arange(len(self.cuts) - 1), np.diff(self.cuts))
+        return np.unique(np.stack([own, root[self.order]]), axis=1, return_inverse=True)[1].reshape(-1)
+
+    def forest(self, steps: list, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        edges = np.array(trie_forest(self.fp, 0, BUDGET, self.cuts, steps, joined), np.int64).reshape(-1, 2)
+        return edges.min(axis=1), edges.max(axis=1)
+
+    def ends(self, a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
+        x, y = self.node[a], self.node[b]
+        return [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))]
 
+    def named(self, rows: np.ndarray) -> list[pa.Array]:
+        """``cell, i, j`` of the cells that hold the given rows."""
+        at = self.cuts[np.unique(np.searchsorted(self.cuts, rows, side="right") - 1)]
+        return [pa.array(self.cell[at]), pa.array(self.i[at]), pa.array(self.j[at])]
 
-def cell_links(nodes: DataFrame, cells: DataFrame) -> DataFrame:
-    """Edges ``a, b, sure`` of forests over ``node, fp, bands, sketch`` (one row per node); besides, with null ``a`` and ``b``,
-    the ``cell, i, j`` that hold unsure links beyond these forests."""
-    spark = nodes.sparkSession
-    size_arrow_batches(spark)
+
+def _partitions(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    got = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(got).combine_chunks() if got else None
+
+
+def candidate_links(cells: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidate edges ``a, b`` of forests of each cell; besides, with null ``a`` and ``b``, the ``cell, i, j``
+    that hold candidates beyond these forests."""
     full = cells.join(nodes.select("node", "fp", "sketch"), "node")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    names = ["a", "b", "cell", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
+        whole = _whole(batches)
+        if whole is None:
             return
-        whole = pa.Table.from_batches(got).combine_chunks()
-        _, cell, node, i, j, fp, cuts, agree = _sorted_cells(whole)
-        n, used, sure = len(node), np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def fresh(floor: float, used: np.ndarray) -> Accept:
-            """Agreement of at least ``floor``; an unsure pair only if no forest used it before."""
-            return lambda a, b: (agree(a, b) >= floor) & ((floor >= SURE) | ~np.isin(np.minimum(a, b) * n + np.maximum(a, b), used))
-
-        beyond = np.empty(0, np.int64)
+        own = _Cells(whole)
+        n, used = len(own.node), np.empty(0, np.int64)
         for forest in range(FORESTS + 1):
-            edges = np.array(trie_forest(fp, 0, BUDGET, cuts, [(BUDGET, fresh(floor, used)) for floor in (SURE, *UNSURE)]), np.int64).reshape(-1, 2)
-            a, b = edges.T
-            plain = agree(a, b) >= SURE
-            pair = np.minimum(a, b) * n + np.maximum(a, b)
+            steps = [(BUDGET, lambda a, b, floor=floor: (own.agree(a, b) >= floor) & ~np.isin(np.minimum(a, b) * n + np.maximum(a, b), used)) for floor in FLOORS]
+            a, b = own.forest(steps)
+            if not len(a):
+                return
             if forest == FORESTS:  # not tested: it says where untested links are left
-                beyond = np.unique(np.searchsorted(cuts, a[~plain], side="right") - 1)
-                break
-            sure = np.union1d(sure, pair[plain])
-            if plain.all():
-                break
-            used = np.union1d(used, pair[~plain])
-        names = ["a", "b", "sure", "cell", "i", "j"]
-        for pair, is_sure in ((sure, True), (used, False)):
-            if len(pair):
-                a, b = node[pair // n], node[pair % n]
-                empty = [pa.nulls(len(a), pa.int64())] * 3
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), is_sure)), *empty], names)
-        if len(beyond):
-            at = cuts[beyond]
-            empty = [pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.bool_())]
-            yield pa.record_batch([*empty, pa.array(cell[at]), pa.array(i[at]), pa.array(j[at])], names)
-
-    return full.repartition(parts, "cell", "i", "j").mapInArrow(run, "a long, b long, sure boolean, cell long, i long, j long").distinct()
+                at = own.named(a)
+                yield pa.record_batch([pa.nulls(len(at[0]), pa.int64()), pa.nulls(len(at[0]), pa.int64()), *at], names)
+            else:
+                used = np.union1d(used, a * n + b)
+                yield pa.record_batch([*own.ends(a, b), *[pa.nulls(len(a), pa.int64())] * 3], names)
 
+    return full.repartition(_partitions(full), "cell", "i", "j").mapInArrow(run, "a long, b long, cell long, i long, j long").distinct()
 
-def open_cell_links(rows: DataFrame, least: float) -> DataFrame:
-    """Edges ``a, b`` that join all links of each cell of ``node, cell, i, j, root, fp, sketch, text``, every pair between
-    two roots tested exactly."""
-    spark = rows.sparkSession
-    size_arrow_batches(spark)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+def still_open(rows: DataFrame) -> DataFrame:
+    """``cell, i, j`` of those cells of ``node, cell, i, j, root, fp, sketch`` that hold a candidate between two roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, sets = [], {}
-        for batch in batches:
-            # a node stands in several cells: its shingles are held once and the texts not at all
-            for at, own in enumerate(batch.column("node").to_pylist()):
-                if own not in sets:
-                    sets[own] = shingle_set(batch.column("text")[at].as_py())
-            if batch.num_rows:
-                got.append(batch.select(["node", "cell", "i", "j", "root", "fp", "sketch"]))
-        if not got:
+        whole = _whole(batches)
+        if whole is None:
             return
-        whole = pa.Table.from_batches(got).combine_chunks()
-        order, _, node, _, _, fp, cuts, agree = _sorted_cells(whole)
-        root = whole["root"].to_numpy()[order]
-        own = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-        _, joined = np.unique(np.stack([own, root]), axis=1, return_inverse=True)
+        own = _Cells(whole)
+        a, _ = own.forest([(BUDGET, lambda a, b: own.agree(a, b) >= FLOORS[-1])], own.joined(whole["root"].to_numpy()))
+        yield pa.record_batch(own.named(a), ["cell", "i", "j"])
 
-        def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            near = agree(a, b) >= UNSURE[-1]
-            near[near] = [similarity(sets[x], sets[y]) >= least for x, y in zip(node[a[near]].tolist(), node[b[near]].tolist())]
-            return near
+    return rows.repartition(_partitions(rows), "cell", "i", "j").mapInArrow(run, "cell long, i long, j long")
+
+
+def open_cell_links(rows: DataFrame, least: float) -> DataFrame:
+    """Edges ``a, b`` that join all links of each cell of ``node, cell, i, j, root, fp, sketch, text``, every candidate between
+    two roots tested exactly. One cell is held at a time."""
 
-        edges = np.array(trie_forest(fp, 0, BUDGET, cuts, [(BUDGET, exact)], joined.reshape(-1)), np.int64).reshape(-1, 2)
-        if len(edges):
-            a, b = node[edges[:, 0]], node[edges[:, 1]]
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        own = _Cells(whole)
+        ordered = [shingle_hashes(t, WIDTH) for t in whole["text"].to_pylist()]
+        ordered = [ordered[k] for k in own.order.tolist()]
+        distinct = [np.unique(x) for x in ordered]
 
-    return rows.repartition(parts, "cell", "i", "j").mapInArrow(run, "a long, b long").distinct()
+        def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            near = own.agree(a, b) >= FLOORS[-1]
+            near[near] = [similarity(ordered[x], ordered[y], distinct[x], distinct[y]) >= least for x, y in zip(a[near].tolist(), b[near].tolist())]
+            return near
 
+        return pa.record_batch(own.ends(*own.forest([(BUDGET, exact)], own.joined(whole["root"].to_numpy()))), ["a", "b"])
 
-def _exactly(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs ``a, b`` whose shingle sets are at least ``least`` similar. ``texts``: ``node, text``."""
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in small_batches(batches):
+            keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "i", "j")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                key = tuple(keys[a].tolist())
+                if key != now and held:
+                    yield links(held)
+                    held = []
+                now = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield links(held)
+
+    dealt = rows.repartition(_partitions(rows), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _with_text(pairs: DataFrame, texts: DataFrame, end: str, other: str) -> DataFrame:
+    """``pairs`` and the text of one end; the text of a node with many pairs goes to several tasks."""
+    hubs = checkpointed(pairs.groupBy(F.col(end).alias("node")).count().where(F.col("count") > HUB).select("node", F.ceil(F.col("count") / HUB).cast("int").alias("parts")))
+    named = f"text_{end}"
+    if hubs.isEmpty():
+        return pairs.join(texts.toDF(end, named), end)
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(hubs.withColumnRenamed("node", end), end, "left").withColumn("part", F.pmod(F.xxhash64(other), parts)).drop("parts")
+    spread = texts.join(hubs, "node", "left").select(F.col("node").alias(end), F.col("text").alias(named), F.explode(F.sequence(F.lit(0), parts - 1)).cast("long").alias("part"))
+    return dealt.join(spread, [end, "part"]).drop("part")
+
+
+def exact_links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs ``a, b`` whose texts are at least ``least`` similar. ``texts``: ``node, text``."""
+    both = _with_text(_with_text(pairs, texts, "a", "b"), texts, "b", "a").select("a", "b", "text_a", "text_b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        near = [similarity(shingle_set(x), shingle_set(y)) >= least for x, y in zip(left, right)]
-        return pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
+        near = [similarity(shingle_hashes(x, WIDTH), shingle_hashes(y, WIDTH)) >= least for x, y in zip(left, right)]
+        return pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return map_arrow(both, run, "a long, b long")
 
 
-def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, shard: int = SHARD) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, text_key, root``; rows with one ``root`` are one group."""
-    rows = materialize(described(docs, id_col, text_col))
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, shard: int = SHARD, among: DataFrame | None = None) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, text_key, root``; rows with one ``root`` are one group.
+
+    ``among`` (``doc_id, text_key``, one row each) restricts this to some of the rows.
+    """
+    rows = described(docs, id_col, text_col)
+    if among is not None:
+        rows = _keyed(rows).join(_keyed(among).select("k1", "k2"), ["k1", "k2"], "left_semi").drop("k1", "k2")
+    rows = materialize(rows)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")
     nodes = materialize(rows.groupBy("node").agg(first, F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")))
-    cells = dealt_cells(nodes, shard)
-    walked = materialize(cell_links(nodes, cells))
-    links = walked.where("a is not null").select("a", "b", "sure")
-    spokes = nodes.select("node", F.col("first.doc_id").alias("_first_id"), F.col("first.text_key").alias("_first_key"))
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _text_key(text_col))
-    wanted = links.where("not sure").select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    met = F.col("doc_id").eqNullSafe(F.col("_first_id")) & (F.col("text_key") == F.col("_first_key"))
+    cells = materialize(dealt_cells(nodes, shard))
+    walked = materialize(candidate_links(cells, nodes))
+    pairs = walked.where("a is not null").select("a", "b")
+    spokes = _keyed(nodes.select("node", "first.doc_id", "first.text_key")).select("node", "k1", "k2")
+    keyed = docs.select(F.col(text_col).alias("text"), *row_keys(F.col(id_col), text_key(F.col(text_col))))
 
     def texts_of(some: DataFrame) -> DataFrame:
-        return materialize(keyed.join(spokes.join(some, "node", "left_semi"), met).groupBy("node").agg(F.min("text").alias("text")))
+        return materialize(keyed.join(spokes.join(some, "node", "left_semi"), ["k1", "k2"]).groupBy("node").agg(F.min("text").alias("text")))
 
-    edges = materialize(links.where("sure").select("a", "b").union(_exactly(links.where("not sure").select("a", "b"), texts_of(wanted), least)))
+    edges = materialize(exact_links(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), least))
     roots = connected_components(edges)
     beyond = walked.where("a is null").select("cell", "i", "j")
     if not beyond.isEmpty():
         placed = materialize(cells.join(beyond, ["cell", "i", "j"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
         apart = placed.groupBy("cell", "i", "j").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell", "i", "j")
-        left = materialize(placed.join(apart, ["cell", "i", "j"], "left_semi"))
+        marked = placed.join(nodes.select("node", "fp", "sketch"), "node").select("node", "cell", "i", "j", "root", "fp", "sketch")
+        left = materialize(still_open(marked.join(apart, ["cell", "i", "j"], "left_semi")))
         if not left.isEmpty():
-            rows_left = left.join(nodes.select("node", "fp", "sketch"), "node").join(texts_of(left.select("node").distinct()), "node")
-            more = materialize(open_cell_links(rows_left.select("node", "cell", "i", "j", "root", "fp", "sketch", "text"), least))
-            roots = connected_components(edges.union(more))
+            again = materialize(marked.join(left, ["cell", "i", "j"]))
+            rows_left = again.join(texts_of(again.select("node").distinct()), "node").select("node", "cell", "i", "j", "root", "fp", "sketch", "text")
+            roots = connected_components(edges.union(materialize(open_cell_links(rows_left, least))))
     return rows.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 
-def keep_one_near_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each group of near copies: the one of smallest id."""
-    groups = near_copy_groups(docs, id_col, text_col, least)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")
-    keep = groups.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_keep_id"), F.col("first.text_key").alias("_keep_key"))
-    keyed = docs.withColumn("_row_key", _text_key(text_col))
-    met = F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_row_key") == F.col("_keep_key"))
-    return keyed.join(keep, met, "left_semi").dropDuplicates([id_col, "_row_key"]).drop("_row_key")
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.select("*", *row_keys(F.col("doc_id"), F.col("text_key")))
+
+
+def keep_one_near_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, among: DataFrame | None = None) -> DataFrame:
+    """``docs`` (or those rows of it that ``among`` names) with one row of each group of near copies: the one of smallest id."""
+    return keep_rows(docs, first_of_group(near_copy_groups(docs, id_col, text_col, least, among=among)), id_col, text_col)

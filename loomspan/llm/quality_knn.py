@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import map_arrow, size_arrow_batches
+from loomspan.llm.common import map_arrow, small_batches
 
 NEIGHBOURS = 4_000
 DIMENSIONS = 48
@@ -123,7 +123,6 @@ def held_out(doc_id: Column) -> Column:
 
 def fit_votes(docs: DataFrame, labels: DataFrame, rows: int = NEIGHBOURS, dimensions: int = DIMENSIONS) -> VoteModel:
     """Learn from ``labels`` (``doc_id, quality``) whose id is not held out."""
-    size_arrow_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("_quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("_label_id"), "_quality")
     taught = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_label_id"))

@@ -1,20 +1,26 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences without losing a character. From every sentence the shortest run of
-consecutive sentences with at least ``min_words`` words and ``min_sentences`` sentences is hashed
-(128 bits), and so is, from the end of every sentence backwards, the shortest such run: the last
-sentences of a passage are then covered too, wherever it ends. A sentence of ``alone_words`` words or more is also a run of its own, so that
-one long repeated sentence is found. Runs meet by hash over the whole table; the first occurrence in the order
-(id with nulls last, text key, place) stays, and every sentence that another occurrence covers goes.
-That order is global, so some copy of each removed sentence always remains.
-
-Runs are compared lower-cased (A-Z) and with blanks collapsed. Counting by hash combines on the map
-side; the repeated hashes, one row each, are written to the shared folder, and the join against them is a
-plain equi-join whose left side Spark may split when a passage is very common.
-
-Defined cases: null or empty text has no sentences and stays as it is; rows that share id and text are
-one document, whose rows get equal results; an empty table gives an empty result; all other columns
-pass through unchanged.
+A text is cut into sentences without losing a character. Every window of ``window`` (three) consecutive
+sentences is hashed (128 bits), whatever its length: any longer repeated run is a union of such windows, so one
+row per sentence finds runs of every length. A passage of fewer than ``window`` sentences has no window inside
+it; therefore shorter runs are hashed beside the windows where they are long: two consecutive sentences of together
+``pair_words`` words or more, and one sentence of ``alone_words`` or more. A piece without any word (blank lines, stray marks) is no
+sentence of its own; it goes with the covered sentences around it.
+
+Runs meet by hash over the whole table; the first occurrence in the order (id with nulls last, text key,
+place) stays, and every sentence that another occurrence covers goes. That order is global, so some copy of
+each removed sentence always remains. Runs are compared lower-cased (A-Z) and with blanks collapsed. A character
+of a script without blanks counts as a word.
+
+The run table is written once to the shared folder. Counting by hash combines on the map side; the
+repeated hashes, one row each, are written too, and the join against them is a plain equi-join whose left
+side Spark may split when a passage is very common.
+
+Defined cases: null or empty text has no sentences and stays as it is; a text of fewer than ``window`` sentences has only the
+long shorter runs; very long texts are hashed whole, one row a sentence; rows that share id and text are one
+document, whose rows get equal results; equal runs of one text count like those of two, the earlier stays; null
+ids come last; an empty table gives an empty result; all other columns pass through unchanged, and where the input has a column of
+a name that is added here, the added one gets leading underscores.
 """
 
 from __future__ import annotations
@@ -27,14 +33,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import map_arrow, size_arrow_batches
+from loomspan.llm.common import free_names, map_arrow, text_key
 from loomspan.storage import materialize
 
-MIN_WORDS = 20
-MIN_SENTENCES = 2
+WINDOW = 3
+PAIR_WORDS = 20
 ALONE_WORDS = 50
 
 _SENTENCE = re.compile(r"[^.!?\n。！？]*[.!?\n。！？]+\s*|[^.!?\n。！？]+")
+_WORD_LIKE = re.compile(r"\w")
+#: Kana, Han and Thai, Lao, Khmer, Burmese: written without blanks.
+_UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿\U00020000-\U0003ffff]")
 
 
 def sentences(text: str | None) -> list[str]:
@@ -42,34 +51,37 @@ def sentences(text: str | None) -> list[str]:
     return _SENTENCE.findall(text) if text else []
 
 
-def spans(pieces: list[str], min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES, alone_words: int = ALONE_WORDS) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Starts, stops and digests of the hashed runs of ``pieces``."""
-    n = len(pieces)
-    words = [p.encode().lower().split() for p in pieces]
-    plain = [b" ".join(w) for w in words]
-    counts = np.fromiter(map(len, words), np.int64, n)
-    upto = np.concatenate([[0], np.cumsum(counts)])
+def _words(piece: str, plain: bytes) -> int:
+    blanks = plain.count(b" ") + 1
+    return blanks if piece.isascii() else blanks + len(_UNSPACED.findall(piece))
+
+
+def spans(pieces: list[str], window: int = WINDOW, pair_words: int = PAIR_WORDS, alone_words: int = ALONE_WORDS) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Starts and stops (in ``pieces``) and digests of the hashed runs."""
+    at = [i for i, p in enumerate(pieces) if _WORD_LIKE.search(p)]
+    n = len(at)
+    plain = [b" ".join(pieces[i].encode().lower().split()) for i in at]
+    place = np.array(at, np.int64)
+    counts = np.fromiter((_words(pieces[i], p) for i, p in zip(at, plain)), np.int64, n)
     first = np.arange(n)
-    stop = np.maximum(np.searchsorted(upto, upto[:-1] + min_words), first + min_sentences)
-    ok = (stop <= n) & (counts > 0)
-    start, stop = first[ok], stop[ok]
-    ends = first + 1
-    back = np.minimum(np.searchsorted(upto, upto[ends] - min_words, side="right") - 1, ends - min_sentences)
-    fresh = (back >= 0) & (counts[ends - 1] > 0)
-    fresh[fresh] = ~np.isin(back[fresh] * (n + 1) + ends[fresh], start * (n + 1) + stop)
-    alone = np.flatnonzero(counts >= alone_words)
-    start, stop = np.concatenate([start, back[fresh], alone]), np.concatenate([stop, ends[fresh], alone + 1])
+    runs = [(first[: max(n - window + 1, 0)], window)]
+    if window > 2 and n > 1:
+        runs.append((np.flatnonzero(counts[:-1] + counts[1:] >= pair_words), 2))
+    runs.append((np.flatnonzero(counts >= alone_words), 1))
     digest = xxhash.xxh3_128_digest
-    return start, stop, [digest(b" ".join(plain[a:b])) for a, b in zip(start.tolist(), stop.tolist())]
+    starts = np.concatenate([a for a, _ in runs])
+    lengths = np.concatenate([np.full(len(a), k) for a, k in runs])
+    found = [digest(b" ".join(plain[a : a + k])) for own, k in runs for a in own.tolist()]
+    return place[starts], place[starts + lengths - 1] + 1, found
 
 
-def span_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES, alone_words: int = ALONE_WORDS) -> DataFrame:
+def span_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **runs: int) -> DataFrame:
     """``h1, h2, doc_id, text_key, start, stop``: one row per hashed run."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, starts, stops, digests = [], [], [], []
         for i, text in enumerate(batch.column(1).to_pylist()):
-            a, b, d = spans(sentences(text), min_words, min_sentences, alone_words)
+            a, b, d = spans(sentences(text), **runs)
             rows.append(np.full(len(d), i))
             starts.append(a)
             stops.append(b)
@@ -81,17 +93,16 @@ def span_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ["h1", "h2", "doc_id", "text_key", "start", "stop"],
         )
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _text_key(text_col))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key"))
     return map_arrow(narrow, run, "h1 long, h2 long, doc_id long, text_key long, start int, stop int")
 
 
-def _text_key(text_col: str):
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key")
-
-
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **runs: int) -> DataFrame:
-    """``doc_id, text_key, start, stop`` of every occurrence of a repeated run that is not its first."""
-    found = span_table(docs, id_col, text_col, **runs)
+    """``doc_id, text_key, start, stop`` of every occurrence of a repeated run that is not its first.
+
+    ``runs``: ``window``, ``pair_words``, ``alone_words``.
+    """
+    found = materialize(span_table(docs, id_col, text_col, **runs))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "start")
     # written once, so that the join below has a plain exchange on either side and a hot run can be split
     first = materialize(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"))
@@ -101,11 +112,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **runs: int) -> DataFrame:
     """``docs`` with the covered sentences cut from the text column, and three new columns:
     ``n_sentences``, ``n_removed`` (sentences) and ``words_removed``."""
-    size_arrow_batches(docs.sparkSession)
-    cuts = repeated_spans(docs, id_col, text_col, **runs).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("_cuts"))
-    cuts = cuts.select(F.col("doc_id").alias("_cut_id"), F.col("text_key").alias("_cut_key"), "_cuts")
-    met = F.col(id_col).cast("long").eqNullSafe(F.col("_cut_id")) & (_text_key(text_col) == F.col("_cut_key"))
-    joined = docs.join(cuts, met, "left").drop("_cut_id", "_cut_key")
+    cuts = repeated_spans(docs, id_col, text_col, **runs).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("cuts"))
+    cut_id, cut_key, own_cuts, done_col = free_names(docs, "cut_id", "cut_key", "cuts", "done")
+    added = free_names(docs, "n_sentences", "n_removed", "words_removed")
+    cuts = cuts.select(F.col("doc_id").alias(cut_id), F.col("text_key").alias(cut_key), F.col("cuts").alias(own_cuts))
+    met = F.col(id_col).cast("long").eqNullSafe(F.col(cut_id)) & (text_key(F.col(text_col)) == F.col(cut_key))
+    joined = docs.join(cuts, met, "left").drop(cut_id, cut_key)
 
     @F.pandas_udf("text string, n_sentences int, n_removed int, words_removed long")
     def cut(texts, intervals):
@@ -125,8 +137,9 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
             out.append((text, len(pieces), int(gone.sum()), words))
         return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed", "words_removed"])
 
-    done = joined.withColumn("_done", cut(F.col(text_col), F.col("_cuts"))).drop("_cuts")
-    return done.withColumn(text_col, F.col("_done.text")).withColumns({c: F.col(f"_done.{c}") for c in ("n_sentences", "n_removed", "words_removed")}).drop("_done")
+    done = joined.withColumn(done_col, cut(F.col(text_col), F.col(own_cuts)))
+    passed = [F.col(f"{done_col}.text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    return done.select(*passed, *[F.col(f"{done_col}.{c}").alias(name) for c, name in zip(("n_sentences", "n_removed", "words_removed"), added)])
 
 
 def op10_sentence_spans(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.bpe_codec import BpeCodec, load_codec
-from loomspan.llm.common import size_arrow_batches
+from loomspan.llm.common import small_batches
 from loomspan.storage import materialize
 
 BLOCK_IDS = 1 << 17
@@ -37,7 +37,6 @@ def write_token_files(docs: DataFrame, codec: BpeCodec | None = None, end: int =
     and blocks stay together whatever is recomputed.
     """
     spark = docs.sparkSession
-    size_arrow_batches(spark)
     shared = spark.sparkContext.broadcast(codec or load_codec())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

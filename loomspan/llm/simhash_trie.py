@@ -1,8 +1,9 @@
 """SimHash near-duplicate groups by a binary-trie self-join.
 
 Fingerprints are 64-bit majorities over XXH64 (seed 42) of word shingles. Distinct fingerprints are
-dealt by four 16-bit blocks: two fingerprints that differ in at most three bits agree on one block at
-least, so each link lies below one trie node of depth 16 of some rotation. Below such nodes the join
+dealt by blocks of bits: of ``blocks`` blocks, fingerprints that differ in at most three bits agree on all but three
+at least. With the bits of such blocks in front each link lies below one trie node (four blocks: depth 16, 4 ways; six blocks,
+for more than ``MANY`` rows: depth 31 to 33, 20 ways). Below such nodes the join
 walks *pairs of trie nodes* together, adds the bits in which their prefixes differ and prunes a pair
 as soon as the error budget is exceeded. A trie node is a range of a sorted array, so one level of all
 pairs advances in a few numpy calls.
@@ -12,15 +13,15 @@ already one component, hence a dense group of near copies costs about its size,
 Blocks with very many fingerprints are cut into shards; each pair of shards is one cell, so no task
 holds more than two shards. The forests of all cells meet in a star-contraction of the edge list.
 
-Defined cases: null or blank text has fingerprint 0 and links like any other; rows repeated under one
-id stay rows; a null id never wins as component id unless the whole component is null; an empty table
-gives an empty result.
+Defined cases: null or blank text has fingerprint 0 and links like any other; very long texts are hashed whole, in parts of
+bounded memory; rows repeated under one id stay rows; a null id never wins as component id unless the whole component is null;
+of equal ids the smaller text key comes first; an empty table gives an empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from itertools import accumulate, repeat
+from itertools import accumulate, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import map_arrow, size_arrow_batches
+from loomspan.llm.common import first_of_group, keep_rows, map_arrow, text_key
 from loomspan.storage import checkpointed, materialize
 
 SEED = 42
+#: Differing bits that the blocks leave room for.
+MOST = 3
 BLOCKS = 4
-BLOCK_BITS = 16
+#: Rows from which on six blocks deal smaller cells; links are the same either way.
+MANY = 1 << 30
 #: Fingerprints that share one block value beyond which the block is cut into shards of about this size.
 SHARD = 40_000
 #: Node pairs that advance at once; bounds a task's memory.
@@ -74,11 +78,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         fps = np.fromiter((fingerprint(t, width) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
         return pa.record_batch([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["doc_id", "fp", "text_key"])
 
-    narrow = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).alias("text"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"),
-    )
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key"))
     return map_arrow(narrow, run, "doc_id long, fp long, text_key long")
 
 
@@ -212,34 +212,44 @@ def _children(keys: np.ndarray, pairs: np.ndarray, d: int, limit: int, whole: bo
     return grown[(grown[:, 0] < grown[:, 1]) & (grown[:, 2] < grown[:, 3]) & (grown[:, 4] <= limit)]
 
 
-def _rotate(fp: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Bring 16-bit block ``block`` (0: the highest) to the front."""
-    left = (block * BLOCK_BITS).astype(np.uint64)
-    right = ((64 - block * BLOCK_BITS) % 64).astype(np.uint64)
-    return np.where(left == 0, fp, (fp << left) | (fp >> right))
+def _fields(blocks: int) -> list[tuple[int, int]]:
+    """``(shift, bits)`` of each block, from the highest bits down."""
+    sizes = [64 // blocks + (k < 64 % blocks) for k in range(blocks)]
+    return [(64 - end, bits) for end, bits in zip(accumulate(sizes), sizes)]
 
 
-def trie_links(distinct: DataFrame, budget: int = 3, shard: int = SHARD) -> DataFrame:
-    """Edges ``a, b`` between distinct fingerprints ``fp`` that connect all links of at most ``budget`` bits.
+def _in_front(fp: np.ndarray, chosen: tuple[int, ...], fields: list[tuple[int, int]]) -> np.ndarray:
+    """The same bits with the chosen blocks before the others."""
+    out = np.zeros_like(fp)
+    for k in (*chosen, *(k for k in range(len(fields)) if k not in chosen)):
+        shift, bits = fields[k]
+        out = (out << np.uint64(bits)) | ((fp >> np.uint64(shift)) & np.uint64((1 << bits) - 1))
+    return out
 
-    ``budget`` may be 0 to 3: four blocks find each such pair.
-    """
-    if not 0 <= budget < BLOCKS:
+
+def trie_links(distinct: DataFrame, budget: int = MOST, shard: int = SHARD, blocks: int = BLOCKS) -> DataFrame:
+    """Edges ``a, b`` between distinct fingerprints ``fp`` that connect all links of at most ``budget`` bits (0 to 3)."""
+    if not 0 <= budget <= MOST < blocks:
         raise ValueError("budget must lie between 0 and 3")
     spark = distinct.sparkSession
-    size_arrow_batches(spark)
-    blocks = F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned("fp", 64 - BLOCK_BITS * (b + 1)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).alias("value")) for b in range(BLOCKS)])
-    dealt = distinct.select("fp", F.explode(blocks).alias("k")).select("fp", "k.block", "k.value")
-    hot = checkpointed(dealt.groupBy("block", "value").count().where(F.col("count") > shard).select("block", "value", F.ceil(F.col("count") / shard).cast("int").alias("shards")))
+    fields = _fields(blocks)
+    ways = list(combinations(range(blocks), blocks - MOST))
+
+    def value(chosen: tuple[int, ...]):
+        mask = sum(((1 << bits) - 1) << shift for shift, bits in (fields[k] for k in chosen))
+        return F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+
+    dealt = distinct.select("fp", F.posexplode(F.array(*[value(w) for w in ways])).alias("way", "value"))
+    hot = checkpointed(dealt.groupBy("way", "value").count().where(F.col("count") > shard).select("way", "value", F.ceil(F.col("count") / shard).cast("int").alias("shards")))
     if hot.isEmpty():
-        cells = dealt.select("fp", "block", "value", F.lit(0).alias("i"), F.lit(0).alias("j"))
+        cells = dealt.select("fp", "way", "value", F.lit(0).alias("i"), F.lit(0).alias("j"))
     else:
         # every pair of shards is a cell; a block of n shards sends each fingerprint to n - 1 cells
         own = F.pmod(F.xxhash64("fp"), F.col("shards")).cast("int")
-        joined = dealt.join(hot, ["block", "value"], "left").withColumn("own", F.when(F.col("shards") > 1, own))
+        joined = dealt.join(hot, ["way", "value"], "left").withColumn("own", F.when(F.col("shards") > 1, own))
         others = F.when(F.col("own").isNull(), F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: s != F.col("own")))
         opened = joined.withColumn("other", F.explode(others))
-        cells = opened.select("fp", "block", "value", F.coalesce(F.least("own", "other"), F.lit(0)).alias("i"), F.when(F.col("own").isNull(), 0).otherwise(F.greatest("own", "other")).alias("j"))
+        cells = opened.select("fp", "way", "value", F.coalesce(F.least("own", "other"), F.lit(0)).alias("i"), F.when(F.col("own").isNull(), 0).otherwise(F.greatest("own", "other")).alias("j"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,28 +258,31 @@ def trie_links(distinct: DataFrame, budget: int = 3, shard: int = SHARD) -> Data
             return
         whole = pa.Table.from_batches(got)
         fp = whole["fp"].to_numpy().view(np.uint64)
-        block, value, i, j = (whole[c].to_numpy().astype(np.int64) for c in ("block", "value", "i", "j"))
-        # plain blocks of one rotation are walked at once, each shard pair for itself
-        group = np.where(j > 0, ((value + 1) << 40) + (i << 20) + j, 0) * BLOCKS + block
-        order = np.argsort(group, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            keys = np.sort(_rotate(fp[at], block[at]))
-            b = int(block[at[0]])
-            back = np.full(len(keys), (BLOCKS - b) % BLOCKS)
-            edges = trie_forest(keys, BLOCK_BITS, budget)
+        value = whole["value"].to_numpy().view(np.uint64)
+        way, i, j = (whole[c].to_numpy().astype(np.int64) for c in ("way", "i", "j"))
+        # plain cells of one way are walked at once, each shard pair for itself
+        hot = np.where(j > 0, value, np.uint64(0))
+        order = np.lexsort((hot, j, i, way))
+        change = [x[order][1:] != x[order][:-1] for x in (way, i, j, hot)]
+        for at in np.split(order, np.flatnonzero(np.logical_or.reduce(change)) + 1):
+            chosen = ways[way[at[0]]]
+            keys = _in_front(fp[at], chosen, fields)
+            own = np.argsort(keys)
+            edges = trie_forest(keys[own], sum(fields[k][1] for k in chosen), budget)
             if edges:
                 pairs = np.array(edges)
-                plain = _rotate(keys, back).view(np.int64)
+                plain = fp[at][own].view(np.int64)
                 yield pa.record_batch([pa.array(plain[pairs[:, 0]]), pa.array(plain[pairs[:, 1]])], ["a", "b"])
 
-    return cells.repartition(parts, "block", "value", "i", "j").mapInArrow(run, "a long, b long")
+    return cells.repartition(parts, "way", "value", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of an edge list ``a, b``; the root is the smallest node of its component.
 
     Alternates large-star and small-star contraction until the edge list rests; every round is
-    checkpointed in the shared folder.
+    checkpointed in the shared folder. The minima of a round are checkpointed too: the join then has plain exchanges on
+    either side, and Spark may split the edges of a hub.
     """
 
     def rest(df: DataFrame) -> tuple:
@@ -277,10 +290,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     stars = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = rest(stars)
-    while True:
+    while seen[0]:
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # after the large star each node points at smaller ones only: few, as all of a hub's neighbours point at its minimum
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), "m"), F.struct("a", "m"))).alias("e")).select(F.col("e.a").alias("a"), F.col("e.m").alias("b"))
         stars = checkpointed(small.where("a <> b").distinct())
@@ -291,7 +305,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select("b", "b").distinct())
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = MOST, blocks: int | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, text_key, fp, root, component_id``.
 
     ``component_id`` is the smallest id reachable over links of at most ``budget`` bits, ``root`` the
@@ -299,14 +313,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = materialize(with_fingerprints(docs, id_col, text_col, width))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(trie_links(distinct.select("fp"), budget)) if budget else None
+    blocks = blocks or (BLOCKS if rows.count() < MANY else 6)
+    roots = connected_components(trie_links(distinct.select("fp"), budget, blocks=blocks)) if budget else None
     if roots is None:
         member = distinct.withColumn("root", F.col("fp"))
     else:
         member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     member = checkpointed(member)
-    ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(ids, "root").select("fp", "root", "component_id")
+    # both names are written before they are joined: a giant component and a fingerprint of many copies can then be split
+    ids = checkpointed(member.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = checkpointed(member.join(ids, "root").select("fp", "root", "component_id"))
     return rows.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
@@ -316,12 +332,6 @@ def op8_simhash(docs: DataFrame) -> DataFrame:
     return simhash_groups(docs).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = MOST) -> DataFrame:
     """``docs`` with one row of each group: the one of smallest id, ties to the smaller text key."""
-    groups = simhash_groups(docs, id_col, text_col, width, budget)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("first")
-    keep = groups.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_keep_id"), F.col("first.text_key").alias("_keep_key"))
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    met = F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_row_key") == F.col("_keep_key"))
-    # rows repeated whole under one id share both keys: one of them stays
-    return keyed.join(keep, met, "left_semi").dropDuplicates([id_col, "_row_key"]).drop("_row_key")
+    return keep_rows(docs, first_of_group(simhash_groups(docs, id_col, text_col, width, budget)), id_col, text_col)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import size_arrow_batches
+from loomspan.llm.common import small_batches
 
 TRAIN_ROWS = 40_000
 VOCABULARY = 8192
@@ -151,7 +151,6 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_featur
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -> OrdinalModel:
     """Learn the model from the labelled documents (``labels``: ``doc_id, toxic``)."""
-    size_arrow_batches(docs.sparkSession)
     labelled = _labelled(docs, labels, rows)
     total = labelled.groupBy("toxic").count().collect()
     size = {int(bool(r["toxic"])): r["count"] for r in total}
@@ -189,7 +188,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, voc
 
 def with_severity(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``severity`` (expected grade), ``p_toxic``, ``grade`` (likeliest) and ``rejected``."""
-    size_arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("severity double, p_toxic double, grade int")

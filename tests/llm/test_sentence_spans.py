@@ -13,29 +13,21 @@ def test_sentences_lose_nothing(text):
     assert "".join(sentences(text)) == text
 
 
-def by_hand(rows, min_words=30, min_sentences=2, alone=50):
+def by_hand(rows, window=3, pair=20, alone=50):
+    """Every window of three sentences, and of all runs of two and one the long ones; no floor on a window."""
     docs = {(i is None, i, t): sentences(t) for i, t in rows}
     seen = {}
     for key, pieces in docs.items():
-        plain = [b" ".join(p.encode().lower().split()) for p in pieces]
+        at = [k for k, p in enumerate(pieces) if any(c.isalnum() or c == "_" for c in p)]
+        plain = [b" ".join(pieces[k].encode().lower().split()) for k in at]
         n = [len(p.split()) for p in plain]
-        found = set()
-        for b in range(1, len(pieces) + 1):
-            if n[b - 1] and (b == len(pieces) or "\n" in pieces[b - 1]):
-                a = next((a for a in range(b - min_sentences, -1, -1) if sum(n[a:b]) >= min_words), None)
-                if a is not None:
-                    found.add((a, b))
-        for a in range(len(pieces)):
-            stops = []
-            if n[a]:
-                b = next((b for b in range(a + min_sentences, len(pieces) + 1) if sum(n[a:b]) >= min_words), None)
-                if b:
-                    stops.append(b)
-            if n[a] >= alone:
-                stops.append(a + 1)
-            found |= {(a, b) for b in stops}
-        for a, b in sorted(found):
-            seen.setdefault(b" ".join(plain[a:b]), []).append((key, a, b))
+        for k in range(len(at)):
+            if k + window <= len(at):
+                seen.setdefault(b" ".join(plain[k : k + window]), []).append((key, at[k], at[k + window - 1] + 1))
+            if k + 2 <= len(at) and n[k] + n[k + 1] >= pair:
+                seen.setdefault(b" ".join(plain[k : k + 2]), []).append((key, at[k], at[k + 1] + 1))
+            if n[k] >= alone:
+                seen.setdefault(plain[k], []).append((key, at[k], at[k] + 1))
     gone = {k: set() for k in docs}
     for places in seen.values():
         places.sort(key=lambda x: (x[0][0], x[0][1] or 0, x[1], x[2]))
@@ -89,10 +81,34 @@ def test_a_passage_in_running_text_goes_to_its_end(spark):
     for i in range(0, 20, 2):
         passage = "".join(line(rng.choice([3, 5, 8, 11])) for _ in range(rng.randint(7, 12)))
         rows += [(i, line(9) + passage + line(9)), (i + 1, line(7) + passage + line(7))]
-    short = line(12) + line(11)  # 23 words: a run of 20, none of 30
+    short = line(12) + line(11)  # two sentences of 23 words
     rows += [(20, line(9) + short + line(9)), (21, line(7) + short + line(7))]
     got = {r["doc_id"]: r["text"] for r in op10_sentence_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i in range(0, 21, 2):
         assert got[i] == rows[i][1]
         pieces = sentences(rows[i + 1][1])
         assert got[i + 1] == pieces[0] + pieces[-1]
+
+
+def test_runs_of_any_length_go(spark):
+    rows = [(1, "Of. It. Was. Alpha here."), (2, "Beta there. Of. It. Was."), (3, "Gamma. Of. It. Delta."), (4, "One two three. " * 3)]
+    got = {r["doc_id"]: r["text"] for r in op10_sentence_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "Beta there. ", 3: rows[2][1], 4: rows[3][1]}
+    three = "".join(" ".join(f"w{k}x{j}" for j in range(6)) + ". " for k in range(3))
+    rows = [(1, three + "Mine."), (2, "Own words stand here. " + three + "Yours.")]
+    got = {r["doc_id"]: r["text"] for r in op10_sentence_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "Own words stand here. Yours."}
+
+
+def test_scripts_without_blanks(spark):
+    long = "".join(chr(0x4E00 + k) for k in range(60)) + "。"
+    rows = [(1, long + "甲乙丙。"), (2, "丁戊。" + long)]
+    got = {r["doc_id"]: r["text"] for r in op10_sentence_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "丁戊。"}
+
+
+def test_clashing_columns_keep_their_values(spark):
+    docs = spark.createDataFrame([(1, "A. B. C.", "mine", 7, "k"), (2, "A. B. C.", "yours", 8, "l")], "doc_id long, text string, n_removed string, Cuts int, k1 string")
+    out = remove_repeated_spans(docs)
+    assert out.columns == [*docs.columns, "n_sentences", "_n_removed", "words_removed"]
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "A. B. C.", "mine", 7, "k", 3, 0, 0), (2, "", "yours", 8, "l", 3, 3, 3)]
