@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspan.llm.bpe_codec import encode_and_verify
-from loomspan.llm.common import table
+from loomspan.llm.common import first_of_group, table
 from loomspan.llm.near_copies import keep_one_near_copy
 from loomspan.llm.sentence_spans import remove_repeated_spans
-from loomspan.llm.simhash_trie import keep_one_per_group
+from loomspan.llm.simhash_trie import simhash_groups
 from loomspan.llm.source_mixing import mixed_documents
 from loomspan.llm.toxicity import fit_toxicity, with_severity
-from loomspan.storage import materialize
+from loomspan.storage import materialize, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays, the one of smallest id; of those left, one of each group of near copies
-    (five-word shingles, similarity 0.8 or more)."""
-    return keep_one_near_copy(materialize(keep_one_per_group(docs)))
+    (0.8 or more of their words in common five-word shingles). The texts move once, when both are decided.
+
+    Null and blank texts are copies of each other; null ids come last; of rows that share id and text one stays; very long
+    texts are compared whole; an empty table gives an empty one; other columns pass through, whatever their names.
+    """
+    return keep_one_near_copy(docs, among=materialize(first_of_group(simhash_groups(docs))))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +66,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):  # what a stage writes for itself goes with it
+            docs = materialize(stage(spark, docs, sf_dir), stays=True)
     return STAGES[-1][1](spark, docs, sf_dir)
