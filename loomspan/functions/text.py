@@ -40,6 +40,15 @@ def word_tokens(x: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(col(x), F.lit(""))), F.lit(f"([{WORD_CHARS}]+)"), 1)
 
 
+def phrase_tokens(x: Column | str, keep_blanks: bool = False) -> Column:
+    """All of a text, lower-cased: whole words, and every other character by itself. Runs of blanks are one
+    space (and none at the ends) unless ``keep_blanks``."""
+    plain = F.lower(F.coalesce(col(x), F.lit("")))
+    if not keep_blanks:
+        plain = F.regexp_replace(F.regexp_replace(plain, BLANKS, " "), "^ | $", "")
+    return F.regexp_extract_all(plain, F.lit(f"([{WORD_CHARS}]+|[^{WORD_CHARS}])"), 1)
+
+
 def escaped(x: Column | str) -> Column:
     """``x`` as a literal inside a regex."""
     return F.regexp_replace(col(x), r"([\\\\.\[\]{}()*+?^$|#&~-])", r"\\$1")
@@ -110,6 +119,20 @@ def output_driven_target(limit: int, ratio: float) -> int:
     return int((limit * 0.9 - 2048 - 4096) / max(ratio, 1.0))
 
 
+def grouped_number(x: Column | str, digits: int = 0) -> Column:
+    """Thousands apart; a dash for null."""
+    return F.coalesce(F.format_number(col(x), digits), F.lit("—"))
+
+
+def compact_number(x: Column | str) -> Column:
+    """From a thousand on in thousands with at most one digit after the point."""
+    return F.when(col(x) >= 1000, F.concat(F.regexp_replace(F.format_string("%.1f", col(x) / 1000), r"\.0$", ""), F.lit("K"))).otherwise(col(x).cast("string"))
+
+
+def minutes_text(seconds: Column | str) -> Column:
+    return F.format_number(col(seconds) / 60, 1)
+
+
 # ---- identity ---------------------------------------------------------------------------------------
 
 

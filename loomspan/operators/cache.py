@@ -67,13 +67,20 @@ def inheritance_source(previous_job: str | None, job: str, previous_config: str
 
 
 def recent_jobs(jobs: DataFrame, n: int = 30) -> DataFrame:
-    """The ``n`` newest jobs, settings as they are."""
-    return jobs.orderBy(F.desc("updated"), "id").limit(n)
+    """The ``n`` newest jobs; ``settings``, where there are any, decoded from JSON to a map (null if it is none)."""
+    newest = jobs.orderBy(F.desc("updated"), "id").limit(n)
+    return newest.withColumn("settings", F.from_json("settings", "map<string,string>")) if "settings" in jobs.columns else newest
 
 
 def failure_rows(failures: DataFrame) -> DataFrame:
     """Log rows cut to their bounds: 300 characters of error, five sample ids."""
-    return failures.withColumns({"error": F.left("error", F.lit(300)), "sample_ids": F.slice("sample_ids", 1, 5)})
+    return bounded(failures, error=300, sample_ids=5)
+
+
+def bounded(rows: DataFrame, **most: int) -> DataFrame:
+    """Columns cut to at most so many characters, or elements of an array."""
+    array = {f.name for f in rows.schema if f.dataType.typeName() == "array"}
+    return rows.withColumns({c: F.slice(c, 1, n) if c in array else F.left(F.col(c), F.lit(n)) for c, n in most.items()})
 
 
 def failure_stats(failures: DataFrame) -> DataFrame:

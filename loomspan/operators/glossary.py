@@ -48,10 +48,12 @@ def usable(terms: DataFrame, approved_only: bool = True) -> DataFrame:
 def as_of(chapters: DataFrame, terms: DataFrame) -> DataFrame:
     """Terms that each ``chapter`` may use: usable ones without a source chapter or from an earlier one.
 
-    The chapters' side is one row per chapter number; the pairs are the answer itself.
+    The distinct chapter numbers of a book are few; each term is opened into those it may serve.
     """
-    own = usable(terms).withColumnRenamed("chapter", "_c") if "chapter" in terms.columns else terms.where("approved and coalesce(term, '') <> '' and coalesce(translation, '') <> ''")
-    met = own.join(chapters.select("chapter").distinct(), F.col("source_chapter").isNull() | (F.col("source_chapter") < F.col("chapter")))
+    numbers = sorted(r["chapter"] for r in chapters.select("chapter").distinct().collect() if r["chapter"] is not None)
+    own = terms.where("approved and coalesce(term, '') <> '' and coalesce(translation, '') <> ''")
+    every = F.array(*[F.lit(n) for n in numbers]).cast(f"array<{chapters.schema['chapter'].dataType.simpleString()}>")
+    met = own.select("ord", "term", "translation", "source_chapter", F.explode(F.filter(every, lambda c: F.col("source_chapter").isNull() | (F.col("source_chapter") < c))).alias("chapter"))
     first = F.row_number().over(Window.partitionBy("chapter", "term").orderBy("ord"))
     return met.withColumn("_n", first).where("_n = 1").select("chapter", "ord", "term", "translation", "source_chapter")
 

@@ -68,21 +68,26 @@ def soft_limit(tokens: str, target: int, hard: int, workers: int):
 def tpm_waits(requests: DataFrame, target: int, hard: int, workers: int = 1) -> DataFrame:
     """Adds ``wait``: seconds until enough of the trailing minute has expired for the request to fit.
 
-    The window before a request is gathered as an array, which the rate limit itself keeps short; the
-    newest entry that has to expire decides.
+    Running sums of tokens say up to which sum the past has to expire; the first request that reaches it decides. That
+    search is one more window: sums and wanted sums are sorted together, downwards, and each wanted sum takes the last request seen.
+    Requests of the same microsecond count in the order of their ids.
     """
-    order = Window.partitionBy("scope").orderBy(F.unix_micros("sent")).rangeBetween(-(WINDOW_US - 1), -1)
-    past = F.collect_list(F.struct(F.unix_micros("sent").alias("at"), F.col("tokens").alias("n"))).over(order)
-    known = requests.withColumn("_past", F.array_sort(past)).withColumn("_soft", soft_limit("tokens", target, hard, workers))
-    sums = F.aggregate("_past", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    start = F.struct(sums.alias("total"), F.lit(None).cast("long").alias("until"))
-
-    def expire(state, x):
-        over = state["total"] + F.col("tokens") > F.col("_soft")
-        return F.struct(F.when(over, state["total"] - x["n"]).otherwise(state["total"]).alias("total"), F.when(over, x["at"] + WINDOW_US).otherwise(state["until"]).alias("until"))
-
-    until = F.aggregate("_past", start, expire)["until"]
-    return known.withColumn("wait", F.greatest(F.lit(0.0), F.coalesce((until - F.unix_micros("sent")) / 1e6, F.lit(0.0)))).drop("_past", "_soft")
+    us, tokens = F.unix_micros("sent"), F.coalesce(F.col("tokens"), F.lit(0))
+    order = Window.partitionBy("scope").orderBy(us, "request_id")
+    old = Window.partitionBy("scope").orderBy(us).rangeBetween(Window.unboundedPreceding, -WINDOW_US)
+    summed = requests.select(F.struct("*").alias("_row"), "scope", us.alias("_us"), F.sum(tokens).over(order).alias("_upto"), tokens.alias("_n"), F.coalesce(F.sum(tokens).over(old), F.lit(0)).alias("_gone"), soft_limit("tokens", target, hard, workers).alias("_soft"), F.lag(us).over(order).alias("_last"))
+    wanted = F.col("_upto") - F.col("_soft")
+    crowded = (wanted > F.col("_gone")) & (F.col("_last") > F.col("_us") - WINDOW_US)
+    alone = crowded & (F.col("_n") > F.col("_soft"))  # fits nowhere: the whole minute before it has to expire
+    asked = summed.where(crowded & ~alone)
+    points = summed.select("scope", F.col("_upto").alias("_sum"), F.lit(0).alias("_asks"), F.col("_us").alias("_at"), F.lit(None).cast("long").alias("_now"), F.lit(None).cast(summed.schema["_row"].dataType).alias("_row"))
+    questions = asked.select("scope", wanted.alias("_sum"), F.lit(1).alias("_asks"), F.lit(None).cast("long").alias("_at"), F.col("_us").alias("_now"), "_row")
+    down = Window.partitionBy("scope").orderBy(F.desc("_sum"), "_asks", F.desc("_at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = points.unionByName(questions).withColumn("_until", F.last("_at", ignorenulls=True).over(down)).where("_asks = 1")
+    waits = found.select("_row.*", F.greatest(F.lit(0.0), (F.col("_until") + WINDOW_US - F.col("_now")) / 1e6).alias("wait"))
+    whole = F.when(alone, F.greatest(F.lit(0.0), (F.col("_last") + WINDOW_US - F.col("_us")) / 1e6)).otherwise(F.lit(0.0))
+    others = summed.where(alone | ~F.coalesce(crowded, F.lit(False))).select("_row.*", F.coalesce(whole, F.lit(0.0)).alias("wait"))
+    return others.unionByName(waits)
 
 
 def retained(requests: DataFrame, now: str) -> DataFrame:
@@ -144,3 +149,34 @@ def budget_stop(requests: DataFrame, budget: int) -> DataFrame:
 
 def api_usage(calls: DataFrame) -> DataFrame:
     return calls.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("requests").alias("requests"))
+
+
+def stored_state(state: DataFrame, scope: str, key: str) -> DataFrame:
+    """``payload`` of one entry of ``scope, key, payload``, as a map of its JSON fields; no row if there is none or it is no object."""
+    own = state.where((F.col("scope") == scope) & (F.col("key") == key)).select(F.from_json("payload", "map<string,string>").alias("payload"))
+    return own.where("payload is not null").limit(1)
+
+
+def stored_limits(state: DataFrame, model: str) -> DataFrame:
+    """``name, value`` of the daily limits that are kept for a model."""
+    return stored_state(state, model, "local-rpd-limits").select(F.explode("payload").alias("name", "value")).select("name", F.try_to_number("value", F.lit("999999999")).cast("long").alias("value"))
+
+
+def stored_usage(requests: DataFrame, scope: str, now: str) -> DataFrame:
+    """One row ``used, resets``: requests of the scope since the last west coast midnight, and the next one."""
+    at = F.lit(now).cast("timestamp")
+    since = requests.where((F.col("scope") == scope) & (F.col("sent") >= T.pacific_midnight(at)) & (F.col("sent") <= at))
+    return since.agg(F.count("*").alias("used")).withColumn("resets", T.pacific_midnight(at, 1))
+
+
+def exhausted(daily: DataFrame, scope: str, limit: int) -> DataFrame:
+    """``scope, used`` after a key was refused for the day: it counts as used up."""
+    own = daily.select("scope", "used")
+    others = own.where(F.col("scope") != scope)
+    mine = own.where(F.col("scope") == scope).agg(F.greatest(F.lit(limit), F.coalesce(F.max("used"), F.lit(0))).cast("long").alias("used"))
+    return others.unionByName(mine.select(F.lit(scope).alias("scope"), "used"))
+
+
+def append(requests: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The ledger with new requests; an id that is there already is not written twice."""
+    return requests.unionByName(fresh.join(requests.select("request_id"), "request_id", "left_anti").select(*requests.columns))

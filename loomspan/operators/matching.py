@@ -1,35 +1,78 @@
-"""Terms in texts: a regex join by way of an index on words, and what builds on it.
+"""Terms in texts: an index join on tokens, and what builds on it.
 
-A term can only match where its first word stands as a whole word. Units are opened into their distinct
-words and met with terms on that word by an equi-join; the term's pattern is then tested on these
-candidates only. No pair of unit and term is formed without a shared word.
+Texts and terms are cut into the same tokens (whole words, and every other character by itself; blanks are one space).
+A term stands where its tokens follow each other, so an occurrence is an equality of token runs: the runs of a text, one per
+place and phrase length, are joined to the phrases. No regex is tried per term and each text is read once. A glossary of at most
+``BROADCAST_TERMS`` phrases is sent to where the texts lie; for a larger one the runs are shuffled, texts never.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
 
+#: Distinct phrases that may be sent to every executor.
+BROADCAST_TERMS = 50_000
+
+
+def phrases(rows: DataFrame, column: str = "term", keep_blanks: bool = False) -> DataFrame:
+    """``phrase, tokens, width, first`` of the distinct phrases of a column; blank ones have no tokens and are left out."""
+    known = rows.select(F.col(column).alias("phrase")).distinct().withColumn("tokens", T.phrase_tokens("phrase", keep_blanks)).where(F.size("tokens") > 0)
+    return known.select("phrase", "tokens", F.size("tokens").alias("width"), F.get("tokens", F.lit(0)).alias("first"))
+
+
+def _is_word(token: Column) -> Column:
+    return F.coalesce(token.rlike(f"^[{T.WORD_CHARS}]"), F.lit(False))
+
+
+def occurrences(units: DataFrame, known: DataFrame, text: str = "text", unit: str = "unit_id", keep_blanks: bool = False, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """``unit, phrase, width, at``: every place (token number from 0) of every phrase of ``known`` in the texts,
+    overlapping ones of one phrase included."""
+    cut = units.select(unit, T.phrase_tokens(text, keep_blanks).alias("_t"))
+    sizes = known.agg(F.count("*").alias("n"), F.collect_set("width").alias("widths")).first()  # as many widths as phrase lengths
+
+    def runs(width: int) -> Column:
+        places = F.when(F.size("_t") >= width, F.sequence(F.lit(0), F.size("_t") - width)).otherwise(F.array().cast("array<int>"))
+
+        def one(i: Column) -> Column:
+            own = F.get("_t", i) if width == 1 else F.array_join(F.slice("_t", i + 1, F.lit(width)), "")
+            return F.struct(F.lit(width).alias("width"), i.alias("at"), own.alias("run"), F.get("_t", i - 1).alias("before"), F.get("_t", i + width).alias("after"))
+
+        return F.transform(places, one)
+
+    every = [runs(w) for w in sorted(sizes["widths"])] or [runs(1)]
+    opened = cut.select(unit, F.explode(F.concat(*every)).alias("r")).select(unit, "r.*")
+    last = F.get("tokens", F.col("width") - 1)
+    keyed = known.select("phrase", "width", F.array_join("tokens", "").alias("run"), _is_word(F.col("first")).alias("opens"), _is_word(last).alias("closes"))
+    met = opened.join(F.broadcast(keyed) if sizes["n"] <= broadcast_terms else keyed, ["width", "run"])
+    # whole words only: next to a phrase that begins or ends with a mark stands no word; words are whole as tokens
+    apart = (F.col("opens") | ~_is_word(F.col("before"))) & (F.col("closes") | ~_is_word(F.col("after")))
+    return met.where(apart).select(unit, "phrase", "width", "at")
+
+
+def _apart_places(places: Column, width: Column) -> Column:
+    """Places in order, without those that overlap one taken before."""
+    taken = F.array().cast("array<int>")
+    return F.aggregate(F.array_sort(places), taken, lambda got, at: F.when((F.size(got) == 0) | (F.element_at(got, -1) + width <= at), F.array_append(got, at)).otherwise(got))
+
+
+def placed(units: DataFrame, known: DataFrame, text: str = "text", unit: str = "unit_id", keep_blanks: bool = False) -> DataFrame:
+    """``unit, phrase, width, places``: the places of a phrase in a text, none overlapping another."""
+    found = occurrences(units, known, text, unit, keep_blanks).groupBy(unit, "phrase").agg(F.min("width").alias("width"), F.collect_list("at").alias("_at"))
+    return found.select(unit, "phrase", "width", F.when(F.col("width") == 1, F.array_sort("_at")).otherwise(_apart_places(F.col("_at"), F.col("width"))).alias("places"))
+
 
 def matches(units: DataFrame, terms: DataFrame, text: str = "text", unit: str = "unit_id") -> DataFrame:
     """``unit, term`` for every unit that holds a term as whole words, in any case."""
-    first = F.coalesce(F.get(T.word_tokens("term"), F.lit(0)), F.lit(""))
-    known = terms.where(F.trim("term") != "").select("term").distinct().select("term", first.alias("_w"), T.term_pattern("term").alias("_p"))
-    # terms without any word meet every unit under the empty word
-    words = F.array_distinct(F.concat(F.array(F.lit("")), T.word_tokens(text)))
-    opened = units.select(unit, F.col(text).alias("_text"), F.explode(words).alias("_w"))
-    return opened.join(known, "_w").where(F.regexp_like("_text", F.col("_p"))).select(unit, "term")
+    return occurrences(units, phrases(terms), text, unit).select(unit, F.col("phrase").alias("term")).distinct()
 
 
 def relevant_glossary(units: DataFrame, terms: DataFrame, batch: str = "batch") -> DataFrame:
     """``batch, terms``: the sorted distinct terms that any unit of a batch holds."""
-    own = units.select(batch, "unit_id").join(matches(units, terms), "unit_id")
-    return own.groupBy(batch).agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    own = occurrences(units, phrases(terms), unit=batch).select(batch, "phrase").distinct()
+    return own.groupBy(batch).agg(F.sort_array(F.collect_set("phrase")).alias("terms"))
 
 
 def affected_units(units: DataFrame, watched: DataFrame) -> DataFrame:
@@ -45,43 +88,28 @@ def inheritance(targets: DataFrame, runs: DataFrame, affected: DataFrame) -> tup
 
 def occurrence_counts(units: DataFrame, terms: DataFrame) -> DataFrame:
     """``unit_id, term, n`` for the terms that occur."""
-    met = matches(units, terms).join(units.select("unit_id", "text"), "unit_id")
-    return met.select("unit_id", "term", T.occurrences("text", "term").alias("n"))
+    return placed(units, phrases(terms)).select("unit_id", F.col("phrase").alias("term"), F.size("places").cast("long").alias("n"))
 
 
-def term_faults(source: str, target: str, glossary: list[tuple[str, str]]) -> list[tuple[str, str, int, int]]:
-    """Terms of ``source`` whose translation stands less often in ``target``: ``term, expected, in source, in target``.
+def violations(units: DataFrame, targets: DataFrame, terms: DataFrame) -> DataFrame:
+    """``unit_id, term, expected, src_count, tgt_count``: terms of a unit whose translation stands less often in its target.
 
-    Longer terms claim their places first; a place inside a claimed one does not count for a shorter term.
+    A place of a term counts unless it lies within a place of a longer term (of equally long ones, of an earlier one).
+    Texts are read once on either side; only places and counts are joined.
     """
-    claimed: list[tuple[int, int]] = []
-    found = []
-    for term, expected in sorted(glossary, key=lambda pair: -len(pair[0])):
-        pattern = re.compile(r"(?<!\w)" + r"\s+".join(map(re.escape, term.split())) + r"(?!\w)", re.I)
-        own = [m.span() for m in pattern.finditer(source)]
-        own = [(a, b) for a, b in own if not any(c <= a and b <= d for c, d in claimed)]
-        if own:
-            there = len(re.findall(r"(?<!\w)" + re.escape(expected) + r"(?!\w)", target, re.I))
-            if there < len(own):
-                found.append((term, expected, len(own), there))
-            claimed += own
-    return found
+    own = terms.select("ord", "term", "translation", (-F.length("term")).alias("size"))
+    found = placed(units, phrases(terms)).withColumnRenamed("phrase", "term").join(own, "term")
+    every = found.groupBy("unit_id").agg(F.collect_list(F.struct("size", "ord", "term", "translation", "width", "places")).alias("_all"))
 
+    def inside(one: Column, at: Column) -> Column:
+        return F.exists("_all", lambda o: (F.struct(o["size"], o["ord"]) < F.struct(one["size"], one["ord"])) & F.exists(o["places"], lambda b: (b <= at) & (at + one["width"] <= b + o["width"])))
 
-def violations(units: DataFrame, targets: DataFrame, terms: DataFrame) -> DataFrame:
-    """``unit_id, term, expected, src_count, tgt_count``: each unit meets only the terms it holds."""
-    own = matches(units, terms).join(terms.select("ord", "term", "translation"), "term")
-    packed = own.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("ord", "term", "translation"))).alias("glossary"))
-    met = units.select("unit_id", "text").join(targets.where("target <> ''").select("unit_id", "target"), "unit_id").join(packed, "unit_id")
-
-    @F.pandas_udf("array<struct<term:string,expected:string,src_count:bigint,tgt_count:bigint>>")
-    def check(source: pd.Series, target: pd.Series, glossary: pd.Series) -> pd.Series:
-        return pd.Series([
-            [dict(zip(("term", "expected", "src_count", "tgt_count"), f)) for f in term_faults(s, t, [(g["term"], g["translation"]) for g in own])]
-            for s, t, own in zip(source, target, glossary)
-        ])
-
-    return met.select("unit_id", F.inline(check("text", "target", "glossary")))
+    left = F.transform("_all", lambda one: F.struct(one["term"].alias("term"), one["translation"].alias("expected"), F.size(F.filter(one["places"], lambda at: ~inside(one, at))).cast("long").alias("src_count")))
+    counted = every.select("unit_id", F.inline(left)).where("src_count > 0")
+    answered = targets.where("target <> ''").select("unit_id", F.col("target").alias("text"))
+    there = placed(answered, phrases(terms, "translation", keep_blanks=True), keep_blanks=True).select("unit_id", F.col("phrase").alias("expected"), F.size("places").cast("long").alias("_n"))
+    met = counted.join(answered.select("unit_id"), "unit_id", "left_semi").join(there, ["unit_id", "expected"], "left").withColumn("tgt_count", F.coalesce("_n", F.lit(0)))
+    return met.where("tgt_count < src_count").select("unit_id", "term", "expected", "src_count", "tgt_count")
 
 
 def aligned(source: DataFrame, output: DataFrame) -> DataFrame:
@@ -97,8 +125,16 @@ def audit_pair(source: DataFrame, output: DataFrame, terms: DataFrame) -> tuple[
     status = aligned(source, output)
     units = source.select(F.col("unit_ord").cast("string").alias("unit_id"), "text")
     targets = output.select(F.col("unit_ord").cast("string").alias("unit_id"), F.col("text").alias("target"))
-    checked = violations(units, targets, terms).join(status.where("status = 'verified'").select("status"), F.lit(True), "left_semi")
-    return status, checked
+    return status, violations(units, targets, terms).where(F.lit(status.first()["status"] == "verified"))
+
+
+def audit_summary(status: DataFrame, found: DataFrame, units: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row over an audit: its status, units checked, occurrences of terms, of those the ones without their translation,
+    and the share that has it (null where there are none)."""
+    counted = occurrence_counts(units, terms).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences"))
+    missed = found.agg(F.countDistinct("unit_id").alias("units_at_fault"), F.countDistinct("term").alias("terms_at_fault"), F.coalesce(F.sum(F.col("src_count") - F.col("tgt_count")), F.lit(0)).alias("missed"))
+    row = status.join(counted).join(missed)
+    return row.withColumn("compliance", F.when(F.col("occurrences") > 0, 1 - F.col("missed") / F.col("occurrences")))
 
 
 def unchanged_long(pairs: DataFrame, over: int = 100) -> DataFrame:

@@ -5,14 +5,53 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions import text as T
 
-def paragraph_marks(units: DataFrame) -> DataFrame:
+#: Places of ``unit_ord`` that are packed in one go. A book of any length is cut at multiples of it, at the cost of one batch less full.
+SEGMENT = 1 << 17
+
+
+def _segment(segment: int) -> Column:
+    return F.floor(F.col("unit_ord") / segment)
+
+
+def payloads(runs: DataFrame) -> DataFrame:
+    """One row per unit of ``book, document, unit_ord, unit_id, run_ord, run_id, text, style, prefix, suffix, context``: what a request
+    says of it. ``payload`` (JSON with ids, texts, formats, blanks around, and the context where it says more than the unit), ``tokens`` of it, ``source_tokens`` of its texts,
+    ``overhead_tokens`` of an answer without texts, and the unit's whole ``text``.
+    """
+    def named(c: str, when: Column) -> Column:
+        return F.when(when, F.col(c))
+
+    run = F.struct("run_ord", F.struct(F.col("run_id").alias("id"), "text", named("style", F.col("style") != "").alias("format"), F.when(F.col("prefix") != "", True).alias("space_before"), F.when(F.col("suffix") != "", True).alias("space_after")).alias("r"), F.concat(F.coalesce("prefix", F.lit("")), "text", F.coalesce("suffix", F.lit(""))).alias("whole"))
+    own = runs.groupBy("book", "document", "unit_ord", "unit_id").agg(F.array_sort(F.collect_list(run)).alias("_runs"), F.first("context", ignorenulls=True).alias("context"))
+    text = F.array_join(F.transform("_runs", lambda x: x["whole"]), "")
+
+    def plain(x: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(x, T.BLANKS, " "), "^ | $", "")
+
+    context = F.when(plain(F.col("context")) != plain(F.col("_text")), F.col("context"))
+    payload = F.to_json(F.struct(F.col("unit_id").alias("id"), F.transform("_runs", lambda x: x["r"]).alias("runs"), context.alias("context")))
+    empty = F.to_json(F.struct(F.col("unit_id").alias("id"), F.transform("_runs", lambda x: F.struct(x["r"]["id"].alias("id"), F.lit("").alias("text"))).alias("runs")))
+    said = own.withColumn("_text", text).withColumns({"payload": payload, "overhead_tokens": T.text_tokens(empty), "source_tokens": T.text_tokens("_text")})
+    return said.select("book", "document", "unit_ord", "unit_id", F.col("_text").alias("text"), "payload", T.text_tokens("payload").alias("tokens"), "source_tokens", "overhead_tokens")
+
+
+def with_terms(units: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
+    """Adds ``terms`` (``array<struct<term, tokens>>``): the glossary entries that a request needs for the unit.
+    ``found``: ``unit_id, term``; ``terms``: ``term, translation``."""
+    entry = T.text_tokens(F.to_json(F.struct("term", "translation"))).alias("tokens")
+    own = found.join(terms.select("term", entry), "term").groupBy("unit_id").agg(F.collect_set(F.struct("term", "tokens")).alias("terms"))
+    return units.join(own, "unit_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<term:string,tokens:bigint>>")))
+
+
+def paragraph_marks(units: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Adds ``starts_paragraph`` to ``book, unit_ord, document, block_key, unit_id, run_stem``: whether a paragraph
     border lies before the unit."""
-    order = Window.partitionBy("book").orderBy("unit_ord")
+    order = Window.partitionBy("book", _segment(segment)).orderBy("unit_ord")
 
     def before(c: str):
         return F.lag(c).over(order)
@@ -28,55 +67,63 @@ def paragraph_marks(units: DataFrame) -> DataFrame:
     return units.withColumn("starts_paragraph", border)
 
 
-def pack(units: DataFrame, target: int, output_limit: int, ratio: float = 1.65, overhead: int = 128, unit_overhead: int = 12, floor: float = 0.85) -> DataFrame:
+def pack(units: DataFrame, target: int, output_limit: int, ratio: float = 1.65, base: int = 0, unit_overhead: int = 12, floor: float = 0.85, factor: float = 1.0, samples: int = 0, segment: int = SEGMENT) -> DataFrame:
     """Adds ``batch_no, est_input`` to ``book, unit_ord, tokens, starts_paragraph``: next fit in order.
 
-    A batch takes whole paragraphs while they fit both the input target and nine tenths of the output
-    limit. A batch below ``floor`` of its target is filled from the next paragraph as far as that fits; a unit
-    that fits nowhere is a batch of its own. Books are independent; within one the fold keeps one paragraph in memory.
+    The size of a request is that of its parts: ``base`` for the instruction, the units' ``tokens``, and each glossary entry of ``terms`` once; the
+    estimate is corrected like ``text.estimated_input``. Its answer is predicted from ``source_tokens`` and ``overhead_tokens``. Where the
+    input has none of these columns, the tokens and ``unit_overhead`` stand for them. A batch takes whole paragraphs while they fit both the
+    input target and nine tenths of the output limit. A batch below ``floor`` of its target is filled from the next paragraph as far as that fits; a unit
+    that fits nowhere is a batch of its own. Books are independent, and so are segments of a book; batches are numbered over a book.
     """
-    fields = units.schema.simpleString()[7:-1].replace(":", " ")
-
-    def fits(tokens: int, n: int) -> bool:
-        return tokens + overhead + unit_overhead * n <= target and tokens * ratio + unit_overhead * n + 2048 <= output_limit * 0.9
+    has = set(units.columns)
+    plain = "tokens" not in has or "overhead_tokens" not in has
+    sized = units.withColumns({
+        "_t": F.col("tokens") + (unit_overhead if plain else 0), "_s": F.col("source_tokens" if "source_tokens" in has else "tokens"), "_o": F.lit(unit_overhead) if plain else F.col("overhead_tokens"),
+        "_g": F.col("terms") if "terms" in has else F.array().cast("array<struct<term:string,tokens:bigint>>"), "_segment": _segment(segment),
+    })
+    order = Window.partitionBy("book", "_segment").orderBy("unit_ord")
+    numbered = sized.withColumn("_p", F.sum(F.col("starts_paragraph").cast("int")).over(order))
+    whole = Window.partitionBy("book", "_segment", "_p")
+    known = numbered.withColumns({**{f"_p{c}": F.sum(f"_{c}").over(whole) for c in "tso"}, "_pn": F.count("*").over(whole), "_pg": F.array_distinct(F.flatten(F.collect_list("_g").over(whole)))})
+    correct = factor * (1.05 if samples else 1.12)
+
+    def estimate(tokens: int) -> int:
+        return -int(-(base + tokens + 128) * correct // 1) + 64
+
+    def fits(tokens: int, source: int, overhead: int) -> bool:
+        return estimate(tokens) <= target and -int(-source * ratio // 1) + overhead + 2048 <= output_limit * 0.9
+
+    kept = ["book", "_segment", "unit_ord", "starts_paragraph", *(f"_{c}" for c in "tsog"), "_pt", "_ps", "_po", "_pg"]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        book, no, held, n = None, 0, 0, 0  # the open batch: tokens and units
-        block: list[tuple] = []  # the open paragraph
-        columns: list[str] = []
-
-        def settle() -> list[tuple]:
-            nonlocal no, held, n, block
-            total = sum(r[at] for r in block)
-            out = []
-            if n and not fits(held + total, n + len(block)) and held + overhead >= target * floor:
-                no, held, n = no + 1, 0, 0
-            for r in block:
-                if n and not fits(held + r[at], n + 1):
-                    no, held, n = no + 1, 0, 0
-                held, n = held + r[at], n + 1
-                out.append((*r, no))
-            block = []
-            return out
-
+        now, no, t, s, o, held = None, 0, 0, 0, 0, set()
         for pdf in batches:
-            columns = list(pdf.columns)
-            at, b_at, p_at = columns.index("tokens"), columns.index("book"), columns.index("starts_paragraph")
-            done: list[tuple] = []
-            for r in pdf.itertuples(index=False, name=None):
-                if r[b_at] != book or r[p_at]:
-                    done += settle()
-                if r[b_at] != book:
-                    book, no, held, n = r[b_at], 0, 0, 0
-                block.append(r)
-            if done:
-                yield pd.DataFrame(done, columns=[*columns, "batch_no"])
-        if block:
-            yield pd.DataFrame(settle(), columns=[*columns, "batch_no"])
-
-    packed = units.repartition("book").sortWithinPartitions("book", "unit_ord").mapInPandas(fold, f"{fields}, batch_no int")
-    whole = Window.partitionBy("book", "batch_no")
-    return packed.withColumn("est_input", (F.sum("tokens").over(whole) + overhead + unit_overhead * F.count("*").over(whole)).cast("long"))
+            numbers = []
+            for book, part, starts, nt, ns, no_, ng, pt, ps, po, pg in zip(*(pdf[c].tolist() for c in kept if c != "unit_ord")):
+                if (book, part) != now:
+                    now, no, t, s, o, held = (book, part), 0, 0, 0, 0, set()
+                if starts and s and estimate(t) >= target * floor:
+                    fresh = sum(x["tokens"] for x in pg if x["term"] not in held)
+                    if not fits(t + pt + fresh, s + ps, o + po):
+                        no, t, s, o, held = no + 1, 0, 0, 0, set()
+                fresh = sum(x["tokens"] for x in ng if x["term"] not in held)
+                if s and not fits(t + nt + fresh, s + ns, o + no_):
+                    no, t, s, o, held = no + 1, 0, 0, 0, set()
+                    fresh = sum(x["tokens"] for x in ng)
+                t, s, o = t + nt + fresh, s + ns, o + no_
+                held.update(x["term"] for x in ng)
+                numbers.append((no, estimate(t)))
+            at = pdf[["book", "_segment", "unit_ord"]]
+            yield at.assign(_no=[a for a, _ in numbers], _e=[b for _, b in numbers])
+
+    kind = units.schema["book"].dataType.simpleString()
+    folded = known.select(*kept).repartition("book", "_segment").sortWithinPartitions("book", "_segment", "unit_ord").mapInPandas(fold, f"book {kind}, _segment long, unit_ord long, _no int, _e long")
+    counts = folded.groupBy("book", "_segment").agg((F.max("_no") + 1).alias("_n"))
+    offsets = counts.select(F.col("book").alias("_b"), F.col("_segment").alias("_s"), F.coalesce(F.sum("_n").over(Window.partitionBy("book").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"))
+    placed = folded.join(offsets, F.col("book").eqNullSafe(F.col("_b")) & (F.col("_segment") == F.col("_s"))).withColumn("est_input", F.max("_e").over(Window.partitionBy("book", "_segment", "_no")))
+    batch = placed.select(F.col("book").alias("_b"), F.col("unit_ord").alias("_u"), (F.col("_from") + F.col("_no")).cast("int").alias("batch_no"), "est_input")
+    return units.join(batch, F.col("book").eqNullSafe(F.col("_b")) & (F.col("unit_ord") == F.col("_u"))).select(*units.columns, "batch_no", "est_input")
 
 
 def halves(units: DataFrame) -> DataFrame:
@@ -93,3 +140,15 @@ def halves(units: DataFrame) -> DataFrame:
     by_half = F.coalesce(F.min(F.when(reached, F.col("_i"))).over(whole), F.col("_n"))
     cut = F.coalesce(by_paragraph, by_half)
     return placed.withColumn("_cut", cut).withColumn("half", F.when((F.col("_n") > 1) & (F.col("_i") >= F.col("_cut")), 1).otherwise(0)).drop("_before", "_i", "_all", "_n", "_cut")
+
+
+def split_batches(runs: DataFrame) -> DataFrame:
+    """Adds ``half`` to the runs ``batch, unit_id, unit_ord, run_ord, tokens, starts_paragraph``: units are kept whole where the batch
+    has several, and a single unit is cut in the middle of its runs. A batch of one run stays whole."""
+    units = halves(runs.groupBy("batch", "unit_id", "unit_ord").agg(F.sum("tokens").alias("tokens"), F.max("starts_paragraph").alias("starts_paragraph")))
+    cut = units.select("batch", "unit_id", F.col("half").alias("_half"), F.count("*").over(Window.partitionBy("batch")).alias("_units"))
+    own = Window.partitionBy("batch", "unit_id")
+    late = F.row_number().over(own.orderBy("run_ord")) > F.floor(F.count("*").over(own) / 2)
+    runs_n = F.count("*").over(own)
+    met = runs.join(cut, ["batch", "unit_id"])
+    return met.withColumn("half", F.when(F.col("_units") > 1, F.col("_half")).otherwise((late & (runs_n > 1)).cast("int"))).drop("_half", "_units")

@@ -14,12 +14,13 @@ WRAPPERS = ("units", "data", "translations", "results", "items")
 def decoded(raw: DataFrame, column: str = "body") -> DataFrame:
     """Adds ``rows`` (the response, null if it is no strict JSON list of units) and ``repaired``.
 
-    Fences go first; a body that fails strict parsing gets one try with its quotes repaired; a list may be wrapped.
+    Fences go first; a body that fails strict parsing gets one try with its quotes repaired; a list may be wrapped: under
+    one of the usual names, else the first list among the values of the object.
     """
     plain = raw.withColumn("_plain", T.unfenced(column))
     fixed = plain.withColumn("_strict", T.strict_json("_plain")).withColumn("_fixed", F.when(F.col("_strict").isNull(), T.strict_json(T.repaired_json("_plain"))))
     body = F.coalesce("_strict", "_fixed")
-    inner = F.when(body.startswith("["), body).otherwise(F.coalesce(*[F.get_json_object(body, f"$.{w}") for w in WRAPPERS]))
+    inner = F.when(body.startswith("["), body).otherwise(F.coalesce(*[F.get_json_object(body, f"$.{w}") for w in WRAPPERS], F.get(F.filter(F.map_values(F.from_json(body, "map<string,string>")), lambda v: v.startswith("[")), F.lit(0))))
     rows = F.from_json(inner, RESPONSE)
     return fixed.withColumn("rows", F.when(inner.startswith("["), rows)).withColumn("repaired", F.col("_fixed").isNotNull()).drop("_plain", "_strict", "_fixed")
 
@@ -60,8 +61,10 @@ def unknown_units(expected: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def reasons(judged: DataFrame) -> DataFrame:
-    """``batch, reasons``: the distinct faults of a batch, first seen first."""
-    order = F.array_sort(F.collect_list(F.struct("unit_id", "run_id", "fault")))
+    """``batch, reasons``: the distinct faults of a batch, first seen first: in the order of ``unit_ord`` and ``run_ord`` where the
+    rows have them, else of the ids."""
+    place = [c for c in ("unit_ord", "run_ord") if c in judged.columns]
+    order = F.array_sort(F.collect_list(F.struct(*place, "unit_id", "run_id", "fault")))
     return judged.where("fault is not null").groupBy("batch").agg(F.array_distinct(F.transform(order, lambda x: x["fault"])).alias("reasons"))
 
 

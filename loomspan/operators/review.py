@@ -119,6 +119,42 @@ def routed(judged: DataFrame, rejected: DataFrame, policy: str = "auto_safe") ->
     return marked.withColumn("decision", out).drop("_key", "_no")
 
 
+def effective_policy(policy: str, verifies: bool) -> str:
+    """Nothing is approved by itself without a verifier."""
+    return policy if verifies else "review_first"
+
+
+def verified(candidates: DataFrame, verify, batch: int = 50) -> DataFrame:
+    """``ord, source_term, verdict, corrected`` from an injected function: it takes the rows of a chapter (dicts), at most ``batch`` at a
+    time, and gives as many ``(verdict, corrected)``. An answer of another length, or an error, leaves its rows provisional."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for _, own in pdf.groupby("chapter", sort=False):
+                for at in range(0, len(own), batch):
+                    part = own.iloc[at : at + batch]
+                    try:
+                        answers = list(verify(part.to_dict("records")))
+                    except Exception:  # a remote verifier may fail in any way; its rows wait for a person
+                        answers = []
+                    if len(answers) != len(part):
+                        answers = [("provisional", None)] * len(part)
+                    yield pd.DataFrame({"ord": part["ord"], "source_term": part["source_term"], "verdict": [a for a, _ in answers], "corrected": [b for _, b in answers]})
+
+    dealt = candidates.repartition("chapter").sortWithinPartitions("chapter", "ord")
+    return dealt.mapInPandas(run, "ord long, source_term string, verdict string, corrected string")
+
+
+def with_instructions(rows: DataFrame, texts: DataFrame, name: str = "profile") -> DataFrame:
+    """Adds ``instruction`` and ``instruction_tokens`` from a table ``name, text``; an unknown or null name adds nothing."""
+    own = texts.select(F.col("name").alias(name), F.col("text").alias("instruction"))
+    met = rows.join(own, name, "left").withColumn("instruction", F.coalesce("instruction", F.lit("")))
+    return met.withColumn("instruction_tokens", F.when(F.col("instruction") != "", T.text_tokens("instruction")).otherwise(F.lit(0)))
+
+
 def discovery_counts(decided: DataFrame) -> DataFrame:
     """``chapter, discovered, auto_approved, pending, rejected``."""
     d = F.col("decision")

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
-from loomspan.operators import cache, packing, responses
+from loomspan.operators import cache, packing, responses, review
 from loomspan.storage import checkpointed, materialize
 
 #: Takes the units of one batch, ``[{"id": ..., "runs": [{"id": ..., "text": ...}]}]``, and gives the response text.
 BatchFunction = Callable[[list[dict]], str]
+#: Takes runs done, all runs, calls so far and a message.
+Progress = Callable[[int, int, int, str], None]
 
 
 def echo(units: list[dict]) -> str:
@@ -24,56 +26,89 @@ def echo(units: list[dict]) -> str:
 
 
 def responded(batched: DataFrame, call: BatchFunction) -> DataFrame:
-    """``batch, body`` for the runs ``batch, unit_id, run_id, unit_ord, run_ord, text``: one call per batch."""
+    """``batch, body`` for the runs ``batch, unit_id, run_id, unit_ord, run_ord, text`` (and ``backwards``, if the units go in reversed
+    order): one call per batch, and its answer leaves the task at once."""
+    turned = F.col("backwards") if "backwards" in batched.columns else F.lit(False)
+    rows = batched.select("batch", "unit_id", "run_id", F.when(turned, -F.col("unit_ord")).otherwise(F.col("unit_ord")).alias("place"), "run_ord", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, units, out = None, [], []
+        now, units = None, []
+
+        def answer() -> pd.DataFrame:
+            return pd.DataFrame([(now, call(units))], columns=["batch", "body"])
+
         for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if r.batch != now:
+            for batch, unit, run_id, text in zip(*(pdf[c].tolist() for c in ("batch", "unit_id", "run_id", "text"))):
+                if batch != now:
                     if units:
-                        out.append((now, call(units)))
-                    now, units = r.batch, []
-                if not units or units[-1]["id"] != r.unit_id:
-                    units.append({"id": r.unit_id, "runs": []})
-                units[-1]["runs"].append({"id": r.run_id, "text": r.text})
+                        yield answer()
+                    now, units = batch, []
+                if not units or units[-1]["id"] != unit:
+                    units.append({"id": unit, "runs": []})
+                units[-1]["runs"].append({"id": run_id, "text": text})
         if units:
-            out.append((now, call(units)))
-        yield pd.DataFrame(out, columns=["batch", "body"])
+            yield answer()
+
+    return rows.repartition("batch").sortWithinPartitions("batch", "place", "unit_id", "run_ord").mapInPandas(run, "batch string, body string")
+
 
-    rows = batched.select("batch", "unit_id", "run_id", "unit_ord", "run_ord", "text")
-    return rows.repartition("batch").sortWithinPartitions("batch", "unit_ord", "run_ord").mapInPandas(run, "batch string, body string")
+def recovered(judged: DataFrame, batched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is asked again, and the runs that are given up (``run_id, fault``).
+
+    The bad runs of a batch that brought some good ones are a smaller batch. A batch without any good run is sent once more with its units
+    in reversed order; failing again, it is halved. A single run that fails both ways is given up.
+    """
+    seen = judged.groupBy("batch").agg(F.count_if(F.col("fault").isNull()).alias("_good"), F.count_if(F.col("fault").isNotNull()).alias("_bad"))
+    bad = batched.join(judged.where("fault is not null").select("batch", "run_id", "fault"), ["batch", "run_id"]).join(seen, "batch")
+    progress = bad.where("_good > 0").withColumns({"batch": F.concat("batch", F.lit("+")), "backwards": F.lit(False)})
+    turned = bad.where("_good = 0 and not backwards").withColumn("backwards", F.lit(True))
+    stuck = bad.where("_good = 0 and backwards")
+    cut = packing.split_batches(stuck.where("_bad > 1")).withColumns({"batch": F.concat("batch", F.lit("."), F.col("half").cast("string")), "backwards": F.lit(False)})
+    again = progress.select(*batched.columns).unionByName(turned.select(*batched.columns)).unionByName(cut.select(*batched.columns))
+    return again, stuck.where("_bad = 1").select("run_id", "fault")
 
 
-def run_job(runs: DataFrame, call: BatchFunction, job: str, stored: DataFrame | None = None, target: int = 2000, output_limit: int = 16_000, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def run_job(runs: DataFrame, call: BatchFunction, job: str, stored: DataFrame | None = None, target: int = 2000, output_limit: int = 16_000, segment: int = packing.SEGMENT, progress: Progress | None = None, cancelled: Callable[[], bool] | None = None) -> tuple[DataFrame, DataFrame]:
     """Targets ``run_id, target`` and the cache rows to keep, for ``book, unit_ord, unit_id, run_id, run_ord, text, context``.
 
-    Runs with a valid cache row are not sent again. Each round packs what is still pending, calls, judges every
-    run for itself and keeps the good ones; later rounds take half the batch size. A run that
-    fails in the last round has no target: see ``cache.coverage``.
+    Runs with a valid cache row are not sent again. What is pending is packed once; then each round calls, judges every
+    run for itself, keeps the good ones and asks for the others as ``recovered`` says, until none is left but those given up: see ``cache.coverage``.
+    ``progress`` hears of the runs done, all runs, the calls so far and what comes; between rounds ``cancelled`` may end the job: what is done is kept.
     """
     marked = materialize(cache.fingerprints(runs))
-    done = cache.lookup(marked, stored, job) if stored is not None else marked.select("run_id", F.lit("").alias("target")).limit(0)
-    done = checkpointed(done)
-    for _ in range(rounds):
-        left = cache.pending_runs(marked, done)
-        if left.isEmpty():
-            break
-        sized = left.withColumns({"tokens": T.text_tokens("text"), "document": F.col("book"), "block_key": F.col("unit_id"), "run_stem": F.col("run_id")})
-        packed = packing.pack(packing.paragraph_marks(sized), target, output_limit).withColumn("batch", F.concat_ws("#", "book", F.col("batch_no").cast("string")))
-        batched = checkpointed(packed.select("batch", "unit_id", "run_id", "unit_ord", "run_ord", "text"))
-        judged = responses.reconciled(batched, responses.decoded(responded(batched, call)))
+    found = cache.lookup(marked, stored, job) if stored is not None else marked.select("run_id", F.lit("").alias("target")).limit(0)
+    done = [checkpointed(found)]
+    left = cache.pending_runs(marked, done[0])
+    sized = left.groupBy("book", "unit_ord", "unit_id").agg(F.sum(T.text_tokens("text")).alias("tokens")).withColumns({"document": F.col("book"), "block_key": F.col("unit_id"), "run_stem": F.col("unit_id")})
+    packed = packing.pack(packing.paragraph_marks(sized, segment), target, output_limit, segment=segment)
+    named = packed.select(F.col("book").alias("_b"), F.col("unit_ord").alias("_o"), F.col("unit_id").alias("_u"), "starts_paragraph", F.concat_ws("#", F.coalesce("book", F.lit("")), F.col("batch_no").cast("string")).alias("batch"))
+    met = F.col("book").eqNullSafe(F.col("_b")) & (F.col("unit_ord") == F.col("_o")) & (F.col("unit_id") == F.col("_u"))
+    batched = checkpointed(left.join(named, met).select("batch", "unit_id", "run_id", "unit_ord", "run_ord", "text", T.text_tokens("text").alias("tokens"), "starts_paragraph", F.lit(False).alias("backwards")))
+    total, calls = marked.count() if progress else 0, 0
+    while not batched.isEmpty() and not (cancelled and cancelled()):
+        if progress:
+            state = batched.agg(F.countDistinct("batch").alias("batches"), F.count("*").alias("runs")).first()
+            progress(total - state["runs"], total, calls, f"{state['batches']} batches to ask")
+            calls += state["batches"]
+        judged = materialize(responses.reconciled(batched.select("batch", "unit_id", "run_id", "text"), responses.decoded(responded(batched, call))))
         good, _ = responses.salvaged(judged)
-        done = checkpointed(done.unionByName(good.select("run_id", "target")))
-        target = max(512, target // 2)
-    kept = marked.join(done, "run_id").select(F.lit(job).alias("job"), F.col("run_id").alias("run"), "fingerprint", "target", T.digest("target").alias("checksum"))
-    return done, kept
-
-
-def run_chapters(runs: DataFrame, call: BatchFunction, discover: Callable[[int, DataFrame], DataFrame | None], job: str) -> tuple[DataFrame, dict[int, int]]:
+        done.append(good.select("run_id", "target"))
+        batched = checkpointed(recovered(judged, batched)[0])
+    if progress:
+        progress(total - batched.count(), total, calls, "done")
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    every = checkpointed(every)
+    kept = marked.join(every, "run_id").select(F.lit(job).alias("job"), F.col("run_id").alias("run"), "fingerprint", "target", T.digest("target").alias("checksum"))
+    return every, kept
+
+
+def run_chapters(runs: DataFrame, call: BatchFunction, discover: Callable[[int, DataFrame], DataFrame | None], job: str, verify: Callable[[list[dict]], list[tuple]] | None = None) -> tuple[DataFrame, dict[int, int]]:
     """Chapters one after another: chapter n + 1 starts when the terms found in n are published.
 
-    ``discover(chapter, targets)`` gives the terms of a finished chapter (``term, translation``) or None. Returns all
+    ``discover(chapter, targets)`` gives the terms of a finished chapter (``term, translation``) or None; with ``verify`` (see ``review.verified``)
+    only those judged ``verified`` are published, corrected where it says so. Returns all
     targets and the number of terms each chapter could use; a chapter never sees its own or later terms.
     """
     numbers = sorted(r["chapter"] for r in runs.select("chapter").distinct().collect())  # one number per chapter of a book
@@ -87,5 +122,9 @@ def run_chapters(runs: DataFrame, call: BatchFunction, discover: Callable[[int,
         found = discover(n, own)
         if found is not None:
             fresh = found.select("term", "translation")
+            if verify is not None:
+                asked = fresh.select(F.xxhash64("term").alias("ord"), F.lit(n).alias("chapter"), F.col("term").alias("source_term"), "translation")
+                judged = checkpointed(review.verified(asked, verify)).where("verdict = 'verified'").select(F.col("source_term").alias("term"), "corrected")
+                fresh = fresh.join(judged, "term").select("term", F.coalesce(F.nullif("corrected", F.lit("")), "translation").alias("translation"))
             known = checkpointed(fresh if known is None else known.unionByName(fresh).dropDuplicates(["term"]))
     return out, seen

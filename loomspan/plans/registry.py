@@ -61,6 +61,22 @@ def _part_terms(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), term.alias("term"), F.col("p_type").alias("translation"), (F.col("p_size") % 4 != 0).alias("approved"))
 
 
+def _glossary(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts as a glossary with states and chapters."""
+    k = F.col("p_partkey")
+    status = F.when(k % 4 == 0, "provisional").when(k % 9 == 0, "rejected").otherwise("verified")
+    extra = table(spark, sf, "part").select(k.alias("ord"), status.alias("status"), F.nullif(k % 12, F.lit(0)).cast("int").alias("source_chapter"))
+    return _part_terms(spark, sf).join(extra, "ord")
+
+
+def _phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Thousands of two-word terms: neighbouring words of the benchmark's texts."""
+    words = F.split(F.trim("text"), r"\s+")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat_ws(" ", F.element_at("_w", i), F.element_at("_w", i + 1)))
+    own = table(spark, sf, "benchmark").select(words.alias("_w")).where(F.size("_w") > 1)
+    return own.select(F.explode(pairs).alias("term")).distinct()
+
+
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(F.col("event_id").alias("request_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("scope"), F.col("ts").cast("timestamp").alias("sent"), F.floor(F.col("value") * 100).cast("long").alias("tokens"), "event_type")
 
@@ -84,6 +100,21 @@ S_MATCH = "m AS (" + " UNION ALL ".join(_match_sql(t) for t in dict.fromkeys(t[1
 S_PARTS = "parts AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 5 = 0 THEN split_part(p_name, ' ', 2) WHEN p_partkey % 7 = 0 THEN '  ' || upper(p_name) ELSE p_name END AS term, p_type AS translation, p_size % 4 <> 0 AS approved FROM part)"
 S_REQ = "req AS (SELECT event_id AS request_id, 'u' || user_id::VARCHAR AS scope, ts AS sent, floor(value * 100)::BIGINT AS tokens, event_type FROM events)"
 S_TOKENS = rf"""list_sum(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'), lambda w: CASE WHEN strlen(w) <> length(w) THEN ceil(strlen(w) / 2.0) WHEN regexp_matches(w, '^[A-Za-z0-9_]') THEN ceil(length(w) / 5.0) ELSE 1 END))"""
+S_FAST = f"{S_REQ}, fast AS (SELECT request_id, scope, tokens, TIMESTAMP '2024-01-01' + to_microseconds((epoch_us(sent) - 1704067200000000) // 1000) AS sent FROM req)"
+S_GLOSSARY = f"{S_PARTS}, glossary AS (SELECT ord, term, translation, approved, CASE WHEN ord % 4 = 0 THEN 'provisional' WHEN ord % 9 = 0 THEN 'rejected' ELSE 'verified' END AS status, nullif(ord % 12, 0)::INTEGER AS source_chapter FROM parts)"
+S_KEYS = r"regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]')"
+S_TOKENISED = "tok AS (SELECT unit_id, " + S_KEYS.format(x=S_NORM.format(x="text")) + " AS t FROM units)"
+
+
+def _occurrences_sql(terms: str) -> str:
+    """``occ(unit_id, term, i, n)``: places of the tokens of each term of the table ``terms``, by comparing lists."""
+    inside = r"[\p{L}\p{N}_]"
+    return f"""{S_TOKENISED}, known AS (SELECT term, k, len(k) AS n, k[1] AS k1, coalesce(k[3], '') AS k3 FROM (SELECT DISTINCT term, {S_KEYS.format(x=S_NORM.format(x='term'))} AS k FROM {terms} WHERE term <> '')),
+here AS (SELECT unit_id, t, i, t[i] AS t1, coalesce(t[i + 2], '') AS t3 FROM (SELECT unit_id, t, unnest(range(1, len(t) + 1)) AS i FROM tok)),
+met AS (SELECT unit_id, term, t, k, i, n FROM here JOIN known ON t1 = k1 AND n = 1 UNION ALL SELECT unit_id, term, t, k, i, n FROM here JOIN known ON t1 = k1 AND t3 = k3 AND n >= 3 AND t[i:i + n - 1] = k UNION ALL SELECT unit_id, term, t, k, i, n FROM here JOIN known ON t1 = k1 AND n = 2 AND t[i + 1] = k[2]),
+occ AS (SELECT unit_id, term, i, n FROM met WHERE (regexp_matches(k[1], '{inside}') OR NOT regexp_matches(coalesce(t[i - 1], ''), '{inside}')) AND (regexp_matches(k[n], '{inside}') OR NOT regexp_matches(coalesce(t[i + n], ''), '{inside}')))"""
+
+
 S_MIDNIGHT = "(date_trunc('day', (sent AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles') AT TIME ZONE 'America/Los_Angeles') AT TIME ZONE 'UTC'"
 
 
@@ -107,33 +138,39 @@ def _(spark, sf):
     return books.block_texts(table(spark, sf, "pages"))
 
 
-@query("d3_slots")
+@query("d3_slots", r"""WITH p AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '<(style|script)>.*?</(style|script)>', '<x>', 'g'), '>([^<]*)', 1) AS l FROM pages WHERE starts_with(html, '<!DOCTYPE html><html lang="en"')),
+r AS (SELECT page_id, list_filter(l, lambda x: regexp_matches(x, '[A-Za-z]')) AS l FROM p)
+SELECT page_id, (i - 1)::INTEGER AS run_ord, l[i] AS text FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM r)""")
 def _(spark, sf):
-    return books.slots(table(spark, sf, "pages"))
+    return books.slots(table(spark, sf, "pages")).select("page_id", "run_ord", "text")
 
 
-@query("s1_render", "SELECT page_id, sha256(html) AS digest FROM pages")
+@query("s1_render", r"""WITH m AS (SELECT page_id, html, regexp_replace(html, '>([^<]*[A-Za-z][^<]*)', '>«\1»', 'g') AS h FROM pages),
+u AS (SELECT page_id, CASE WHEN starts_with(html, '<!DOCTYPE html><html lang="en"') THEN regexp_replace(regexp_replace(h, '<style>«([^<]*)»', '<style>\1', 'g'), '<script>«([^<]*)»</p>«([^<]*)»', '<script>\1</p>\2', 'g') ELSE html END AS h FROM m)
+SELECT page_id, sha256(h) AS digest FROM u""")
 def _(spark, sf):
     pages = table(spark, sf, "pages")
-    same = books.slots(pages).select("page_id", "run_ord", F.col("text").alias("target"))
-    return books.rendered(pages, same).select("page_id", T.digest("html").alias("digest"))
+    other = books.slots(pages).select("page_id", "run_ord", F.concat(F.lit("«"), "text", F.lit("»")).alias("target"))
+    return books.rendered(pages, other).select("page_id", T.digest("html").alias("digest"))
 
 
 @query("j16_broken_links", r"""WITH r AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
-e AS (SELECT DISTINCT '/' || split_part(lower(split_part(html, '<title>', 2)), ' ', 1) AS name FROM pages) SELECT page_id::VARCHAR AS base, href FROM r WHERE href NOT IN (SELECT name FROM e)""")
+e AS (SELECT DISTINCT '/' || split_part(lower(split_part(html, '<title>', 2)), ' ', 1) AS name FROM pages) SELECT page_id::VARCHAR AS base, href FROM r WHERE href NOT IN (SELECT name FROM e WHERE page_id % 2 = 0 OR length(name) % 2 = 0)""")
 def _(spark, sf):
+    # odd pages link to a place in the other page, and only names of even length have that place
     pages = table(spark, sf, "pages")
-    hrefs, anchors = books.links(pages)
-    refs = hrefs.select(F.col("page_id").cast("string").alias("base"), "href", F.col("href").alias("target"), F.lit("").alias("fragment"))
+    hrefs, _ = books.links(pages)
+    refs = hrefs.select(F.col("page_id").cast("string").alias("base"), "href", F.col("href").alias("target"), F.when(F.col("page_id") % 2 == 1, "top").otherwise("").alias("fragment"))
     entries = pages.select(F.concat(F.lit("/"), F.get(F.split(F.lower(F.get(F.split("html", "<title>"), F.lit(1))), " "), F.lit(0))).alias("name"))
-    return books.broken_links(refs, entries, anchors.select(F.col("page_id").cast("string").alias("name"), "anchor"))
+    return books.broken_links(refs, entries, entries.where(F.length("name") % 2 == 0).select("name", F.lit("top").alias("anchor")))
 
 
-@query("b3_exact_parts", "SELECT doc_id, sha256(text) AS digest, true AS bounded FROM documents WHERE length(text) > 0")
+@query("b3_exact_parts", r"""WITH RECURSIVE c(doc_id, part_ord, part, rest) AS (SELECT doc_id, -1, '', text FROM documents WHERE length(text) > 0
+UNION ALL SELECT doc_id, part_ord + 1, left(rest, n), substr(rest, n + 1) FROM (SELECT *, CASE WHEN length(rest) <= 1800 THEN length(rest) WHEN length(regexp_extract(left(rest, 1801), '^(?s:.*)[ \n]')) > 600 THEN length(regexp_extract(left(rest, 1801), '^(?s:.*)[ \n]')) ELSE 1800 END::INTEGER AS n FROM c WHERE rest <> ''))
+SELECT doc_id, part_ord::INTEGER AS part_ord, sha256(part) AS digest FROM c WHERE part_ord >= 0""")
 def _(spark, sf):
     parts = units.exact_parts(table(spark, sf, "documents").select("doc_id", "text"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_ord", "part"))), lambda x: x["part"]), "")
-    return parts.groupBy("doc_id").agg(T.digest(whole).alias("digest"), (F.max(F.length("part")) <= 1801).alias("bounded"))
+    return parts.select("doc_id", "part_ord", T.digest("part").alias("digest"))
 
 
 @query("b4_affixes", rf"""WITH {S_UNITS}, a AS (SELECT unit_id, text, regexp_extract(text, '^([\s\p{{Z}}]*)', 1) AS prefix, regexp_extract(text, '([\s\p{{Z}}]*)$', 1) AS suffix FROM units)
@@ -154,7 +191,10 @@ def _(spark, sf):
     return units.first_marks(_units(spark, sf)).select("unit_id", "names_document", "context_no")
 
 
-@query("e7_grouped_units")
+@query("e7_grouped_units", f"""WITH RECURSIVE {S_UNITS}, r AS (SELECT doc_id AS block, row_number() OVER (PARTITION BY doc_id ORDER BY unit_ord) AS i, length(text) AS n FROM units),
+st(block, i, size, c, no, n) AS (SELECT DISTINCT block, 0::BIGINT, 0::BIGINT, 0, 0, 0::BIGINT FROM r UNION ALL
+SELECT block, i, CASE WHEN closes THEN n ELSE size + n END, CASE WHEN closes THEN 1 ELSE c + 1 END, CASE WHEN closes THEN no + 1 ELSE no END, n FROM (SELECT r.block, r.i, r.n, st.size, st.c, st.no, st.c > 0 AND (st.size + r.n > 2400 OR st.c >= 40) AS closes FROM st JOIN r ON r.block = st.block AND r.i = st.i + 1))
+SELECT block, no AS unit_no, count(*) AS runs, sum(n)::BIGINT AS chars FROM st WHERE i > 0 GROUP BY block, no""")
 def _(spark, sf):
     runs = _units(spark, sf).select(F.col("doc_id").alias("block"), F.col("unit_ord").alias("run_ord"), "text")
     return units.grouped_units(runs).groupBy("block", "unit_no").agg(F.count("*").alias("runs"), F.sum(F.length("text")).alias("chars"))
@@ -239,11 +279,14 @@ def _(spark, sf):
     return own.select("batch", F.array_join("terms", "|").alias("terms"))
 
 
-@query("g11_occurrences", rf"""WITH {S_TERMS}, {S_UNITS}, {S_MATCH}, w AS (SELECT unit_id, ' ' || regexp_replace(regexp_replace(lower(text), '([^\p{{L}}\p{{N}}_])', '\1 ', 'g'), '([\p{{L}}\p{{N}}_]+)', ' \1 ', 'g') || ' ' AS s FROM units)
-SELECT m.unit_id, term, ((length(s) - length(replace(s, ' ' || lower(term) || ' ', ''))) // (length(term) + 2))::BIGINT AS n FROM m JOIN w USING (unit_id) WHERE NOT contains(term, ' ')""")
+@query("j1_large_glossary", rf"""WITH {S_UNITS}, w AS (SELECT string_split_regex(trim(text, ' '), '\s+') AS l FROM benchmark), phrases AS (SELECT DISTINCT l[i] || ' ' || l[i + 1] AS term FROM (SELECT l, unnest(range(1, len(l))) AS i FROM w)), {_occurrences_sql('phrases')} SELECT DISTINCT unit_id, term FROM occ""")
 def _(spark, sf):
-    single = _terms(spark).where("not contains(term, ' ')")
-    return matching.occurrence_counts(_units(spark, sf), single)
+    return matching.matches(_units(spark, sf), _phrases(spark, sf))
+
+
+@query("g11_occurrences", f"WITH {S_TERMS}, {S_UNITS}, {_occurrences_sql('terms')} SELECT unit_id, term, count(*) AS n FROM occ GROUP BY ALL")
+def _(spark, sf):
+    return matching.occurrence_counts(_units(spark, sf), _terms(spark))
 
 
 @query("j3_affected_units", f"WITH {S_TERMS}, {S_UNITS}, {S_MATCH} SELECT DISTINCT unit_id FROM m WHERE term IN ('in the', 'und', 'MIT license')")
@@ -261,10 +304,16 @@ def _(spark, sf):
     return kept
 
 
-@query("g12_violations")
+@query("g12_violations", f"""WITH {S_TERMS}, {S_UNITS}, us AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ord) AS rank FROM terms WHERE approved AND term <> '' AND translation <> '') WHERE rank = 1), {_occurrences_sql('us')},
+o AS (SELECT occ.*, ord, translation, -length(occ.term) AS size FROM occ JOIN us ON us.term = occ.term),
+free AS (SELECT o.* FROM o ANTI JOIN o x ON x.unit_id = o.unit_id AND (x.size < o.size OR x.size = o.size AND x.ord < o.ord) AND x.i <= o.i AND o.i + o.n <= x.i + x.n),
+s AS (SELECT unit_id, term, translation AS expected, count(*) AS src_count FROM free GROUP BY ALL),
+tt AS (SELECT unit_id, {S_KEYS.format(x="lower(replace(text, 'of the', 'du'))")} AS t FROM units), e AS (SELECT DISTINCT translation AS expected, {S_KEYS.format(x='lower(translation)')} AS k FROM us),
+d AS (SELECT s.unit_id, s.expected, (SELECT count(*) FROM (SELECT unnest(range(1, len(t) + 1)) AS i) WHERE t[i:i + len(k) - 1] = k) AS n FROM (SELECT DISTINCT unit_id, expected FROM s) s JOIN tt USING (unit_id) JOIN e USING (expected))
+SELECT unit_id, term, expected, src_count, n AS tgt_count FROM s JOIN d USING (unit_id, expected) WHERE n < src_count""")
 def _(spark, sf):
     own = _units(spark, sf)
-    targets = own.select("unit_id", F.regexp_replace("text", r"(?i)\bof the\b", "du").alias("target"))
+    targets = own.select("unit_id", F.replace("text", F.lit("of the"), F.lit("du")).alias("target"))
     return matching.violations(own, targets, glossary.usable(_terms(spark)))
 
 
@@ -295,25 +344,26 @@ def _(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.array_join(T.keep_list(raw), "|").alias("keys"))
 
 
-@query("b9_usable_terms", f"WITH {S_TERMS} SELECT ord, term, translation FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ord) AS n FROM terms WHERE approved AND term <> '' AND translation <> '') WHERE n = 1")
+@query("b9_usable_terms", f"WITH {S_GLOSSARY} SELECT ord, term, translation FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ord) AS n FROM glossary WHERE approved AND term <> '' AND translation <> '') WHERE n = 1")
 def _(spark, sf):
-    return glossary.usable(_terms(spark)).select("ord", "term", "translation")
+    return glossary.usable(_glossary(spark, sf)).select("ord", "term", "translation")
 
 
-@query("b10_as_of", f"WITH {S_TERMS}, c AS (SELECT DISTINCT turn AS chapter FROM conversations) SELECT chapter, ord, term, translation FROM (SELECT *, row_number() OVER (PARTITION BY chapter, term ORDER BY ord) AS n FROM terms JOIN c ON source_chapter IS NULL OR source_chapter < chapter WHERE approved AND term <> '' AND translation <> '') WHERE n = 1")
+@query("b10_as_of", f"WITH {S_GLOSSARY}, c AS (SELECT DISTINCT turn AS chapter FROM conversations) SELECT chapter, ord, term, translation FROM (SELECT *, row_number() OVER (PARTITION BY chapter, term ORDER BY ord) AS n FROM glossary JOIN c ON source_chapter IS NULL OR source_chapter < chapter WHERE approved AND term <> '' AND translation <> '') WHERE n = 1")
 def _(spark, sf):
     chapters = table(spark, sf, "conversations").select(F.col("turn").alias("chapter"))
-    return glossary.as_of(chapters, _terms(spark)).select("chapter", "ord", "term", "translation")
+    return glossary.as_of(chapters, _glossary(spark, sf)).select("chapter", "ord", "term", "translation")
 
 
-@query("b11_pending", f"WITH {S_TERMS} SELECT ord, term FROM terms WHERE NOT approved AND status <> 'rejected' AND {S_NORM.format(x='term')} NOT IN ('apache license')")
+@query("b11_pending", f"WITH {S_GLOSSARY}, r AS (SELECT {S_NORM.format(x='term')} AS key FROM glossary WHERE status = 'rejected') SELECT ord, term FROM glossary WHERE NOT approved AND status <> 'rejected' AND {S_NORM.format(x='term')} NOT IN (SELECT key FROM r)")
 def _(spark, sf):
-    return glossary.pending(_terms(spark), spark.createDataFrame([("apache license",)], "key string")).select("ord", "term")
+    own = _glossary(spark, sf)
+    return glossary.pending(own, own.where("status = 'rejected'").select(T.norm_term("term").alias("key"))).select("ord", "term")
 
 
-@query("b12_visible", f"WITH {S_TERMS} SELECT 'unset' AS progress, ord FROM terms WHERE source_chapter IS NULL OR source_chapter <= 1 UNION ALL SELECT '3', ord FROM terms WHERE source_chapter IS NULL OR source_chapter <= 3 UNION ALL SELECT 'all', ord FROM terms")
+@query("b12_visible", f"WITH {S_GLOSSARY} SELECT 'unset' AS progress, ord FROM glossary WHERE source_chapter IS NULL OR source_chapter <= 1 UNION ALL SELECT '3', ord FROM glossary WHERE source_chapter IS NULL OR source_chapter <= 3 UNION ALL SELECT 'all', ord FROM glossary")
 def _(spark, sf):
-    t = _terms(spark)
+    t = _glossary(spark, sf)
     parts = [("unset", glossary.visible(t)), ("3", glossary.visible(t, 3)), ("all", glossary.visible(t, show_all=True))]
     out = [df.select(F.lit(name).alias("progress"), "ord") for name, df in parts]
     return out[0].unionByName(out[1]).unionByName(out[2])
@@ -349,21 +399,22 @@ def _(spark, sf):
     return glossary.conflicts(_part_terms(spark, sf))
 
 
-@query("j15_manual_wins", f"WITH {S_PARTS}, a AS (SELECT * FROM parts WHERE ord % 2 = 0), m AS (SELECT * FROM parts WHERE ord % 100 = 1) SELECT ord, term FROM a WHERE lower(term) NOT IN (SELECT lower(term) FROM m) UNION ALL SELECT ord, term FROM m")
+@query("j15_manual_wins", f"WITH {S_PARTS}, a AS (SELECT * FROM parts WHERE ord % 10 <> 1), m AS (SELECT * FROM parts WHERE ord % 10 = 1) SELECT ord, term FROM a WHERE lower(term) NOT IN (SELECT lower(term) FROM m) UNION ALL SELECT ord, term FROM m")
 def _(spark, sf):
     parts = _part_terms(spark, sf)
-    return glossary.manual_wins(parts.where("ord % 2 = 0"), parts.where("ord % 100 = 1")).select("ord", "term")
+    return glossary.manual_wins(parts.where("ord % 10 <> 1"), parts.where("ord % 10 = 1")).select("ord", "term")
 
 
-@query("j17_unknown_candidates", f"WITH {S_PARTS}, k AS (SELECT *, {S_NORM.format(x='term')} AS key FROM parts) SELECT ord, source_term FROM (SELECT ord, term AS source_term, row_number() OVER (PARTITION BY key ORDER BY ord) AS n FROM k WHERE ord % 2 = 0 AND key NOT IN (SELECT key FROM k WHERE ord % 40 = 1)) WHERE n = 1")
+@query("j17_unknown_candidates", f"WITH {S_PARTS}, k AS (SELECT *, {S_NORM.format(x='term')} AS key FROM parts) SELECT ord, source_term FROM (SELECT ord, term AS source_term, row_number() OVER (PARTITION BY key ORDER BY ord) AS n FROM k WHERE ord % 10 <> 1 AND key NOT IN (SELECT key FROM k WHERE ord % 10 = 1)) WHERE n = 1")
 def _(spark, sf):
     parts = _part_terms(spark, sf)
-    return glossary.unknown_candidates(parts.where("ord % 2 = 0").withColumnRenamed("term", "source_term"), parts.where("ord % 40 = 1")).select("ord", "source_term")
+    return glossary.unknown_candidates(parts.where("ord % 10 <> 1").withColumnRenamed("term", "source_term"), parts.where("ord % 10 = 1")).select("ord", "source_term")
 
 
-@query("g10_fingerprint")
+@query("g10_fingerprint", f"""WITH {S_PARTS}, u AS (SELECT lower(term) AS term, translation FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ord) AS n FROM parts WHERE term <> '' AND translation <> '') WHERE n = 1)
+SELECT left(sha256('[' || string_agg('["' || term || '","' || translation || '"]', ',' ORDER BY term, translation) || ']'), 16) AS fingerprint FROM u""")
 def _(spark, sf):
-    return glossary.fingerprint(_terms(spark))
+    return glossary.fingerprint(_part_terms(spark, sf))
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -387,14 +438,14 @@ def _(spark, sf):
 
 
 @query("v9_router", """WITH c AS (SELECT l.doc_id AS ord, l.doc_id % 10 = 0 AS conflict, l.doc_id % 4 = 0 AS dirty, CASE WHEN l.doc_id % 2 = 0 THEN 'person' ELSE 'artifact' END AS category, CASE WHEN quality = 1 THEN CASE WHEN toxic = 0 THEN 'verified' ELSE 'ambiguous' END ELSE 'provisional' END AS v FROM labels l)
-SELECT ord, CASE WHEN conflict OR v = 'ambiguous' THEN false WHEN dirty OR v <> 'verified' OR category <> 'person' THEN false ELSE true END AS approved,
-CASE WHEN conflict OR v = 'ambiguous' THEN 'ambiguous' WHEN dirty OR v <> 'verified' OR category <> 'person' THEN CASE WHEN v <> 'verified' THEN v ELSE 'provisional' END ELSE 'verified' END AS status FROM c""")
+SELECT ord, CASE WHEN ord % 50 = 30 THEN false WHEN conflict OR v = 'ambiguous' THEN false WHEN dirty OR v <> 'verified' OR category <> 'person' THEN false ELSE true END AS approved,
+CASE WHEN ord % 50 = 30 THEN 'rejected' WHEN conflict OR v = 'ambiguous' THEN 'ambiguous' WHEN dirty OR v <> 'verified' OR category <> 'person' THEN CASE WHEN v <> 'verified' THEN v ELSE 'provisional' END ELSE 'verified' END AS status FROM c""")
 def _(spark, sf):
     k = F.col("doc_id")
     rules = F.array_compact(F.array(F.when(k % 4 == 0, "R1"), F.when(k % 10 == 0, "R5")))
     verdict = F.when(F.col("quality") == 1, F.when(F.col("toxic") == 0, "verified").otherwise("ambiguous")).otherwise("provisional")
-    judged = table(spark, sf, "labels").select(k.alias("ord"), F.concat(F.lit("term "), k.cast("string")).alias("source_term"), rules.alias("rules"), F.when(k % 2 == 0, "person").otherwise("artifact").alias("category"), verdict.alias("verdict"), F.lit(None).cast("string").alias("corrected"))
-    return review.routed(judged, spark.createDataFrame([("never",)], "key string")).select("ord", "decision.approved", "decision.status")
+    judged = table(spark, sf, "labels").select(k.alias("ord"), F.when(k % 50 == 30, F.lit("Not  wanted")).otherwise(F.concat(F.lit("term "), k.cast("string"))).alias("source_term"), rules.alias("rules"), F.when(k % 2 == 0, "person").otherwise("artifact").alias("category"), verdict.alias("verdict"), F.lit(None).cast("string").alias("corrected"))
+    return review.routed(judged, spark.createDataFrame([("not wanted",)], "key string")).select("ord", "decision.approved", "decision.status")
 
 
 @query("g14_discovery_counts", """WITH c AS (SELECT doc_id % 20 AS chapter, doc_id % 4 = 0 AS approved, doc_id % 3 = 0 AS rejected FROM labels) SELECT chapter, count(*)::BIGINT AS discovered, count(*) FILTER (approved)::BIGINT AS auto_approved, count(*) FILTER (NOT approved AND NOT rejected)::BIGINT AS pending, count(*) FILTER (rejected AND NOT approved)::BIGINT AS rejected FROM c GROUP BY chapter""")
@@ -412,14 +463,18 @@ def _(spark, sf):
     return ledger.rolling_usage(_requests(spark, sf)).select("request_id", "window_requests", "window_tokens")
 
 
-@query("e2_rpm_waits", f"WITH {S_REQ} SELECT request_id, greatest(0.0::DOUBLE, coalesce((epoch_us(lag(sent, 2) OVER w) + 60000000 - epoch_us(sent)) / 1e6::DOUBLE, 0.0::DOUBLE)) AS wait FROM (SELECT request_id, scope, TIMESTAMP '2024-01-01' + to_microseconds((epoch_us(sent) - 1704067200000000) // 1000) AS sent FROM req) WINDOW w AS (PARTITION BY scope ORDER BY sent, request_id)")
+@query("e2_rpm_waits", f"WITH {S_FAST} SELECT request_id, greatest(0.0::DOUBLE, coalesce((epoch_us(lag(sent, 2) OVER w) + 60000000 - epoch_us(sent)) / 1e6::DOUBLE, 0.0::DOUBLE)) AS wait FROM fast WINDOW w AS (PARTITION BY scope ORDER BY sent, request_id)")
 def _(spark, sf):
     # the month squeezed into three quarters of an hour, so that limits are reached
     fast = F.timestamp_micros(F.lit(1704067200000000) + F.floor((F.unix_micros("sent") - 1704067200000000) / 1000).cast("long"))
     return ledger.rpm_waits(_requests(spark, sf).withColumn("sent", fast), 2).select("request_id", "wait")
 
 
-@query("e3_tpm_waits")
+@query("e3_tpm_waits", f"""WITH {S_FAST}, f AS (SELECT *, epoch_us(sent) AS us, least(10000, greatest(tokens, floor(8000 + least(160.0::DOUBLE, tokens * 0.05::DOUBLE)))) AS soft FROM fast),
+p AS (SELECT a.request_id, a.us AS now, a.tokens AS n, a.soft, b.us, sum(b.tokens) OVER (PARTITION BY a.request_id ORDER BY b.us, b.request_id) AS gone, sum(b.tokens) OVER (PARTITION BY a.request_id) AS total
+FROM f a JOIN f b ON a.scope = b.scope AND b.us > a.us - 60000000 AND (b.us < a.us OR b.us = a.us AND b.request_id < a.request_id)),
+w AS (SELECT request_id, coalesce(min(us) FILTER (total - gone + n <= soft), max(us)) + 60000000 - any_value(now) AS us FROM p WHERE total + n > soft GROUP BY request_id)
+SELECT f.request_id, greatest(0.0::DOUBLE, coalesce(w.us / 1e6::DOUBLE, 0.0::DOUBLE)) AS wait FROM f LEFT JOIN w USING (request_id)""")
 def _(spark, sf):
     fast = F.timestamp_micros(F.lit(1704067200000000) + F.floor((F.unix_micros("sent") - 1704067200000000) / 1000).cast("long"))
     return ledger.tpm_waits(_requests(spark, sf).withColumn("sent", fast), 8000, 10000).select("request_id", "wait")
@@ -495,17 +550,32 @@ def _(spark, sf):
     return ledger.api_usage(_requests(spark, sf).select(F.col("event_type").alias("kind"), "tokens", F.lit(1).alias("requests")))
 
 
-@query("w4_admissions")
+@query("w4_admissions", f"""WITH RECURSIVE {S_REQ}, r AS (SELECT scope, epoch_us(sent) / 1e9::DOUBLE AS "at", tokens, row_number() OVER (PARTITION BY scope ORDER BY sent, tokens) AS i FROM req),
+st(scope, i, past, "at", tokens, admitted) AS (SELECT DISTINCT scope, 0::BIGINT, []::STRUCT(t DOUBLE, i BIGINT, n BIGINT)[], 0.0::DOUBLE, 0::BIGINT, 0.0::DOUBLE FROM r UNION ALL
+SELECT scope, i, CASE WHEN tokens > 10000 THEN past ELSE list_sort(list_append(q, {{'t': w, 'i': i, 'n': tokens}})) END, "at", tokens, CASE WHEN tokens > 10000 THEN 'Infinity'::DOUBLE ELSE w END FROM (
+SELECT *, greatest("at", coalesce(CASE WHEN len(q) >= 2 THEN q[len(q) - 1].t + 60 END, "at"), coalesce(CASE WHEN excess > 0 THEN list_min(list_transform(range(1, len(q) + 1), lambda k: CASE WHEN list_sum(list_transform(q[1:k], lambda x: x.n)) >= excess THEN q[k].t END)) + 60 END, "at")) AS w FROM (
+SELECT *, coalesce(list_sum(list_transform(q, lambda x: x.n)), 0) + tokens - 10000 AS excess FROM (
+SELECT r.scope, r.i, r."at", r.tokens, st.past, list_filter(st.past, lambda x: x.t > r."at" - 60) AS q FROM st JOIN r ON r.scope = st.scope AND r.i = st.i + 1))))
+SELECT scope, "at", tokens, admitted, admitted - "at" AS waited FROM st WHERE i > 0""")
 def _(spark, sf):
     r = _requests(spark, sf).select("scope", (F.unix_micros("sent") / 1e9).alias("at"), "tokens")
     return live.admission_replay(r, 2, 10_000)
 
 
-@query("e15_controller")
+@query("e15_controller", f"""WITH RECURSIVE {S_REQ}, ev AS (SELECT scope, row_number() OVER (PARTITION BY scope ORDER BY request_id) AS i, CASE event_type WHEN 'error' THEN 'quota' WHEN 'view' THEN 'invalid' ELSE 'success' END AS e, CASE WHEN request_id % 2 = 0 THEN 'tpm' ELSE 'rpm' END AS k, tokens AS n FROM req),
+st(scope, i, tpm, rpm, workers, batch, br, qr, th, ratio) AS (SELECT DISTINCT scope, 0::BIGINT, 250000::BIGINT, 15::BIGINT, 4::BIGINT, 12000::BIGINT, 0, 0, false, 1.65::DOUBLE FROM ev UNION ALL
+SELECT scope, i, t2, r2, CASE WHEN back THEN least(4, workers + 1) WHEN e = 'quota' AND k = 'rpm' THEN greatest(1, workers - 1) ELSE workers END,
+CASE WHEN ok AND br + 1 >= 10 AND n >= batch * 0.8::DOUBLE THEN least(40000, batch + 2000) WHEN e = 'invalid' THEN greatest(512, floor(batch * 0.9::DOUBLE)::BIGINT) ELSE batch END,
+CASE WHEN ok AND br + 1 < 10 THEN br + 1 ELSE 0 END, CASE WHEN ok AND NOT eased THEN qr + 1 ELSE 0 END, CASE WHEN e = 'quota' THEN true WHEN back THEN t2 < 250000 OR r2 < 15 ELSE th END,
+CASE WHEN ok AND n > 0 THEN greatest(1.5::DOUBLE, least(4.0::DOUBLE, greatest(greatest(0, 2 * n - 10) / n::DOUBLE * 1.1::DOUBLE, ratio * 0.98::DOUBLE))) ELSE ratio END FROM (
+SELECT *, CASE WHEN eased THEN least(250000, ceil(tpm * 1.04::DOUBLE)::BIGINT) WHEN e = 'quota' AND k = 'tpm' THEN greatest(512, floor(tpm * 0.9::DOUBLE)::BIGINT) ELSE tpm END AS t2,
+CASE WHEN back THEN least(15, rpm + 1) WHEN e = 'quota' AND k = 'rpm' THEN greatest(1, floor(rpm * 0.8::DOUBLE)::BIGINT) ELSE rpm END AS r2 FROM (
+SELECT *, eased AND th AS back FROM (SELECT ev.*, st.tpm, st.rpm, st.workers, st.batch, st.br, st.qr, st.th, st.ratio, e = 'success' AS ok, e = 'success' AND qr + 1 >= CASE WHEN th THEN 20 ELSE 10 END AS eased FROM st JOIN ev ON ev.scope = st.scope AND ev.i = st.i + 1))))
+SELECT scope, tpm, rpm, workers, batch, round(ratio, 6) AS ratio FROM st QUALIFY row_number() OVER (PARTITION BY scope ORDER BY i DESC) = 1""")
 def _(spark, sf):
     e = F.col("event_type")
     events = _requests(spark, sf).select("scope", F.col("request_id").alias("at"), F.when(e == "error", "quota").when(e == "view", "invalid").otherwise("success").alias("event"), F.when(F.col("request_id") % 2 == 0, "tpm").otherwise("rpm").alias("kind"), F.col("tokens").alias("source"), (F.col("tokens") * 2).alias("output"), F.lit(10).alias("overhead"), F.col("tokens").alias("size"))
-    return live.controller_replay(events, ceiling_tpm=250_000, ceiling_rpm=15, ceiling_workers=4, batch=12_000, max_batch=40_000)
+    return live.controller_replay(events, ceiling_tpm=250_000, ceiling_rpm=15, ceiling_workers=4, batch=12_000, max_batch=40_000).withColumn("ratio", F.round("ratio", 6))
 
 
 # ---- cache, batches and responses -------------------------------------------------------------------
@@ -516,12 +586,12 @@ def _(spark, sf):
     return cache.recent_jobs(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("updated")))
 
 
-@query("s2_upsert", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'new' ELSE o_orderstatus END AS state FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 7 = 0")
+@query("s2_upsert", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE o_orderstatus END AS state FROM orders")
 def _(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"), F.lit(0).alias("version"))
-    fresh = o.where("id % 7 = 0")
+    fresh = o.where("id % 2 = 0")
     twice = fresh.withColumn("state", F.lit("old")).withColumn("version", F.lit(1)).union(fresh.withColumn("state", F.lit("new")).withColumn("version", F.lit(2)))
-    return cache.upsert(o.where("id % 2 = 0"), twice, ["id"]).select("id", "state")
+    return cache.upsert(o.where("id % 3 <> 0 or id % 2 = 1"), twice, ["id"]).select("id", "state")
 
 
 @query("j6_cache_lookup", f"WITH {S_UNITS} SELECT unit_id AS run_id, sha256(text) AS digest FROM units WHERE doc_id % 5 NOT IN (0, 1) AND regexp_matches(text, '[^\\s\\p{{Z}}]')")
@@ -562,7 +632,9 @@ def _(spark, sf):
     unit = F.struct(F.col("unit_id").alias("id"), F.when(k == 5, none).when(k == 6, F.array(run, run)).otherwise(F.array(run)).alias("runs"))
     rows = own.where(k != 3).select("batch", F.explode(F.when(k == 4, F.array(unit, unit)).otherwise(F.array(unit))).alias("u"))
     body = F.concat(F.lit('```json\n{"data": '), F.to_json(F.collect_list("u")), F.lit("}\n```"))
-    bodies = rows.groupBy("batch").agg(body.alias("body"))
+    # every third answer carries a note with quotes that are not escaped
+    broken = F.when(F.col("batch").cast("long") % 3 == 0, F.replace(body, F.lit('{"data": '), F.lit('{"note": "he said "no" and left", "data": '))).otherwise(body)
+    bodies = rows.groupBy("batch").agg(broken.alias("body"))
     return responses.reconciled(own, responses.decoded(bodies)).select("run_id", "fault")
 
 
@@ -572,21 +644,40 @@ def _(spark, sf):
     return responses.aliases(own).select("unit_id", "unit_alias", "run_alias")
 
 
-@query("e8_packing")
+S_PACKED = f"""{S_UNITS}, u AS (SELECT source AS book, doc_id, doc_id * 100000 + unit_ord AS ord, unit_ord // 3 AS para, greatest(1, coalesce({S_TOKENS}, 0))::BIGINT AS n FROM units),
+p AS (SELECT book, n, row_number() OVER (PARTITION BY book ORDER BY ord) AS i, (lag(doc_id) OVER (PARTITION BY book ORDER BY ord), lag(para) OVER (PARTITION BY book ORDER BY ord)) IS DISTINCT FROM (doc_id, para) AS starts, sum(n) OVER w::BIGINT AS pn, count(*) OVER w AS pc FROM u WINDOW w AS (PARTITION BY book, doc_id, para))"""
+
+
+def _fits_sql(n: str, c: str) -> str:
+    return f"(ceil(({n} + 12 * ({c}) + 128) * 1.12::DOUBLE) + 64 <= 2000 AND ceil(({n}) * 1.65::DOUBLE) + 12 * ({c}) + 2048 <= 14400)"
+
+
+@query("e8_packing", f"""WITH RECURSIVE {S_PACKED}, st(book, i, no, n, c) AS (SELECT DISTINCT book, 0::BIGINT, 0, 0::BIGINT, 0::BIGINT FROM p UNION ALL
+SELECT book, i, CASE WHEN b2 THEN no1 + 1 ELSE no1 END, CASE WHEN b2 THEN n ELSE n1 + n END, CASE WHEN b2 THEN 1 ELSE c1 + 1 END FROM (
+SELECT *, c1 > 0 AND NOT {_fits_sql('n1 + n', 'c1 + 1')} AS b2 FROM (
+SELECT *, CASE WHEN b1 THEN no + 1 ELSE no END AS no1, CASE WHEN b1 THEN 0 ELSE sn END AS n1, CASE WHEN b1 THEN 0 ELSE c END AS c1 FROM (
+SELECT p.*, st.no, st.n AS sn, st.c, p.starts AND st.c > 0 AND ceil((st.n + 12 * st.c + 128) * 1.12::DOUBLE) + 64 >= 2000 * 0.85::DOUBLE AND NOT {_fits_sql('st.n + p.pn', 'st.c + p.pc')} AS b1 FROM st JOIN p ON p.book IS NOT DISTINCT FROM st.book AND p.i = st.i + 1))))
+SELECT book, no AS batch_no, count(*) AS units, max(ceil((n + 12 * c + 128) * 1.12::DOUBLE) + 64)::BIGINT AS est_input FROM st WHERE i > 0 GROUP BY book, no""")
 def _(spark, sf):
-    own = _units(spark, sf).select(F.col("doc_id").cast("string").alias("book"), F.col("unit_ord").cast("long").alias("unit_ord"), "unit_id", F.col("doc_id").cast("string").alias("document"), F.col("unit_id").alias("block_key"), F.col("unit_id").alias("run_stem"), T.text_tokens("text").alias("tokens"))
-    return packing.pack(packing.paragraph_marks(own), 600, 16_000).groupBy("book", "batch_no").agg(F.count("*").alias("units"), F.max("est_input").alias("est_input"))
+    # a book is a source: batches go on over its documents, paragraphs are three lines
+    k = F.concat_ws(":", F.col("doc_id").cast("string"), F.floor(F.col("unit_ord") / 3).cast("string"))
+    own = _units(spark, sf).select(F.col("source").alias("book"), (F.col("doc_id") * 100_000 + F.col("unit_ord")).alias("unit_ord"), "unit_id", F.col("doc_id").cast("string").alias("document"), k.alias("block_key"), F.col("unit_id").alias("run_stem"), T.text_tokens("text").alias("tokens"))
+    segment = 100_000 << 17
+    return packing.pack(packing.paragraph_marks(own, segment), 2000, 16_000, segment=segment).groupBy("book", "batch_no").agg(F.count("*").alias("units"), F.max("est_input").alias("est_input"))
 
 
-@query("e11_halves")
+@query("e11_halves", f"""WITH {S_UNITS}, u AS (SELECT doc_id, unit_id, unit_ord, greatest(1, coalesce({S_TOKENS}, 0))::BIGINT AS n FROM units),
+c AS (SELECT *, row_number() OVER w AS i, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY doc_id) AS total, count(*) OVER (PARTITION BY doc_id) AS c FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY unit_ord)),
+b AS (SELECT doc_id, arg_min(i, (abs(before - total / 2.0::DOUBLE), i)) FILTER (i > 1 AND unit_ord % 3 = 0) AS by_paragraph, min(i) FILTER (i > 1 AND before >= total / 2.0::DOUBLE) AS by_half FROM c GROUP BY doc_id)
+SELECT unit_id, CASE WHEN c > 1 AND i >= coalesce(by_paragraph, by_half, c) THEN 1 ELSE 0 END AS half FROM c JOIN b USING (doc_id)""")
 def _(spark, sf):
     own = _units(spark, sf).select(F.col("doc_id").alias("batch"), "unit_ord", "unit_id", T.text_tokens("text").alias("tokens"), (F.col("unit_ord") % 3 == 0).alias("starts_paragraph"))
     return packing.halves(own).select("unit_id", "half")
 
 
-@query("w1_job", rf"WITH {S_UNITS} SELECT unit_id AS run_id, sha256('«' || text || '»') AS digest FROM units WHERE regexp_matches(text, '[^\s\p{{Z}}]') AND doc_id < 40")
+@query("w1_job", rf"WITH {S_UNITS} SELECT unit_id AS run_id, sha256('«' || text || '»') AS digest FROM units WHERE regexp_matches(text, '[^\s\p{{Z}}]')")
 def _(spark, sf):
-    own = _units(spark, sf).where("doc_id < 40")  # a job is one small book; the query names which
+    own = _units(spark, sf)
     runs = own.select(F.col("source").alias("book"), (F.col("doc_id") * 100_000 + F.col("unit_ord")).alias("unit_ord"), "unit_id", F.col("unit_id").alias("run_id"), F.lit(0).alias("run_ord"), "text", F.lit(None).cast("string").alias("context"))
-    done, _kept = jobs.run_job(runs, jobs.echo, "job", target=20_000, output_limit=65_536)
+    done, _kept = jobs.run_job(runs, jobs.echo, "job", target=20_000, output_limit=65_536, segment=100_000 << 17)
     return done.select("run_id", T.digest("target").alias("digest"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from posixpath import dirname, join, normpath
@@ -118,19 +119,66 @@ def reading_order(archive: zipfile.ZipFile) -> list[tuple[str, str, str]]:
     return [(*items[i], kinds[items[i][1]]) for i in order if items[i][1] in kinds]
 
 
+def decoded_text(data: bytes) -> str:
+    """Markup as text: by its byte order mark, its XML declaration or its meta element, else UTF-8."""
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if data.startswith(mark):
+            return data.decode(name, "replace")
+    stated = re.match(rb"""\s*<\?xml[^>]*encoding=["']([A-Za-z0-9._-]+)""", data) or re.search(rb"""<meta[^>]*charset=["']?([A-Za-z0-9._-]+)""", data[:2048], re.I)
+    try:
+        return data.decode(stated[1].decode() if stated else "utf-8", "replace")
+    except LookupError:
+        return data.decode("utf-8", "replace")
+
+
+def opened(content: bytes) -> zipfile.ZipFile:
+    """An archive whose members all pass the guards and whose only encrypted ones are obfuscated fonts; raises otherwise."""
+    if len(content) > MAX_ARCHIVE:
+        raise ValueError("archive: size")
+    archive = zipfile.ZipFile(io.BytesIO(content))
+    infos = archive.infolist()
+    if len(infos) > MAX_MEMBERS or sum(i.file_size for i in infos) > MAX_TOTAL:
+        raise ValueError("archive: members")
+    seen: set[str] = set()
+    for info in infos:
+        if fault := member_fault(info, seen):
+            raise ValueError(f"member: {fault}")
+        seen.add(info.filename)
+    if "META-INF/encryption.xml" in seen and any(a not in FONT_ALGORITHMS for _, a in encrypted_entries(archive.read("META-INF/encryption.xml"))):
+        raise ValueError("encrypted")
+    return archive
+
+
+def encrypted_entries(data: bytes) -> list[tuple[str, str]]:
+    """``name, algorithm`` of each entry of an encryption file."""
+    out = []
+    for e in parse_xml(data).iter():
+        if e.tag.endswith("}EncryptedData") or e.tag == "EncryptedData":
+            kind = next((x.get("Algorithm") or "" for x in e.iter() if x.tag.endswith("EncryptionMethod")), "")
+            name = next((x.get("URI") or "" for x in e.iter() if x.tag.endswith("CipherReference")), "")
+            out.append((name, kind))
+    return out
+
+
 def documents(books: DataFrame) -> DataFrame:
-    """``path, doc_ord, name, kind, html``: the documents of each archive in reading order."""
+    """``path, doc_ord, name, kind, html, fault``: the documents of each archive in reading order.
+
+    No member is read before the archive has passed the guards. An archive that does not, or that is malformed, is set aside: one row with
+    its ``fault`` and nothing else. Sound archives have no fault.
+    """
+    names = ["path", "doc_ord", "name", "kind", "html", "fault"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                archive = zipfile.ZipFile(io.BytesIO(content))
-                for no, (name, _, kind) in enumerate(reading_order(archive)):
-                    rows.append((path, no, name, kind, archive.read(name).decode("utf-8-sig", "replace")))
-            yield pd.DataFrame(rows, columns=["path", "doc_ord", "name", "kind", "html"])
+                try:
+                    archive = opened(content)
+                    rows = [(path, no, name, kind, decoded_text(archive.read(name)), None) for no, (name, _, kind) in enumerate(reading_order(archive))]
+                except (ValueError, KeyError, zipfile.BadZipFile, zlib.error, ElementTree.ParseError) as e:
+                    rows = [(path, -1, None, None, None, str(e)[:200] or type(e).__name__)]
+                yield pd.DataFrame(rows, columns=names)
 
-    return books.select("path", "content").mapInPandas(read, "path string, doc_ord int, name string, kind string, html string")
+    return books.select("path", "content").mapInPandas(read, "path string, doc_ord int, name string, kind string, html string, fault string")
 
 
 class _Slots(HTMLParser):
@@ -296,3 +344,29 @@ def archive_differences(before: DataFrame, after: DataFrame) -> DataFrame:
     both = before.select("name", F.col("crc").alias("a")).join(after.select("name", F.col("crc").alias("b")), "name", "full_outer")
     change = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(F.col("a") != F.col("b"), "changed")
     return both.select("name", change.alias("change")).where("change is not null")
+
+
+def written_faults(before: DataFrame, after: DataFrame, changed: DataFrame) -> DataFrame:
+    """``path, name, fault`` of written archives against their sources (tables of ``members`` and, for ``changed``, of ``path, name``).
+
+    ``mimetype`` if that entry is not the first; ``missing`` and ``extra`` members; ``touched`` where a member differs that no one changed.
+    """
+    a, b = (df.where("fault is null").select("path", "name", F.col("crc").alias(c), F.col("ord").alias(f"{c}_ord")) for df, c in ((before, "a"), (after, "b")))
+    both = a.join(b, ["path", "name"], "full_outer").join(changed.select("path", "name", F.lit(True).alias("asked")).distinct(), ["path", "name"], "left")
+    fault = (
+        F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra")
+        .when((F.col("name") == "mimetype") & (F.col("b_ord") != 0), "mimetype")
+        .when((F.col("a") != F.col("b")) & F.col("asked").isNull(), "touched")
+    )
+    broken = after.where("fault is not null").select("path", "name", "fault")
+    return both.select("path", "name", fault.alias("fault")).where("fault is not null").unionByName(broken)
+
+
+def skeleton_faults(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("path", "name"), html: str = "html") -> DataFrame:
+    """Keys of documents whose markup without its texts is not the same on both sides, or that only one side has."""
+    def bare(df: DataFrame, name: str) -> DataFrame:
+        tags = F.array_join(F.regexp_extract_all(F.col(html), F.lit("(<[^>]*>)"), 1), "")
+        return df.select(*keys, F.sha2(tags, 256).alias(name))
+
+    met = bare(before, "_a").join(bare(after, "_b"), list(keys), "full_outer")
+    return met.where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*keys)

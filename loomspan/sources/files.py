@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.operators import glossary
+from loomspan.storage import materialize
 
 HISTORY = "array<struct<translation:string,approved:boolean,status:string,at:string,by:string>>"
 TERM = f"term string, translation string, approved boolean, note string, updated_at string, status string, origin string, source_chapter int, evidence string, suggested_fix string, history {HISTORY}"
@@ -62,5 +63,23 @@ def report(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.to_json(F.struct(*sorted(metrics.columns)), {"ignoreNullFields": "false"}).alias("report"))
 
 
-def numbered(lines: DataFrame, order: str) -> DataFrame:
-    return lines.withColumn("ord", F.row_number().over(Window.orderBy(order)) - 1)
+def preferences(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file: ``settings``, a map of the JSON object in it, empty if it holds anything else."""
+    raw = spark.read.text(path, wholetext=True)
+    plain = F.regexp_replace("value", r"^\s+|\s+$", "")
+    return raw.select(F.coalesce(F.when(plain.startswith("{"), F.from_json(plain, "map<string,string>")), F.create_map().cast("map<string,string>")).alias("settings"))
+
+
+def save_preferences(settings: DataFrame, path: str) -> None:
+    """Replaces the stored settings (one row with a map ``settings``)."""
+    settings.select(F.to_json("settings")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def numbered(lines: DataFrame, order: str, ranges: int = 64) -> DataFrame:
+    """Adds ``ord`` from 0 in the order of a column: rows are range-partitioned, numbered within each range, and the
+    counts of the ranges before are added."""
+    ranged = materialize(lines.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_from"))
+    own = Window.partitionBy("_range").orderBy(order)
+    return ranged.join(offsets, "_range").withColumn("ord", F.col("_from") + F.row_number().over(own) - 1).drop("_range", "_from")

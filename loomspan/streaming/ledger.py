@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomspan.functions import text as T
 
+MINUTE = 60.0
+
 
 def minute_usage(requests: DataFrame, late: str = "48 hours") -> DataFrame:
     """Tumbling minutes per scope; what comes later than ``late`` is past the retention."""
@@ -24,151 +26,153 @@ def civil_days(requests: DataFrame, late: str = "48 hours") -> DataFrame:
     return requests.withWatermark("sent", late).groupBy("scope", day).agg(F.count("*").alias("used"))
 
 
-def cooldown_state(stated: DataFrame) -> DataFrame:
-    return stated.groupBy("scope").agg(F.max("until").alias("until"))
+def cooldown_state(stated: DataFrame, late: str = "48 hours") -> DataFrame:
+    """The latest stated end per scope and day of that end; a day's state goes once it is past."""
+    return stated.withWatermark("until", late).groupBy(F.window("until", "1 day"), "scope").agg(F.max("until").alias("until")).select("scope", "until")
 
 
-@dataclass
-class Limiter:
-    """Admission by a rolling minute: the caller's clock, one ledger per scope."""
+class Minute:
+    """What was admitted in the last minute of one scope, as sorted times and tokens.
 
-    rpm: int
-    tpm: int
-    past: list[tuple[float, int]] = field(default_factory=list)
+    Both limits name a time from which a request fits: when the request ``rpm`` places from the end expires, and when
+    the first request expires whose running sum covers the tokens in excess. The later of both is the admission; there is nothing to wait for twice.
+    """
 
-    def wait(self, now: float, tokens: int) -> float:
-        self.past = [(t, n) for t, n in self.past if t > now - 60]
-        wait = self.past[-self.rpm][0] + 60 - now if len(self.past) >= self.rpm else 0.0
-        used = sum(n for _, n in self.past)
-        for sent, n in self.past:
-            if used + tokens <= self.tpm:
-                break
-            wait, used = max(wait, sent + 60 - now), used - n
-        return max(wait, 0.0)
+    def __init__(self, rpm: int, tpm: int, times: list[float] | None = None, tokens: list[int] | None = None) -> None:
+        self.rpm, self.tpm = rpm, tpm
+        self.times, self.tokens = np.array(times or [], np.float64), np.array(tokens or [], np.int64)
 
-    def admit(self, now: float, tokens: int) -> tuple[float, float]:
-        """``(when, waited)``; a request beyond the whole limit is never admitted."""
+    def admit(self, at: float, tokens: int) -> float:
+        """When the request goes out; infinite, and not kept, if it is beyond the whole limit."""
         if tokens > self.tpm:
-            return (float("inf"), float("inf"))
-        when = now
-        while (more := self.wait(when, tokens)) > 0:
-            when += max(more, 1e-6)  # rounding must not stop the clock
-        self.past.append((when, tokens))
-        self.past.sort()
-        return when, when - now
+            return float("inf")
+        live = np.searchsorted(self.times, at - MINUTE, side="right")
+        times, held = self.times[live:], self.tokens[live:]
+        upto = np.cumsum(held)
+        free = [at]
+        if len(times) >= self.rpm:
+            free.append(times[-self.rpm] + MINUTE)
+        excess = upto[-1] + tokens - self.tpm if len(upto) else 0
+        if excess > 0:
+            free.append(times[np.searchsorted(upto, excess)] + MINUTE)
+        when = float(max(free))
+        place = np.searchsorted(times, when, side="right")
+        self.times, self.tokens = np.insert(times, place, when), np.insert(held, place, tokens)
+        return when
+
+
+ADMITTED = "scope string, at double, tokens long, admitted double, waited double"
+
+
+def _admitted(scope: str, rows: pd.DataFrame, own: Minute) -> pd.DataFrame:
+    at, tokens = rows["at"].to_numpy(np.float64), rows["tokens"].to_numpy(np.int64)
+    when = np.fromiter(map(own.admit, at.tolist(), tokens.tolist()), np.float64, len(at))
+    return pd.DataFrame({"scope": scope, "at": at, "tokens": tokens, "admitted": when, "waited": when - at})
 
 
 def admission_replay(requests: DataFrame, rpm: int, tpm: int) -> DataFrame:
     """The table form of ``admissions``: each scope in the order of its requests, state of one minute."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scope, own = None, Limiter(rpm, tpm)
+        scope, own = None, Minute(rpm, tpm)
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                if r.scope != scope:
-                    scope, own = r.scope, Limiter(rpm, tpm)
-                rows.append((scope, r.at, r.tokens, *own.admit(r.at, r.tokens)))
-            yield pd.DataFrame(rows, columns=["scope", "at", "tokens", "admitted", "waited"])
+            for name, rows in pdf.groupby("scope", sort=False):
+                if name != scope:
+                    scope, own = name, Minute(rpm, tpm)
+                yield _admitted(name, rows, own)
 
     sorted_rows = requests.select("scope", "at", "tokens").repartition("scope").sortWithinPartitions("scope", "at", "tokens")
-    return sorted_rows.mapInPandas(fold, "scope string, at double, tokens long, admitted double, waited double")
+    return sorted_rows.mapInPandas(fold, ADMITTED)
 
 
-def admissions(requests: DataFrame, rpm: int, tpm: int) -> DataFrame:
+def admissions(requests: DataFrame, rpm: int, tpm: int, late: str = "1 hour") -> DataFrame:
     """Stream ``scope, at (seconds), tokens`` to ``scope, at, tokens, admitted, waited``.
 
-    The state of a scope is the minute behind it, at most ``rpm`` rows.
+    The state of a scope is the minute behind it, at most ``rpm`` rows. It goes when the watermark, ``late`` behind the newest
+    request, has passed the minute after its last admission; requests later than that are dropped.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = Limiter(rpm, tpm, [tuple(x) for x in zip(*state.get)] if state.exists else [])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        own = Minute(rpm, tpm, *(state.get if state.exists else ()))
         for pdf in batches:
-            rows = [(key[0], at, n, *own.admit(at, n)) for at, n in pdf.sort_values("at")[["at", "tokens"]].itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=["scope", "at", "tokens", "admitted", "waited"])
-        state.update(([t for t, _ in own.past], [n for _, n in own.past]))
-
-    return requests.groupBy("scope").applyInPandasWithState(step, "scope string, at double, tokens long, admitted double, waited double", "times array<double>, tokens array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
-@dataclass
-class Controller:
-    """Limits that give way on errors and recover on runs of successes."""
-
-    ceiling_tpm: int
-    ceiling_rpm: int
-    ceiling_workers: int
-    batch: int
-    max_batch: int
-    tpm: int = 0
-    rpm: int = 0
-    workers: int = 0
-    ratio: float = 1.65
-    batch_run: int = 0
-    quota_run: int = 0
-    throttled: bool = False
-
-    def __post_init__(self) -> None:
-        self.tpm = self.tpm or self.ceiling_tpm
-        self.rpm = self.rpm or self.ceiling_rpm
-        self.workers = self.workers or self.ceiling_workers
-
-    def see(self, event: str, kind: str | None = None, source: int = 0, output: int = 0, overhead: int = 0, size: int = 0) -> Controller:
-        """``event``: success, quota or invalid."""
-        if event != "success":
-            self.batch_run = self.quota_run = 0
-        if event == "invalid":
-            self.batch = max(512, int(self.batch * 0.9))
-        elif event == "quota":
-            self.throttled = True
-            if kind not in ("rpm", "daily", "zero"):
-                self.tpm = max(512, int(self.tpm * 0.9))
-            if kind not in ("tpm", "daily", "zero"):
-                self.rpm, self.workers = max(1, int(self.rpm * 0.8)), max(1, self.workers - 1)
-        elif event == "success":
-            self._succeed(source, output, overhead, size)
-        return self
-
-    def _succeed(self, source: int, output: int, overhead: int, size: int) -> None:
-        self.batch_run += 1
-        self.quota_run += 1
-        if source and output:
-            seen = max(0, output - overhead) / source
-            self.ratio = min(4.0, max(1.5, seen * 1.1, self.ratio * 0.98))
-        if self.batch_run >= 10:
-            if size >= self.batch * 0.8:
-                self.batch = min(self.max_batch, self.batch + 2000)
-            self.batch_run = 0
-        if self.quota_run >= (20 if self.throttled else 10):
-            self.tpm = min(self.ceiling_tpm, -(-self.tpm * 104 // 100))
-            if self.throttled:
-                self.rpm = min(self.ceiling_rpm, self.rpm + 1)
-                self.workers = min(self.ceiling_workers, self.workers + 1)
-                self.throttled = self.tpm < self.ceiling_tpm or self.rpm < self.ceiling_rpm
-            self.quota_run = 0
-
-
-def calibrated(factor: float, estimated: int, actual: int) -> float:
-    """The estimator's factor after one measurement: up at once, down by a tenth of the way."""
-    seen = factor * actual / max(1, estimated)
-    return min(10.0, max(0.1, seen if seen > factor else 0.9 * factor + 0.1 * seen))
+            yield _admitted(key[0], pdf.sort_values(["at", "tokens"]), own)
+        state.update((own.times.tolist(), own.tokens.tolist()))
+        if len(own.times):
+            state.setTimeoutTimestamp(max(int((own.times[-1] + MINUTE) * 1000), state.getCurrentWatermarkMs() + 1))
 
+    timed = requests.withColumn("_time", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).withWatermark("_time", late)
+    return timed.groupBy("scope").applyInPandasWithState(step, ADMITTED, "times array<double>, tokens array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
-def controller_replay(events: DataFrame, **limits: int) -> DataFrame:
-    """``scope`` and the controller's state after all of its ``at, event, kind, source, output, overhead, size`` rows."""
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, own, out = None, None, []
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if r.scope != now:
-                    if own is not None:
-                        out.append((now, own.tpm, own.rpm, own.workers, own.batch, own.ratio))
-                    now, own = r.scope, Controller(**limits)
-                own.see(r.event, r.kind, int(r.source or 0), int(r.output or 0), int(r.overhead or 0), int(r.size or 0))
-        if own is not None:
-            out.append((now, own.tpm, own.rpm, own.workers, own.batch, own.ratio))
-        yield pd.DataFrame(out, columns=["scope", "tpm", "rpm", "workers", "batch", "ratio"])
-
-    rows = events.select("scope", "at", "event", "kind", "source", "output", "overhead", "size")
-    return rows.repartition("scope").sortWithinPartitions("scope", "at").mapInPandas(fold, "scope string, tpm long, rpm long, workers long, batch long, ratio double")
+# ---- the adaptive controller ------------------------------------------------------------------------
+
+#: Fixed values of the controller: floors, steps and run lengths.
+FLOOR, KEEP_ON_ERROR, KEEP_RPM, BATCH_STEP, RAISE = 512, 0.9, 0.8, 2000, 1.04
+RUN, CAREFUL_RUN, FULL = 10, 20, 0.8
+RATIO_START, RATIO_LOW, RATIO_HIGH, RATIO_MARGIN, RATIO_DECAY = 1.65, 1.5, 4.0, 1.1, 0.98
+
+
+def expansion_ratio(events: DataFrame) -> DataFrame:
+    """Adds ``ratio``: the assumed output per input after each event of ``scope, at, event, source, output, overhead``.
+
+    A ratio is the largest of its floor, the measured one with a margin, and the one before less a fiftieth. So after n measurements
+    it is the maximum over all of them of value times decay to the power of its age: a running maximum of logarithms.
+    """
+    order = Window.partitionBy("scope").orderBy("at")
+    measured = (F.col("event") == "success") & (F.coalesce("source", F.lit(0)) > 0) & (F.coalesce("output", F.lit(0)) > 0)
+    seen = F.greatest(F.lit(0), F.col("output") - F.coalesce("overhead", F.lit(0))) / F.col("source")
+    value = F.when(measured, F.least(F.lit(RATIO_HIGH), F.greatest(F.lit(RATIO_LOW), seen * RATIO_MARGIN)))
+    aged = events.withColumn("_age", F.count(F.when(measured, 1)).over(order)).withColumn("_value", value)
+    slope = -float(np.log(RATIO_DECAY))
+    best = F.max(F.log("_value") + F.col("_age") * slope).over(order)
+    return aged.withColumn("ratio", F.exp(F.greatest(F.coalesce(best, F.lit(0.0)), F.lit(float(np.log(RATIO_START)))) - F.col("_age") * slope)).drop("_age", "_value")
+
+
+def transitions(s: Column, e: Column, ceiling_tpm: int, ceiling_rpm: int, ceiling_workers: int, max_batch: int, auto_tune: bool) -> dict[str, Column]:
+    """The next value of each field of the state ``s`` on an event ``e``, all from the values before."""
+    tuned, done = F.lit(auto_tune), e["event"] == "success"
+    short, quiet = s["batch_run"] + 1, s["quota_run"] + 1
+    eased = done & F.when(s["throttled"], quiet >= CAREFUL_RUN).otherwise(tuned & (quiet >= RUN))
+    back = eased & s["throttled"]
+    kind = F.coalesce(e["kind"], F.lit("unknown"))
+    off_tokens = (e["event"] == "quota") & kind.isin("tpm", "unknown")
+    off_requests = (e["event"] == "quota") & kind.isin("rpm", "unknown")
+    tpm = F.when(eased, F.least(F.lit(ceiling_tpm), F.ceil(s["tpm"] * RAISE))).when(off_tokens, F.greatest(F.lit(FLOOR), F.floor(s["tpm"] * KEEP_ON_ERROR))).otherwise(s["tpm"])
+    rpm = F.when(back, F.least(F.lit(ceiling_rpm), s["rpm"] + 1)).when(off_requests, F.greatest(F.lit(1), F.floor(s["rpm"] * KEEP_RPM))).otherwise(s["rpm"])
+    grown = done & (short >= RUN) & tuned & (F.coalesce(e["size"], F.lit(0)) >= s["batch"] * FULL)
+    return {
+        "tpm": tpm, "rpm": rpm,
+        "workers": F.when(back, F.least(F.lit(ceiling_workers), s["workers"] + 1)).when(off_requests, F.greatest(F.lit(1), s["workers"] - 1)).otherwise(s["workers"]),
+        "batch": F.when(grown, F.least(F.lit(max_batch), s["batch"] + BATCH_STEP)).when((e["event"] == "invalid") & tuned, F.greatest(F.lit(FLOOR), F.floor(s["batch"] * KEEP_ON_ERROR))).otherwise(s["batch"]),
+        "batch_run": F.when(done, short % RUN).otherwise(0),
+        "quota_run": F.when(done & ~eased, quiet).otherwise(0),
+        "throttled": F.when(e["event"] == "quota", True).when(back, (tpm < ceiling_tpm) | (rpm < ceiling_rpm)).otherwise(s["throttled"]),
+    }
+
+
+def controller_replay(events: DataFrame, ceiling_tpm: int, ceiling_rpm: int, ceiling_workers: int, batch: int, max_batch: int, auto_tune: bool = True) -> DataFrame:
+    """``scope, tpm, rpm, workers, batch, ratio`` after all of its ``at, event, kind, source, output, overhead, size`` rows
+    (``event``: success, quota or invalid).
+
+    A scope's events are gathered in order: the ledger keeps two days of a key, so their number is bounded by its daily limit.
+    """
+    fields = {"tpm": ceiling_tpm, "rpm": ceiling_rpm, "workers": ceiling_workers, "batch": batch, "batch_run": 0, "quota_run": 0}
+    start = F.struct(*[F.lit(v).cast("long").alias(k) for k, v in fields.items()], F.lit(False).alias("throttled"))
+
+    def step(s: Column, e: Column) -> Column:
+        after = transitions(s, e, ceiling_tpm, ceiling_rpm, ceiling_workers, max_batch, auto_tune)
+        return F.struct(*[(after[k].cast("long") if k in fields else after[k]).alias(k) for k in (*fields, "throttled")])
+
+    rated = expansion_ratio(events)
+    own = rated.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("at", "event", "kind", "size"))).alias("_events"), F.max_by("ratio", "at").alias("ratio"))
+    end = own.withColumn("_end", F.aggregate("_events", start, step))
+    return end.select("scope", "_end.tpm", "_end.rpm", "_end.workers", "_end.batch", "ratio")
+
+
+def calibrated(factor: Column, estimated: Column, actual: Column) -> Column:
+    """The estimator's factor after one measurement: up at once, down by a tenth of the way."""
+    seen = factor * actual / F.greatest(F.lit(1), estimated)
+    return F.greatest(F.lit(0.1), F.least(F.lit(10.0), F.greatest(seen, factor * 0.9 + seen * 0.1)))

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -39,20 +40,64 @@ def test_days_corrections_keys(spark):
     assert ledger.next_key(keys, used, 0, 0).first()["scope"] is None and ledger.keys_available(keys, used, 5).first()["available"] == 2
 
 
-def test_limiter_and_controller():
-    own = live.Limiter(2, 100)
-    assert own.admit(0, 60) == (0, 0) and own.admit(1, 30) == (1, 0)
-    assert own.admit(2, 20)[0] == pytest.approx(60, abs=1e-3)
-    assert own.admit(2, 101)[0] == float("inf")
-    c = live.Controller(1000, 10, 4, 2000, 4000)
-    c.see("quota", "tpm")
-    assert (c.tpm, c.rpm, c.workers) == (900, 10, 4)
-    c.see("quota")
-    assert (c.tpm, c.rpm, c.workers) == (810, 8, 3)
-    for _ in range(20):
-        c.see("success", source=100, output=300, size=2000)
-    assert c.rpm == 9 and c.workers == 4 and c.tpm == 843 and c.batch == 4000 and c.ratio == pytest.approx(3.3)
-    assert live.calibrated(1.0, 100, 150) == 1.5 and live.calibrated(1.0, 100, 50) == pytest.approx(0.95)
+def test_token_waits_like_a_scan(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice("ab"), rng.choice([0, 0.5, 1]) * rng.randint(0, 400), rng.choice([0, 5, 20, 60, 130])) for _ in range(300)]
+    df = requests(spark, rows)
+    sent = sorted((s, at, i, n) for i, (s, at, n) in enumerate(rows))
+    want = {}
+    for s, at, i, n in sent:
+        past = [(t, m) for r, t, j, m in sent if r == s and at - 60 < t and (t, j) < (at, i)]
+        soft, total, wait = min(120, max(n, int(100 + min(2.0, n * 0.05)))), sum(m for _, m in past), 0
+        for t, m in past:
+            if total + n <= soft:
+                break
+            total, wait = total - m, t + 60 - at
+        want[i] = max(0, wait)
+    got = {r["request_id"]: r["wait"] for r in ledger.tpm_waits(df, 100, 120).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_admissions_keep_both_limits():
+    own = live.Minute(2, 100)
+    assert own.admit(0, 60) == 0 and own.admit(1, 30) == 1
+    assert own.admit(2, 20) == 60 and own.admit(2, 101) == float("inf")
+    rng = random.Random(3)
+    own, out, at = live.Minute(5, 100), [], 0.0
+    for _ in range(400):
+        at += rng.choice([0, 1, 4, 30])
+        n = rng.choice([1, 10, 40, 90])
+        out.append((own.admit(at, n), n, at))
+    for when, n, at in out:
+        assert when >= at
+        inside = [m for t, m, _ in out if when - 60 < t <= when]
+        assert len(inside) <= 5 and sum(inside) <= 100
+
+
+def test_controller(spark):
+    def end(events, **more):
+        rows = [("s", i, *e, *([None] * (6 - len(e)))) for i, e in enumerate(events)]
+        df = spark.createDataFrame(rows, "scope string, at long, event string, kind string, source long, output long, overhead long, size long")
+        r = live.controller_replay(df, **{"ceiling_tpm": 1000, "ceiling_rpm": 10, "ceiling_workers": 4, "batch": 2000, "max_batch": 4000, **more}).first()
+        return (r["tpm"], r["rpm"], r["workers"], r["batch"]), r["ratio"]
+
+    good = ("success", None, 100, 300, 0, 2000)
+    assert end([("quota", "tpm")]) == ((900, 10, 4, 2000), pytest.approx(1.65))
+    assert end([("quota", "tpm"), ("quota",)])[0] == (810, 8, 3, 2000)
+    state, ratio = end([("quota", "tpm"), ("quota",)] + [good] * 20)
+    assert state == (843, 9, 4, 4000) and ratio == pytest.approx(3.3)
+    assert end([("quota", "daily"), ("invalid",)])[0] == (1000, 10, 4, 1800)
+    # without tuning errors of quota still count, and what they took comes back; batches and free limits rest
+    assert end([("invalid",)] + [good] * 30, auto_tune=False)[0] == (1000, 10, 4, 2000)
+    assert end([("quota", "rpm")] + [good] * 20, auto_tune=False)[0] == (1000, 9, 4, 2000)
+    low = ("success", None, 100, 100, 0, 0)
+    assert end([good] + [low] * 5)[1] == pytest.approx(3.3 * 0.98**5) and end([low])[1] == pytest.approx(1.65 * 0.98)
+
+
+def test_calibration(spark):
+    rows = spark.createDataFrame([(1.0, 100, 150), (1.0, 100, 50), (1.0, 0, 5000)], "factor double, estimated long, actual long")
+    got = [r[0] for r in rows.select(live.calibrated(F.col("factor"), F.col("estimated"), F.col("actual"))).collect()]
+    assert got == pytest.approx([1.5, 0.95, 10.0])
 
 
 def test_stream_counts_like_the_table(spark, tmp_path):
@@ -68,7 +113,7 @@ def test_stream_counts_like_the_table(spark, tmp_path):
 
 
 def test_stateful_admissions_like_the_replay(spark, tmp_path):
-    df = spark.createDataFrame([("a", float(i), 30) for i in range(6)] + [("b", 0.0, 30)], "scope string, at double, tokens long")
+    df = spark.createDataFrame([("a", 1e6 + i, 30) for i in range(6)] + [("b", 1e6, 30)], "scope string, at double, tokens long")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     q = live.admissions(stream, 2, 100).writeStream.outputMode("append").format("memory").queryName("admitted").option("checkpointLocation", str(tmp_path / "c2")).start()
@@ -76,3 +121,17 @@ def test_stateful_admissions_like_the_replay(spark, tmp_path):
     q.stop()
     key = lambda rows: sorted((r["scope"], r["at"], round(r["admitted"], 3)) for r in rows)
     assert key(spark.table("admitted").collect()) == key(live.admission_replay(df, 2, 100).collect())
+
+
+def test_stored_state_and_keys(spark):
+    state = spark.createDataFrame([("m", "local-rpd-limits", '{"gemma": "250", "x": 20}'), ("m", "other", "junk")], "scope string, key string, payload string")
+    assert {r["name"]: r["value"] for r in ledger.stored_limits(state, "m").collect()} == {"gemma": 250, "x": 20}
+    assert ledger.stored_state(state, "m", "other").where("size(payload) > 0").count() == 0 and ledger.stored_limits(state, "n").count() == 0
+    df = requests(spark, [("a", 0, 1), ("a", -86400, 1), ("b", 5, 1)])
+    row = ledger.stored_usage(df, "a", "2024-05-01 13:00:00").first()
+    assert row["used"] == 1 and str(row["resets"]) == "2024-05-02 07:00:00"
+    daily = spark.createDataFrame([("a", 3), ("b", 1)], "scope string, used long")
+    assert {r["scope"]: r["used"] for r in ledger.exhausted(daily, "b", 20).collect()} == {"a": 3, "b": 20}
+    assert {r["scope"]: r["used"] for r in ledger.exhausted(daily, "c", 20).collect()} == {"a": 3, "b": 1, "c": 20}
+    more = df.where("request_id > 1").withColumn("request_id", F.col("request_id") + 1).union(df.where("request_id = 0"))
+    assert sorted(r["request_id"] for r in ledger.append(df, more).collect()) == [0, 1, 2, 3]

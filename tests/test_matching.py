@@ -1,3 +1,4 @@
+import random
 import re
 
 from loomspan.operators import matching as m
@@ -41,3 +42,34 @@ def test_audit_needs_alignment(spark):
     assert status.first()["status"] == "verified" and found.count() == 1
     status, found = m.audit_pair(source, source.where("unit_ord = 0"), terms)
     assert status.first()["status"] == "unverifiable" and found.count() == 0
+
+
+def test_large_glossaries_are_shuffled_alike(spark):
+    rng = random.Random(5)
+    words = ["a", "b", "c-d", "é", "x", "(y)", "z."]
+    units = spark.createDataFrame([(str(i), " ".join(rng.choice(words) for _ in range(30))) for i in range(30)], "unit_id string, text string")
+    terms = spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))),) for _ in range(60)], "term string")
+    known = m.phrases(terms)
+    small, large = (sorted(map(tuple, m.occurrences(units, known, broadcast_terms=n).collect())) for n in (1000, 0))
+    assert small == large
+    want = set()
+    for u in units.collect():
+        for t in {r["term"] for r in terms.collect()}:
+            if re.search(r"(?<!\w)" + r"\s+".join(map(re.escape, t.split())) + r"(?!\w)", u["text"]):
+                want.add((u["unit_id"], t))
+    assert {(u, p) for u, p, *_ in small} == want
+
+
+def test_a_term_does_not_overlap_itself(spark):
+    units = spark.createDataFrame([("u", "go go go go go, GO  go")], "unit_id string, text string")
+    assert m.occurrence_counts(units, spark.createDataFrame([("go go",)], "term string")).first()["n"] == 3
+
+
+def test_audit_summary(spark):
+    fields = "unit_ord long, document string, text string"
+    source = spark.createDataFrame([(0, "a", "Hunter Hunter"), (1, "a", "a Hunter")], fields)
+    terms = spark.createDataFrame([(0, "Hunter", "Pemburu")], TERMS)
+    output = spark.createDataFrame([(0, "a", "Pemburu x"), (1, "a", "Pemburu")], fields)
+    status, found = m.audit_pair(source, output, terms)
+    row = m.audit_summary(status, found, source.selectExpr("cast(unit_ord as string) as unit_id", "text"), terms).first()
+    assert (row["status"], row["occurrences"], row["missed"], row["units_at_fault"]) == ("verified", 3, 1, 1) and abs(row["compliance"] - 2 / 3) < 1e-9

@@ -110,3 +110,63 @@ def test_progress(spark):
     assert (row["total_words"], row["done_words"], row["requests_remaining"], row["quota_short"]) == (3, 2, 1, True)
     assert u.progress(runs.limit(0)).first()["total_chars"] == 0
     assert F is not None
+
+
+def test_bad_books_are_set_aside(spark, tmp_path):
+    locked = io.BytesIO()
+    with zipfile.ZipFile(locked, "w") as z:
+        z.writestr("META-INF/encryption.xml", '<encryption xmlns="e"><EncryptedData><EncryptionMethod Algorithm="urn:secret"/><CipherData><CipherReference URI="a.xhtml"/></CipherData></EncryptedData></encryption>')
+    (tmp_path / "one.epub").write_bytes(archive())
+    (tmp_path / "two.epub").write_bytes(archive(["../up"]))
+    (tmp_path / "bad.epub").write_bytes(b"no archive")
+    (tmp_path / "none.epub").write_bytes(archive()[:200])
+    (tmp_path / "locked.epub").write_bytes(locked.getvalue())
+    rows = books.documents(books.archives(spark, str(tmp_path))).collect()
+    faults = {r["path"].rsplit("/", 1)[1]: r["fault"] for r in rows if r["fault"]}
+    assert set(faults) == {"two.epub", "bad.epub", "none.epub", "locked.epub"} and faults["two.epub"] == "member: path" and faults["locked.epub"] == "encrypted"
+    assert sum(r["fault"] is None for r in rows) == 2
+
+
+def test_text_by_its_stated_encoding():
+    assert books.decoded_text("é".encode("utf-16")) == "é" and books.decoded_text(b"\xef\xbb\xbfa") == "a"
+    assert books.decoded_text(b'<?xml version="1.0" encoding="iso-8859-1"?><p>\xe9</p>').endswith("<p>é</p>")
+    assert books.decoded_text(b'<html><meta charset="latin-1"><p>\xe9').endswith("é") and books.decoded_text(b'<meta charset="nope">\xc3\xa9').endswith("é")
+    assert books.encrypted_entries(b'<e><EncryptedData><EncryptionMethod Algorithm="x"/><CipherReference URI="f"/></EncryptedData></e>') == [("f", "x")]
+
+
+def test_written_archives_are_verified(spark, tmp_path):
+    one = archive()
+    good = books.write_archive(one, {"OEBPS/a.xhtml": b"<p>Z</p>"})
+    bad = books.write_archive(one, {"OEBPS/a.xhtml": b"<p><b>Z</b></p>", "OEBPS/b.xhtml": b"<p>Y</p>"})
+    for folder, data in (("s", one), ("g", good), ("b", bad)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.epub").write_bytes(data)
+    read = {k: books.archives(spark, str(tmp_path / k)).withColumn("path", F.lit("x")) for k in "sgb"}
+    asked = spark.createDataFrame([("x", "OEBPS/a.xhtml")], "path string, name string")
+    source = books.members(read["s"])
+    assert books.written_faults(source, books.members(read["g"]), asked).count() == 0
+    assert [tuple(r) for r in books.written_faults(source, books.members(read["b"]), asked).collect()] == [("x", "OEBPS/b.xhtml", "touched")]
+    docs = {k: books.documents(df) for k, df in read.items()}
+    assert books.skeleton_faults(docs["s"], docs["g"]).count() == 0
+    assert [tuple(r) for r in books.skeleton_faults(docs["s"], docs["b"]).collect()] == [("x", "OEBPS/a.xhtml")]
+
+
+def test_context_of_slots(spark):
+    long = "x " * 2000 + "the slot text" + " y" * 2000
+    slots = spark.createDataFrame([(1, "the  slot text"), (2, "same text"), (3, "alone")], "owner long, text string")
+    owners = spark.createDataFrame([(1, long), (2, " same\n text ")], "owner long, owner_text string")
+    got = {r["owner"]: r["context"] for r in u.with_context(slots, owners).collect()}
+    assert len(got[1]) == 5000 - (5000 - min(5000, len(got[1]))) and "the slot text" in got[1] and got[2] is None and got[3] is None
+
+
+def test_settings_files_and_numbers(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"model": "m", "rpm": 5}')
+    (tmp_path / "q.json").write_text("[1]")
+    got = [r["settings"] for r in files.preferences(spark, str(tmp_path)).collect()]
+    assert sorted(map(len, got)) == [0, 2] and {"model": "m", "rpm": "5"} in got
+    lines = files.numbered(spark.createDataFrame([(k * 7 % 31,) for k in range(31)], "k int"), "k", 5)
+    assert all(r["ord"] == r["k"] for r in lines.collect())
+    from loomspan.functions import text as T
+
+    row = spark.createDataFrame([(1234567, 999, 1500, 90.0)], "a long, b long, c long, d double").select(T.grouped_number("a"), T.compact_number("b"), T.compact_number("c"), T.compact_number(F.lit(2000)), T.minutes_text("d"), T.grouped_number(F.lit(None).cast("long"))).first()
+    assert tuple(row) == ("1,234,567", "999", "1.5K", "2K", "1.5", "—")
