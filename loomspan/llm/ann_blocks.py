@@ -1,24 +1,23 @@
 """Nearest neighbours by a block matrix join with int8 product tiles.
 
-Vectors are dealt into blocks by a hash of their id: queries into Q blocks, candidates into C blocks
-of at most about ``BLOCK`` vectors, and each of the Q x C cells is one task. A cell quantises its rows
-to int8 (one scale a row) and multiplies tiles; int8 products are summed exactly, as all partial sums
-stay below 2**24 in float32. With q = s_q q' + e_q and c = s_c c' + e_c the product obeys
+Vectors are quantised to int8 (one scale a row) and dealt into blocks by a hash of their id: queries into Q blocks, candidates into C blocks,
+and each of the Q x C cells is one task. Only the int8 rows travel, with their scale and norms. A cell multiplies tiles; int8 products are summed exactly, as all partial sums
+stay below 2**24 in float32 for up to 1,000 dimensions (beyond, tiles are float64). With q = s_q q' + e_q and c = s_c c' + e_c the product obeys
 
     |q.c - s_q s_c q'.c'| <= |e_q| |s_c c'| + |q| |e_c|,
 
-so a pair whose upper bound lies below the query's k-th best score so far cannot be among the k best and
-is dropped. Only surviving pairs are recomputed, in double precision on the original components, and
-go to the query's heap. The heaps of all cells of a query are merged by one more bounded heap. The
+so a pair whose upper bound lies below the k-th best lower bound of its query cannot be among the k best and
+is dropped, first within the cell, then among the pairs of all cells. Only surviving pairs fetch the original components; their
+product is recomputed in double precision, and a bounded heap per query merges them. The
 result is exact: recall is 1 by construction.
 
 Equal vectors of a cell are one tile row that carries its k + 1 smallest ids: only those can be in a
 result, so copies cost nothing.
 
 Defined cases: a vector that is null, zero or holds a null or non-finite component takes no part; so
-does a null id; rows repeated under one id are one vector (the smallest by components); vectors of
-another length than the most frequent one are an error of the caller (they are compared within their
-length only); fewer candidates than k: all are returned; ties go to the smaller id.
+does a null id; an empty table gives an empty result; rows repeated under one id are one vector (the smallest by components); vectors of
+different lengths are never compared; very long vectors are taken whole; fewer candidates than k: all are returned; ties go to the smaller id; other columns
+do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,17 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import small_batches
 from loomspan.storage import materialize
 
 K = 20
-BLOCK = 16_384
+#: Candidates of a cell at most, and at least where there are tasks enough.
+BLOCK, SMALL_BLOCK = 131_072, 8_192
 QUERY_BLOCK = 8_192
 TILE_QUERIES = 512
 TILE_ROWS = 4_096
+#: Rounding of bounds, norms and products, relative to the product of the norms.
+SLACK = 1e-9
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,63 +51,77 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return q.astype(np.int8), scale, np.linalg.norm(stands, axis=1), np.linalg.norm(x - stands, axis=1)
 
 
-def _collapse(ids: np.ndarray, x: np.ndarray, keep: int) -> tuple[np.ndarray, list[list[int]]]:
-    """Distinct rows and the ``keep`` smallest ids of each."""
-    order = np.lexsort((ids, *x.T[::-1]))
-    ids, x = ids[order], x[order]
-    cuts = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]).any(axis=1)]) if len(x) else np.empty(0, int)
-    return x[cuts], [ids[a : min(a + keep, b)].tolist() for a, b in zip(cuts, [*cuts[1:], len(ids)])]
-
-
-def search_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int = K) -> Iterator[tuple[int, list[tuple[float, int]]]]:
-    """The k best ``(score, id)`` of each query among ``rows``, without the query's own id."""
-    every = max(len(query_ids), 1)
-    uniq, members = _collapse(ids, rows, k + 1)
-    quniq, qmembers = _collapse(query_ids, queries, every)
-    if not len(uniq) or not len(quniq):
-        return
-    c8, cs, cn, ce = quantise(uniq)
-    q8, qs, _, qe = quantise(quniq)
-    qn = np.linalg.norm(quniq, axis=1)
-    slack = 1e-12 * (1 + qn)  # rounding of the bounds themselves
+def quantised(rows: DataFrame) -> DataFrame:
+    """``vec_id, dim, same, code (int8 bytes), scale, stands, miss`` for ``vec_id, v``; ``same`` names equal vectors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for dim, own in pdf.groupby("dim", sort=False):
+                code, scale, stands, miss = quantise(np.stack(own["v"].to_list()))
+                yield pd.DataFrame({"vec_id": own["vec_id"], "dim": dim, "same": own["same"], "code": [c.tobytes() for c in code], "scale": scale, "stands": stands, "miss": miss})
+
+    same = F.concat(F.hex(F.xxhash64("v")), F.hex(F.xxhash64(F.lit(1), "v")))
+    return rows.select("vec_id", "v", F.size("v").alias("dim"), same.alias("same")).mapInPandas(run, "vec_id long, dim int, same string, code binary, scale double, stands double, miss double")
+
+
+def _collapse(rows: pd.DataFrame, keep: int) -> tuple[pd.DataFrame, list[np.ndarray]]:
+    """One row per distinct vector, and the ``keep`` smallest ids of each."""
+    order = rows.sort_values(["same", "vec_id"])
+    head = (order["same"] != order["same"].shift()).to_numpy()
+    cuts = [*np.flatnonzero(head).tolist(), len(order)]
+    ids = order["vec_id"].to_numpy()
+    return order[head], [ids[a : min(a + keep, b)] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def surviving(cand: pd.DataFrame, query: pd.DataFrame, k: int = K) -> pd.DataFrame:
+    """``query_id, vec_id, low, high``: the pairs of a cell that may be among the k best of their query, with their bounds."""
+    none = pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("query_id", "int64"), ("vec_id", "int64"), ("low", "float64"), ("high", "float64"))})
+    if not len(cand) or not len(query):
+        return none
+    uniq, members = _collapse(cand, k + 1)
+    own, askers = _collapse(query, len(query))
+    kind = np.float32 if len(uniq["code"].iat[0]) <= 1000 else np.float64
+
+    def codes(rows: pd.DataFrame) -> np.ndarray:
+        return np.frombuffer(b"".join(rows["code"]), np.int8).reshape(len(rows), -1)
+
+    def numbers(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        return tuple(rows[c].to_numpy() for c in ("scale", "stands", "miss"))
+
+    c8, (cs, cn, ce) = codes(uniq), numbers(uniq)
+    q8, (qs, qn, qe) = codes(own), numbers(own)
     wide = k + 1  # one more: the query's own id may be among them
-    heaps: list[list[tuple[float, int]]] = [[] for _ in quniq]
-    for a in range(0, len(quniq), TILE_QUERIES):
-        qa = slice(a, min(a + TILE_QUERIES, len(quniq)))
-        left = q8[qa].astype(np.float32)
-        floor = np.full(qa.stop - qa.start, -np.inf)
+    out: list[pd.DataFrame] = []
+    for a in range(0, len(own), TILE_QUERIES):
+        qa = slice(a, min(a + TILE_QUERIES, len(own)))
+        left, n = q8[qa].astype(kind), qa.stop - a
+        floor = np.full(n, -np.inf)
+        best = np.empty((n, 0))
+        kept: list[tuple[np.ndarray, ...]] = []
         for b in range(0, len(uniq), TILE_ROWS):
             cb = slice(b, min(b + TILE_ROWS, len(uniq)))
-            tile = (left @ c8[cb].astype(np.float32).T).astype(np.float64)
-            tile *= qs[qa][:, None]
-            tile *= cs[cb][None, :]
-            error = qe[qa][:, None] * cn[cb][None, :] + qn[qa][:, None] * ce[cb][None, :] + slack[qa][:, None]
-            if tile.shape[1] >= wide and np.isneginf(floor).any():
-                sure = np.partition(tile - error, tile.shape[1] - wide, axis=1)[:, tile.shape[1] - wide]
-                floor = np.maximum(floor, sure)
-            at_q, at_c = np.nonzero(tile + error >= floor[:, None])
-            if not len(at_q):
-                continue
-            for part in range(0, len(at_q), 1 << 16):
-                pq, pc = at_q[part : part + (1 << 16)], at_c[part : part + (1 << 16)]
-                exact = np.einsum("ij,ij->i", quniq[a + pq], uniq[b + pc])
-                for i, j, score in zip(pq.tolist(), pc.tolist(), exact.tolist()):
-                    heap = heaps[a + i]
-                    for own in members[b + j]:
-                        item = (score, -own)
-                        if len(heap) < wide:
-                            heapq.heappush(heap, item)
-                        elif item > heap[0]:
-                            heapq.heapreplace(heap, item)
-                        else:
-                            break
-            for i in np.unique(at_q).tolist():
-                if len(heaps[a + i]) == wide:
-                    floor[i] = max(floor[i], heaps[a + i][0][0])
-    for own, heap in zip(qmembers, heaps):
-        best = sorted(heap, reverse=True)
-        for query in own:
-            yield query, [(s, -i) for s, i in best if -i != query][:k]
+            mid = (left @ c8[cb].astype(kind).T).astype(np.float64)
+            mid *= qs[qa][:, None] * cs[cb][None, :]
+            error = qe[qa][:, None] * cn[cb][None, :] + (qn[qa] + qe[qa])[:, None] * ce[cb][None, :]
+            error += SLACK * (qn[qa] + qe[qa])[:, None] * (cn[cb] + ce[cb])[None, :]
+            # beyond the range of doubles a bound says nothing
+            low, high = np.nan_to_num(mid - error, nan=-np.inf, neginf=-np.inf, posinf=np.inf), np.nan_to_num(mid + error, nan=np.inf, neginf=-np.inf, posinf=np.inf)
+            best = np.concatenate([best, low if low.shape[1] <= wide else np.partition(low, low.shape[1] - wide, axis=1)[:, -wide:]], axis=1)
+            if best.shape[1] >= wide:
+                best = np.partition(best, best.shape[1] - wide, axis=1)[:, -wide:]
+                floor = best.min(axis=1)
+            at_q, at_c = np.nonzero(high >= floor[:, None])
+            kept.append((at_q, at_c + b, low[at_q, at_c], high[at_q, at_c]))
+        at_q, at_c, low, high = (np.concatenate(x) for x in zip(*kept))
+        last = high >= floor[at_q]
+        for i, j, lo, hi in zip(at_q[last].tolist(), at_c[last].tolist(), low[last].tolist(), high[last].tolist()):
+            out.append((askers[a + i], members[j], lo, hi))
+    if not out:
+        return none
+    size = np.array([len(q) * len(m) for q, m, _, _ in out])
+    ids = np.concatenate([np.stack(np.meshgrid(q, m, indexing="ij"), -1).reshape(-1, 2) for q, m, _, _ in out])
+    pairs = pd.DataFrame({"query_id": ids[:, 0], "vec_id": ids[:, 1], "low": np.repeat([x[2] for x in out], size), "high": np.repeat([x[3] for x in out], size)})
+    return pairs[pairs["query_id"] != pairs["vec_id"]]
 
 
 def vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -122,23 +137,29 @@ def nearest(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     ``is_query`` is a condition on the column ``vec_id``.
     """
     spark = table.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = materialize(vectors(table, id_col, vector_col))
-    sizes = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    c_blocks, q_blocks = sizes["n"] // block + 1, sizes["q"] // QUERY_BLOCK + 1
+    codes = materialize(quantised(rows))
+    sizes = codes.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
+    q_blocks = sizes["q"] // QUERY_BLOCK + 1
+    c_blocks = max(sizes["n"] // block + 1, min(parts, sizes["n"] // min(block, SMALL_BLOCK) + 1))
 
     def dealt(of: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         at = F.pmod(F.xxhash64("vec_id"), F.lit(n_own)).cast("int").alias(own)
-        return of.select("vec_id", "v", F.size("v").alias("dim"), at, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
+        return of.select("*", at, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
 
-    cells = dealt(rows, "cb", c_blocks, "qb", q_blocks).groupBy("dim", "qb", "cb").cogroup(dealt(rows.where(is_query), "qb", q_blocks, "cb", c_blocks).groupBy("dim", "qb", "cb"))
+    cells = dealt(codes, "cb", c_blocks, "qb", q_blocks).groupBy("dim", "qb", "cb").cogroup(dealt(codes.where(is_query), "qb", q_blocks, "cb", c_blocks).groupBy("dim", "qb", "cb"))
 
     def cell(cand: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
-        if not len(cand) or not len(query):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "best": pd.Series(dtype=object)})
-        found = search_cell(query["vec_id"].to_numpy(), np.stack(query["v"].to_list()), cand["vec_id"].to_numpy(), np.stack(cand["v"].to_list()), k)
-        return pd.DataFrame([(q, [{"score": s, "vec_id": i} for s, i in best]) for q, best in found], columns=["query_id", "best"])
+        return surviving(cand, query, k)
 
-    heaps = cells.applyInPandas(cell, "query_id long, best array<struct<score: double, vec_id: long>>")
+    pairs = cells.applyInPandas(cell, "query_id long, vec_id long, low double, high double")
+    # the k-th best lower bound over all cells; a query's own id is no pair any more
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = materialize(pairs.withColumn("floor", F.nth_value("low", k).over(ranked)).where("floor is null or high >= floor").select("query_id", "vec_id"))
+    sides = left.join(rows.select("vec_id", F.col("v").alias("c")), "vec_id").join(rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    product = F.aggregate(F.zip_with("q", "c", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    scored = sides.select("query_id", "vec_id", product.alias("score"))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by query: one heap at a time."""
@@ -149,19 +170,15 @@ def nearest(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
                 out.append((now, rank, -neg, score))
 
         for pdf in batches:
-            for query, best in zip(pdf["query_id"].tolist(), pdf["best"]):
+            for query, vec, score in zip(pdf["query_id"].tolist(), pdf["vec_id"].tolist(), pdf["score"].tolist()):
                 if query != now:
                     if now is not None:
                         close()
                     now, heap = query, []
-                for x in best:
-                    item = (x["score"], -x["vec_id"])
-                    if len(heap) < k:
-                        heapq.heappush(heap, item)
-                    elif item > heap[0]:
-                        heapq.heapreplace(heap, item)
-                    else:
-                        break
+                if len(heap) < k:
+                    heapq.heappush(heap, (score, -vec))
+                elif (score, -vec) > heap[0]:
+                    heapq.heapreplace(heap, (score, -vec))
             if out:
                 yield pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
                 out = []
@@ -169,8 +186,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
             close()
             yield pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return heaps.repartition(parts, "query_id").sortWithinPartitions("query_id").mapInPandas(merge, "query_id long, rank int, vec_id long, score double")
+    return scored.repartition(parts, "query_id").sortWithinPartitions("query_id").mapInPandas(merge, "query_id long, rank int, vec_id long, score double")
 
 
 def op1_ann_blocks(embeddings: DataFrame) -> DataFrame:

@@ -32,6 +32,25 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
+def hash_sample(known: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """The ``rows`` rows of smallest id hash (all, if fewer). A threshold on the hash goes first, so that about
+    twice as many rows meet in one task, not that many from each partition."""
+    own = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
+    n = known.count()
+    if n > 4 * rows:
+        known = known.where(own < int((1 << 40) * (2 * rows + 1000) / n))
+    return known.orderBy(own, id_col).limit(rows)
+
+
+def one_text_each(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text`` and the other columns of the bounded ``sample`` (``doc_id`` first): of rows that share an id
+    one text, the smallest, so that no id brings more than one row."""
+    label_id = "_sample_id"
+    wanted = sample.select(F.col(sample.columns[0]).alias(label_id), *sample.columns[1:])
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), F.col("doc_id") == F.col(label_id))
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.first(c).alias(c) for c in sample.columns[1:]])
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """``wanted``, each with as many leading underscores as it takes not to clash with a column of ``df``."""
     taken = {c.lower() for c in df.columns}

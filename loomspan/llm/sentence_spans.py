@@ -12,9 +12,8 @@ place) stays, and every sentence that another occurrence covers goes. That order
 each removed sentence always remains. Runs are compared lower-cased (A-Z) and with blanks collapsed. A character
 of a script without blanks counts as a word.
 
-The run table is written once to the shared folder. Counting by hash combines on the map side; the
-repeated hashes, one row each, are written too, and the join against them is a plain equi-join whose left
-side Spark may split when a passage is very common.
+The run table is written once to the shared folder. Counting by hash combines on the map side; only runs that
+repeat go on, by plain equi-joins whose left side Spark may split when a passage is very common.
 
 Defined cases: null or empty text has no sentences and stays as it is; a text of fewer than ``window`` sentences has only the
 long shorter runs; very long texts are hashed whole, one row a sentence; rows that share id and text are one
@@ -103,10 +102,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``runs``: ``window``, ``pair_words``, ``alone_words``.
     """
     found = materialize(span_table(docs, id_col, text_col, **runs))
+    # each side of a join is written before: it then has a plain exchange on either side and a hot run can be split
+    twice = materialize(found.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"))
+    again = materialize(found.join(twice, ["h1", "h2"], "left_semi"))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "start")
-    # written once, so that the join below has a plain exchange on either side and a hot run can be split
-    first = materialize(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"))
-    return found.join(first, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "text_key", "start", "stop")
+    first = materialize(again.groupBy("h1", "h2").agg(F.min(place).alias("first")))
+    return again.join(first, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "text_key", "start", "stop")
 
 
 def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **runs: int) -> DataFrame:

@@ -3,30 +3,33 @@
 Sources in code-point order (null last) weigh 1, 2, 3, 1, 2, 3, ... and share the size of the whole
 table; a target stops at ``MOST`` times its source's size and the excess is shared anew by weight, that
 is, all sources below their cap get the same amount per unit of weight. Each document gets a
-hash-random key. Keys are uniform, so equal slices of the key space are ranges of known, even fill: each
-(source, slice) is sorted by key, sums of the slices are scanned into offsets, and offset plus running
+hash-random key. Documents are range-sorted by source and key, so a source of any size lies in as many ranges as it fills;
+sums of the ranges are scanned into offsets, and offset plus running
 sum is the document's place in its source's stream. The stream is repeated for whole epochs and cut at
-the exact word where the budget ends; the one document at the cut is taken in part.
+the exact word where the budget ends; the one document at the cut is taken in part. Sources are ranked and their
+targets found by the same distributed prefix sums: their number may grow with the table.
 
-Sizes and places are integers, hence reruns agree. Texts never move: only (source, key, id, size)
-rows are shuffled, and a hot source is spread over all slices.
+Sizes and places are integers, hence reruns agree. Texts do not move for the plan: only (source, key, id, size)
+rows are shuffled. ``mixed_documents`` shuffles them once.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; a source of
-size 0 has target 0; rows repeated under one id take consecutive places; an empty table gives an
-empty result; other columns of the input do not matter.
+size 0 has target 0; very long texts are counted whole and may be cut at the budget's end; equal keys go by id (nulls last), then by text; rows repeated
+under one id take consecutive places; an empty table gives an
+empty result; other columns of the input do not matter, whatever their names, and pass through ``mixed_documents``
+(where ``n_chars`` follows the text).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
+from loomspan.llm.common import free_names, row_keys, text_key
 from loomspan.storage import materialize
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
-#: Documents of the whole table per slice of the key space.
-SLICE_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -39,68 +42,83 @@ def random_key(doc_id: Column) -> Column:
     return F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
 
 
+def _ranges(rows: DataFrame) -> int:
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def prefix_sums(rows: DataFrame, order: list[Column], sums: dict[str, str], within: list[str] | None = None) -> DataFrame:
+    """``rows`` plus, for each ``column: name`` of ``sums``, the sum of the column over all rows before in ``order``.
+
+    Rows are range-partitioned by ``order`` and numbered by range; each range is summed for itself, the sums of
+    ranges are scanned into offsets (as many rows as ranges), and both are added. ``within`` (columns without nulls, first in the order) starts
+    the sums anew for each group.
+    """
+    within = within or []
+    own = materialize(rows.repartitionByRange(_ranges(rows), *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = own.groupBy("_range", *within).agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
+    offsets = totals.select("_range", *within, *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_from_{c}") for c in sums])
+    inside = Window.partitionBy("_range", *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = own.join(offsets, ["_range", *within])
+    named = placed.withColumns({name: F.col(f"_from_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c, name in sums.items()})
+    return named.drop("_range", *[f"_from_{c}" for c in sums])
+
+
+def _exact(x: str, digits: int) -> Column:
+    return F.col(x).cast(f"decimal({digits},0)")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``source, source_size, target`` from one row ``source, source_size`` per source.
 
     Sources fill up in the order of cap per weight: with the first k capped, the rest share what is
-    left by weight; k is the least number for which no other source is above its cap.
+    left by weight; k is the least number for which no other source is above its cap. From there on none is.
     """
-    everything = Window.partitionBy()
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    weigh = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    weighed = sizes.withColumn("w", weigh.cast("long")).withColumn("cap", F.col("source_size") * most)
-    # sums of the sources that are capped before this one, and of the weights from this one on
-    fill = Window.orderBy((F.col("cap") / F.col("w")), F.col("source").isNull(), F.col("source"))
-    scanned = (
-        weighed.withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("before", F.coalesce(F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("weights", F.sum("w").over(fill.rowsBetween(0, Window.unboundedFollowing)))
-    )
-    left = F.col("total") - F.col("before")
+    known = sizes.select("source", "source_size", F.col("source").isNull().alias("_none"), F.lit(1).cast("long").alias("_one"))
+    ranked = prefix_sums(known, [F.col("_none"), F.col("source")], {"_one": "_rank"})
+    weigh = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
+    weighed = ranked.withColumn("w", weigh).withColumn("cap", F.col("source_size") * most).withColumn("_fill", F.col("cap") / F.col("w"))
+    filled = materialize(prefix_sums(weighed, [F.col("_fill"), F.col("_none"), F.col("source")], {"cap": "_capped", "w": "_lighter"}))
+    whole = filled.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    if whole["size"] is None:
+        return sizes.select("source", "source_size", F.lit(0.0).alias("target"))
     # uncapped: its share of what the sources before it leave is within its cap
-    free = scanned.withColumn("free", left * F.col("w") <= F.col("cap") * F.col("weights"))
-    level = free.withColumn("k", F.row_number().over(fill)).withColumn("cut", F.min(F.when(F.col("free"), F.col("k"))).over(everything))
-    rest = F.max(F.when(F.col("k") == F.col("cut"), left)).over(everything)
-    share = F.max(F.when(F.col("k") == F.col("cut"), F.col("weights"))).over(everything)
-    target = F.when(F.col("cut").isNull() | (F.col("k") < F.col("cut")), F.col("cap").cast("double")).otherwise((F.col("w") * rest).cast("double") / share)
-    return level.withColumn("target", target).select("source", "source_size", "target")
+    shared = filled.withColumns({"_left": F.lit(whole["size"]) - F.col("_capped"), "_weights": F.lit(whole["w"]) - F.col("_lighter")})
+    free = shared.withColumn("_free", _exact("_left", 20) * _exact("w", 17) <= _exact("cap", 20) * _exact("_weights", 17))
+    cut = free.where("_free").agg(F.min_by(F.struct("_left", "_weights"), F.struct("_fill", "_none", "source")).alias("at")).first()["at"]
+    level = F.lit(None).cast("double") if cut is None else (F.col("w") * cut["_left"]).cast("double") / cut["_weights"]
+    return free.select("source", "source_size", F.when(F.col("_free"), level).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``doc_id, text_key, size, source_size, target, taken, epochs, partial`` for each row of ``docs``.
+    """``doc_id, text_key, source, size, source_size, target, taken, epochs, partial`` for each row of ``docs``.
 
     ``taken = epochs * size + partial``: how often the mix takes the whole text, and how many of its
     first words once more.
     """
-    spark = docs.sparkSession
+    source = F.col(source_col).cast("string")
     narrow = docs.select(
-        F.col(source_col).cast("string").alias("source"),
+        source.isNull().alias("none"),
+        F.coalesce(source, F.lit("")).alias("name"),
         F.col(id_col).cast("long").alias("doc_id"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"),
+        text_key(F.col(text_col)).alias("text_key"),
         word_count(F.col(text_col)).alias("size"),
         random_key(F.col(id_col)).alias("key"),
     )
     rows = materialize(narrow)
-    slices = rows.count() // SLICE_ROWS + 1
-    # the first 32 bits of the key, as a place in the equal slices of the key space
-    rows = rows.withColumn("slice", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(slices) / F.lit(1 << 32)).cast("long"))
-    parts = rows.groupBy("source", "slice").agg(F.sum("size").alias("part"))
-    scan = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.withColumn("offset", F.coalesce(F.sum("part").over(scan), F.lit(0)))
-    targets = source_targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")))
-    known = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select(F.col("o.source").alias("p_source"), F.col("o.slice").alias("p_slice"), "offset", "source_size", "target")
-    joined = rows.join(known, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("slice") == F.col("p_slice")))
-    order = Window.partitionBy("source", "slice").orderBy("key", F.col("doc_id").isNull(), "doc_id", "text_key", "size")
-    before = F.col("offset") + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = materialize(rows.groupBy("none", "name").agg(F.sum("size").alias("source_size")))
+    targets = source_targets(sizes.select(F.when(~F.col("none"), F.col("name")).alias("source"), "source_size"))
+    targets = targets.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "source_size", "target")
+    order = [F.col("none"), F.col("name"), F.col("key"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"), F.col("size")]
+    joined = prefix_sums(rows, order, {"size": "place"}, ["none", "name"]).join(targets, ["none", "name"])
     budget = F.floor(F.col("target")).cast("long")
     placed = (
-        joined.withColumn("place", before)
-        .withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("long"))
+        joined.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("long"))
         .withColumn("left", budget - F.col("epochs") * F.col("source_size"))
         .withColumn("partial", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("place"))))
         .withColumn("taken", F.col("epochs") * F.col("size") + F.col("partial"))
     )
-    return placed.select("doc_id", "text_key", "size", "source_size", "target", "taken", "epochs", "partial")
+    return placed.select("doc_id", "text_key", F.when(~F.col("none"), F.col("name")).alias("source"), "size", "source_size", "target", "taken", "epochs", "partial")
 
 
 def op4_mixing(docs: DataFrame) -> DataFrame:
@@ -108,25 +126,29 @@ def op4_mixing(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _mix_keys(doc_id: Column, key: Column, source: Column) -> list[Column]:
+    k1, k2 = row_keys(doc_id, key)
+    return [k1, F.xxhash64(k2, source.isNull(), source)]
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each text once per epoch, and once more, cut after ``partial`` words, at the budget's end.
 
     Columns as in ``docs``; documents that the mix does not reach are not in it.
     """
-    plan = mix(docs, id_col, text_col, source_col).where("taken > 0").select(F.col("doc_id").alias("_mix_id"), F.col("text_key").alias("_mix_key"), *[F.col(c).alias(f"_mix_{c}") for c in ("size", "epochs", "partial")])
-    # rows repeated whole under one id: one plan row each, numbered on both sides
-    twin = Window.partitionBy("_mix_id", "_mix_key").orderBy("_mix_epochs", "_mix_partial")
-    plan = plan.withColumn("_mix_no", F.row_number().over(twin))
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    keyed = keyed.withColumn("_row_no", F.row_number().over(Window.partitionBy(F.col(id_col), "_row_key").orderBy(F.col(source_col))))
-    met = F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id")) & (F.col("_row_key") == F.col("_mix_key")) & (F.col("_row_no") == F.col("_mix_no"))
-    copies = F.concat(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.col("_mix_epochs"), F.lit(1))), lambda i: F.when(i <= F.col("_mix_epochs"), F.lit(-1).cast("long"))),
-        F.array(F.when(F.col("_mix_partial") == F.col("_mix_size"), F.lit(-1).cast("long")).when(F.col("_mix_partial") > 0, F.col("_mix_partial"))),
-    )
-    opened = keyed.join(plan, met).withColumn("_take", F.explode(F.filter(copies, lambda x: x.isNotNull())))
-    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), 1, F.col("_take").cast("int"))
-    text = F.when(F.col("_take") < 0, F.col(text_col)).otherwise(F.array_join(words, ""))
+    k1, k2, no, own, take, partial = free_names(docs, "k1", "k2", "no", "own", "take", "partial")
+    plan = mix(docs, id_col, text_col, source_col).where("taken > 0")
+    named = plan.select(*[c.alias(k) for c, k in zip(_mix_keys(F.col("doc_id"), F.col("text_key"), F.col("source")), (k1, k2))], F.struct("taken", "epochs", "partial", "size").alias(own))
+    shares = named.groupBy(k1, k2).agg(F.sort_array(F.collect_list(own), asc=False).alias(own))
+    keyed = docs.withColumns(dict(zip((k1, k2), _mix_keys(F.col(id_col), text_key(F.col(text_col)), F.col(source_col).cast("string")))))
+    # rows that share id, text and source are numbered where they meet their shares: one shuffle of the texts
+    plain = [F.col(f.name) for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    numbered = keyed.withColumn(no, F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.xxhash64(*plain))))
+    met = numbered.join(shares, [k1, k2]).withColumn(own, F.get(own, F.col(no) - 1))
+    copies = F.concat(F.array_repeat(F.lit(False), F.col(f"{own}.epochs").cast("int")), F.when(F.col(f"{own}.partial") > 0, F.array(F.col(f"{own}.partial") < F.col(f"{own}.size"))).otherwise(F.array().cast("array<boolean>")))
+    opened = met.withColumn(take, F.explode(copies)).withColumn(partial, F.col(f"{own}.partial").cast("int"))
+    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), F.lit(1), F.col(partial))
+    text = F.when(F.col(take), F.array_join(words, "")).otherwise(F.col(text_col))
     out = opened.withColumn(text_col, text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(F.col(text_col)).cast(docs.schema["n_chars"].dataType))

@@ -1,18 +1,23 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
-Features are hashed: each distinct word of a text, its first five and its first seven letters. From a
-labelled sample (at most ``TRAIN_ROWS`` rows, those of smallest id hash) two passes learn the model:
-class counts of all hashed features choose the at most ``VOCABULARY`` features that mark the toxic
-class most surely, then P(grade > k) = sigmoid(w . x - cut_k) is fitted with one weight vector for all
-ordered cuts. The table labels toxicity 0 or 1; grades refine the toxic class by the density of its
-marked words: grade 0 is a clean label, 1 to 3 are the terciles of marked words per word among toxic
-rows. The result of a text is its expected grade and whether P(grade >= 1) reaches ``REJECT_AT``.
+Features are hashed to 2**20 numbers: each distinct word of a text, its first five and its first seven letters (features
+that share a number count as one). From a labelled sample (at most ``TRAIN_ROWS`` rows, those of smallest id hash, one text per id) the
+model is learnt in two steps: class counts of all hashed features choose every feature
+that marks the toxic class surely (z-value of its log odds at least ``SURE``), then P(grade > k) = sigmoid(w . x - cut_k) is fitted
+with one weight vector for all ordered cuts.
 
-Scoring is one pass without a shuffle; the broadcast model has at most ``VOCABULARY`` weights.
+The table labels toxicity 0 or 1, so severity is this: grade 0 is a clean label; 1 to 3 are the terciles, among toxic
+texts, of how dense a text is in marks. For a grade the marks are those that the *other* half of the sample chose,
+never the text's own half, so a grade is no count of what the text itself taught. The result of a text is its expected grade
+and whether P(grade >= 1) reaches ``REJECT_AT``.
 
-Defined cases: null or empty text has no features and gets the score of an empty text; without any
+Scoring is one pass without a shuffle; the broadcast model has one float per hash number.
+
+Defined cases: null or empty text has no features and gets the score of an empty text; very long texts are read whole; without any
 toxic or without any clean label the model is constant and rejects nothing; repeated labels of one id
-count as toxic if any does; labels that are null do not count; other columns pass through.
+count as toxic if any does, of repeated texts of one labelled id the smallest counts; labels and ids that are null do not teach; rows repeated whole are scored
+each; equal densities share a grade; an empty table gives an empty result; other columns pass through, and where the input has a column of a name that is added here,
+the added one gets leading underscores.
 """
 
 from __future__ import annotations
@@ -28,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import small_batches
+from loomspan.llm.common import free_names, hash_sample, one_text_each, small_batches
+from loomspan.storage import materialize
 
 TRAIN_ROWS = 40_000
-VOCABULARY = 8192
 HASH_BITS = 20
 #: A feature counts as a mark of toxicity from this z-value of its log odds on.
 SURE = 2.5
@@ -59,22 +64,30 @@ def distinct_words(text: str | None) -> set[str]:
 
 @dataclass
 class OrdinalModel:
-    """Weights of the chosen features and the ordered cuts."""
+    """The weight of every hash number (zero where it is no mark) and the ordered cuts."""
 
-    weights: dict[int, float]
+    weights: np.ndarray
+    marks: np.ndarray
     cuts: np.ndarray
     memo: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
+    @classmethod
+    def of(cls, marks: np.ndarray, weights: np.ndarray, cuts: np.ndarray) -> OrdinalModel:
+        """From ascending mark numbers and their weights."""
+        every, known = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS, bool)
+        every[marks], known[marks] = weights, True
+        return cls(every, known, cuts)
+
     def chosen(self, word: str) -> tuple[int, ...]:
         got = self.memo.get(word)
         if got is None:
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            got = self.memo[word] = tuple(f for f in features_of(word) if f in self.weights)
+            got = self.memo[word] = tuple(f for f in features_of(word) if self.marks[f])
         return got
 
     def present(self, text: str | None) -> list[int]:
-        """The chosen features of a text, ascending: sums do not depend on the order of a set."""
+        """The marks in a text, ascending: sums do not depend on the order of a set."""
         found: set[int] = set()
         for word in distinct_words(text):
             if got := self.chosen(word):
@@ -83,25 +96,30 @@ class OrdinalModel:
 
     def above(self, text: str | None) -> np.ndarray:
         """P(grade > k) for k = 0, 1, ..."""
-        z = sum(self.weights[f] for f in self.present(text))
+        z = self.weights[self.present(text)].sum()
         return 1 / (1 + np.exp(np.clip(self.cuts - z, -500, 500)))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """``text, toxic`` of a bounded labelled sample; its ids are few enough to be broadcast."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("_label_id"), "_toxic")
-    return docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_label_id")).select("doc_id", "text", F.col("_toxic").alias("toxic"))
+def constant_model() -> OrdinalModel:
+    none = np.empty(0, np.int64)
+    return OrdinalModel.of(none, np.empty(0), np.array([50.0] * GRADES))
+
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """``doc_id, text, toxic, half`` of a bounded labelled sample, one row per id."""
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    taught = one_text_each(docs, hash_sample(known, "doc_id", rows), "doc_id", "text")
+    return taught.select("doc_id", "text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half"))
 
-def _class_counts(labelled: DataFrame) -> DataFrame:
-    """``feature, pos, neg``: labelled documents of each class that hold a feature."""
+
+def class_counts(labelled: DataFrame) -> DataFrame:
+    """``half, feature, pos, neg``: labelled documents of each class that hold a feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros((2, 1 << HASH_BITS), np.int64)
+        count = np.zeros((2, 2, 1 << HASH_BITS), np.int32)
         memo: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for batch in small_batches(batches):
+            for text, toxic, half in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half"))):
                 own: set[int] = set()
                 for word in distinct_words(text):
                     if (got := memo.get(word)) is None:
@@ -109,12 +127,20 @@ def _class_counts(labelled: DataFrame) -> DataFrame:
                             memo.clear()
                         got = memo[word] = features_of(word)
                     own.update(got)
-                count[1 if toxic else 0, list(own)] += 1
-        at = np.flatnonzero(count.any(axis=0))
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(count[1, at]), pa.array(count[0, at])], ["feature", "pos", "neg"])
+                count[half, 1 if toxic else 0, list(own)] += 1
+        half, at = np.nonzero(count.any(axis=1))
+        yield pa.record_batch([pa.array(half.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(count[half, 1, at].astype(np.int64)), pa.array(count[half, 0, at].astype(np.int64))], ["half", "feature", "pos", "neg"])
+
+    parts = labelled.select("text", "toxic", "half").mapInArrow(run, "half int, feature int, pos long, neg long")
+    return parts.groupBy("half", "feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
 
-    parts = labelled.select("text", "toxic").mapInArrow(run, "feature int, pos long, neg long")
-    return parts.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+def sure_marks(counts: DataFrame, toxic: int, clean: int) -> np.ndarray:
+    """Ascending numbers of the features (``feature, pos, neg``) that mark the toxic class. There are at most 2**HASH_BITS."""
+    pos, neg = F.col("pos") + 0.5, F.col("neg") + 0.5
+    odds = F.log(pos / (toxic + 1.0)) - F.log(neg / (clean + 1.0))
+    sure = counts.where(odds / F.sqrt(1 / pos + 1 / neg) >= SURE)
+    return np.array(sorted(r["feature"] for r in sure.select("feature").collect()), np.int64)
 
 
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, steps: int = 250, l2: float = 5e-5) -> tuple[np.ndarray, np.ndarray]:
@@ -149,46 +175,51 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_featur
     return theta[:n_features], theta[n_features] + np.concatenate([[0], np.cumsum(gap)])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -> OrdinalModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> OrdinalModel:
     """Learn the model from the labelled documents (``labels``: ``doc_id, toxic``)."""
-    labelled = _labelled(docs, labels, rows)
-    total = labelled.groupBy("toxic").count().collect()
-    size = {int(bool(r["toxic"])): r["count"] for r in total}
-    constant = OrdinalModel({}, np.array([50.0] * GRADES))
-    if not size.get(0) or not size.get(1):
-        return constant
-    pos, neg = F.col("pos") + 0.5, F.col("neg") + 0.5
-    odds = F.log(pos / (size[1] + 1.0)) - F.log(neg / (size[0] + 1.0))
-    sure = _class_counts(labelled).withColumn("z", odds / F.sqrt(1 / pos + 1 / neg)).where(F.col("z") >= SURE)
-    picked = sorted(r["feature"] for r in sure.orderBy(F.desc("z"), "feature").limit(vocabulary).collect())
-    if not picked:
-        return constant
-    chooser = docs.sparkSession.sparkContext.broadcast(OrdinalModel(dict.fromkeys(picked, 1.0), np.zeros(GRADES)))
+    spark = docs.sparkSession
+    labelled = materialize(labelled_texts(docs, labels, rows))
+    size = np.zeros((2, 2), np.int64)
+    for r in labelled.groupBy("half", "toxic").count().collect():
+        size[r["half"], int(r["toxic"] > 0)] += r["count"]
+    clean, toxic = size.sum(axis=0).tolist()
+    if not clean or not toxic:
+        return constant_model()
+    counts = materialize(class_counts(labelled))
+    picked = sure_marks(counts.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), toxic, clean)
+    if not len(picked):
+        return constant_model()
+    flat = np.zeros(GRADES)
+    halves = [OrdinalModel.of(m, np.ones(len(m)), flat) for m in (sure_marks(counts.where(F.col("half") == h), int(size[h, 1]), int(size[h, 0])) for h in (0, 1))]
+    chooser = spark.sparkContext.broadcast((OrdinalModel.of(picked, np.ones(len(picked)), flat), halves))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = chooser.value
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
+        model, others = chooser.value
+        for batch in small_batches(batches):
+            texts, half = batch.column("text").to_pylist(), batch.column("half").to_pylist()
             marks = [model.present(t) for t in texts]
-            length = [len(_WORD.findall(t.lower())) if t else 0 for t in texts]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(marks, pa.list_(pa.int32())), pa.array(length, pa.int32())], ["doc_id", "toxic", "marks", "words"])
+            words = [len(_WORD.findall(t.lower())) if t else 0 for t in texts]
+            density = [len(others[1 - h].present(t)) / max(n, 1) for t, h, n in zip(texts, half, words)]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(marks, pa.list_(pa.int32())), pa.array(density, pa.float64())], ["doc_id", "toxic", "marks", "density"])
+
+    got = labelled.mapInArrow(run, "doc_id long, toxic int, marks array<int>, density double").toPandas().sort_values("doc_id")
+    grades = grades_of(got.toxic.to_numpy() > 0, got.density.to_numpy())
+    at = np.searchsorted(picked, np.concatenate([np.asarray(m, np.int64) for m in got.marks]))
+    w, cuts = fit_ordinal(np.repeat(np.arange(len(got)), got.marks.map(len).to_numpy()), at, grades, len(picked))
+    return OrdinalModel.of(picked, w, cuts)
 
-    got = labelled.mapInArrow(run, "doc_id long, toxic int, marks array<int>, words int").toPandas()
-    got = got.assign(n=got.marks.map(len)).sort_values(["doc_id", "toxic", "words", "n"], kind="stable")
-    toxic = got.toxic.to_numpy() > 0
-    density = got.n.to_numpy() / np.maximum(got.words.to_numpy(), 1)
+
+def grades_of(toxic: np.ndarray, density: np.ndarray) -> np.ndarray:
+    """0 for clean rows, the tercile of the density for toxic ones; grades that no row has are closed up."""
     steps = np.quantile(density[toxic], [i / GRADES for i in range(1, GRADES)])
     grades = np.where(toxic, 1 + np.searchsorted(steps, density, side="left"), 0)
-    grades = np.searchsorted(np.unique(grades), grades)  # without the grades that no row has
-    at = {f: i for i, f in enumerate(picked)}
-    cols = np.array([at[f] for marks in got.marks for f in marks], np.int64)
-    w, cuts = fit_ordinal(np.repeat(np.arange(len(got)), got.n.to_numpy()), cols, grades, len(picked))
-    return OrdinalModel({f: float(x) for f, x in zip(picked, w)}, cuts)
+    return np.searchsorted(np.unique(grades), grades)
 
 
 def with_severity(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``severity`` (expected grade), ``p_toxic``, ``grade`` (likeliest) and ``rejected``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    severity, p_toxic, grade, rejected, scored = free_names(docs, "severity", "p_toxic", "grade", "rejected", "scored")
 
     @F.pandas_udf("severity double, p_toxic double, grade int")
     def score(texts: pd.Series) -> pd.DataFrame:
@@ -197,8 +228,14 @@ def with_severity(docs: DataFrame, model: OrdinalModel, text_col: str = "text")
         wide = np.concatenate([np.ones((len(texts), 1)), above, np.zeros((len(texts), 1))], axis=1)
         return pd.DataFrame({"severity": above.sum(axis=1), "p_toxic": above[:, 0], "grade": (wide[:, :-1] - wide[:, 1:]).argmax(axis=1)})
 
-    scored = docs.withColumn("_scored", score(F.col(text_col)))
-    return scored.withColumns({c: F.col(f"_scored.{c}") for c in ("severity", "p_toxic", "grade")}).drop("_scored").withColumn("rejected", F.col("p_toxic") >= REJECT_AT)
+    of = docs.withColumn(scored, score(F.col(text_col)))
+    return of.select(*docs.columns, F.col(f"{scored}.severity").alias(severity), F.col(f"{scored}.p_toxic").alias(p_toxic), F.col(f"{scored}.grade").alias(grade), (F.col(f"{scored}.p_toxic") >= REJECT_AT).alias(rejected))
+
+
+def without_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, with their own columns only."""
+    judged = with_severity(docs, model, text_col)
+    return judged.where(f"not `{judged.columns[-1]}`").select(*docs.columns)
 
 
 def op2_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.llm.ann_blocks import nearest, op1_ann_blocks, quantise, search_cell
+from loomspan.llm.ann_blocks import nearest, op1_ann_blocks, quantise, surviving
 
 
 def brute(rows, is_query, k):
@@ -63,12 +64,29 @@ def test_small_tiles_agree(monkeypatch):
     monkeypatch.setattr(m, "TILE_ROWS", 64)
     monkeypatch.setattr(m, "TILE_QUERIES", 16)
     rng = np.random.default_rng(9)
-    x = rng.standard_normal((500, 12))
-    ids = np.arange(500)
-    rows = list(zip(ids.tolist(), x))
-    want = brute(rows, lambda i: i < 50, 20)
-    for q, best in search_cell(ids[:50], x[:50], ids, x):
-        assert [i for _, i in best] == [i for i, _ in want[q]]
+    x = rng.standard_normal((500, 12)) * 10.0 ** rng.integers(-3, 4, (500, 1))
+    x[100:140] = x[3]
+    code, scale, stands, miss = quantise(x)
+    rows = pd.DataFrame({"vec_id": np.arange(500), "same": [v.tobytes().hex() for v in x], "code": [c.tobytes() for c in code], "scale": scale, "stands": stands, "miss": miss})
+    pairs = surviving(rows, rows[:50], 20)
+    left = set(zip(pairs["query_id"], pairs["vec_id"]))
+    want = brute(list(enumerate(x)), lambda i: i < 50, 20)
+    assert {(q, i) for q, best in want.items() for i, _ in best} <= left and len(left) < 50 * 100
+    exact = {(q, i): float(x[q] @ x[i]) for q, i in left}
+    assert all(lo <= exact[q, i] <= hi for q, i, lo, hi in pairs.itertuples(index=False))
+
+
+def test_huge_and_mixed_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.standard_normal(4 + 2 * (i % 2)) * 10.0 ** rng.integers(-120, 120)).tolist()) for i in range(80)]
+    by_length = {}
+    for i, v in rows:
+        by_length.setdefault(len(v), []).append((i, v))
+    mine = got(op1_ann_blocks(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    want = {}
+    for own in by_length.values():
+        want |= brute(own, lambda i: i % 20 == 0, 20)
+    assert {q: [i for i, _ in best] for q, best in mine.items()} == {q: [i for i, _ in best] for q, best in want.items()}
 
 
 def test_rows_that_take_no_part(spark):
