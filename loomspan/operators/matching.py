@@ -15,6 +15,8 @@ from loomspan.functions import text as T
 
 #: Distinct phrases that may be sent to every executor.
 BROADCAST_TERMS = 50_000
+#: Distinct first tokens that may stand in the plan, to pass over places where no phrase begins.
+FILTER_FIRSTS = 2_000
 
 
 def phrases(rows: DataFrame, column: str = "term", keep_blanks: bool = False) -> DataFrame:
@@ -31,10 +33,17 @@ def occurrences(units: DataFrame, known: DataFrame, text: str = "text", unit: st
     """``unit, phrase, width, at``: every place (token number from 0) of every phrase of ``known`` in the texts,
     overlapping ones of one phrase included."""
     cut = units.select(unit, T.phrase_tokens(text, keep_blanks).alias("_t"))
-    sizes = known.agg(F.count("*").alias("n"), F.collect_set("width").alias("widths")).first()  # as many widths as phrase lengths
+    # as many rows as phrase lengths
+    sizes = known.groupBy("width").agg(F.count("*").alias("n"), F.count_distinct("first").alias("firsts")).collect()
+    n, few = sum(r["n"] for r in sizes), sum(r["firsts"] for r in sizes) <= FILTER_FIRSTS
+    firsts: dict[int, list[str]] = {}
+    for r in known.select("width", "first").distinct().collect() if few else ():
+        firsts.setdefault(r["width"], []).append(r["first"])
 
     def runs(width: int) -> Column:
         places = F.when(F.size("_t") >= width, F.sequence(F.lit(0), F.size("_t") - width)).otherwise(F.array().cast("array<int>"))
+        begins = firsts.get(width)
+        places = F.filter(places, lambda i: F.get("_t", i).isin(begins) if begins else F.get("_t", i) != " ")
 
         def one(i: Column) -> Column:
             own = F.get("_t", i) if width == 1 else F.array_join(F.slice("_t", i + 1, F.lit(width)), "")
@@ -42,11 +51,11 @@ def occurrences(units: DataFrame, known: DataFrame, text: str = "text", unit: st
 
         return F.transform(places, one)
 
-    every = [runs(w) for w in sorted(sizes["widths"])] or [runs(1)]
+    every = [runs(w) for w in sorted(r["width"] for r in sizes)] or [runs(1)]
     opened = cut.select(unit, F.explode(F.concat(*every)).alias("r")).select(unit, "r.*")
     last = F.get("tokens", F.col("width") - 1)
     keyed = known.select("phrase", "width", F.array_join("tokens", "").alias("run"), _is_word(F.col("first")).alias("opens"), _is_word(last).alias("closes"))
-    met = opened.join(F.broadcast(keyed) if sizes["n"] <= broadcast_terms else keyed, ["width", "run"])
+    met = opened.join(F.broadcast(keyed) if n <= broadcast_terms else keyed, ["width", "run"])
     # whole words only: next to a phrase that begins or ends with a mark stands no word; words are whole as tokens
     apart = (F.col("opens") | ~_is_word(F.col("before"))) & (F.col("closes") | ~_is_word(F.col("after")))
     return met.where(apart).select(unit, "phrase", "width", "at")

@@ -437,6 +437,35 @@ def _(spark, sf):
     return judged.select("ord", F.array_join("rules", ",").alias("rules"))
 
 
+def _map_sql(table: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in table.items()) + "}"
+
+
+def _plain_sql(x: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({x}, '')), '[a-zà-ÿ]+')"
+
+
+@query("v_rules_exact", rf"""WITH {S_TERMS}, c AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN term WHEN 1 THEN lower(term) ELSE 'sebuah naga' END AS proposed, CASE WHEN doc_id % 5 = 0 THEN 'not in the text at all' ELSE line END AS quote
+FROM (SELECT doc_id, text, split_part(text, chr(10), 1) AS line, split_part(split_part(text, chr(10), 1), ' ', 1) AS term FROM documents JOIN labels USING (doc_id) WHERE length(text) > 0)),
+a AS (SELECT array_to_string({_plain_sql('term')}, ' ') AS key, min(lower(trim(translation))) AS approved FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ord) AS i FROM terms WHERE approved AND term <> '' AND translation <> '') WHERE i = 1 GROUP BY ALL),
+w AS (SELECT *, array_to_string({_plain_sql('term')}, ' ') AS key, {_plain_sql('term')} AS src, {_plain_sql('proposed')} AS prop, regexp_extract_all(lower(proposed), '[a-zà-ÿ'']+') AS words, array_to_string({_plain_sql('quote')}, ' ') AS said, array_to_string({_plain_sql('text')}, ' ') AS chapter,
+list_filter(regexp_extract_all(term, '[A-Za-zÀ-ÿ'']+'), lambda x: left(x, 1) = upper(left(x, 1)) AND left(x, 1) <> '''' AND NOT list_contains({list(review.HONORIFICS)!r}, lower(x))) AS names FROM c),
+j AS (SELECT w.*, approved, row_number() OVER (PARTITION BY w.key ORDER BY doc_id) AS seen, {_map_sql(review.WORD_MAP)} AS m, {_map_sql(review.TITLES)} AS t FROM w LEFT JOIN a USING (key))
+SELECT doc_id AS ord, array_to_string(list_filter([
+CASE WHEN said = '' OR NOT contains(chapter, said) THEN 'R1' END,
+CASE WHEN len(list_filter(names, lambda x: NOT list_contains(prop, lower(x)) AND NOT (m[lower(x)] IS NOT NULL AND len(list_filter({_plain_sql('m[lower(x)]')}, lambda y: NOT list_contains(prop, y))) = 0))) > 0 THEN 'R2' END,
+CASE WHEN len(list_filter(prop, lambda x: NOT list_contains({list(review.STOPWORDS)!r}, x) AND NOT list_contains(src, x) AND NOT list_contains(flatten(list_transform(src, lambda y: {_plain_sql('m[y]')})), x))) > 0 THEN 'R3' END,
+CASE WHEN seen > 1 THEN 'R4' END,
+CASE WHEN approved <> lower(trim(proposed)) THEN 'R5' END,
+CASE WHEN len(list_filter(names, lambda x: NOT list_contains(words, lower(x)) AND NOT coalesce(contains(lower(proposed), t[lower(x)]), false))) > 0 THEN 'R7' END,
+CASE WHEN trim(term) <> '' AND NOT regexp_matches(quote, '(?i)(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(term) || '($|[^\p{{L}}\p{{N}}_])') THEN 'R8' END], lambda x: x IS NOT NULL), ',') AS rules FROM j""")
+def _(spark, sf):
+    # all rules but R6, whose matching of sequences SQL does not have
+    c = _candidates(spark, sf)
+    judged = review.findings(c.drop("text"), c.select("chapter", "text"), glossary.usable(_terms(spark)))
+    return judged.select("ord", F.array_join(F.array_remove("rules", "R6"), ",").alias("rules"))
+
+
 @query("v9_router", """WITH c AS (SELECT l.doc_id AS ord, l.doc_id % 10 = 0 AS conflict, l.doc_id % 4 = 0 AS dirty, CASE WHEN l.doc_id % 2 = 0 THEN 'person' ELSE 'artifact' END AS category, CASE WHEN quality = 1 THEN CASE WHEN toxic = 0 THEN 'verified' ELSE 'ambiguous' END ELSE 'provisional' END AS v FROM labels l)
 SELECT ord, CASE WHEN ord % 50 = 30 THEN false WHEN conflict OR v = 'ambiguous' THEN false WHEN dirty OR v <> 'verified' OR category <> 'person' THEN false ELSE true END AS approved,
 CASE WHEN ord % 50 = 30 THEN 'rejected' WHEN conflict OR v = 'ambiguous' THEN 'ambiguous' WHEN dirty OR v <> 'verified' OR category <> 'person' THEN CASE WHEN v <> 'verified' THEN v ELSE 'provisional' END ELSE 'verified' END AS status FROM c""")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.operators import glossary
-from loomspan.storage import materialize
+from loomspan.operators.ranges import prefix_sums
 
 HISTORY = "array<struct<translation:string,approved:boolean,status:string,at:string,by:string>>"
 TERM = f"term string, translation string, approved boolean, note string, updated_at string, status string, origin string, source_chapter int, evidence string, suggested_fix string, history {HISTORY}"
@@ -75,11 +75,6 @@ def save_preferences(settings: DataFrame, path: str) -> None:
     settings.select(F.to_json("settings")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def numbered(lines: DataFrame, order: str, ranges: int = 64) -> DataFrame:
-    """Adds ``ord`` from 0 in the order of a column: rows are range-partitioned, numbered within each range, and the
-    counts of the ranges before are added."""
-    ranged = materialize(lines.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_from"))
-    own = Window.partitionBy("_range").orderBy(order)
-    return ranged.join(offsets, "_range").withColumn("ord", F.col("_from") + F.row_number().over(own) - 1).drop("_range", "_from")
+def numbered(lines: DataFrame, order: str) -> DataFrame:
+    """Adds ``ord`` from 0 in the order of a column, counted range by range."""
+    return prefix_sums(lines.withColumn("_one", F.lit(1)), [F.col(order)], {"_one": "ord"}).drop("_one")

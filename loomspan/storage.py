@@ -11,8 +11,10 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextvars import ContextVar
+from pathlib import Path
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,25 @@ _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 _to_release: set[str] = set()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application: functions that run there are found by name."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parent.parent
+    if not root.is_dir():  # imported from an archive: it was shipped before
+        return
+    archive = f"{tempfile.mkdtemp(prefix='loomspan-')}/loomspan.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted((root / "loomspan").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(archive)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session. Where none is set and the master is local, a temporary one is made."""
     named = spark.conf.get("spark.checkpoint.dir", None)

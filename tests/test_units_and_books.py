@@ -30,6 +30,36 @@ def test_chapter_numbers_may_skip(spark):
     assert sorted(r["chapter"] for r in u.chapters(docs).collect()) == [1, 3]
 
 
+def test_prefix_sums(spark, monkeypatch):
+    from loomspan.operators import ranges
+
+    rows = [("abc"[i % 3], (i * 37) % 101, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, k int, v long")
+    for n in (1, 7, 50):
+        monkeypatch.setattr(ranges, "range_count", lambda _: n)
+        got = sorted(tuple(r) for r in ranges.prefix_sums(df, [F.col("g"), F.col("k"), F.col("v")], {"v": "before"}, ["g"]).select("g", "k", "v", "before").collect())
+        assert got == [(g, k, v, sum(x for h, j, x in rows if h == g and (j, x) < (k, v))) for g, k, v in sorted(rows)]
+
+
+def test_numbers_across_ranges(spark):
+    docs = spark.createDataFrame([(i // 2, f"t{i % 5}\nu{i % 3}", "en", [None, "", "b"][i % 3]) for i in range(60)] + [(None, "z", "en", "b")], "doc_id long, text string, lang string, source string")
+    want = {}
+    for r in sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"])):
+        want.setdefault(r["source"], []).append((r["doc_id"], r["text"]))
+    got = {}
+    for r in u.chapters(docs).orderBy("chapter").collect():
+        got.setdefault(r["book"], []).append((r["doc_id"], r["text"]))
+        assert r["chapter"] == len(got[r["book"]])
+    assert got == want
+    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    seen, last = {}, {}
+    rows = {(r["source"], r["doc_id"], r["unit_ord"]): r for r in u.first_marks(u.units(named)).collect()}
+    for key in sorted(rows, key=lambda k: (str(k[0]), k[1], k[2])):
+        r, own = rows[key], seen.setdefault(key[0], {})
+        assert r["context_no"] == own.setdefault(r["text"], len(own)) and r["names_document"] == (last.get(key[0]) != key[1])
+        last[key[0]] = key[1]
+
+
 HTML = '<html lang="en"><head><title>T</title><style>p{}</style></head><body><p>It was a <b>novel</b> poison &amp; more.</p><p translate="no">Not this</p><p lang="fr">Ni cela</p><p><a href="x.html#n">link</a> after<p>open'
 
 
@@ -164,7 +194,7 @@ def test_settings_files_and_numbers(spark, tmp_path):
     (tmp_path / "q.json").write_text("[1]")
     got = [r["settings"] for r in files.preferences(spark, str(tmp_path)).collect()]
     assert sorted(map(len, got)) == [0, 2] and {"model": "m", "rpm": "5"} in got
-    lines = files.numbered(spark.createDataFrame([(k * 7 % 31,) for k in range(31)], "k int"), "k", 5)
+    lines = files.numbered(spark.createDataFrame([(k * 7 % 31,) for k in range(31)], "k int"), "k")
     assert all(r["ord"] == r["k"] for r in lines.collect())
     from loomspan.functions import text as T
 
