@@ -3,7 +3,6 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from loomspan.llm import source_mixing as m
 from loomspan.llm.source_mixing import mix, mixed_documents, op4_mixing, oracle_sql
@@ -43,19 +42,10 @@ def test_targets_and_budgets(documents, monkeypatch):
     assert len(got) == len(rows)
     check(rows, got)
     for ranges in (1, 23):  # the same mix, however many ranges
-        monkeypatch.setattr(m, "_ranges", lambda _: ranges)
+        monkeypatch.setattr("loomspan.operators.ranges.range_count", lambda _: ranges)
         assert sorted(map(str, op4_mixing(documents).collect())) == sorted(map(str, got))
 
 
-def test_prefix_sums(spark, monkeypatch):
-    rows = [("abc"[i % 3], (i * 37) % 101, i) for i in range(200)]
-    df = spark.createDataFrame(rows, "g string, k int, v long")
-    for ranges in (1, 7, 50):
-        monkeypatch.setattr(m, "_ranges", lambda _: ranges)
-        got = sorted(tuple(r) for r in m.prefix_sums(df, [F.col("g"), F.col("k"), F.col("v")], {"v": "before"}, ["g"]).select("g", "k", "v", "before").collect())
-        assert got == [(g, k, v, sum(x for h, j, x in rows if h == g and (j, x) < (k, v))) for g, k, v in sorted(rows)]
-
-
 def test_many_sources(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), f"host{i % 300}") for i in range(900)], "doc_id long, text string, source string")
     check(docs.collect(), op4_mixing(docs).collect())
