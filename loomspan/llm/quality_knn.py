@@ -179,12 +179,15 @@ def fit_votes(docs: DataFrame, labels: DataFrame, rows: int = NEIGHBOURS, dimens
             ["doc_id", "quality", "at", "counts"],
         )
 
-    got = map_arrow(taught.select("doc_id", "text", "quality"), run, "doc_id long, quality int, at array<int>, counts array<double>").toPandas().sort_values("doc_id")
+    got = map_arrow(taught.select("doc_id", "text", "quality"), run, "doc_id long, quality int, at array<int>, counts array<double>").toArrow().sort_by("doc_id").combine_chunks()
     y = (got["quality"].to_numpy() > 0).astype(np.float64)
     if not len(y):
         return VoteModel(np.ones(TERMS), np.zeros((TERMS, dimensions)), np.zeros((0, dimensions)), y, 0.5)
-    terms = [(np.asarray(a, np.int64), np.asarray(c, np.float64)) for a, c in zip(got["at"], got["counts"])]
-    seen = np.bincount(np.concatenate([a for a, _ in terms]), minlength=TERMS)
+    lists = got["at"].combine_chunks()
+    at, counts = lists.flatten().to_numpy().astype(np.int64), got["counts"].combine_chunks().flatten().to_numpy()
+    ends = np.cumsum(lists.value_lengths().to_numpy())
+    terms = [(at[a:b], counts[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    seen = np.bincount(at, minlength=TERMS)
     weight = np.log((1 + len(y)) / (1 + seen)) + 1
     basis = singular_vectors([(a, weighted(a, c, weight)) for a, c in terms], min(dimensions, len(y)))
     model = VoteModel(weight, basis, np.zeros((0, basis.shape[1])), y, float(y.mean()))

@@ -78,6 +78,13 @@ class OrdinalModel:
         every[marks], known[marks] = weights, True
         return cls(every, known, cuts)
 
+    def __getstate__(self) -> tuple:
+        at = np.flatnonzero(self.marks)  # only the marks travel
+        return at, self.weights[at], self.cuts
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__dict__.update(OrdinalModel.of(*state).__dict__)
+
     def chosen(self, word: str) -> tuple[int, ...]:
         got = self.memo.get(word)
         if got is None:
@@ -140,7 +147,7 @@ def sure_marks(counts: DataFrame, toxic: int, clean: int) -> np.ndarray:
     pos, neg = F.col("pos") + 0.5, F.col("neg") + 0.5
     odds = F.log(pos / (toxic + 1.0)) - F.log(neg / (clean + 1.0))
     sure = counts.where(odds / F.sqrt(1 / pos + 1 / neg) >= SURE)
-    return np.array(sorted(r["feature"] for r in sure.select("feature").collect()), np.int64)
+    return np.sort(sure.select("feature").toArrow()["feature"].to_numpy()).astype(np.int64)
 
 
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, steps: int = 250, l2: float = 5e-5) -> tuple[np.ndarray, np.ndarray]:
@@ -202,10 +209,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
             density = [len(others[1 - h].present(t)) / max(n, 1) for t, h, n in zip(texts, half, words)]
             yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(marks, pa.list_(pa.int32())), pa.array(density, pa.float64())], ["doc_id", "toxic", "marks", "density"])
 
-    got = labelled.mapInArrow(run, "doc_id long, toxic int, marks array<int>, density double").toPandas().sort_values("doc_id")
-    grades = grades_of(got.toxic.to_numpy() > 0, got.density.to_numpy())
-    at = np.searchsorted(picked, np.concatenate([np.asarray(m, np.int64) for m in got.marks]))
-    w, cuts = fit_ordinal(np.repeat(np.arange(len(got)), got.marks.map(len).to_numpy()), at, grades, len(picked))
+    got = labelled.mapInArrow(run, "doc_id long, toxic int, marks array<int>, density double").toArrow().sort_by("doc_id").combine_chunks()
+    grades = grades_of(got["toxic"].to_numpy() > 0, got["density"].to_numpy())
+    marks = got["marks"].combine_chunks()
+    rows = np.repeat(np.arange(len(got), dtype=np.int32), marks.value_lengths().to_numpy())
+    w, cuts = fit_ordinal(rows, np.searchsorted(picked, marks.flatten().to_numpy()).astype(np.int32), grades, len(picked))
     return OrdinalModel.of(picked, w, cuts)
 
 
