@@ -192,3 +192,14 @@ def nearest(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
 def op1_ann_blocks(embeddings: DataFrame) -> DataFrame:
     """The 20 nearest of every row whose id is divisible by 20, against all rows."""
     return nearest(embeddings, F.col("vec_id") % 20 == 0)
+
+
+def oracle_sql(k: int = K) -> str:
+    """All pairs in DuckDB SQL, products summed in the order of the components."""
+    return f"""
+WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+v AS (SELECT vec_id, min(v) AS v FROM s WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]), lambda a, b: a + b) AS score
+      FROM v q JOIN v c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p QUALIFY rank <= {k}
+"""

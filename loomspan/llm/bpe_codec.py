@@ -10,7 +10,8 @@ The vocabulary file is read once on the driver (its path is a parameter) and bro
 that of the file. Each Python worker memoises at most ``MEMO`` pre-tokens.
 
 Defined cases: null text counts as empty; the empty text has no ids; equal texts have equal ids;
-strings of special tokens in a text are ordinary text; rows are independent of each other.
+strings of special tokens in a text are ordinary text; texts of any length are encoded whole; rows are independent of each other, repeated ones are encoded
+each; a null id stays null; an empty table gives an empty result; other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ projection: texts are never shuffled, and no Python runs.
 
 Defined cases: null text counts as empty; a text without words has ``n_words`` 0, null places, empty
 labels and score 0; equal texts get equal rows; texts of any length are scanned whole (places of a rule's
-matches and the containment test work by blocks, so thousands of matches in one text stay cheap).
+matches and the containment test work by blocks, so thousands of matches in one text stay cheap); rows repeated
+under one id are scanned each; a null id stays null; an empty table gives an empty result; other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations

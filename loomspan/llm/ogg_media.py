@@ -13,7 +13,8 @@ The Ogg checksum (polynomial 0x04C11DB7, most significant bit first, zero start)
 the usual CRC-32 over bit-mirrored bytes, so the C implementation does the work.
 
 Defined cases: null text counts as empty; an empty text is stored as 64 zero bytes; equal texts give equal
-bytes; texts of any length are handled one at a time.
+bytes; texts of any length are handled whole, one at a time; rows repeated under one id are stored each; a null id stays null; an empty table gives
+an empty result; other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import license_scan, source_mixing
+from loomspan.llm import ann_blocks, license_scan, sentence_spans, source_mixing
 from loomspan.llm.ann_blocks import op1_ann_blocks
 from loomspan.llm.bpe_codec import op6_bpe
 from loomspan.llm.common import table
@@ -43,6 +43,8 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ann_blocks": ann_blocks.oracle_sql(),
     "op3_license_scan": license_scan.oracle_sql(),
     "op4_mixing": source_mixing.oracle_sql(),
+    "op10_sentence_spans": sentence_spans.oracle_sql(),
 }

@@ -146,3 +146,21 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def op10_sentence_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, n_sentences, n_removed, words_removed, text`` (what is left) for every document."""
     return remove_repeated_spans(docs.select("doc_id", "text")).select("doc_id", "n_sentences", "n_removed", "words_removed", "text")
+
+
+def oracle_sql(window: int = WINDOW, pair_words: int = PAIR_WORDS, alone_words: int = ALONE_WORDS) -> str:
+    """The same in DuckDB SQL, runs compared as texts instead of hashes. Ids must be unique."""
+    ends, blank = ".!?\\n。！？", r"[ \t\n\r\x0b\x0c]+"
+    unspaced = r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿\x{20000}-\x{3ffff}]"
+    return rf"""
+WITH s AS (SELECT doc_id, text, regexp_extract_all(text, '[^{ends}]*[{ends}]+[\s\p{{Z}}\x0b\x1c-\x1f\x85]*|[^{ends}]+') AS l FROM documents),
+p AS (SELECT doc_id, i, l[i] AS piece FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM s)),
+c AS (SELECT doc_id, i, piece, trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{blank}', ' ', 'g'), ' ') AS plain FROM p),
+n AS (SELECT *, length(plain) - length(replace(plain, ' ', '')) + CASE WHEN plain = '' THEN 0 ELSE 1 END AS words FROM c),
+w AS (SELECT doc_id, i, plain, words + len(regexp_extract_all(plain, '{unspaced}')) AS size FROM n WHERE regexp_matches(piece, '[\p{{L}}\p{{N}}\p{{M}}_]')),
+a AS (SELECT *, lead(plain) OVER o AS p2, lead(i) OVER o AS i2, lead(size) OVER o AS s2, string_agg(plain, ' ') OVER (o ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS pn, lead(i, {window - 1}) OVER o AS n_th FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i AS a, n_th AS b, pn AS run FROM a WHERE n_th IS NOT NULL UNION ALL SELECT doc_id, i, i2, plain || ' ' || p2 FROM a WHERE size + s2 >= {pair_words} UNION ALL SELECT doc_id, i, i, plain FROM a WHERE size >= {alone_words}),
+g AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM (SELECT *, min((doc_id, a)) OVER (PARTITION BY run) AS first FROM r) WHERE (doc_id, a) <> first),
+k AS (SELECT n.doc_id, string_agg(piece, '' ORDER BY n.i) FILTER (g.i IS NULL) AS left_over, count(g.i) AS gone, coalesce(sum(words) FILTER (g.i IS NOT NULL), 0) AS gone_words FROM n LEFT JOIN g ON g.doc_id = n.doc_id AND g.i = n.i GROUP BY n.doc_id)
+SELECT s.doc_id, coalesce(len(l), 0)::INTEGER AS n_sentences, coalesce(gone, 0)::INTEGER AS n_removed, coalesce(gone_words, 0)::BIGINT AS words_removed, CASE WHEN coalesce(gone, 0) = 0 THEN text ELSE coalesce(left_over, '') END AS text FROM s LEFT JOIN k USING (doc_id)
+"""

@@ -69,3 +69,22 @@ def test_every_row(documents, no_documents):
     kept = media_columns(documents, keep_bytes=True).collect()
     assert all(hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"] and len(r["media"]) == r["media_bytes"] for r in kept)
     assert op7_ogg(no_documents).count() == 0
+
+
+def feature_by_hand(text):
+    """From the payload alone: pages hold 255 lacing values, a packet of 4000 samples takes 16 of them."""
+    data = (text or "").encode()
+    payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+    half = len(payload) // 2
+    crossings = sum((a < 128) != (b < 128) for a, b in zip(payload, payload[1:]))
+    power = sum((b - 128) ** 2 for b in payload) // len(payload)
+    mean = 1000 * sum(payload) // len(payload)
+    return {"streams": "2", "packets": str(2 * (1 + -(-half // 4000))), "ms": str(round(half / 8000 * 1000)), "mean": str(mean), "power": str(power), "crossings": str(crossings), "peak": str(max(payload))}
+
+
+def test_features_by_hand(documents):
+    by_hash = {hashlib.sha256(payload_of(r["text"])[0]).hexdigest(): feature_by_hand(r["text"]) for r in documents.collect()}
+    for r in media_columns(documents, keep_bytes=True).collect():
+        own = dict(x.split("=") for x in r["feature"].split(";"))
+        assert own.pop("pages") == str(len(read_pages(r["media"])))
+        assert own == by_hash[r["payload_sha256"]]
