@@ -118,13 +118,13 @@ class _Forest:
 Accept = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def trie_forest(keys: np.ndarray, depth: int, budget: int, cuts: np.ndarray | None = None, steps: Sequence[tuple[int, Accept | None]] = (), joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+def trie_forest(keys: np.ndarray, depth: int, budget: int, cuts: np.ndarray | None = None, steps: Sequence[tuple[int, Accept | None]] = (), joined: np.ndarray | None = None, frontier: int = FRONTIER) -> list[tuple[int, int]]:
     """Spanning forest of the links (at most ``budget`` differing bits) between keys with equal ``depth`` leading bits.
 
     ``keys``: sorted distinct uint64. A trie node of depth d is the range of keys with one d-bit prefix.
     With ``cuts`` the ranges between them are tries of their own, each sorted, keys may recur, and only keys of one range link.
     ``steps`` lists the walks: a budget and a further test of the pairs within it, made only of pairs still apart.
-    ``joined`` names components that are known before.
+    ``joined`` names components that are known before; ``frontier`` node pairs advance at once (the fewer, the sooner what is joined is pruned).
     """
     n = len(keys)
     if n < 2:
@@ -143,9 +143,9 @@ def trie_forest(keys: np.ndarray, depth: int, budget: int, cuts: np.ndarray | No
         run = np.cumsum(np.r_[0, forest.label[1:] != forest.label[:-1]])
         while stack:
             d, pairs = stack.pop()
-            if len(pairs) > FRONTIER:
-                stack.append((d, pairs[FRONTIER:]))
-                pairs = pairs[:FRONTIER]
+            if len(pairs) > frontier:
+                stack.append((d, pairs[frontier:]))
+                pairs = pairs[:frontier]
             lo1, hi1, lo2, hi2, diff = pairs.T
             one = (run[lo1] == run[hi1 - 1]) & (run[lo2] == run[hi2 - 1]) & (forest.label[lo1] == forest.label[lo2])
             pairs = pairs[~one]
