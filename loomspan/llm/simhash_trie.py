@@ -118,7 +118,7 @@ class _Forest:
 Accept = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def trie_forest(keys: np.ndarray, depth: int, budget: int, cuts: np.ndarray | None = None, steps: Sequence[tuple[int, Accept | None]] = (), joined: np.ndarray | None = None, frontier: int = FRONTIER) -> list[tuple[int, int]]:
+def trie_forest(keys: np.ndarray, depth: int, budget: int, cuts: np.ndarray | None = None, steps: Sequence[tuple[int, Accept | None]] = (), joined: np.ndarray | None = None, frontier: int | None = None) -> list[tuple[int, int]]:
     """Spanning forest of the links (at most ``budget`` differing bits) between keys with equal ``depth`` leading bits.
 
     ``keys``: sorted distinct uint64. A trie node of depth d is the range of keys with one d-bit prefix.
@@ -129,6 +129,7 @@ def trie_forest(keys: np.ndarray, depth: int, budget: int, cuts: np.ndarray | No
     n = len(keys)
     if n < 2:
         return []
+    frontier = frontier or FRONTIER
     forest = _Forest(n, joined)
     whole = cuts is None
     if cuts is None:

@@ -75,11 +75,11 @@ def test_fingerprint(text):
     assert fingerprint(text) == fingerprint_by_hand(text)
 
 
-@pytest.mark.parametrize("shard", [10_000, 8])
-def test_links_over_blocks_and_shards(spark, shard):
+@pytest.mark.parametrize(("shard", "blocks"), [(10_000, 4), (8, 4), (10_000, 6), (3, 6)])
+def test_links_over_blocks_and_shards(spark, shard, blocks):
     keys = clusters(random.Random(11), 15, 5)
     signed = [k - (1 << 64) if k >> 63 else k for k in keys]
-    edges = trie_links(spark.createDataFrame([(k,) for k in signed], "fp long"), 3, shard)
+    edges = trie_links(spark.createDataFrame([(k,) for k in signed], "fp long"), 3, shard, blocks)
     got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
     want = components(keys, 3)
     groups = {}
