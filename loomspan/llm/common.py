@@ -79,6 +79,23 @@ def first_of_group(groups: DataFrame) -> DataFrame:
     return groups.groupBy("root").agg(first).select("first.doc_id", "first.text_key")
 
 
+#: A key with at least this share of all rows is hot: there are at most that many of them.
+HOT_SHARE = 200
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` with the columns of their group; ``keys`` are never null, ``groups`` has one row for each key and the number of its rows in ``size``.
+
+    Groups that hold 1 / ``HOT_SHARE`` of all rows or more are at most ``HOT_SHARE`` rows: they are broadcast, so that no task gets all
+    rows of one group; the others are joined by their keys. Both inputs are read twice.
+    """
+    most = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) * HOT_SHARE >= most)
+    cold = groups.where(F.col(size) * HOT_SHARE < most)
+    met = rows.join(F.broadcast(hot), keys)
+    return met.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
 def keep_rows(docs: DataFrame, keep: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that ``keep`` (``doc_id, text_key``) names; of rows that share both, one.
 

@@ -273,7 +273,7 @@ def _with_text(pairs: DataFrame, texts: DataFrame, end: str, other: str) -> Data
         return pairs.join(texts.toDF(end, named), end)
     parts = F.coalesce("parts", F.lit(1))
     dealt = pairs.join(hubs.withColumnRenamed("node", end), end, "left").withColumn("part", F.pmod(F.xxhash64(other), parts)).drop("parts")
-    spread = texts.join(hubs, "node", "left").select(F.col("node").alias(end), F.col("text").alias(named), F.explode(F.sequence(F.lit(0), parts - 1)).cast("long").alias("part"))
+    spread = texts.join(hubs, "node", "left").select(F.col("node").alias(end), F.col("text").alias(named), F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long"))).alias("part"))
     return dealt.join(spread, [end, "part"]).drop("part")
 
 

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import ann_blocks, license_scan, sentence_spans, source_mixing
+from loomspan.llm import ann_blocks, chunk_recipes, license_scan, sentence_spans, source_mixing
 from loomspan.llm.ann_blocks import op1_ann_blocks
 from loomspan.llm.bpe_codec import op6_bpe
+from loomspan.llm.chunk_recipes import op11_chunk_recipes
 from loomspan.llm.common import table
 from loomspan.llm.ogg_media import op7_ogg
 from loomspan.llm.quality_knn import op5_quality
@@ -40,6 +41,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": _over_documents(op8_simhash),
     "op9_separator_scan": _over_documents(op9_separator_scan),
     "op10_sentence_spans": _over_documents(op10_sentence_spans),
+    "op11_chunk_recipes": _over_documents(op11_chunk_recipes),
 }
 
 ORACLES: dict[str, str] = {
@@ -47,4 +49,5 @@ ORACLES: dict[str, str] = {
     "op3_license_scan": license_scan.oracle_sql(),
     "op4_mixing": source_mixing.oracle_sql(),
     "op10_sentence_spans": sentence_spans.oracle_sql(),
+    "op11_chunk_recipes": chunk_recipes.oracle_sql(),
 }
