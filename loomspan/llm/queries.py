@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import ann_blocks, chunk_recipes, license_scan, sentence_spans, source_mixing
+from loomspan.llm import ann_blocks, chunk_recipes, conversation_repair, license_scan, sentence_spans, source_mixing
 from loomspan.llm.ann_blocks import op1_ann_blocks
 from loomspan.llm.bpe_codec import op6_bpe
 from loomspan.llm.chunk_recipes import op11_chunk_recipes
 from loomspan.llm.common import table
+from loomspan.llm.conversation_repair import op12_conversation_repair
 from loomspan.llm.ogg_media import op7_ogg
 from loomspan.llm.quality_knn import op5_quality
 from loomspan.llm.sentence_spans import op10_sentence_spans
@@ -42,6 +43,7 @@ QUERIES: dict[str, Query] = {
     "op9_separator_scan": _over_documents(op9_separator_scan),
     "op10_sentence_spans": _over_documents(op10_sentence_spans),
     "op11_chunk_recipes": _over_documents(op11_chunk_recipes),
+    "op12_conversation_repair": lambda spark, sf_dir: op12_conversation_repair(table(spark, sf_dir, "conversations")),
 }
 
 ORACLES: dict[str, str] = {
@@ -50,4 +52,5 @@ ORACLES: dict[str, str] = {
     "op4_mixing": source_mixing.oracle_sql(),
     "op10_sentence_spans": sentence_spans.oracle_sql(),
     "op11_chunk_recipes": chunk_recipes.oracle_sql(),
+    "op12_conversation_repair": conversation_repair.oracle_sql(),
 }
