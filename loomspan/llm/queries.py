@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import ann_blocks, chunk_recipes, conversation_repair, license_scan, sentence_spans, source_mixing
+from loomspan.llm import ann_blocks, chunk_recipes, conversation_repair, lexical_search, license_scan, sentence_spans, source_mixing
 from loomspan.llm.ann_blocks import op1_ann_blocks
 from loomspan.llm.bpe_codec import op6_bpe
 from loomspan.llm.chunk_recipes import op11_chunk_recipes
 from loomspan.llm.common import table
 from loomspan.llm.conversation_repair import op12_conversation_repair
+from loomspan.llm.lexical_search import op13_lexical_search
 from loomspan.llm.ogg_media import op7_ogg
 from loomspan.llm.quality_knn import op5_quality
 from loomspan.llm.sentence_spans import op10_sentence_spans
@@ -44,6 +45,7 @@ QUERIES: dict[str, Query] = {
     "op10_sentence_spans": _over_documents(op10_sentence_spans),
     "op11_chunk_recipes": _over_documents(op11_chunk_recipes),
     "op12_conversation_repair": lambda spark, sf_dir: op12_conversation_repair(table(spark, sf_dir, "conversations")),
+    "op13_lexical_search": lambda spark, sf_dir: op13_lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
 
 ORACLES: dict[str, str] = {
@@ -53,4 +55,5 @@ ORACLES: dict[str, str] = {
     "op10_sentence_spans": sentence_spans.oracle_sql(),
     "op11_chunk_recipes": chunk_recipes.oracle_sql(),
     "op12_conversation_repair": conversation_repair.oracle_sql(),
+    "op13_lexical_search": lexical_search.oracle_sql(),
 }
