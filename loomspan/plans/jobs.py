@@ -68,7 +68,7 @@ def recovered(judged: DataFrame, batched: DataFrame) -> tuple[DataFrame, DataFra
     return again, stuck.where("_bad = 1").select("run_id", "fault")
 
 
-def run_job(runs: DataFrame, call: BatchFunction, job: str, stored: DataFrame | None = None, target: int = 2000, output_limit: int = 16_000, segment: int = packing.SEGMENT, progress: Progress | None = None, cancelled: Callable[[], bool] | None = None) -> tuple[DataFrame, DataFrame]:
+def run_job(runs: DataFrame, call: BatchFunction, job: str, stored: DataFrame | None = None, target: int = 2000, output_limit: int = 16_000, progress: Progress | None = None, cancelled: Callable[[], bool] | None = None) -> tuple[DataFrame, DataFrame]:
     """Targets ``run_id, target`` and the cache rows to keep, for ``book, unit_ord, unit_id, run_id, run_ord, text, context``.
 
     Runs with a valid cache row are not sent again. What is pending is packed once; then each round calls, judges every
@@ -80,7 +80,7 @@ def run_job(runs: DataFrame, call: BatchFunction, job: str, stored: DataFrame |
     done = [checkpointed(found)]
     left = cache.pending_runs(marked, done[0])
     sized = left.groupBy("book", "unit_ord", "unit_id").agg(F.sum(T.text_tokens("text")).alias("tokens")).withColumns({"document": F.col("book"), "block_key": F.col("unit_id"), "run_stem": F.col("unit_id")})
-    packed = packing.pack(packing.paragraph_marks(sized, segment), target, output_limit, segment=segment)
+    packed = packing.pack(packing.paragraph_marks(sized), target, output_limit)
     named = packed.select(F.col("book").alias("_b"), F.col("unit_ord").alias("_o"), F.col("unit_id").alias("_u"), "starts_paragraph", F.concat_ws("#", F.coalesce("book", F.lit("")), F.col("batch_no").cast("string")).alias("batch"))
     met = F.col("book").eqNullSafe(F.col("_b")) & (F.col("unit_ord") == F.col("_o")) & (F.col("unit_id") == F.col("_u"))
     batched = checkpointed(left.join(named, met).select("batch", "unit_id", "run_id", "unit_ord", "run_ord", "text", T.text_tokens("text").alias("tokens"), "starts_paragraph", F.lit(False).alias("backwards")))

@@ -690,9 +690,9 @@ SELECT book, no AS batch_no, count(*) AS units, max(ceil((n + 12 * c + 128) * 1.
 def _(spark, sf):
     # a book is a source: batches go on over its documents, paragraphs are three lines
     k = F.concat_ws(":", F.col("doc_id").cast("string"), F.floor(F.col("unit_ord") / 3).cast("string"))
-    own = _units(spark, sf).select(F.col("source").alias("book"), (F.col("doc_id") * 100_000 + F.col("unit_ord")).alias("unit_ord"), "unit_id", F.col("doc_id").cast("string").alias("document"), k.alias("block_key"), F.col("unit_id").alias("run_stem"), T.text_tokens("text").alias("tokens"))
-    segment = 100_000 << 17
-    return packing.pack(packing.paragraph_marks(own, segment), 2000, 16_000, segment=segment).groupBy("book", "batch_no").agg(F.count("*").alias("units"), F.max("est_input").alias("est_input"))
+    own = _units(spark, sf).select(F.col("source").alias("book"), "doc_id", "unit_ord", "unit_id", F.col("doc_id").cast("string").alias("document"), k.alias("block_key"), F.col("unit_id").alias("run_stem"), T.text_tokens("text").alias("tokens"))
+    placed = packing.placed(own, "doc_id", "unit_ord").withColumn("unit_ord", F.col("place"))
+    return packing.pack(packing.paragraph_marks(placed), 2000, 16_000).groupBy("book", "batch_no").agg(F.count("*").alias("units"), F.max("est_input").alias("est_input"))
 
 
 @query("e11_halves", f"""WITH {S_UNITS}, u AS (SELECT doc_id, unit_id, unit_ord, greatest(1, coalesce({S_TOKENS}, 0))::BIGINT AS n FROM units),
@@ -707,6 +707,7 @@ def _(spark, sf):
 @query("w1_job", rf"WITH {S_UNITS} SELECT unit_id AS run_id, sha256('«' || text || '»') AS digest FROM units WHERE regexp_matches(text, '[^\s\p{{Z}}]')")
 def _(spark, sf):
     own = _units(spark, sf)
-    runs = own.select(F.col("source").alias("book"), (F.col("doc_id") * 100_000 + F.col("unit_ord")).alias("unit_ord"), "unit_id", F.col("unit_id").alias("run_id"), F.lit(0).alias("run_ord"), "text", F.lit(None).cast("string").alias("context"))
-    done, _kept = jobs.run_job(runs, jobs.echo, "job", target=20_000, output_limit=65_536, segment=100_000 << 17)
+    own = packing.placed(own.select(F.col("source").alias("book"), "doc_id", "unit_ord", "unit_id", "text"), "doc_id", "unit_ord")
+    runs = own.select("book", F.col("place").alias("unit_ord"), "unit_id", F.col("unit_id").alias("run_id"), F.lit(0).alias("run_ord"), "text", F.lit(None).cast("string").alias("context"))
+    done, _kept = jobs.run_job(runs, jobs.echo, "job", target=20_000, output_limit=65_536)
     return done.select("run_id", T.digest("target").alias("digest"))

@@ -91,8 +91,6 @@ def test_packing(spark):
     got = packing.pack(marked, 800, 16_000).where("book = 'b'").orderBy("unit_ord").collect()
     assert [r["batch_no"] for r in got] == sorted(r["batch_no"] for r in got) and max(r["est_input"] for r in got) <= 800
     assert packing.pack(marked, 800, 16_000).where("book = 'c'").count() == 1
-    cut = packing.pack(packing.paragraph_marks(df, 6), 10_000, 160_000, segment=6).where("book = 'b'").orderBy("unit_ord").collect()
-    assert [r["batch_no"] for r in cut] == [0] * 6 + [1] * 6  # a segment border closes a batch
     halves = packing.halves(marked.where("book = 'b'").withColumn("batch", F.lit(1))).orderBy("unit_ord").collect()
     assert [r["half"] for r in halves] == [0] * 6 + [1] * 6
 
