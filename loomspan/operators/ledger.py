@@ -1,5 +1,10 @@
 """The request ledger: rolling windows, civil days, waits, cooldowns and key choice, replayed over a table
-``request_id, scope, sent (timestamp), tokens``."""
+``request_id, scope, sent (timestamp), tokens``.
+
+What looks back a minute is a bucketed interval join: each request is dealt to the minute it falls in and, as history, to the one after. A
+minute and its history hold all that its requests look back on, so a scope of any length is spread over its minutes. What looks back to the
+start (a budget) is a distributed prefix sum.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +12,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
+from loomspan.operators.ranges import prefix_sums
+from loomspan.operators.scans import clamped_scan
 
 WINDOW_US = 60_000_000
 KEEP_S = 172_800
 
 
-def _trailing() -> Window:
-    """The sixty seconds up to each request of a scope; a request exactly sixty seconds old is out."""
-    return Window.partitionBy("scope").orderBy(F.unix_micros("sent")).rangeBetween(-(WINDOW_US - 1), 0)
+def _by_minute(requests: DataFrame) -> DataFrame:
+    """Each request twice: ``_minute`` is its own (``_past`` false) or the one after (``_past``)."""
+    own = F.floor(F.unix_micros("sent") / WINDOW_US)
+    return requests.withColumn("_m", F.explode(F.array(F.struct(own.alias("no"), F.lit(False).alias("past")), F.struct((own + 1).alias("no"), F.lit(True).alias("past"))))).select("*", F.col("_m.no").alias("_minute"), F.col("_m.past").alias("_past")).drop("_m")
+
+
+def _now(dealt: DataFrame) -> DataFrame:
+    return dealt.where(~F.col("_past")).drop("_minute", "_past")
 
 
 def rolling_usage(requests: DataFrame) -> DataFrame:
-    """Adds ``window_requests, window_tokens`` (the request itself included)."""
-    return requests.withColumns({"window_requests": F.count("*").over(_trailing()), "window_tokens": F.coalesce(F.sum("tokens").over(_trailing()), F.lit(0))})
+    """Adds ``window_requests, window_tokens`` over the sixty seconds up to each request (itself included); one exactly sixty seconds old is out."""
+    trailing = Window.partitionBy("scope", "_minute").orderBy(F.unix_micros("sent")).rangeBetween(-(WINDOW_US - 1), 0)
+    return _now(_by_minute(requests).withColumns({"window_requests": F.count("*").over(trailing), "window_tokens": F.coalesce(F.sum("tokens").over(trailing), F.lit(0))}))
 
 
 def usage_at(requests: DataFrame, now: str) -> DataFrame:
@@ -54,9 +67,9 @@ def latest(requests: DataFrame) -> DataFrame:
 
 def rpm_waits(requests: DataFrame, rpm: int) -> DataFrame:
     """Adds ``wait``: seconds that each request would have to wait if at most ``rpm`` may fall in a minute."""
-    order = Window.partitionBy("scope").orderBy("sent", "request_id")
+    order = Window.partitionBy("scope", "_minute").orderBy("sent", "request_id")
     gap = (F.unix_micros(F.lag("sent", rpm).over(order)) + WINDOW_US - F.unix_micros("sent")) / 1e6
-    return requests.withColumn("wait", F.greatest(F.lit(0.0), F.coalesce(gap, F.lit(0.0))))
+    return _now(_by_minute(requests).withColumn("wait", F.greatest(F.lit(0.0), F.coalesce(gap, F.lit(0.0)))))
 
 
 def soft_limit(tokens: str, target: int, hard: int, workers: int):
@@ -73,20 +86,22 @@ def tpm_waits(requests: DataFrame, target: int, hard: int, workers: int = 1) ->
     Requests of the same microsecond count in the order of their ids.
     """
     us, tokens = F.unix_micros("sent"), F.coalesce(F.col("tokens"), F.lit(0))
-    order = Window.partitionBy("scope").orderBy(us, "request_id")
-    old = Window.partitionBy("scope").orderBy(us).rangeBetween(Window.unboundedPreceding, -WINDOW_US)
-    summed = requests.select(F.struct("*").alias("_row"), "scope", us.alias("_us"), F.sum(tokens).over(order).alias("_upto"), tokens.alias("_n"), F.coalesce(F.sum(tokens).over(old), F.lit(0)).alias("_gone"), soft_limit("tokens", target, hard, workers).alias("_soft"), F.lag(us).over(order).alias("_last"))
+    order = Window.partitionBy("scope", "_minute").orderBy(us, "request_id")
+    old = Window.partitionBy("scope", "_minute").orderBy(us).rangeBetween(Window.unboundedPreceding, -WINDOW_US)
+    dealt = _by_minute(requests)
+    row = F.struct(*requests.columns).alias("_row")
+    summed = dealt.select(row, "scope", "_minute", "_past", us.alias("_us"), F.sum(tokens).over(order).alias("_upto"), tokens.alias("_n"), F.coalesce(F.sum(tokens).over(old), F.lit(0)).alias("_gone"), soft_limit("tokens", target, hard, workers).alias("_soft"), F.lag(us).over(order).alias("_last"))
     wanted = F.col("_upto") - F.col("_soft")
     crowded = (wanted > F.col("_gone")) & (F.col("_last") > F.col("_us") - WINDOW_US)
     alone = crowded & (F.col("_n") > F.col("_soft"))  # fits nowhere: the whole minute before it has to expire
-    asked = summed.where(crowded & ~alone)
-    points = summed.select("scope", F.col("_upto").alias("_sum"), F.lit(0).alias("_asks"), F.col("_us").alias("_at"), F.lit(None).cast("long").alias("_now"), F.lit(None).cast(summed.schema["_row"].dataType).alias("_row"))
-    questions = asked.select("scope", wanted.alias("_sum"), F.lit(1).alias("_asks"), F.lit(None).cast("long").alias("_at"), F.col("_us").alias("_now"), "_row")
-    down = Window.partitionBy("scope").orderBy(F.desc("_sum"), "_asks", F.desc("_at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = summed.where(crowded & ~alone & ~F.col("_past"))
+    points = summed.select("scope", "_minute", F.col("_upto").alias("_sum"), F.lit(0).alias("_asks"), F.col("_us").alias("_at"), F.lit(None).cast("long").alias("_now"), F.lit(None).cast(summed.schema["_row"].dataType).alias("_row"))
+    questions = asked.select("scope", "_minute", wanted.alias("_sum"), F.lit(1).alias("_asks"), F.lit(None).cast("long").alias("_at"), F.col("_us").alias("_now"), "_row")
+    down = Window.partitionBy("scope", "_minute").orderBy(F.desc("_sum"), "_asks", F.desc("_at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = points.unionByName(questions).withColumn("_until", F.last("_at", ignorenulls=True).over(down)).where("_asks = 1")
     waits = found.select("_row.*", F.greatest(F.lit(0.0), (F.col("_until") + WINDOW_US - F.col("_now")) / 1e6).alias("wait"))
     whole = F.when(alone, F.greatest(F.lit(0.0), (F.col("_last") + WINDOW_US - F.col("_us")) / 1e6)).otherwise(F.lit(0.0))
-    others = summed.where(alone | ~F.coalesce(crowded, F.lit(False))).select("_row.*", F.coalesce(whole, F.lit(0.0)).alias("wait"))
+    others = summed.where(~F.col("_past")).where(alone | ~F.coalesce(crowded, F.lit(False))).select("_row.*", F.coalesce(whole, F.lit(0.0)).alias("wait"))
     return others.unionByName(waits)
 
 
@@ -136,15 +151,15 @@ def keys_available(keys: DataFrame, daily: DataFrame, limit: int) -> DataFrame:
 def next_key(keys: DataFrame, daily: DataFrame, limit: int, start: int) -> DataFrame:
     """One row ``scope``: the first key with quota left, round robin from ``start``; null if there is none."""
     own = keys.join(daily.select("scope", "used"), "scope", "left")
-    n = F.count("*").over(Window.partitionBy())
-    turned = own.withColumn("_turn", F.pmod(F.col("key_no") - start, n))
-    return turned.agg(F.min_by("scope", F.when(F.coalesce("used", F.lit(0)) < limit, F.col("_turn"))).alias("scope"), F.min(F.when(F.coalesce("used", F.lit(0)) < limit, F.col("_turn"))).alias("turns")).select(F.when(F.col("turns").isNotNull(), F.col("scope")).alias("scope"))
+    turn = F.when(F.coalesce("used", F.lit(0)) < limit, F.pmod(F.col("key_no") - start, F.lit(max(keys.count(), 1))))
+    return own.agg(F.min_by("scope", turn).alias("scope"), F.min(turn).alias("turns")).select(F.when(F.col("turns").isNotNull(), F.col("scope")).alias("scope"))
 
 
 def budget_stop(requests: DataFrame, budget: int) -> DataFrame:
     """Adds ``spent`` (before the request) and ``paused``: the running sum plus this one exceeds the session's budget."""
-    order = Window.partitionBy("scope").orderBy("sent", "request_id").rowsBetween(Window.unboundedPreceding, -1)
-    return requests.withColumn("spent", F.coalesce(F.sum("tokens").over(order), F.lit(0))).withColumn("paused", F.col("spent") + F.col("tokens") > budget)
+    own = requests.select("*", F.col("scope").isNull().alias("_none"), F.coalesce("scope", F.lit("")).alias("_name"), F.coalesce("tokens", F.lit(0)).alias("_n"))
+    order = [F.col("_none"), F.col("_name"), F.col("sent"), F.col("request_id")]
+    return prefix_sums(own, order, {"_n": "spent"}, ["_none", "_name"]).withColumn("paused", F.col("spent") + F.col("tokens") > budget).drop("_none", "_name", "_n")
 
 
 def api_usage(calls: DataFrame) -> DataFrame:
@@ -180,3 +195,37 @@ def exhausted(daily: DataFrame, scope: str, limit: int) -> DataFrame:
 def append(requests: DataFrame, fresh: DataFrame) -> DataFrame:
     """The ledger with new requests; an id that is there already is not written twice."""
     return requests.unionByName(fresh.join(requests.select("request_id"), "request_id", "left_anti").select(*requests.columns))
+
+
+#: Fixed values of the estimator: bounds of its factor, and the share of a downward correction.
+FACTOR_LOW, FACTOR_HIGH, DOWNWARD = 0.1, 10.0, 0.1
+
+
+def calibration(measured: DataFrame, saved: DataFrame | None = None) -> DataFrame:
+    """Adds ``factor``, the estimator's factor after each measurement of ``scope, at, raw, actual`` (``at`` without ties within a scope).
+
+    A scope's first measurement sets the factor; later ones raise it at once and lower it by a tenth of the way. A measurement without a positive
+    ``actual`` changes nothing (before the first one, ``factor`` is 1). ``saved`` (``scope, factor``): where a scope goes on from.
+    """
+    seen = F.when((F.coalesce("actual", F.lit(0)) > 0) & (F.col("raw") > 0), F.col("actual") / F.col("raw"))
+    own = measured.select("*", F.col("scope").isNull().alias("_none"), F.coalesce("scope", F.lit("")).alias("_name"), seen.alias("_seen"))
+    firsts = own.groupBy("_none", "_name").agg(F.min("at").alias("_opens"), F.min(F.when(F.col("_seen").isNotNull(), F.col("at"))).alias("_first"))
+    if saved is not None:
+        firsts = firsts.join(saved.select(F.col("scope").isNull().alias("_none"), F.coalesce("scope", F.lit("")).alias("_name"), F.col("factor").alias("_saved")), ["_none", "_name"], "left")
+    else:
+        firsts = firsts.withColumn("_saved", F.lit(None).cast("double"))
+    met = own.join(firsts, ["_none", "_name"])
+    sets = F.col("_seen").isNotNull() & (F.col("at") == F.col("_first")) & F.col("_saved").isNull()
+    opens = F.col("at") == F.col("_opens")
+    bounded = F.least(F.lit(FACTOR_HIGH), F.greatest(F.lit(FACTOR_LOW), F.col("_seen")))
+    before = F.coalesce("_saved", F.lit(1.0))
+    # the first row of a scope is a constant: what is before it belongs to another scope
+    after_first = F.when(F.col("_seen").isNull(), before).otherwise(F.least(F.lit(FACTOR_HIGH), F.greatest(bounded, before * (1 - DOWNWARD) + F.col("_seen") * DOWNWARD)))
+    constant = F.when(sets, bounded).when(opens, after_first)
+    inf = F.lit(float("1e300"))
+    steps = met.select(
+        *measured.columns, "_none", "_name",
+        F.when(constant.isNotNull(), 0.0).when(F.col("_seen").isNull(), 1.0).otherwise(1 - DOWNWARD).alias("_slope"), F.coalesce(constant, F.col("_seen") * DOWNWARD, F.lit(0.0)).alias("_offset"),
+        F.coalesce(constant, bounded, -inf).alias("_low"), F.when(constant.isNotNull(), constant).when(F.col("_seen").isNull(), inf).otherwise(F.lit(FACTOR_HIGH)).alias("_high"),
+    )
+    return clamped_scan(steps, [F.col("_none"), F.col("_name"), F.col("at")], "factor", 1.0).drop("_none", "_name")

@@ -570,8 +570,8 @@ def _(spark, sf):
     daily = _requests(spark, sf).groupBy("scope").agg(F.count("*").alias("used"))
     limit = daily.agg(F.avg("used")).first()[0]
     keys = daily.select("scope", F.substring("scope", 2, 9).cast("long").alias("key_no"))
-    n = keys.count()
-    return ledger.next_key(keys, daily, limit, 20 - 300 % n)
+    n = max(keys.count(), 1)
+    return ledger.next_key(keys, daily, limit or 0, 20 - 300 % n)
 
 
 @query("g13_api_usage", f"WITH {S_REQ} SELECT event_type AS kind, sum(tokens)::BIGINT AS tokens, count(*)::BIGINT AS requests FROM req GROUP BY event_type")
@@ -607,6 +607,19 @@ def _(spark, sf):
     return live.controller_replay(events, ceiling_tpm=250_000, ceiling_rpm=15, ceiling_workers=4, batch=12_000, max_batch=40_000).withColumn("ratio", F.round("ratio", 6))
 
 
+@query("e16_calibration", f"""WITH RECURSIVE {S_REQ}, m AS (SELECT CASE WHEN substr(scope, 2)::BIGINT % 10 = 0 THEN 'hot' ELSE scope END AS scope, request_id, (CASE WHEN event_type <> 'error' THEN tokens * (80 + request_id % 60) // 100 + 90 END / (tokens + 128)::DOUBLE) AS r FROM req),
+o AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY request_id) AS i FROM m),
+st(scope, i, request_id, factor, samples) AS (SELECT DISTINCT scope, 0::BIGINT, NULL::BIGINT, 1.0::DOUBLE, 0 FROM o UNION ALL
+SELECT o.scope, o.i, o.request_id, CASE WHEN r IS NULL THEN factor ELSE greatest(0.1::DOUBLE, least(10.0::DOUBLE, CASE WHEN samples = 0 THEN r ELSE greatest(r, factor * 0.9::DOUBLE + r * 0.1::DOUBLE) END)) END, CASE WHEN r IS NULL THEN samples ELSE samples + 1 END FROM st JOIN o ON o.scope = st.scope AND o.i = st.i + 1)
+SELECT request_id, round(factor, 6) AS factor FROM st WHERE i > 0""")
+def _(spark, sf):
+    r = _requests(spark, sf)
+    hot = F.when(F.substring("scope", 2, 9).cast("long") % 10 == 0, "hot").otherwise(F.col("scope"))
+    actual = F.when(F.col("event_type") != "error", F.floor(F.col("tokens") * (F.lit(80) + F.col("request_id") % 60) / 100) + 90)
+    measured = r.select(hot.alias("scope"), F.col("request_id").alias("at"), (F.col("tokens") + 128).alias("raw"), actual.alias("actual"))
+    return ledger.calibration(measured).select(F.col("at").alias("request_id"), F.round("factor", 6).alias("factor"))
+
+
 # ---- cache, batches and responses -------------------------------------------------------------------
 
 

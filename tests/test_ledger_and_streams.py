@@ -100,6 +100,63 @@ def test_calibration(spark):
     assert got == pytest.approx([1.5, 0.95, 10.0])
 
 
+def test_calibration_is_a_scan(spark, monkeypatch):
+    from loomspan.operators import scans
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), i, rng.choice([0, 100, 300]), rng.choice([None, 0, -5, 20, 90, 150, 9_000])) for i in range(1_500)]
+
+    def fold(saved):
+        out, state = {}, {k: (v, 1) for k, v in saved.items()}
+        for scope, at, raw, actual in rows:
+            factor, n = state.get(scope, (1.0, 0))
+            if actual and actual > 0 and raw > 0:
+                r = actual / raw
+                factor, n = max(0.1, min(10.0, r if not n else max(r, factor * 0.9 + r * 0.1))), n + 1
+            state[scope] = factor, n
+            out[at] = factor
+        return out
+
+    df = spark.createDataFrame(rows, "scope string, at long, raw long, actual long").repartition(3)
+    saved = spark.createDataFrame([("hot", 4.0)], "scope string, factor double")
+    for ranges in (1, 5, 60):
+        monkeypatch.setattr(scans, "range_count", lambda _, n=ranges: n)
+        got = ledger.calibration(df)
+        assert got.columns == [*df.columns, "factor"]
+        assert {r["at"]: r["factor"] for r in got.collect()} == pytest.approx(fold({}))
+    assert {r["at"]: r["factor"] for r in ledger.calibration(df, saved).collect()} == pytest.approx(fold({"hot": 4.0}))
+    assert ledger.calibration(df.limit(0)).count() == 0
+
+
+def test_minutes_of_one_scope_stand_apart(spark):
+    rng = random.Random(9)
+    rows, at = [], 0
+    for i in range(600):
+        at += rng.choice([0, 0, 1, 7, 20, 59, 60, 61, 200])
+        rows.append(("s", at, rng.choice([1, 40, 300, 900, 1500])))
+    df = requests(spark, rows)
+    times = [r[1] for r in rows]
+    rolling = {r["request_id"]: (r["window_requests"], r["window_tokens"]) for r in ledger.rolling_usage(df).collect()}
+    rpm = {r["request_id"]: r["wait"] for r in ledger.rpm_waits(df, 3).collect()}
+    tpm = {r["request_id"]: r["wait"] for r in ledger.tpm_waits(df, 1_000, 1_200).collect()}
+    spent = {r["request_id"]: (r["spent"], r["paused"]) for r in ledger.budget_stop(df, 50_000).collect()}
+    for i, (_, at, n) in enumerate(rows):
+        inside = [k for k in range(len(rows)) if at - 60 < times[k] <= at]
+        assert rolling[i] == (len(inside), sum(rows[k][2] for k in inside))
+        assert rpm[i] == (max(0.0, times[i - 3] + 60 - at) if i >= 3 else 0.0)
+        before = [k for k in range(i) if times[k] > at - 60]
+        soft = min(1_200, max(n, int(1_000 + min(20.0, n * 0.05))))
+        wait, held = 0.0, sum(rows[k][2] for k in before)
+        for k in before:
+            if held + n <= soft:
+                break
+            held -= rows[k][2]
+            wait = max(0.0, times[k] + 60 - at)
+        assert tpm[i] == pytest.approx(wait), i
+        before = sum(r[2] for r in rows[:i])
+        assert spent[i] == (before, before + n > 50_000)
+
+
 def test_stream_counts_like_the_table(spark, tmp_path):
     df = requests(spark, [("a", i * 7, i) for i in range(30)] + [("b", i * 90, 1) for i in range(5)])
     df.write.parquet(str(tmp_path / "in"))

@@ -1,20 +1,34 @@
 import io
+import random
 import zipfile
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
+
 from pyspark.sql import functions as F
 
 from loomspan.operators import units as u
 from loomspan.sources import books, files
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab \n", max_size=300), st.integers(3, 40))
-def test_cut_loses_nothing(text, limit):
-    parts = u.cut_exact(text, limit)
-    assert "".join(parts) == text and all(0 < len(p) <= limit + 1 for p in parts)
+def cut_by_hand(text, limit):
+    out = []
+    while len(text) > limit:
+        blanks = [k for k in range(limit + 1) if text[k] in " \n" and k >= limit // 3]
+        n = blanks[-1] + 1 if blanks else limit
+        out.append(text[:n])
+        text = text[n:]
+    return out + [text] * bool(text)
+
+
+def test_cut_loses_nothing(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ab🙂é \n\r", [5, 5, 1, 1, blanks, 1, 0.2], k=rng.randint(0, 300))) for blanks in (0.1, 1, 4) for _ in range(60)] + [None, "", " ", "x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for limit in (3, 17, 40):
+        got = {i: [] for i in range(len(texts))}
+        for r in u.exact_parts(df, limit=limit).orderBy("id", "part_ord").collect():
+            got[r["id"]].append(r["part"])
+        assert got == {i: cut_by_hand(t or "", limit) for i, t in enumerate(texts)}
 
 
 def test_affixes_and_groups(spark):
