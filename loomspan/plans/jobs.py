@@ -1,4 +1,4 @@
-"""Whole jobs: units through an injectable batch function, with cache, packing, salvage and chapter order."""
+"""Whole jobs: units through an injectable batch function, with glossary, cache, packing and salvage."""
 
 from __future__ import annotations
 
@@ -9,47 +9,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
-from loomspan.operators import cache, packing, responses, review
+from loomspan.operators import cache, matching, packing, responses
 from loomspan.storage import checkpointed, materialize
 
-#: Takes the units of one batch, ``[{"id": ..., "runs": [{"id": ..., "text": ...}]}]``, and gives the response text.
-BatchFunction = Callable[[list[dict]], str]
+#: Takes the units of one batch, ``[{"id": ..., "runs": [{"id": ..., "text": ...}]}]``, and gives the response text. In a job with a glossary it
+#: also takes the entries, ``{term: translation}``, that occur in the batch.
+BatchFunction = Callable[..., str]
 #: Takes runs done, all runs, calls so far and a message.
 Progress = Callable[[int, int, int, str], None]
 
 
-def echo(units: list[dict]) -> str:
+def echo(units: list[dict], glossary: dict[str, str] | None = None) -> str:
     """The offline stand-in for a remote model: every run between guillemets."""
     import json
 
     return json.dumps([{"id": u["id"], "runs": [{"id": r["id"], "text": f"«{r['text']}»"} for r in u["runs"]]} for u in units], ensure_ascii=False)
 
 
-def responded(batched: DataFrame, call: BatchFunction) -> DataFrame:
+def responded(batched: DataFrame, call: BatchFunction, entries: DataFrame | None = None) -> DataFrame:
     """``batch, body`` for the runs ``batch, unit_id, run_id, unit_ord, run_ord, text`` (and ``backwards``, if the units go in reversed
-    order): one call per batch, and its answer leaves the task at once."""
+    order): one call per batch, and its answer leaves the task at once. ``entries`` (``batch, glossary`` as JSON): what else each call is given."""
     turned = F.col("backwards") if "backwards" in batched.columns else F.lit(False)
-    rows = batched.select("batch", "unit_id", "run_id", F.when(turned, -F.col("unit_ord")).otherwise(F.col("unit_ord")).alias("place"), "run_ord", "text")
+    rows = batched.select("batch", "unit_id", "run_id", F.when(turned, -F.col("unit_ord")).otherwise(F.col("unit_ord")).cast("long").alias("place"), F.col("run_ord").cast("int").alias("run_ord"), "text")
+    if entries is not None:  # comes before the batch's runs
+        none = F.lit(None)
+        rows = rows.unionByName(entries.select("batch", none.cast("string").alias("unit_id"), none.cast("string").alias("run_id"), none.cast("long").alias("place"), none.cast("int").alias("run_ord"), F.col("glossary").alias("text")))
+    given = entries is not None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, units = None, []
+        import json
+
+        now, units, glossary = None, [], {}
 
         def answer() -> pd.DataFrame:
-            return pd.DataFrame([(now, call(units))], columns=["batch", "body"])
+            return pd.DataFrame([(now, call(units, glossary) if given else call(units))], columns=["batch", "body"])
 
         for pdf in batches:
             for batch, unit, run_id, text in zip(*(pdf[c].tolist() for c in ("batch", "unit_id", "run_id", "text"))):
                 if batch != now:
                     if units:
                         yield answer()
-                    now, units = batch, []
+                    now, units, glossary = batch, [], {}
+                if run_id is None:
+                    glossary = json.loads(text)
+                    continue
                 if not units or units[-1]["id"] != unit:
                     units.append({"id": unit, "runs": []})
                 units[-1]["runs"].append({"id": run_id, "text": text})
         if units:
             yield answer()
 
-    return rows.repartition("batch").sortWithinPartitions("batch", "place", "unit_id", "run_ord").mapInPandas(run, "batch string, body string")
+    return rows.repartition("batch").sortWithinPartitions("batch", F.col("place").isNotNull(), "place", "unit_id", "run_ord").mapInPandas(run, "batch string, body string")
 
 
 def recovered(judged: DataFrame, batched: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,31 +78,60 @@ def recovered(judged: DataFrame, batched: DataFrame) -> tuple[DataFrame, DataFra
     return again, stuck.where("_bad = 1").select("run_id", "fault")
 
 
-def run_job(runs: DataFrame, call: BatchFunction, job: str, stored: DataFrame | None = None, target: int = 2000, output_limit: int = 16_000, progress: Progress | None = None, cancelled: Callable[[], bool] | None = None) -> tuple[DataFrame, DataFrame]:
+def _requests(left: DataFrame, glossary: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """What a request would say of each unit of ``left``, sized for packing, and which entries (``unit_id, term``) it needs."""
+    blank = {c: F.lit(None).cast("string") for c in ("style", "prefix", "suffix") if c not in left.columns}
+    said = packing.payloads(left.withColumns({**blank, "document": F.col("book")})).withColumns({"block_key": F.col("unit_id"), "run_stem": F.col("unit_id")})
+    if glossary is None:
+        return said, None
+    needed = materialize(matching.matches(said.select("unit_id", "text"), glossary))
+    return packing.with_terms(said, needed, glossary), needed
+
+
+def _entries(batched: DataFrame, needed: DataFrame, glossary: DataFrame) -> DataFrame:
+    """``batch, glossary``: the entries that occur in a batch, as JSON; a batch's size bounds them."""
+    own = batched.select("batch", "unit_id").distinct().join(needed, "unit_id").select("batch", "term").distinct().join(glossary.select("term", "translation"), "term")
+    return own.groupBy("batch").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "translation"))))).alias("glossary"))
+
+
+def run_job(
+    runs: DataFrame, call: BatchFunction, job: str, stored: DataFrame | None = None, target: int = 2000, output_limit: int = 16_000, progress: Progress | None = None, cancelled: Callable[[], bool] | None = None,
+    glossary: DataFrame | None = None, commit: Callable[[DataFrame], None] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Targets ``run_id, target`` and the cache rows to keep, for ``book, unit_ord, unit_id, run_id, run_ord, text, context``.
 
-    Runs with a valid cache row are not sent again. What is pending is packed once; then each round calls, judges every
+    Runs with a valid cache row are not sent again. What is pending is packed once, by what its requests say; then each round calls, judges every
     run for itself, keeps the good ones and asks for the others as ``recovered`` says, until none is left but those given up: see ``cache.coverage``.
+    ``glossary`` (``term, translation``, each term once): a call is given the entries that occur in its batch, and packing counts them.
+    ``commit`` takes the cache rows of each round as soon as they are judged, so that a job that is killed goes on from there.
     ``progress`` hears of the runs done, all runs, the calls so far and what comes; between rounds ``cancelled`` may end the job: what is done is kept.
     """
     marked = materialize(cache.fingerprints(runs))
     found = cache.lookup(marked, stored, job) if stored is not None else marked.select("run_id", F.lit("").alias("target")).limit(0)
     done = [checkpointed(found)]
-    left = cache.pending_runs(marked, done[0])
-    sized = left.groupBy("book", "unit_ord", "unit_id").agg(F.sum(T.text_tokens("text")).alias("tokens")).withColumns({"document": F.col("book"), "block_key": F.col("unit_id"), "run_stem": F.col("unit_id")})
+    left = materialize(cache.pending_runs(marked, done[0]))
+    sized, needed = _requests(left, glossary)
     packed = packing.pack(packing.paragraph_marks(sized), target, output_limit)
     named = packed.select(F.col("book").alias("_b"), F.col("unit_ord").alias("_o"), F.col("unit_id").alias("_u"), "starts_paragraph", F.concat_ws("#", F.coalesce("book", F.lit("")), F.col("batch_no").cast("string")).alias("batch"))
     met = F.col("book").eqNullSafe(F.col("_b")) & (F.col("unit_ord") == F.col("_o")) & (F.col("unit_id") == F.col("_u"))
     batched = checkpointed(left.join(named, met).select("batch", "unit_id", "run_id", "unit_ord", "run_ord", "text", T.text_tokens("text").alias("tokens"), "starts_paragraph", F.lit(False).alias("backwards")))
     total, calls = marked.count() if progress else 0, 0
+
+    def rows_of(targets: DataFrame) -> DataFrame:
+        return marked.join(targets, "run_id").select(F.lit(job).alias("job"), F.col("run_id").alias("run"), "fingerprint", "target", T.digest("target").alias("checksum"))
+
     while not batched.isEmpty() and not (cancelled and cancelled()):
         if progress:
             state = batched.agg(F.countDistinct("batch").alias("batches"), F.count("*").alias("runs")).first()
             progress(total - state["runs"], total, calls, f"{state['batches']} batches to ask")
             calls += state["batches"]
-        judged = materialize(responses.reconciled(batched.select("batch", "unit_id", "run_id", "text"), responses.decoded(responded(batched, call))))
-        good, _ = responses.salvaged(judged)
-        done.append(good.select("run_id", "target"))
+        entries = None if glossary is None else _entries(batched, needed, glossary)
+        bodies = materialize(responded(batched, call, entries))  # what follows reads it twice, and nothing is called twice
+        judged = materialize(responses.reconciled(batched.select("batch", "unit_id", "run_id", "text"), responses.decoded(bodies)))
+        good = responses.salvaged(judged)[0].select("run_id", "target")
+        if commit and not good.isEmpty():
+            commit(rows_of(good))
+        done.append(good)
         batched = checkpointed(recovered(judged, batched)[0])
     if progress:
         progress(total - batched.count(), total, calls, "done")
@@ -100,31 +139,4 @@ def run_job(runs: DataFrame, call: BatchFunction, job: str, stored: DataFrame |
     for more in done[1:]:
         every = every.unionByName(more)
     every = checkpointed(every)
-    kept = marked.join(every, "run_id").select(F.lit(job).alias("job"), F.col("run_id").alias("run"), "fingerprint", "target", T.digest("target").alias("checksum"))
-    return every, kept
-
-
-def run_chapters(runs: DataFrame, call: BatchFunction, discover: Callable[[int, DataFrame], DataFrame | None], job: str, verify: Callable[[list[dict]], list[tuple]] | None = None) -> tuple[DataFrame, dict[int, int]]:
-    """Chapters one after another: chapter n + 1 starts when the terms found in n are published.
-
-    ``discover(chapter, targets)`` gives the terms of a finished chapter (``term, translation``) or None; with ``verify`` (see ``review.verified``)
-    only those judged ``verified`` are published, corrected where it says so. Returns all
-    targets and the number of terms each chapter could use; a chapter never sees its own or later terms.
-    """
-    numbers = sorted(r["chapter"] for r in runs.select("chapter").distinct().collect())  # one number per chapter of a book
-    known: DataFrame | None = None
-    out: DataFrame | None = None
-    seen: dict[int, int] = {}
-    for n in numbers:
-        seen[n] = known.count() if known is not None else 0
-        own, _ = run_job(runs.where(F.col("chapter") == n), call, f"{job}|{n}")
-        out = own if out is None else out.unionByName(own)
-        found = discover(n, own)
-        if found is not None:
-            fresh = found.select("term", "translation")
-            if verify is not None:
-                asked = fresh.select(F.xxhash64("term").alias("ord"), F.lit(n).alias("chapter"), F.col("term").alias("source_term"), "translation")
-                judged = checkpointed(review.verified(asked, verify)).where("verdict = 'verified'").select(F.col("source_term").alias("term"), "corrected")
-                fresh = fresh.join(judged, "term").select("term", F.coalesce(F.nullif("corrected", F.lit("")), "translation").alias("translation"))
-            known = checkpointed(fresh if known is None else known.unionByName(fresh).dropDuplicates(["term"]))
-    return out, seen
+    return every, rows_of(every)

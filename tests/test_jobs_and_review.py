@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from loomspan.operators import cache, packing, responses, review
-from loomspan.plans import jobs
+from loomspan.plans import chapters, jobs
 
 
 def runs(spark, texts, chapter=None):
@@ -32,8 +32,8 @@ def test_job_resumes_and_salvages(spark):
 def test_chapters_publish_in_order(spark):
     df = runs(spark, ["a", "b", "c"], lambda i: i + 1)
     found = {1: [("Toto", "T")], 2: [("Wu", "W"), ("Toto", "other")]}
-    _, seen = jobs.run_chapters(df, jobs.echo, lambda n, t: spark.createDataFrame(found[n], "term string, translation string") if n in found else None, "j")
-    assert seen == {1: 0, 2: 1, 3: 2}
+    job = chapters.Chapters(df, jobs.echo, chapters.job_store(spark), "j", lambda n, t: spark.createDataFrame(found[n], "term string, translation string") if n in found else None)
+    assert job.publish() == [1, 2, 3] and {n: job.known(n).count() for n in job.numbers} == {1: 0, 2: 1, 3: 2}
 
 
 def test_reconcile_faults(spark):
@@ -166,8 +166,9 @@ def test_only_verified_terms_are_published(spark):
     def verify(rows):
         return [("verified", "Better" if r["source_term"] == "Wu" else None) if r["source_term"] != "Odd" else ("ambiguous", None) for r in rows]
 
-    _, seen = jobs.run_chapters(df, jobs.echo, lambda n, t: found if n == 1 else None, "j", verify)
-    assert seen == {1: 0, 2: 2}
+    job = chapters.Chapters(df, jobs.echo, chapters.job_store(spark), "j", lambda n, t: found if n == 1 else None, verify=verify)
+    job.publish()
+    assert {n: job.known(n).count() for n in job.numbers} == {1: 0, 2: 2}
     asked = found.select(F.monotonically_increasing_id().alias("ord"), F.lit(1).alias("chapter"), F.col("term").alias("source_term"), "translation")
     assert {r["verdict"] for r in review.verified(asked, lambda rows: [("verified", None)]).collect()} == {"provisional"}  # too short an answer
     assert review.effective_policy("auto_safe", False) == "review_first" and review.effective_policy("auto_safe", True) == "auto_safe"
