@@ -6,7 +6,7 @@ Columns: ``ord`` (first wins), ``term``, ``translation``, and where needed ``app
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
@@ -100,12 +100,16 @@ def character_block(notes: DataFrame, head: str, most: int = 1500, cut_mark: str
     return whole.select(F.when(F.length("whole") > most, F.concat(cut, F.lit("\n" + cut_mark))).otherwise(F.col("whole")).alias("block"))
 
 
+def _is_word(token: Column) -> Column:
+    return F.coalesce(token.rlike(f"^[{T.WORD_CHARS}]"), F.lit(False))
+
+
 def conflicts(terms: DataFrame) -> DataFrame:
     """``kind, term_a, term_b``: later rows with the key of a first one (same or other translation), and keys
     that stand as whole words inside another key.
 
-    Overlaps are found by an index: each run of words of a key is looked up among the keys, so no pair of
-    keys is formed that does not overlap.
+    Overlaps are found by an index: each run of tokens of a key is looked up among the keys by equality, so no pair of
+    keys is formed that does not overlap, however many keys share a word.
     """
     keyed = terms.withColumn("key", T.norm_term("term")).where("key <> ''").withColumn("_t", T.norm_term("translation"))
     order = Window.partitionBy("key").orderBy("ord")
@@ -113,10 +117,15 @@ def conflicts(terms: DataFrame) -> DataFrame:
     kind = F.when(F.col("_same").eqNullSafe(F.col("_t")), "duplicate").otherwise("translation_mismatch")
     repeats = marked.where("_n > 1").select(kind.alias("kind"), F.col("_first").alias("term_a"), F.col("term").alias("term_b"))
     firsts = marked.where("_n = 1").select("key", "term", "ord")
-    inner = firsts.select(F.col("key").alias("short"), F.col("term").alias("s_term"), F.col("ord").alias("s_ord"), F.get(T.word_tokens("key"), F.lit(0)).alias("_w"))
-    outer = firsts.select(F.col("key").alias("long"), F.col("term").alias("l_term"), F.col("ord").alias("l_ord"), F.explode(F.array_distinct(T.word_tokens("key"))).alias("_w"))
-    inside = F.concat(F.lit(f"(?<![{T.WORD_CHARS}])"), T.escaped("short"), F.lit(f"(?![{T.WORD_CHARS}])"))
-    met = outer.join(inner, "_w").where((F.col("short") != F.col("long")) & (F.length("short") <= F.length("long"))).where(F.regexp_like("long", inside))
+    whole = firsts.withColumn("_w", T.phrase_tokens("key"))
+    # a short key is looked up among the runs of tokens, of the lengths that keys have, of each longer one
+    widths = sorted(r["n"] for r in whole.select(F.size("_w").alias("n")).distinct().collect())  # as many rows as lengths
+    inner = whole.select(F.col("key").alias("short"), F.col("term").alias("s_term"), F.col("ord").alias("s_ord"), F.array_join("_w", "").alias("_run"), F.size("_w").alias("_n"), _is_word(F.get("_w", F.lit(0))).alias("_opens"), _is_word(F.element_at("_w", -1)).alias("_closes"))
+    starts = F.sequence(F.lit(0), F.size("_w") - 1)
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(F.array(*map(F.lit, widths or [1])), lambda n: i + n <= F.size("_w")), lambda n: F.struct(F.array_join(F.slice("_w", i + 1, n), "").alias("run"), n.alias("n"), F.get("_w", i - 1).alias("before"), F.get("_w", i + n).alias("after")))))
+    outer = whole.select(F.col("key").alias("long"), F.col("term").alias("l_term"), F.col("ord").alias("l_ord"), F.explode(F.array_distinct(runs)).alias("_r")).select("long", "l_term", "l_ord", F.col("_r.run").alias("_run"), F.col("_r.n").alias("_n"), "_r.before", "_r.after")
+    apart = (F.col("_opens") | ~_is_word(F.col("before"))) & (F.col("_closes") | ~_is_word(F.col("after")))
+    met = outer.join(inner, ["_run", "_n"]).where((F.col("short") != F.col("long")) & apart).dropDuplicates(["short", "long"])
     before = F.col("s_ord") < F.col("l_ord")
     overlaps = met.select(F.lit("overlap").alias("kind"), F.when(before, F.col("s_term")).otherwise(F.col("l_term")).alias("term_a"), F.when(before, F.col("l_term")).otherwise(F.col("s_term")).alias("term_b"))
     return repeats.unionByName(overlaps)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from loomspan.functions import text as T
 
@@ -21,6 +25,17 @@ SAFE_CATEGORIES = ("person", "place")
 RULES = ("R1", "R2", "R3", "R4", "R5", "R6", "R7", "R8")
 
 
+#: Words are close beyond this ratio.
+CLOSE = 0.6
+
+
+@F.pandas_udf(BooleanType())
+def any_close(pairs: pd.Series) -> pd.Series:
+    """Whether any pair ``a, b`` of a row is close, but not the same."""
+    ratio = lru_cache(1 << 14)(T.matching_ratio)
+    return pd.Series([own is not None and any(CLOSE < ratio(x["a"], x["b"]) < 1 for x in own) for own in pairs])
+
+
 def _lookup(table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
@@ -73,14 +88,9 @@ def findings(candidates: DataFrame, chapter_texts: DataFrame, approved: DataFram
         "_close": close,
     })
 
-    @F.pandas_udf("boolean")
-    def any_close(pairs):
-        import pandas as pd
-        from difflib import SequenceMatcher
-
-        return pd.Series([any(0.6 < SequenceMatcher(None, x["a"], x["b"]).ratio() < 1 for x in own) for own in pairs])
-
-    judged = judged.withColumn("_r6", any_close("_close"))
+    # only pairs whose lengths allow a ratio beyond the bound reach Python
+    sized = F.filter("_close", lambda x: (x["a"] != x["b"]) & (2 * F.least(F.length(x["a"]), F.length(x["b"])) > CLOSE * (F.length(x["a"]) + F.length(x["b"]))))
+    judged = judged.withColumn("_close", sized).withColumn("_r6", F.when(F.size("_close") > 0, any_close("_close")).otherwise(F.lit(False)))
     broken = F.array_compact(F.array(*[F.when(F.col(f"_r{n}"), F.lit(f"R{n}")) for n in range(1, 9)]))
     return judged.select(*candidates.columns, broken.alias("rules"))
 

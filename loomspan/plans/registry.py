@@ -430,13 +430,6 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("v_rules")
-def _(spark, sf):
-    c = _candidates(spark, sf)
-    judged = review.findings(c.drop("text"), c.select("chapter", "text"), glossary.usable(_terms(spark)))
-    return judged.select("ord", F.array_join("rules", ",").alias("rules"))
-
-
 def _map_sql(table: dict[str, str]) -> str:
     return "MAP {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in table.items()) + "}"
 
@@ -445,25 +438,53 @@ def _plain_sql(x: str) -> str:
     return f"regexp_extract_all(lower(coalesce({x}, '')), '[a-zà-ÿ]+')"
 
 
-@query("v_rules_exact", rf"""WITH {S_TERMS}, c AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN term WHEN 1 THEN lower(term) ELSE 'sebuah naga' END AS proposed, CASE WHEN doc_id % 5 = 0 THEN 'not in the text at all' ELSE line END AS quote
+S_CANDIDATES = rf"""{S_TERMS}, c AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN term WHEN 1 THEN lower(term) ELSE 'sebuah naga' END AS proposed, CASE WHEN doc_id % 5 = 0 THEN 'not in the text at all' ELSE line END AS quote
 FROM (SELECT doc_id, text, split_part(text, chr(10), 1) AS line, split_part(split_part(text, chr(10), 1), ' ', 1) AS term FROM documents JOIN labels USING (doc_id) WHERE length(text) > 0)),
 a AS (SELECT array_to_string({_plain_sql('term')}, ' ') AS key, min(lower(trim(translation))) AS approved FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ord) AS i FROM terms WHERE approved AND term <> '' AND translation <> '') WHERE i = 1 GROUP BY ALL),
 w AS (SELECT *, array_to_string({_plain_sql('term')}, ' ') AS key, {_plain_sql('term')} AS src, {_plain_sql('proposed')} AS prop, regexp_extract_all(lower(proposed), '[a-zà-ÿ'']+') AS words, array_to_string({_plain_sql('quote')}, ' ') AS said, array_to_string({_plain_sql('text')}, ' ') AS chapter,
 list_filter(regexp_extract_all(term, '[A-Za-zÀ-ÿ'']+'), lambda x: left(x, 1) = upper(left(x, 1)) AND left(x, 1) <> '''' AND NOT list_contains({list(review.HONORIFICS)!r}, lower(x))) AS names FROM c),
-j AS (SELECT w.*, approved, row_number() OVER (PARTITION BY w.key ORDER BY doc_id) AS seen, {_map_sql(review.WORD_MAP)} AS m, {_map_sql(review.TITLES)} AS t FROM w LEFT JOIN a USING (key))
-SELECT doc_id AS ord, array_to_string(list_filter([
+j AS (SELECT w.*, approved, row_number() OVER (PARTITION BY w.key ORDER BY doc_id) AS seen, {_map_sql(review.WORD_MAP)} AS m, {_map_sql(review.TITLES)} AS t FROM w LEFT JOIN a USING (key))"""
+
+
+def _block_sql() -> str:
+    """The longest common block of ``w`` from ``alo`` to ``ahi`` and ``p`` from ``blo`` to ``bhi``, of equally long ones the first in ``w``, then in ``p``."""
+    size = "len(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda n: substr(w, i + 1, n) = substr(p, j + 1, n)))"
+    return f"list_sort(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j: {{'k': {size}, 'i': -i, 'j': -j}}))), 'DESC')[1]"
+
+
+S_CLOSE = f"""pairs AS (SELECT DISTINCT w, p FROM (SELECT doc_id, lower(unnest(list_filter(names, lambda x: NOT list_contains(words, lower(x)) AND NOT (m[lower(x)] IS NOT NULL AND len(list_filter({_plain_sql('m[lower(x)]')}, lambda y: NOT list_contains(prop, y))) = 0)))) AS w FROM j) JOIN (SELECT doc_id, unnest(words) AS p FROM j) USING (doc_id)),
+parts(w, p, alo, ahi, blo, bhi) AS (SELECT w, p, 0::BIGINT, length(w)::BIGINT, 0::BIGINT, length(p)::BIGINT FROM pairs UNION ALL
+SELECT w, p, c[1], c[2], c[3], c[4] FROM (SELECT w, p, unnest([[alo, -b.i, blo, -b.j], [b.k - b.i, ahi, b.k - b.j, bhi]]) AS c FROM (SELECT *, {_block_sql()} AS b FROM parts WHERE alo < ahi AND blo < bhi) WHERE b.k > 0)),
+near AS (SELECT w, p FROM (SELECT w, p, {_block_sql()}.k AS k FROM parts WHERE alo < ahi AND blo < bhi) GROUP BY w, p HAVING 2.0::DOUBLE * sum(k) / (length(w) + length(p)) > 0.6::DOUBLE AND 2.0::DOUBLE * sum(k) / (length(w) + length(p)) < 1),
+close AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, lower(unnest(names)) AS w, words FROM j) JOIN near USING (w) WHERE list_contains(words, p) AND NOT list_contains(words, w))"""
+
+
+def _rules_sql(r6: str) -> str:
+    return rf"""SELECT doc_id AS ord, array_to_string(list_filter([
 CASE WHEN said = '' OR NOT contains(chapter, said) THEN 'R1' END,
 CASE WHEN len(list_filter(names, lambda x: NOT list_contains(prop, lower(x)) AND NOT (m[lower(x)] IS NOT NULL AND len(list_filter({_plain_sql('m[lower(x)]')}, lambda y: NOT list_contains(prop, y))) = 0))) > 0 THEN 'R2' END,
 CASE WHEN len(list_filter(prop, lambda x: NOT list_contains({list(review.STOPWORDS)!r}, x) AND NOT list_contains(src, x) AND NOT list_contains(flatten(list_transform(src, lambda y: {_plain_sql('m[y]')})), x))) > 0 THEN 'R3' END,
 CASE WHEN seen > 1 THEN 'R4' END,
 CASE WHEN approved <> lower(trim(proposed)) THEN 'R5' END,
+{r6},
 CASE WHEN len(list_filter(names, lambda x: NOT list_contains(words, lower(x)) AND NOT coalesce(contains(lower(proposed), t[lower(x)]), false))) > 0 THEN 'R7' END,
-CASE WHEN trim(term) <> '' AND NOT regexp_matches(quote, '(?i)(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(term) || '($|[^\p{{L}}\p{{N}}_])') THEN 'R8' END], lambda x: x IS NOT NULL), ',') AS rules FROM j""")
-def _(spark, sf):
-    # all rules but R6, whose matching of sequences SQL does not have
+CASE WHEN trim(term) <> '' AND NOT regexp_matches(quote, '(?i)(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(term) || '($|[^\p{{L}}\p{{N}}_])') THEN 'R8' END], lambda x: x IS NOT NULL), ',') AS rules FROM j"""
+
+
+def _rules(spark: SparkSession, sf: str) -> DataFrame:
     c = _candidates(spark, sf)
-    judged = review.findings(c.drop("text"), c.select("chapter", "text"), glossary.usable(_terms(spark)))
-    return judged.select("ord", F.array_join(F.array_remove("rules", "R6"), ",").alias("rules"))
+    return review.findings(c.drop("text"), c.select("chapter", "text"), glossary.usable(_terms(spark)))
+
+
+@query("v_rules", f"WITH RECURSIVE {S_CANDIDATES}, {S_CLOSE} {_rules_sql('CASE WHEN doc_id IN (SELECT doc_id FROM close) THEN ' + chr(39) + 'R6' + chr(39) + ' END')}")
+def _(spark, sf):
+    return _rules(spark, sf).select("ord", F.array_join("rules", ",").alias("rules"))
+
+
+@query("v_rules_exact", f"WITH {S_CANDIDATES} {_rules_sql('NULL')}")
+def _(spark, sf):
+    # all rules but R6, the one that matches sequences
+    return _rules(spark, sf).select("ord", F.array_join(F.array_remove("rules", "R6"), ",").alias("rules"))
 
 
 @query("v9_router", """WITH c AS (SELECT l.doc_id AS ord, l.doc_id % 10 = 0 AS conflict, l.doc_id % 4 = 0 AS dirty, CASE WHEN l.doc_id % 2 = 0 THEN 'person' ELSE 'artifact' END AS category, CASE WHEN quality = 1 THEN CASE WHEN toxic = 0 THEN 'verified' ELSE 'ambiguous' END ELSE 'provisional' END AS v FROM labels l)
@@ -763,12 +784,12 @@ def _first_word_sql(c: int) -> str:
     return f"t{c} AS (SELECT coalesce((SELECT w FROM (SELECT regexp_extract(lower(text), '^([a-z]{{4,12}})([^\\p{{L}}\\p{{N}}_]|$)', 1) AS w FROM u WHERE chapter = {c}) WHERE w <> '' GROUP BY w ORDER BY count(*) DESC, w LIMIT 1), 'no such word') AS term)"
 
 
-@query("w2_chapters", rf"""WITH {S_UNITS}, u AS (SELECT 1 + doc_id % 3 AS chapter, unit_id, text FROM units WHERE regexp_matches(text, '[^\s\p{{Z}}]')), {_first_word_sql(1)}, {_first_word_sql(2)}
-SELECT chapter::INTEGER AS chapter, unit_id AS run_id, sha256('«' || CASE chapter WHEN 1 THEN {_said_sql('text', 1)} WHEN 2 THEN {_said_sql('text', 2)} ELSE {_said_sql('text', 3)} END || '»') AS digest FROM u""")
+@query("w2_chapters", rf"""WITH {S_UNITS}, u AS (SELECT 1 + doc_id % 2 AS chapter, unit_id, text FROM units WHERE regexp_matches(text, '[^\s\p{{Z}}]')), {_first_word_sql(1)}
+SELECT chapter::INTEGER AS chapter, unit_id AS run_id, sha256('«' || CASE chapter WHEN 1 THEN {_said_sql('text', 1)} ELSE {_said_sql('text', 2)} END || '»') AS digest FROM u""")
 def _(spark, sf):
-    # every third document is of one chapter; words found in a chapter are put into the later ones
+    # every second document is of the first chapter; the word found there is replaced in the second
     own = packing.placed(_units(spark, sf).select(F.col("source").alias("book"), "doc_id", "unit_ord", "unit_id", "text"), "doc_id", "unit_ord")
-    runs = own.select((F.col("doc_id") % 3 + 1).cast("int").alias("chapter"), "book", F.col("place").alias("unit_ord"), "unit_id", F.col("unit_id").alias("run_id"), F.lit(0).alias("run_ord"), "text", F.lit(None).cast("string").alias("context"))
+    runs = own.select((F.col("doc_id") % 2 + 1).cast("int").alias("chapter"), "book", F.col("place").alias("unit_ord"), "unit_id", F.col("unit_id").alias("run_id"), F.lit(0).alias("run_ord"), "text", F.lit(None).cast("string").alias("context"))
     job = chapters.Chapters(runs, _unsteady, chapters.job_store(spark), "w2", _usual_first_word, target=20_000, output_limit=65_536)
     job.publish()
     return job.targets().select("chapter", "run_id", T.digest("target").alias("digest"))

@@ -79,3 +79,16 @@ def test_others(spark):
     assert spark.createDataFrame([(200, "429", "x"), (200, None, "rate limit"), (200, None, "odd"), (500, None, None), (200, None, None)], "s int, c string, m string").select(T.effective_status("s", "c", "m")).toPandas().iloc[:, 0].tolist() == [429, 429, 502, 500, 200]
     assert one(spark, T.adds_markup("a", "b"), a="x", b="<b>x</b>") is True
     assert T.output_driven_target(65_536, 1.65) == int((65_536 * 0.9 - 6144) / 1.65)
+
+
+def test_matching_ratio_is_the_reference_one():
+    import random
+    from difflib import SequenceMatcher
+
+    from loomspan.functions.text import matching_ratio
+
+    rng = random.Random(1)
+    for letters, most in (("ab", 30), ("abcdefghijklmnopqrstuvwxyzé", 30), ("ab", 420), ("abcdefghij", 420), ("".join(map(chr, range(97, 247))), 420)):
+        for _ in range(40):
+            a, b = ("".join(rng.choices(letters, k=rng.randint(0, most))) for _ in range(2))
+            assert matching_ratio(a, b) == SequenceMatcher(None, a, b).ratio(), (a, b)

@@ -93,3 +93,22 @@ def test_merges_and_review(spark):
 @pytest.mark.parametrize("make", [g.conflicts, g.usable, g.fingerprint, lambda d: g.difference(d, d)])
 def test_empty(spark, make):
     make(spark.createDataFrame([], FIELDS)).collect()
+
+
+def test_keys_with_one_first_word_form_no_pairs(spark):
+    import re
+    import time
+
+    words = ["the", "lord", "old", "c++", "c", "x-ray", "ray", "naïve", "d.e"]
+    terms = [(i, f"{a} {b}".strip(), f"t{i}") for i, (a, b) in enumerate((a, b) for a in words for b in [*words, ""])]
+    got = {(r["term_a"], r["term_b"]) for r in g.conflicts(spark.createDataFrame(terms, "ord long, term string, translation string")).where("kind = 'overlap'").collect()}
+    want = set()
+    for i, s, _ in terms:
+        for j, l, _ in terms:
+            if s != l and len(s) <= len(l) and re.search(rf"(?<!\w){re.escape(s)}(?!\w)", l):
+                want.add((s, l) if i < j else (l, s))
+    assert got == want
+    many = spark.range(4_000).selectExpr("id as ord", "concat('the lord ', id) as term", "concat('t', id) as translation")
+    began = time.time()
+    assert g.conflicts(many).count() == 0
+    assert time.time() - began < 30  # pairs of all keys would take minutes
