@@ -3,7 +3,8 @@
 Texts and terms are cut into the same tokens (whole words, and every other character by itself; blanks are one space).
 A term stands where its tokens follow each other, so an occurrence is an equality of token runs: the runs of a text, one per
 place and phrase length, are joined to the phrases. No regex is tried per term and each text is read once. A glossary of at most
-``BROADCAST_TERMS`` phrases is sent to where the texts lie; for a larger one the runs are shuffled, texts never.
+``BROADCAST_TERMS`` phrases is sent to where the texts lie; for a larger one the runs are shuffled, texts never. Whether and how often a few phrases stand in a
+text needs no places: then each is a constant pattern of one projection.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ BROADCAST_TERMS = 50_000
 FILTER_FIRSTS = 2_000
 
 
+#: Phrases that may stand in the plan as constant patterns.
+CONSTANT_TERMS = 64
+
+
 def phrases(rows: DataFrame, column: str = "term", keep_blanks: bool = False) -> DataFrame:
     """``phrase, tokens, width, first`` of the distinct phrases of a column; blank ones have no tokens and are left out."""
     known = rows.select(F.col(column).alias("phrase")).distinct().withColumn("tokens", T.phrase_tokens("phrase", keep_blanks)).where(F.size("tokens") > 0)
@@ -29,6 +34,30 @@ def _is_word(token: Column) -> Column:
     return F.coalesce(token.rlike(f"^[{T.WORD_CHARS}]"), F.lit(False))
 
 
+def _patterns(known: DataFrame, keep_blanks: bool, most: int) -> list[tuple[str, str, str]] | None:
+    """``phrase, longest token, pattern`` of at most ``most`` phrases; None if there are more."""
+    rows = known.select("phrase", "tokens").limit(most + 1).collect()
+    if len(rows) > most:
+        return None
+    edge = f"[{T.WORD_CHARS}]"
+    return [(r["phrase"], max(r["tokens"], key=len), f"(?<!{edge}){''.join(T.BLANKS if t == ' ' and not keep_blanks else chr(92) + 'Q' + t + chr(92) + 'E' for t in r['tokens'])}(?!{edge})") for r in rows]
+
+
+def phrase_counts(units: DataFrame, known: DataFrame, unit: str = "unit_id", keep_blanks: bool = False, most: int | None = None) -> DataFrame:
+    """``unit, phrase, n``: how many places of a phrase, none overlapping another, a text has. Each unit is one row."""
+    few = _patterns(known, keep_blanks, CONSTANT_TERMS if most is None else most)
+    if few is None:
+        return placed(units, known, unit=unit, keep_blanks=keep_blanks).select(unit, "phrase", F.size("places").cast("long").alias("n"))
+    low = units.select(unit, F.lower(F.coalesce("text", F.lit(""))).alias("_low"))
+
+    def one(phrase: str, token: str, pattern: str) -> Column:
+        n = F.when(F.contains("_low", F.lit(token)), F.regexp_count("_low", F.lit(pattern))).otherwise(0)
+        return F.struct(F.lit(phrase).alias("phrase"), n.cast("long").alias("n"))
+
+    every = F.array(*[one(*p) for p in few]) if few else F.array().cast("array<struct<phrase:string,n:bigint>>")
+    return low.select(unit, F.inline(every)).where("n > 0")
+
+
 def occurrences(units: DataFrame, known: DataFrame, text: str = "text", unit: str = "unit_id", keep_blanks: bool = False, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """``unit, phrase, width, at``: every place (token number from 0) of every phrase of ``known`` in the texts,
     overlapping ones of one phrase included."""
@@ -75,12 +104,22 @@ def placed(units: DataFrame, known: DataFrame, text: str = "text", unit: str = "
 
 def matches(units: DataFrame, terms: DataFrame, text: str = "text", unit: str = "unit_id") -> DataFrame:
     """``unit, term`` for every unit that holds a term as whole words, in any case."""
-    return occurrences(units, phrases(terms), text, unit).select(unit, F.col("phrase").alias("term")).distinct()
+    return _holding(units, phrases(terms), text, unit).select(unit, F.col("phrase").alias("term"))
+
+
+def _holding(units: DataFrame, known: DataFrame, text: str, unit: str) -> DataFrame:
+    """``unit, phrase``, each pair once."""
+    few = _patterns(known, False, CONSTANT_TERMS)
+    if few is None:
+        return occurrences(units, known, text, unit).select(unit, "phrase").distinct()
+    low = units.select(unit, F.lower(F.coalesce(text, F.lit(""))).alias("_low"))
+    held = [F.when(F.contains("_low", F.lit(token)) & F.regexp_like("_low", F.lit(pattern)), F.lit(phrase)) for phrase, token, pattern in few]
+    return low.select(unit, F.explode(F.array_compact(F.array(*held)) if held else F.array().cast("array<string>")).alias("phrase")).distinct()
 
 
 def relevant_glossary(units: DataFrame, terms: DataFrame, batch: str = "batch") -> DataFrame:
     """``batch, terms``: the sorted distinct terms that any unit of a batch holds."""
-    own = occurrences(units, phrases(terms), unit=batch).select(batch, "phrase").distinct()
+    own = _holding(units, phrases(terms), "text", batch)
     return own.groupBy(batch).agg(F.sort_array(F.collect_set("phrase")).alias("terms"))
 
 
@@ -97,7 +136,7 @@ def inheritance(targets: DataFrame, runs: DataFrame, affected: DataFrame) -> tup
 
 def occurrence_counts(units: DataFrame, terms: DataFrame) -> DataFrame:
     """``unit_id, term, n`` for the terms that occur."""
-    return placed(units, phrases(terms)).select("unit_id", F.col("phrase").alias("term"), F.size("places").cast("long").alias("n"))
+    return phrase_counts(units, phrases(terms)).select("unit_id", F.col("phrase").alias("term"), "n")
 
 
 def violations(units: DataFrame, targets: DataFrame, terms: DataFrame) -> DataFrame:
@@ -116,7 +155,7 @@ def violations(units: DataFrame, targets: DataFrame, terms: DataFrame) -> DataFr
     left = F.transform("_all", lambda one: F.struct(one["term"].alias("term"), one["translation"].alias("expected"), F.size(F.filter(one["places"], lambda at: ~inside(one, at))).cast("long").alias("src_count")))
     counted = every.select("unit_id", F.inline(left)).where("src_count > 0")
     answered = targets.where("target <> ''").select("unit_id", F.col("target").alias("text"))
-    there = placed(answered, phrases(terms, "translation", keep_blanks=True), keep_blanks=True).select("unit_id", F.col("phrase").alias("expected"), F.size("places").cast("long").alias("_n"))
+    there = phrase_counts(answered, phrases(terms, "translation", keep_blanks=True), keep_blanks=True).select("unit_id", F.col("phrase").alias("expected"), F.col("n").alias("_n"))
     met = counted.join(answered.select("unit_id"), "unit_id", "left_semi").join(there, ["unit_id", "expected"], "left").withColumn("tgt_count", F.coalesce("_n", F.lit(0)))
     return met.where("tgt_count < src_count").select("unit_id", "term", "expected", "src_count", "tgt_count")
 

@@ -73,3 +73,17 @@ def test_audit_summary(spark):
     status, found = m.audit_pair(source, output, terms)
     row = m.audit_summary(status, found, source.selectExpr("cast(unit_ord as string) as unit_id", "text"), terms).first()
     assert (row["status"], row["occurrences"], row["missed"], row["units_at_fault"]) == ("verified", 3, 1, 1) and abs(row["compliance"] - 2 / 3) < 1e-9
+
+
+def test_constant_patterns_agree_with_places(spark, monkeypatch):
+    rng = random.Random(7)
+    words = ["go", "GO", "c-d", "é", "É", "(y)", "z.", "İ", "_a", "\n", "  ", "\u00a0", "''", "\\E"]
+    units = spark.createDataFrame([(str(i), "".join(rng.choice(words) + rng.choice([" ", ""]) for _ in range(40))) for i in range(40)] + [("none", None), ("empty", "")], "unit_id string, text string")
+    terms = spark.createDataFrame([("".join(rng.choice(words) + rng.choice([" ", ""]) for _ in range(rng.randint(1, 3))),) for _ in range(50)], "term string")
+    for keep in (False, True):
+        known = m.phrases(terms, keep_blanks=keep)
+        few, many = (sorted(map(tuple, m.phrase_counts(units, known, keep_blanks=keep, most=n).collect())) for n in (1000, 0))
+        assert few == many and len(few) > 50
+    few = sorted(map(tuple, m.matches(units, terms).collect()))
+    monkeypatch.setattr(m, "CONSTANT_TERMS", 0)
+    assert few == sorted(map(tuple, m.matches(units, terms).collect())) and few
