@@ -87,15 +87,15 @@ def keep_list(x: Column | str) -> Column:
 def text_tokens(x: Column | str) -> Column:
     """Estimated tokens: five ASCII word characters, one ASCII mark, or two bytes of anything else are one; four
     line ends are one; at least one."""
-    words = F.regexp_extract_all(F.coalesce(col(x), F.lit("")), F.lit(rf"([{WORD_CHARS}]+|[^{WORD_CHARS}\s])"), 1)
-
-    def one(w: Column) -> Column:
-        ascii_only = F.octet_length(w) == F.length(w)
-        return F.when(~ascii_only, F.ceil(F.octet_length(w) / 2)).when(w.rlike("^[A-Za-z0-9_]"), F.ceil(F.length(w) / 5)).otherwise(F.lit(1)).cast("long")
-
-    amount = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + one(w))
-    lines = F.floor(F.regexp_count(F.coalesce(col(x), F.lit("")), F.lit("\\n")) / 4)
-    return F.greatest(F.lit(1).cast("long"), amount + lines)
+    text = F.coalesce(col(x), F.lit(""))
+    # words and marks with anything beyond ASCII are measured one by one; pieces of the others need only be counted
+    wide = F.lit(rf"(?<![{WORD_CHARS}])[A-Za-z0-9_]*+[{WORD_CHARS}&&[^\x00-\x7F]][{WORD_CHARS}]*+|[^{WORD_CHARS}\s\x00-\x7F]")
+    narrow = F.lit(r"[A-Za-z0-9_]{1,5}|[^A-Za-z0-9_\s]")
+    beyond = F.aggregate(F.regexp_extract_all(text, wide, F.lit(0)), F.lit(0).cast("long"), lambda a, w: a + F.ceil(F.octet_length(w) / 2).cast("long"))
+    plain = F.octet_length(text) == F.length(text)
+    amount = F.when(plain, F.regexp_count(text, narrow)).otherwise(beyond + F.regexp_count(F.regexp_replace(text, wide, F.lit(" ")), narrow))
+    lines = F.floor(F.regexp_count(text, F.lit("\\n")) / 4)
+    return F.greatest(F.lit(1).cast("long"), amount.cast("long") + lines)
 
 
 def word_count(x: Column | str) -> Column:

@@ -11,6 +11,7 @@ from loomspan.functions import text as T
 from loomspan.operators import cache, glossary, ledger, matching, packing, responses, review, units
 from loomspan.plans import chapters, jobs
 from loomspan.sources import books
+from loomspan.storage import materialize, spread
 from loomspan.streaming import ledger as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +41,8 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    own = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(own) if name in ("documents", "pages") else own  # texts are worth a task on every core
 
 
 def _terms(spark: SparkSession) -> DataFrame:
@@ -725,7 +727,7 @@ def _(spark, sf):
     # a book is a source: batches go on over its documents, paragraphs are three lines
     k = F.concat_ws(":", F.col("doc_id").cast("string"), F.floor(F.col("unit_ord") / 3).cast("string"))
     own = _units(spark, sf).select(F.col("source").alias("book"), "doc_id", "unit_ord", "unit_id", F.col("doc_id").cast("string").alias("document"), k.alias("block_key"), F.col("unit_id").alias("run_stem"), T.text_tokens("text").alias("tokens"))
-    placed = packing.placed(own, "doc_id", "unit_ord").withColumn("unit_ord", F.col("place"))
+    placed = packing.placed(materialize(own), "doc_id", "unit_ord").withColumn("unit_ord", F.col("place"))
     return packing.pack(packing.paragraph_marks(placed), 2000, 16_000).groupBy("book", "batch_no").agg(F.count("*").alias("units"), F.max("est_input").alias("est_input"))
 
 

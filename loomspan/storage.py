@@ -114,6 +114,13 @@ def materialize(df: DataFrame, stays: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores where it is read in fewer than two splits a core: a small file is one row group, hence one task.
+    Tables of more splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint for small iterative state; Spark cleans the files when the frame goes."""
     spark = df.sparkSession
