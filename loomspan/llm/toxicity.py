@@ -41,7 +41,7 @@ HASH_BITS = 20
 #: A feature counts as a mark of toxicity from this z-value of its log odds on.
 SURE = 2.5
 GRADES = 3
-#: On held-out labels this rejects about 19 of 20 toxic texts and 1 of 1000 clean ones.
+#: On held-out labels (sf0.1) this rejects 0.973 of toxic texts and 0.006 of clean ones.
 REJECT_AT = 0.25
 MEMO = 400_000
 
