@@ -77,13 +77,13 @@ def test_a_kill_between_commits_loses_and_doubles_nothing(spark, tmp_path):
 
         store.commit = commit
         with pytest.raises(KeyboardInterrupt):
-            chapters.Chapters(texts(spark), call, store, "j", discover).publish()
+            chapters.Chapters(texts(spark).where("chapter < 3"), call, store, "j", discover).publish()
         before = asked.value
-        fresh = chapters.Chapters(texts(spark), call, Store(spark, store.path), "j", discover)
+        fresh = chapters.Chapters(texts(spark).where("chapter < 3"), call, Store(spark, store.path), "j", discover)
         fresh.publish()
-        assert result(fresh) == WANT
+        assert result(fresh) == {n: WANT[n] for n in (1, 2)}
         lost = len(TEXTS[(stop_at + 1) // 2]) if stop_at % 2 else 0  # only answers of a round that was not committed are asked again
-        assert asked.value == 8 + lost and before >= lost
+        assert asked.value == 6 + lost and before >= lost
         terms = fresh.store.read("terms", chapters.TERMS, "chapters")
         assert sorted((r["source_chapter"], r["term"]) for r in terms.collect()) == [(1, "Toto"), (2, "Toto"), (2, "Wu")]
 
@@ -107,12 +107,12 @@ def test_runs_without_answer_stop_the_book(spark, tmp_path):
     def broken(units, glossary):
         return json.dumps([{"id": u["id"], "runs": u["runs"]} for u in units if u["id"] != "u2.1"])
 
-    job = chapters.Chapters(texts(spark), broken, store, "j", discover)
+    job = chapters.Chapters(texts(spark).where("chapter < 3"), broken, store, "j", discover)
     with pytest.raises(chapters.Unfinished):
         job.publish()
     assert set(result(job)) == {1}
     call, asked = counting(spark)
-    assert chapters.Chapters(texts(spark), call, store, "j", discover).publish() == [2, 3] and asked.value == 3
+    assert chapters.Chapters(texts(spark).where("chapter < 3"), call, store, "j", discover).publish() == [2] and asked.value == 1
 
 
 def test_a_store_has_whole_commits_only(spark, tmp_path):
