@@ -1,13 +1,16 @@
 """Nearest neighbours by a block matrix join with int8 product tiles.
 
 Vectors are quantised to int8 (one scale a row) and dealt into blocks by a hash of their id: queries into Q blocks, candidates into C blocks,
-and each of the Q x C cells is one task. Only the int8 rows travel, with their scale and norms. A cell multiplies tiles; int8 products are summed exactly, as all partial sums
+and each of the Q x C cells is one task. Only int8 rows travel, with their scale and norms. A cell multiplies tiles; int8 products are summed exactly, as all partial sums
 stay below 2**24 in float32 for up to 1,000 dimensions (beyond, tiles are float64). With q = s_q q' + e_q and c = s_c c' + e_c the product obeys
 
     |q.c - s_q s_c q'.c'| <= |e_q| |s_c c'| + |q| |e_c|,
 
 so a pair whose upper bound lies below the k-th best lower bound of its query cannot be among the k best and
-is dropped, first within the cell, then among the pairs of all cells. Only surviving pairs fetch the original components; their
+is dropped. What is left of a tile is refined by a second level: the remainder e is quantised to int8 too, in steps of a 254th of s, and
+products of 254 q' + q'' have the same bound with remainders 254 times smaller. So vectors that share a large offset, whose products all lie within the first
+bound, still leave few pairs. Pairs are dropped within the cell, then among all cells, where the k best lower bounds of a query are found in two steps: among pairs of
+a hash, then among what those keep. Only surviving pairs fetch the original components; their
 product is recomputed in double precision, and a bounded heap per query merges them. The
 result is exact: recall is 1 by construction.
 
@@ -38,6 +41,10 @@ BLOCK, SMALL_BLOCK = 131_072, 8_192
 QUERY_BLOCK = 8_192
 TILE_QUERIES = 512
 TILE_ROWS = 4_096
+#: Steps of the second level in one of the first.
+FINE = 254
+#: Buckets in which a query's best lower bounds are found first.
+FLOOR_BUCKETS = 64
 #: Rounding of bounds, norms and products, relative to the product of the norms.
 SLACK = 1e-9
 
@@ -51,17 +58,31 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return q.astype(np.int8), scale, np.linalg.norm(stands, axis=1), np.linalg.norm(x - stands, axis=1)
 
 
+def refine(x: np.ndarray, code: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """int8 rows of what the first level misses, in steps of ``scale / FINE``, and the norms of what both levels stand for and miss."""
+    step = scale[:, None] / FINE
+    fine = np.rint((x - code * scale[:, None]) / np.where(step == 0, 1, step)).clip(-127, 127)
+    both = (code.astype(np.float64) * FINE + fine) * step
+    return fine.astype(np.int8), np.linalg.norm(both, axis=1), np.linalg.norm(x - both, axis=1)
+
+
+def coded(x: np.ndarray) -> dict[str, object]:
+    """The columns ``code, fine (int8 bytes), scale, stands, miss, stands2, miss2`` for rows of equal length."""
+    code, scale, stands, miss = quantise(x)
+    fine, stands2, miss2 = refine(x, code, scale)
+    return {"code": [c.tobytes() for c in code], "fine": [c.tobytes() for c in fine], "scale": scale, "stands": stands, "miss": miss, "stands2": stands2, "miss2": miss2}
+
+
 def quantised(rows: DataFrame) -> DataFrame:
-    """``vec_id, dim, same, code (int8 bytes), scale, stands, miss`` for ``vec_id, v``; ``same`` names equal vectors."""
+    """``vec_id, dim, same`` and the columns of ``coded`` for ``vec_id, v``; ``same`` names equal vectors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, own in pdf.groupby("dim", sort=False):
-                code, scale, stands, miss = quantise(np.stack(own["v"].to_list()))
-                yield pd.DataFrame({"vec_id": own["vec_id"], "dim": dim, "same": own["same"], "code": [c.tobytes() for c in code], "scale": scale, "stands": stands, "miss": miss})
+                yield pd.DataFrame({"vec_id": own["vec_id"], "dim": dim, "same": own["same"], **coded(np.stack(own["v"].to_list()))})
 
     same = F.concat(F.hex(F.xxhash64("v")), F.hex(F.xxhash64(F.lit(1), "v")))
-    return rows.select("vec_id", "v", F.size("v").alias("dim"), same.alias("same")).mapInPandas(run, "vec_id long, dim int, same string, code binary, scale double, stands double, miss double")
+    return rows.select("vec_id", "v", F.size("v").alias("dim"), same.alias("same")).mapInPandas(run, "vec_id long, dim int, same string, code binary, fine binary, scale double, stands double, miss double, stands2 double, miss2 double")
 
 
 def _collapse(rows: pd.DataFrame, keep: int) -> tuple[pd.DataFrame, list[np.ndarray]]:
@@ -82,37 +103,53 @@ def surviving(cand: pd.DataFrame, query: pd.DataFrame, k: int = K) -> pd.DataFra
     own, askers = _collapse(query, len(query))
     kind = np.float32 if len(uniq["code"].iat[0]) <= 1000 else np.float64
 
-    def codes(rows: pd.DataFrame) -> np.ndarray:
-        return np.frombuffer(b"".join(rows["code"]), np.int8).reshape(len(rows), -1)
+    def codes(rows: pd.DataFrame, column: str) -> np.ndarray:
+        return np.frombuffer(b"".join(rows[column]), np.int8).reshape(len(rows), -1)
+
+    def numbers(rows: pd.DataFrame) -> list[np.ndarray]:
+        return [rows[c].to_numpy() for c in ("scale", "stands", "miss", "stands2", "miss2")]
 
-    def numbers(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
-        return tuple(rows[c].to_numpy() for c in ("scale", "stands", "miss"))
+    def bounds(mid: np.ndarray, qn: np.ndarray, qe: np.ndarray, cn: np.ndarray, ce: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        error = qe[:, None] * cn[None, :] + (qn + qe)[:, None] * ce[None, :] + SLACK * (qn + qe)[:, None] * (cn + ce)[None, :]
+        # beyond the range of doubles a bound says nothing
+        return np.nan_to_num(mid - error, nan=-np.inf, neginf=-np.inf, posinf=np.inf), np.nan_to_num(mid + error, nan=np.inf, neginf=-np.inf, posinf=np.inf)
 
-    c8, (cs, cn, ce) = codes(uniq), numbers(uniq)
-    q8, (qs, qn, qe) = codes(own), numbers(own)
+    c8, f8, (cs, cn, ce, cn2, ce2) = codes(uniq, "code"), codes(uniq, "fine"), numbers(uniq)
+    q8, g8, (qs, qn, qe, qn2, qe2) = codes(own, "code"), codes(own, "fine"), numbers(own)
     wide = k + 1  # one more: the query's own id may be among them
     out: list[pd.DataFrame] = []
     for a in range(0, len(own), TILE_QUERIES):
         qa = slice(a, min(a + TILE_QUERIES, len(own)))
         left, n = q8[qa].astype(kind), qa.stop - a
+        left2 = q8[qa].astype(np.float64) * FINE + g8[qa]
         floor = np.full(n, -np.inf)
         best = np.empty((n, 0))
         kept: list[tuple[np.ndarray, ...]] = []
+
+        def raise_floor(low: np.ndarray, best: np.ndarray) -> np.ndarray:
+            best = np.concatenate([best, low if low.shape[1] <= wide else np.partition(low, low.shape[1] - wide, axis=1)[:, -wide:]], axis=1)
+            return best if best.shape[1] <= wide else np.partition(best, best.shape[1] - wide, axis=1)[:, -wide:]
+
         for b in range(0, len(uniq), TILE_ROWS):
             cb = slice(b, min(b + TILE_ROWS, len(uniq)))
             mid = (left @ c8[cb].astype(kind).T).astype(np.float64)
             mid *= qs[qa][:, None] * cs[cb][None, :]
-            error = qe[qa][:, None] * cn[cb][None, :] + (qn[qa] + qe[qa])[:, None] * ce[cb][None, :]
-            error += SLACK * (qn[qa] + qe[qa])[:, None] * (cn[cb] + ce[cb])[None, :]
-            # beyond the range of doubles a bound says nothing
-            low, high = np.nan_to_num(mid - error, nan=-np.inf, neginf=-np.inf, posinf=np.inf), np.nan_to_num(mid + error, nan=np.inf, neginf=-np.inf, posinf=np.inf)
-            best = np.concatenate([best, low if low.shape[1] <= wide else np.partition(low, low.shape[1] - wide, axis=1)[:, -wide:]], axis=1)
-            if best.shape[1] >= wide:
-                best = np.partition(best, best.shape[1] - wide, axis=1)[:, -wide:]
+            low, high = bounds(mid, qn[qa], qe[qa], cn[cb], ce[cb])
+            first = raise_floor(low, best)
+            may = high >= (np.maximum(floor, first.min(axis=1)) if first.shape[1] == wide else floor)[:, None]
+            at = np.flatnonzero(may.any(axis=0))
+            if not len(at):
+                continue
+            # the second level, for the columns that any query of the tile may need; sums stay below 2**53
+            fine = (left2 @ (c8[cb][at].astype(np.float64) * FINE + f8[cb][at]).T) * ((qs[qa] / FINE)[:, None] * (cs[cb][at] / FINE)[None, :])
+            low, high = bounds(fine, qn2[qa], qe2[qa], cn2[cb][at], ce2[cb][at])
+            low[~may[:, at]] = -np.inf
+            best = raise_floor(low, best)
+            if best.shape[1] == wide:
                 floor = best.min(axis=1)
-            at_q, at_c = np.nonzero(high >= floor[:, None])
-            kept.append((at_q, at_c + b, low[at_q, at_c], high[at_q, at_c]))
-        at_q, at_c, low, high = (np.concatenate(x) for x in zip(*kept))
+            at_q, at_c = np.nonzero(may[:, at] & (high >= floor[:, None]))
+            kept.append((at_q, at[at_c] + b, low[at_q, at_c], high[at_q, at_c]))
+        at_q, at_c, low, high = (np.concatenate(x) for x in zip(*kept)) if kept else (np.empty(0, np.int64),) * 4
         last = high >= floor[at_q]
         for i, j, lo, hi in zip(at_q[last].tolist(), at_c[last].tolist(), low[last].tolist(), high[last].tolist()):
             out.append((askers[a + i], members[j], lo, hi))
@@ -153,10 +190,12 @@ def nearest(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     def cell(cand: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         return surviving(cand, query, k)
 
-    pairs = cells.applyInPandas(cell, "query_id long, vec_id long, low double, high double")
-    # the k-th best lower bound over all cells; a query's own id is no pair any more
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = materialize(pairs.withColumn("floor", F.nth_value("low", k).over(ranked)).where("floor is null or high >= floor").select("query_id", "vec_id"))
+    pairs = materialize(cells.applyInPandas(cell, "query_id long, vec_id long, low double, high double"))
+    # the k-th best lower bound over all cells; a query's own id is no pair any more. However many cells there are, a query's second window has k rows a bucket
+    bucket = F.pmod(F.xxhash64("vec_id"), F.lit(FLOOR_BUCKETS)).alias("bucket")
+    few = pairs.select("query_id", "low", bucket).withColumn("n", F.row_number().over(Window.partitionBy("query_id", "bucket").orderBy(F.desc("low")))).where(F.col("n") <= k)
+    kth = few.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))).where(F.col("n") == k).select("query_id", F.col("low").alias("floor"))
+    left = materialize(pairs.join(kth, "query_id", "left").where("floor is null or high >= floor").select("query_id", "vec_id"))
     sides = left.join(rows.select("vec_id", F.col("v").alias("c")), "vec_id").join(rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     product = F.aggregate(F.zip_with("q", "c", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     scored = sides.select("query_id", "vec_id", product.alias("score"))

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.llm.ann_blocks import nearest, op1_ann_blocks, quantise, surviving
+from loomspan.llm.ann_blocks import FINE, coded, nearest, op1_ann_blocks, quantise, refine, surviving
 
 
 def brute(rows, is_query, k):
@@ -58,6 +58,43 @@ def test_error_bound_holds():
     assert (np.abs(near - q @ c.T) <= bound + 1e-9).all()
 
 
+def coded_rows(x):
+    return pd.DataFrame({"vec_id": np.arange(len(x)), "same": [v.tobytes().hex() for v in x], **coded(x)})
+
+
+def test_second_level_bound_holds():
+    rng = np.random.default_rng(4)
+    q, c = rng.standard_normal((20, 16)) + 3, rng.standard_normal((30, 16)) * 0.01 + 1
+    (q8, qs, _, qe), (c8, cs, _, _) = quantise(q), quantise(c)
+    (q2, _, qe2), (c2, cn2, ce2) = refine(q, q8, qs), refine(c, c8, cs)
+    near = ((q8 * float(FINE) + q2) * (qs / FINE)[:, None]) @ ((c8 * float(FINE) + c2) * (cs / FINE)[:, None]).T
+    bound = qe2[:, None] * cn2[None] + np.linalg.norm(q, axis=1)[:, None] * ce2[None]
+    assert (np.abs(near - q @ c.T) <= bound + 1e-12).all() and (qe2 < qe / 100).all()
+
+
+@pytest.mark.parametrize("spread, share", [(0.01, 0.02), (0.003, 0.05)])
+def test_clusters_leave_few_pairs(spread, share):
+    """All vectors lie around one centre of norm 8: the first level alone would keep every pair."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal(64) + spread * rng.standard_normal((4000, 64))
+    rows = coded_rows(x)
+    pairs = surviving(rows, rows[:200], 20)
+    left = set(zip(pairs["query_id"], pairs["vec_id"]))
+    for q in range(200):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert {(q, int(i)) for i in np.argsort(-score)[:20]} <= left
+    assert len(left) < share * 200 * 3999
+
+
+def test_cells_of_clusters(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3, 8))[rng.integers(0, 3, 240)] * 4 + 0.01 * rng.standard_normal((240, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"score": F.lit("x"), "code": F.lit(b"y"), "n": F.lit(1), "low": F.lit(None)})
+    agree(got(nearest(df, F.col("vec_id") % 6 == 0, 7, block=30)), brute(rows, lambda i: i % 6 == 0, 7))
+
+
 def test_small_tiles_agree(monkeypatch):
     import loomspan.llm.ann_blocks as m
 
@@ -66,8 +103,7 @@ def test_small_tiles_agree(monkeypatch):
     rng = np.random.default_rng(9)
     x = rng.standard_normal((500, 12)) * 10.0 ** rng.integers(-3, 4, (500, 1))
     x[100:140] = x[3]
-    code, scale, stands, miss = quantise(x)
-    rows = pd.DataFrame({"vec_id": np.arange(500), "same": [v.tobytes().hex() for v in x], "code": [c.tobytes() for c in code], "scale": scale, "stands": stands, "miss": miss})
+    rows = coded_rows(x)
     pairs = surviving(rows, rows[:50], 20)
     left = set(zip(pairs["query_id"], pairs["vec_id"]))
     want = brute(list(enumerate(x)), lambda i: i < 50, 20)
