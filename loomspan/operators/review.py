@@ -180,8 +180,9 @@ def unpublished(chapters: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def discovery_text(texts: DataFrame, most: int = 60_000) -> DataFrame:
-    """``chapter, paragraphs``: the head of a chapter, cut at its last empty line, as numbered paragraphs."""
+    """``chapter, paragraphs``: the head of a chapter, cut at its last empty line, as numbered paragraphs without blanks around."""
     short = F.left("text", F.lit(most))
-    cut = F.when((F.length("text") > most) & F.contains(short, F.lit("\n\n")), F.regexp_replace(short, "(?s)\n\n(?!.*\n\n).*$", "")).otherwise(short)
-    parts = F.filter(F.split(cut, r"\n\n+"), lambda p: F.trim(p) != "")
+    last = F.length(F.substring_index(short, "\n\n", -1))
+    cut = F.when((F.length("text") > most) & F.contains(short, F.lit("\n\n")), F.left(short, F.length(short) - last - 2)).otherwise(short)
+    parts = F.filter(F.transform(F.split(cut, r"\n\n"), lambda p: F.regexp_replace(p, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")), lambda p: p != "")
     return texts.select("chapter", F.array_join(F.transform(parts, lambda p, i: F.concat(F.lit("[P"), (i + 1).cast("string"), F.lit("] "), p)), "\n\n").alias("paragraphs"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import text as T
 from loomspan.operators import cache, glossary, ledger, matching, packing, responses, review, units
 from loomspan.plans import chapters, jobs
-from loomspan.sources import books
+from loomspan.sources import books, files
 from loomspan.storage import materialize, spread
 from loomspan.streaming import ledger as live
 
@@ -687,9 +687,8 @@ def _(spark, sf):
     return cache.failure_stats(r.select(F.col("event_type").alias("kind"), (F.col("request_id") % 10).alias("units"), (F.col("request_id") % 20).alias("runs"), F.col("tokens").alias("est_input_tokens")))
 
 
-@query("j11_reconcile", rf"""WITH {S_UNITS} SELECT unit_id AS run_id, CASE WHEN unit_ord % 7 = 3 THEN 'unit_missing' WHEN unit_ord % 7 = 4 THEN 'unit_duplicate' WHEN unit_ord % 7 = 5 THEN 'run_missing' WHEN unit_ord % 7 = 6 THEN 'run_duplicate'
-WHEN NOT regexp_matches(text, '[^\s\p{{Z}}]') THEN 'empty' END AS fault FROM units""")
-def _(spark, sf):
+def _answers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """What was asked, and the bodies of answers with units and runs that are missing or come twice, fences and stray quotes."""
     own = _units(spark, sf).select(F.col("doc_id").cast("string").alias("batch"), "unit_id", F.col("unit_id").alias("run_id"), "unit_ord", "text")
     k = F.col("unit_ord") % 7
     run = F.struct(F.col("run_id").alias("id"), F.col("text"))
@@ -699,10 +698,39 @@ def _(spark, sf):
     body = F.concat(F.lit('```json\n{"data": '), F.to_json(F.collect_list("u")), F.lit("}\n```"))
     # every third answer carries a note with quotes that are not escaped
     broken = F.when(F.col("batch").cast("long") % 3 == 0, F.replace(body, F.lit('{"data": '), F.lit('{"note": "he said "no" and left", "data": '))).otherwise(body)
-    bodies = rows.groupBy("batch").agg(broken.alias("body"))
+    return own, rows.groupBy("batch").agg(broken.alias("body"))
+
+
+@query("j11_reconcile", rf"""WITH {S_UNITS} SELECT unit_id AS run_id, CASE WHEN unit_ord % 7 = 3 THEN 'unit_missing' WHEN unit_ord % 7 = 4 THEN 'unit_duplicate' WHEN unit_ord % 7 = 5 THEN 'run_missing' WHEN unit_ord % 7 = 6 THEN 'run_duplicate'
+WHEN NOT regexp_matches(text, '[^\s\p{{Z}}]') THEN 'empty' END AS fault FROM units""")
+def _(spark, sf):
+    own, bodies = _answers(spark, sf)
     return responses.reconciled(own, responses.decoded(bodies)).select("run_id", "fault")
 
 
+S_JUDGED = rf"""judged AS (SELECT doc_id::VARCHAR AS batch, unit_id, text, CASE WHEN unit_ord % 7 = 3 THEN 'unit_missing' WHEN unit_ord % 7 = 4 THEN 'unit_duplicate' WHEN unit_ord % 7 = 5 THEN 'run_missing' WHEN unit_ord % 7 = 6 THEN 'run_duplicate'
+WHEN NOT regexp_matches(text, '[^\s\p{{Z}}]') THEN 'empty' END AS fault FROM units)"""
+
+
+@query("w11_salvage", rf"WITH {S_UNITS}, {S_JUDGED} SELECT unit_id AS run_id, fault IS NULL AS kept, coalesce(fault, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g'))) AS detail FROM judged")
+def _(spark, sf):
+    own, bodies = _answers(spark, sf)
+    good, bad = responses.salvaged(responses.reconciled(own, responses.decoded(bodies)))
+    return good.select("run_id", F.lit(True).alias("kept"), T.digest("target").alias("detail")).unionByName(bad.select("run_id", F.lit(False).alias("kept"), F.col("fault").alias("detail")))
+
+
+@query("g17_reasons", rf"WITH {S_UNITS}, {S_JUDGED}, f AS (SELECT batch, fault, min(unit_id) AS first_id FROM judged WHERE fault IS NOT NULL GROUP BY ALL) SELECT batch, string_agg(fault, ',' ORDER BY first_id) AS reasons FROM f GROUP BY batch")
+def _(spark, sf):
+    own, bodies = _answers(spark, sf)
+    return responses.reasons(responses.reconciled(own, responses.decoded(bodies))).select("batch", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("b17_unknown_units", f"WITH {S_UNITS} SELECT doc_id::VARCHAR AS batch, unit_id FROM units WHERE unit_ord % 7 <> 3 AND unit_ord % 11 = 0")
+def _(spark, sf):
+    own, bodies = _answers(spark, sf)
+    return responses.unknown_units(own.where("unit_ord % 11 <> 0"), responses.decoded(bodies))
+
+
 @query("j14_aliases", f"WITH {S_UNITS} SELECT unit_id, 'u' || (dense_rank() OVER (PARTITION BY doc_id ORDER BY unit_ord) - 1)::VARCHAR AS unit_alias, 'r' || (row_number() OVER (PARTITION BY doc_id ORDER BY unit_ord) - 1)::VARCHAR AS run_alias FROM units")
 def _(spark, sf):
     own = _units(spark, sf).withColumn("batch", F.col("doc_id")).withColumn("run_ord", F.lit(0))
@@ -795,3 +823,148 @@ def _(spark, sf):
     job = chapters.Chapters(runs, _unsteady, chapters.job_store(spark), "w2", _usual_first_word, target=20_000, output_limit=65_536)
     job.publish()
     return job.targets().select("chapter", "run_id", T.digest("target").alias("digest"))
+
+
+# ---- requests, estimates, logs ----------------------------------------------------------------------
+
+
+def _tokens_sql(x: str) -> str:
+    """Estimated tokens of a text without line ends."""
+    return "greatest(1, coalesce(" + S_TOKENS.replace("regexp_extract_all(text,", f"regexp_extract_all({x},") + ", 0))::BIGINT"
+
+
+S_PLAIN = r"regexp_replace(regexp_replace({x}, '[\s\p{{Z}}]+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+@query("b7_payloads", rf"""WITH {S_UNITS}, p AS (SELECT unit_id, unit_ord, source, text AS line, i - 1 AS run_ord, l[i] AS piece FROM (SELECT *, string_split(text, ', ') AS l, unnest(range(1, len(string_split(text, ', ')) + 1)) AS i FROM units)),
+a AS (SELECT *, regexp_extract(piece, '^([\s\p{{Z}}]*)', 1) AS prefix, regexp_extract(piece, '([\s\p{{Z}}]*)$', 1) AS suffix FROM p WHERE regexp_matches(piece, '[^\s\p{{Z}}]')),
+r AS (SELECT *, substr(piece, length(prefix)::INTEGER + 1, (length(piece) - length(prefix) - length(suffix))::INTEGER) AS core FROM a),
+j AS (SELECT unit_id, any_value(CASE unit_ord % 3 WHEN 1 THEN '  ' || line || ' ' WHEN 2 THEN source || ': ' || line END) AS context, string_agg(prefix || core || suffix, '' ORDER BY run_ord) AS text,
+ string_agg('{{"id":"' || unit_id || '#' || run_ord || '","text":' || to_json(core)::VARCHAR || CASE WHEN run_ord % 2 = 1 THEN ',"format":"b"' ELSE '' END || CASE WHEN prefix <> '' THEN ',"space_before":true' ELSE '' END || CASE WHEN suffix <> '' THEN ',"space_after":true' ELSE '' END || '}}', ',' ORDER BY run_ord) AS runs,
+ string_agg('{{"id":"' || unit_id || '#' || run_ord || '","text":""}}', ',' ORDER BY run_ord) AS bare FROM r GROUP BY unit_id),
+y AS (SELECT unit_id, text, '{{"id":"' || unit_id || '","runs":[' || runs || ']' || CASE WHEN {S_PLAIN.format(x="context")} <> {S_PLAIN.format(x="text")} THEN ',"context":' || to_json(context)::VARCHAR ELSE '' END || '}}' AS payload, '{{"id":"' || unit_id || '","runs":[' || bare || ']}}' AS bare FROM j)
+SELECT unit_id, sha256(text) AS text, sha256(payload) AS payload, {_tokens_sql("payload")} AS tokens, {_tokens_sql("text")} AS source_tokens, {_tokens_sql("bare")} AS overhead_tokens FROM y""")
+def _(spark, sf):
+    own = _units(spark, sf)
+    k = F.col("unit_ord") % 3
+    context = F.when(k == 1, F.concat(F.lit("  "), "text", F.lit(" "))).when(k == 2, F.concat("source", F.lit(": "), "text"))
+    pieces = own.select(F.col("source").alias("book"), F.col("doc_id").cast("string").alias("document"), "unit_ord", "unit_id", context.alias("context"), F.posexplode(F.split("text", ", ")).alias("run_ord", "piece"))
+    parts = units.affixes(pieces, "piece").where("core <> ''")
+    runs = parts.withColumns({"run_id": F.concat("unit_id", F.lit("#"), F.col("run_ord").cast("string")), "text": F.col("core"), "style": F.when(F.col("run_ord") % 2 == 1, "b").otherwise("")})
+    return packing.payloads(runs).select("unit_id", T.digest("text").alias("text"), T.digest("payload").alias("payload"), "tokens", "source_tokens", "overhead_tokens")
+
+
+@query("b5_context", rf"""WITH {S_UNITS}, w AS MATERIALIZED (SELECT unit_id, {S_PLAIN.format(x="text")} AS whole, list_transform(range(0, (length(text) + 999) // 1000), lambda i: substr(text, 1 + 1000 * i, 1000)) AS l FROM units),
+o AS MATERIALIZED (SELECT unit_id, generate_subscripts(l, 1) - 1 AS part_ord, unnest(l) AS part FROM w), p AS (SELECT o.unit_id, part_ord, {S_PLAIN.format(x="part")} AS own, whole FROM o JOIN w USING (unit_id))
+SELECT unit_id, part_ord::INTEGER AS part_ord, CASE WHEN whole <> own THEN sha256(CASE WHEN length(whole) > 400 THEN substr(whole, greatest(1, strpos(whole, own) - 50)::INTEGER, 400) ELSE whole END) END AS context FROM p""")
+def _(spark, sf):
+    own = _units(spark, sf)
+    slots = own.select(F.col("unit_id").alias("owner"), F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,1000}"), F.lit(0))).alias("part_ord", "text"))
+    told = units.with_context(slots, own.select(F.col("unit_id").alias("owner"), F.col("text").alias("owner_text")), most=400, before=50)
+    return told.select(F.col("owner").alias("unit_id"), "part_ord", T.digest("context").alias("context"))
+
+
+@query("f27_estimates", rf"""WITH t AS (SELECT doc_id, length(text) AS c, greatest(1, coalesce({S_TOKENS}, 0)::BIGINT + (length(text) - length(replace(text, chr(10), ''))) // 4)::BIGINT AS n FROM documents)
+SELECT doc_id, (ceil((n + 128) * 1.1::DOUBLE * 1.05::DOUBLE) + 64)::BIGINT AS measured, (ceil((n + 128) * 1.0::DOUBLE * 1.12::DOUBLE) + 64)::BIGINT AS unmeasured, (ceil(n * 1.35::DOUBLE) + 40 + 2048)::BIGINT AS output, greatest(64, c // 4)::BIGINT AS simple, n <= {T.output_driven_target(16_000, 1.35)} AS fits FROM t""")
+def _(spark, sf):
+    n = T.text_tokens("text")
+    return table(spark, sf, "documents").select(
+        "doc_id", T.estimated_input(n, 1.1, samples=3).alias("measured"), T.estimated_input(n).alias("unmeasured"), T.predicted_output(n, F.lit(40), 1.35).alias("output"),
+        T.simple_estimate("text").alias("simple"), (n <= T.output_driven_target(16_000, 1.35)).alias("fits"),
+    )
+
+
+@query("f26_instructions", rf"""WITH i(profile, instruction) AS (VALUES ('BUILDING', 'Keep names of places, and dialogue short.'), ('MACHINERY', 'Prefer plain terms; keep units like kW.')),
+m AS (SELECT c_custkey, coalesce(instruction, '') AS instruction FROM customer LEFT JOIN i ON profile = c_mktsegment) SELECT c_custkey, instruction, CASE WHEN instruction = '' THEN 0 ELSE {_tokens_sql("instruction")} END::BIGINT AS instruction_tokens FROM m""")
+def _(spark, sf):
+    texts = spark.createDataFrame([("BUILDING", "Keep names of places, and dialogue short."), ("MACHINERY", "Prefer plain terms; keep units like kW.")], "name string, text string")
+    rows = table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("profile"))
+    return review.with_instructions(rows, texts).select("c_custkey", "instruction", F.col("instruction_tokens").cast("long").alias("instruction_tokens"))
+
+
+@query("g8_outlook", rf"""WITH {S_UNITS}, a AS (SELECT length(text) AS c, greatest(1, coalesce({S_TOKENS}, 0))::BIGINT AS t, doc_id % 3 = 0 AS done FROM units),
+s AS (SELECT sum(t) AS total, sum(t) FILTER (done) AS done, sum(c) FILTER (done) AS chars FROM a), n AS (SELECT *, greatest(0, total - done) AS rest, ceil(greatest(0, total - done) / greatest(1.0::DOUBLE, done::DOUBLE / 120)) AS need FROM s)
+SELECT done::DOUBLE * 60 / 3600::DOUBLE AS tokens_per_minute, chars::DOUBLE * 60 / 3600::DOUBLE AS characters_per_minute, need::BIGINT AS requests_remaining, ceil(need * (1 + 6::DOUBLE / 114))::BIGINT AS requests_needed, rest::DOUBLE * 3600 / done::DOUBLE AS eta_seconds, ceil(need * (1 + 6::DOUBLE / 114)) > 250 AS quota_short FROM n""")
+def _(spark, sf):
+    totals = units.progress(_units(spark, sf).withColumn("done", F.col("doc_id") % 3 == 0))
+    told = units.outlook(totals, requests=120, elapsed=3600.0, batch_target=2000, retries=6, successes=114, remaining_quota=250)
+    return told.select("tokens_per_minute", "characters_per_minute", "requests_remaining", "requests_needed", "eta_seconds", "quota_short")
+
+
+@query("t7_discovery_text", r"""WITH d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents), h AS (SELECT doc_id, length(text) > 1500 AS long, left(text, 1500) AS short FROM d),
+c AS (SELECT doc_id, CASE WHEN long AND contains(short, chr(10) || chr(10)) THEN regexp_extract(short, '(?s)^(.*)\n\n', 1) ELSE short END AS t FROM h),
+p AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda p: regexp_replace(p, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda p: p <> '') AS l FROM c)
+SELECT doc_id AS chapter, coalesce(array_to_string(list_transform(l, lambda p, i: '[P' || i::VARCHAR || '] ' || p), chr(10) || chr(10)), '') AS paragraphs FROM p""")
+def _(spark, sf):
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("chapter"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return review.discovery_text(texts, most=1500)
+
+
+@query("f10_adds_markup", "SELECT page_id, regexp_matches(t, '</?[A-Za-z][^>]*>') AND NOT regexp_matches(s, '</?[A-Za-z][^>]*>') AS adds FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN html ELSE url END AS s, CASE page_id % 2 WHEN 0 THEN html ELSE url || ' a < b > c' END AS t FROM pages)")
+def _(spark, sf):
+    source = F.when(F.col("page_id") % 3 == 0, F.col("html")).otherwise(F.col("url"))
+    target = F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.concat("url", F.lit(" a < b > c")))
+    return table(spark, sf, "pages").select("page_id", T.adds_markup(source, target).alias("adds"))
+
+
+@query("f17_effective_status", """WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 3 THEN 429 ELSE 200 END AS status, CASE event_type WHEN 'error' THEN (400 + event_id % 300)::VARCHAR WHEN 'view' THEN 'none' END AS code, CASE WHEN event_type IN ('error', 'view') THEN CASE event_id % 5 WHEN 0 THEN 'Rate exceeded' ELSE 'bad' END END AS message FROM events)
+SELECT event_id, CASE WHEN status = 200 AND (code IS NOT NULL OR message IS NOT NULL) THEN CASE WHEN try_cast(code AS INTEGER) BETWEEN 400 AND 599 THEN try_cast(code AS INTEGER) WHEN regexp_matches(message, '(?i)rate|quota|limit') THEN 429 ELSE 502 END ELSE status END::INTEGER AS status FROM e""")
+def _(spark, sf):
+    e, kind = F.col("event_id"), F.col("event_type")
+    code = F.when(kind == "error", (400 + e % 300).cast("string")).when(kind == "view", "none")
+    message = F.when(kind.isin("error", "view"), F.when(e % 5 == 0, "Rate exceeded").otherwise("bad"))
+    return table(spark, sf, "events").select("event_id", T.effective_status(F.when(e % 4 == 3, 429).otherwise(200), code, message).alias("status"))
+
+
+@query("j13_verdicts", """WITH c AS (SELECT p_partkey AS ord, split_part(p_name, ' ', 2) AS source_term FROM part), v AS (SELECT source_term, arg_max(CASE p_size % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'ambiguous' ELSE 'rejected' END, p_partkey) AS verdict, arg_max(struct_pack(x := CASE WHEN p_size % 2 = 0 THEN p_type END), p_partkey).x AS corrected FROM c JOIN part ON p_partkey = ord WHERE p_partkey % 5 = 0 AND source_term LIKE '%e%' GROUP BY source_term)
+SELECT ord, c.source_term, coalesce(verdict, 'provisional') AS verdict, corrected FROM c LEFT JOIN v USING (source_term)""")
+def _(spark, sf):
+    own = table(spark, sf, "part").withColumns({"ord": F.col("p_partkey"), "source_term": F.split_part("p_name", F.lit(" "), F.lit(2))})
+    k = F.col("p_size") % 3
+    said = own.where("p_partkey % 5 = 0 and source_term like '%e%'").select("ord", "source_term", F.when(k == 0, "verified").when(k == 1, "ambiguous").otherwise("rejected").alias("verdict"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("corrected"))
+    return review.with_verdicts(own.select("ord", "source_term"), said).select("ord", "source_term", "verdict", "corrected")
+
+
+@query("b21_reviewed", """WITH t AS (SELECT p_name || '#' || p_partkey AS term, p_type AS translation, p_size % 4 <> 0 AS approved, CASE p_partkey % 4 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' WHEN 2 THEN 'suggest' END AS action, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS fix FROM part)
+SELECT term, CASE WHEN action = 'suggest' AND fix IS NOT NULL THEN fix ELSE translation END AS translation, CASE WHEN action IN ('approve', 'suggest') THEN true WHEN action = 'reject' THEN false ELSE approved END AS approved, CASE WHEN action IN ('approve', 'suggest') THEN 'verified' WHEN action = 'reject' THEN 'rejected' ELSE 'provisional' END AS status,
+CASE WHEN action IS NOT NULL THEN translation || '|' || approved::VARCHAR || '|provisional|2024-01-01|review' ELSE '' END AS past FROM t""")
+def _(spark, sf):
+    key = F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("term")
+    own = table(spark, sf, "part")
+    terms = own.select(key, F.col("p_type").alias("translation"), (F.col("p_size") % 4 != 0).alias("approved"), F.lit("provisional").alias("status"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).alias("suggested_fix"), F.lit(None).cast("array<struct<translation:string,approved:boolean,status:string,at:string,by:string>>").alias("history"))
+    k = F.col("p_partkey") % 4
+    acts = own.where(k < 3).select(key, F.when(k == 0, "approve").when(k == 1, "reject").otherwise("suggest").alias("action"))
+    past = F.array_join(F.transform(F.coalesce("history", F.array().cast("array<struct<translation:string,approved:boolean,status:string,at:string,by:string>>")), lambda h: F.concat_ws("|", h["translation"], h["approved"].cast("string"), h["status"], h["at"], h["by"])), ",")
+    return glossary.reviewed(terms, acts, "2024-01-01").select("term", "translation", "approved", "status", past.alias("past"))
+
+
+@query("w3_unpublished", "SELECT o_orderkey AS chapter, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F')")
+def _(spark, sf):
+    stages = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chapter"), F.when(F.col("l_linestatus") == "F", "published").otherwise("failed").alias("status"))
+    return review.unpublished(table(spark, sf, "orders").select(F.col("o_orderkey").alias("chapter"), "o_custkey"), stages)
+
+
+@query("g6_keys_available", "WITH d AS (SELECT user_id, count(*) FILTER (event_type <> 'view') AS used FROM events GROUP BY user_id) SELECT count(*) FILTER (used < (SELECT avg(used) FROM d)::INTEGER) AS available, count(*) AS total FROM d")
+def _(spark, sf):
+    own = table(spark, sf, "events").select(F.col("user_id").alias("scope"), (F.col("event_type") != "view").cast("int").alias("used"))
+    daily = own.groupBy("scope").agg(F.sum("used").alias("used"))
+    limit = daily.agg(F.round(F.avg("used")).cast("int").alias("n")).first()["n"] or 0
+    return ledger.keys_available(own.select("scope").distinct(), daily.where("used > 0"), limit)
+
+
+@query("u3_overlap", f"WITH {S_UNITS} SELECT unit_id AS run_id FROM units WHERE unit_ord % 2 = 0 AND doc_id % 3 = 0")
+def _(spark, sf):
+    runs = _units(spark, sf).withColumn("run_id", F.col("unit_id"))
+    return cache.overlap(runs.where("unit_ord % 2 = 0"), runs.where("doc_id % 3 = 0"))
+
+
+@query("d16_failure_log", """SELECT event_id AS at, event_type AS kind, CASE WHEN event_id % 7 = 0 THEN NULL ELSE left(repeat(event_type || ' ', 90), 300) END AS error, (event_id % 8)::BIGINT AS units, least(5, user_id % 9)::INTEGER AS n_samples, json_extract(props, '$.k')::INTEGER AS k, CASE WHEN event_id % 3 = 0 THEN 'retry' END AS note, CASE WHEN event_id % 3 = 0 THEN 'k,note' ELSE 'k' END AS extra_keys FROM events""")
+def _(spark, sf):
+    """Events as failures, their properties as extra keys: written as lines of JSON and read again. Extras try to take the place of a key."""
+    e = F.col("event_id")
+    samples = F.slice(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.concat(F.lit("s"), i.cast("string"))), F.lit(1), (F.col("user_id") % 9).cast("int"))
+    more = F.when(e % 3 == 0, F.concat(F.left("props", F.length("props") - 1), F.lit(', "kind": "other", "error": "other", "note": "retry"}'))).otherwise(F.col("props"))
+    failures = table(spark, sf, "events").select(e.cast("double").alias("ts"), F.col("event_type").alias("kind"), (e % 8).alias("units"), F.when(e % 7 != 0, F.repeat(F.concat("event_type", F.lit(" ")), F.lit(90))).alias("error"), samples.alias("sample_ids"), F.try_parse_json(more).alias("extra"))
+    read = files.read_failures(files.failure_events(failures, "extra"))
+    keys = F.array_join(F.array_sort(F.map_keys(F.col("extra").cast("map<string,variant>"))), ",")
+    return read.select(F.col("ts").cast("long").alias("at"), "kind", "error", "units", F.size("sample_ids").alias("n_samples"), F.try_variant_get("extra", "$.k", "int").alias("k"), F.try_variant_get("extra", "$.note", "string").alias("note"), keys.alias("extra_keys"))
