@@ -43,6 +43,8 @@ TILE_QUERIES = 512
 TILE_ROWS = 4_096
 #: Steps of the second level in one of the first.
 FINE = 254
+#: A tile is multiplied whole at the second level where more than one pair in so many is left.
+DENSE = 16
 #: Buckets in which a query's best lower bounds are found first.
 FLOOR_BUCKETS = 64
 #: Rounding of bounds, norms and products, relative to the product of the norms.
@@ -110,7 +112,7 @@ def surviving(cand: pd.DataFrame, query: pd.DataFrame, k: int = K) -> pd.DataFra
         return [rows[c].to_numpy() for c in ("scale", "stands", "miss", "stands2", "miss2")]
 
     def bounds(mid: np.ndarray, qn: np.ndarray, qe: np.ndarray, cn: np.ndarray, ce: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        error = qe[:, None] * cn[None, :] + (qn + qe)[:, None] * ce[None, :] + SLACK * (qn + qe)[:, None] * (cn + ce)[None, :]
+        error = qe * cn + (qn + qe) * ce + SLACK * (qn + qe) * (cn + ce)
         # beyond the range of doubles a bound says nothing
         return np.nan_to_num(mid - error, nan=-np.inf, neginf=-np.inf, posinf=np.inf), np.nan_to_num(mid + error, nan=np.inf, neginf=-np.inf, posinf=np.inf)
 
@@ -134,21 +136,28 @@ def surviving(cand: pd.DataFrame, query: pd.DataFrame, k: int = K) -> pd.DataFra
             cb = slice(b, min(b + TILE_ROWS, len(uniq)))
             mid = (left @ c8[cb].astype(kind).T).astype(np.float64)
             mid *= qs[qa][:, None] * cs[cb][None, :]
-            low, high = bounds(mid, qn[qa], qe[qa], cn[cb], ce[cb])
+            low, high = bounds(mid, qn[qa][:, None], qe[qa][:, None], cn[cb], ce[cb])
             first = raise_floor(low, best)
             may = high >= (np.maximum(floor, first.min(axis=1)) if first.shape[1] == wide else floor)[:, None]
-            at = np.flatnonzero(may.any(axis=0))
-            if not len(at):
+            at_q, at_c = np.nonzero(may)
+            if not len(at_q):
                 continue
-            # the second level, for the columns that any query of the tile may need; sums stay below 2**53
-            fine = (left2 @ (c8[cb][at].astype(np.float64) * FINE + f8[cb][at]).T) * ((qs[qa] / FINE)[:, None] * (cs[cb][at] / FINE)[None, :])
-            low, high = bounds(fine, qn2[qa], qe2[qa], cn2[cb][at], ce2[cb][at])
-            low[~may[:, at]] = -np.inf
-            best = raise_floor(low, best)
+            # the second level, for the pairs that are left; sums stay below 2**53
+            right2 = c8[cb].astype(np.float64) * FINE + f8[cb]
+            if len(at_q) * DENSE > may.size:
+                sums = (left2 @ right2.T)[at_q, at_c]
+            else:
+                sums = np.concatenate([np.einsum("ij,ij->i", left2[at_q[i : i + TILE_ROWS]], right2[at_c[i : i + TILE_ROWS]]) for i in range(0, len(at_q), TILE_ROWS)])
+            low, high = bounds(sums * ((qs[qa] / FINE)[at_q] * (cs[cb] / FINE)[at_c]), qn2[qa][at_q], qe2[qa][at_q], cn2[cb][at_c], ce2[cb][at_c])
+            # pairs come by query: side by side, they are a narrow table of lower bounds
+            each = np.bincount(at_q, minlength=n)
+            lows = np.full((n, each.max()), -np.inf)
+            lows[at_q, np.arange(len(at_q)) - np.repeat(np.cumsum(each) - each, each)] = low
+            best = raise_floor(lows, best)
             if best.shape[1] == wide:
                 floor = best.min(axis=1)
-            at_q, at_c = np.nonzero(may[:, at] & (high >= floor[:, None]))
-            kept.append((at_q, at[at_c] + b, low[at_q, at_c], high[at_q, at_c]))
+            stay = high >= floor[at_q]
+            kept.append((at_q[stay], at_c[stay] + b, low[stay], high[stay]))
         at_q, at_c, low, high = (np.concatenate(x) for x in zip(*kept)) if kept else (np.empty(0, np.int64),) * 4
         last = high >= floor[at_q]
         for i, j, lo, hi in zip(at_q[last].tolist(), at_c[last].tolist(), low[last].tolist(), high[last].tolist()):
