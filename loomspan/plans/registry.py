@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import text as T
 from loomspan.operators import cache, glossary, ledger, matching, packing, responses, review, units
 from loomspan.plans import chapters, jobs
-from loomspan.sources import books, files
+from loomspan.sources import books, files, strict
 from loomspan.storage import materialize, spread
 from loomspan.streaming import ledger as live
 
@@ -968,3 +968,16 @@ def _(spark, sf):
     read = files.read_failures(files.failure_events(failures, "extra"))
     keys = F.array_join(F.array_sort(F.map_keys(F.col("extra").cast("map<string,variant>"))), ",")
     return read.select(F.col("ts").cast("long").alias("at"), "kind", "error", "units", F.size("sample_ids").alias("n_samples"), F.try_variant_get("extra", "$.k", "int").alias("k"), F.try_variant_get("extra", "$.note", "string").alias("note"), keys.alias("extra_keys"))
+
+
+@query("b6_node_render", r"""WITH l AS (SELECT doc_id, coalesce(lang, 'en') AS lang, string_split(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B-\x1F\x{FFFE}\x{FFFF}]', ' ', 'g'), chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, lang, list_transform(l, lambda t: '<p>' || CASE WHEN regexp_matches(lang, '(?i)^en([-_].*)?$') AND regexp_matches(t, '[A-Za-z]') THEN '«' || replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '»' ELSE replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END || '</p>') AS l FROM l)
+SELECT doc_id, sha256('<html lang="' || lang || '"><body>' || array_to_string(l, chr(10)) || '</body></html>') AS html, NULL::VARCHAR AS fault FROM x""")
+def _(spark, sf):
+    """Documents as strict markup, a paragraph a line: read by node, and every readable node put between guillemets."""
+    sound = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B-\x1F\x{FFFE}\x{FFFF}]", " ")
+    plain = F.replace(F.replace(F.replace(sound, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.array_join(F.transform(F.split(plain, "\n"), lambda t: F.concat(F.lit("<p>"), t, F.lit("</p>"))), "\n")
+    pages = table(spark, sf, "documents").select("doc_id", F.concat(F.lit('<html lang="'), F.coalesce("lang", F.lit("en")), F.lit('"><body>'), lines, F.lit("</body></html>")).alias("html"))
+    targets = strict.node_slots(pages, "doc_id").select("doc_id", "node", F.concat(F.lit("«"), "text", F.lit("»")).alias("target"))
+    return strict.rendered_by_node(pages, targets, "doc_id").select("doc_id", T.digest("html").alias("html"), "fault")
