@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
@@ -62,6 +63,22 @@ def responded(batched: DataFrame, call: BatchFunction, entries: DataFrame | None
     return rows.repartition("batch").sortWithinPartitions("batch", F.col("place").isNotNull(), "place", "unit_id", "run_ord").mapInPandas(run, "batch string, body string")
 
 
+@contextlib.contextmanager
+def tagged(spark: SparkSession, tag: str) -> Iterator[None]:
+    """What this thread begins inside can be ended by ``interrupt``, also in the middle of a round. What ``commit`` has taken by then
+    stays, so that the next run of the job goes on from there."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def interrupt(spark: SparkSession, tag: str) -> None:
+    """Ends what runs under a tag, calls included, from any thread; the thread that began it gets an exception."""
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
 def recovered(judged: DataFrame, batched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What is asked again, and the runs that are given up (``run_id, fault``).
 
