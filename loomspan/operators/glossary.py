@@ -86,14 +86,17 @@ def notes_for_chapter(notes: DataFrame, chapter: int | None) -> DataFrame:
 
 
 def character_block(notes: DataFrame, head: str, most: int = 1500, cut_mark: str = "…(cut)") -> DataFrame:
-    """One row ``block``: the head and a line per note, cut at a line end if that keeps half."""
+    """One row ``block``: the head and a line per note, cut at a line end if that keeps half.
+
+    A line has more than one character, so the first ``most`` notes fill the block: no more of them meet in the row.
+    """
     parts = F.concat_ws(
         "; ", "name",
         F.when(F.size("aliases") > 0, F.concat(F.lit("alias: "), F.array_join("aliases", ", "))),
         *[F.when(F.col(c) != "", F.concat(F.lit(f"{label}: "), F.col(c))) for c, label in (("title", "title"), ("relationships", "relations"), ("register_note", "register"))],
     )
     lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit("- "), parts).alias("line")))), lambda x: x["line"])
-    whole = notes.agg(F.when(F.count("*") > 0, F.concat_ws("\n", F.array(F.lit(head)), lines)).otherwise("").alias("whole"))
+    whole = notes.orderBy("ord").limit(most + 1).agg(F.when(F.count("*") > 0, F.concat_ws("\n", F.array(F.lit(head)), lines)).otherwise("").alias("whole"))
     short = F.left("whole", F.lit(most))
     kept = F.regexp_replace(short, "(?s)\n[^\n]*$", "")
     cut = F.when(F.length(kept) < most // 2, short).otherwise(kept)

@@ -115,10 +115,10 @@ def materialize(df: DataFrame, stays: bool = False) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt to all cores where it is read in fewer than two splits a core: a small file is one row group, hence one task.
-    Tables of more splits stay as they are."""
+    """``df``, dealt to all cores where it is read in fewer splits than cores: a small file is one row group, hence one task.
+    Tables of as many splits stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
