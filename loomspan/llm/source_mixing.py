@@ -14,7 +14,7 @@ rows are shuffled. ``mixed_documents`` shuffles them once.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; a source of
 size 0 has target 0; very long texts are counted whole and may be cut at the budget's end; equal keys go by id (nulls last), then by text; rows repeated
-under one id take consecutive places; an empty table gives an
+under one id take consecutive places (which of them share a range does not matter: places of whole repeats are interchangeable); an empty table gives an
 empty result; other columns of the input do not matter, whatever their names, and pass through ``mixed_documents``
 (where ``n_chars`` follows the text).
 """
@@ -31,6 +31,8 @@ from loomspan.storage import materialize
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
+#: Up to so many sources are ranked in one window, and so many texts at a cut broadcast; more go by ranges and joins.
+FEW = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -47,6 +49,14 @@ def _exact(x: str, digits: int) -> Column:
     return F.col(x).cast(f"decimal({digits},0)")
 
 
+def _sums_before(rows: DataFrame, order: list[Column], sums: dict[str, str], few: bool) -> DataFrame:
+    """``prefix_sums``; a ``few`` rows, as counted, are summed in one window."""
+    if not few:
+        return prefix_sums(rows, order, sums)
+    before = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumns({name: F.coalesce(F.sum(c).over(before), F.lit(0)) for c, name in sums.items()})
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``source, source_size, target`` from one row ``source, source_size`` per source.
 
@@ -54,10 +64,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     left by weight; k is the least number for which no other source is above its cap. From there on none is.
     """
     known = sizes.select("source", "source_size", F.col("source").isNull().alias("_none"), F.lit(1).cast("long").alias("_one"))
-    ranked = prefix_sums(known, [F.col("_none"), F.col("source")], {"_one": "_rank"})
+    few = sizes.limit(FEW + 1).count() <= FEW
+    ranked = _sums_before(known, [F.col("_none"), F.col("source")], {"_one": "_rank"}, few)
     weigh = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
     weighed = ranked.withColumn("w", weigh).withColumn("cap", F.col("source_size") * most).withColumn("_fill", F.col("cap") / F.col("w"))
-    filled = materialize(prefix_sums(weighed, [F.col("_fill"), F.col("_none"), F.col("source")], {"cap": "_capped", "w": "_lighter"}))
+    filled = materialize(_sums_before(weighed, [F.col("_fill"), F.col("_none"), F.col("source")], {"cap": "_capped", "w": "_lighter"}, few))
     whole = filled.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
     if whole["size"] is None:
         return sizes.select("source", "source_size", F.lit(0.0).alias("target"))
@@ -84,11 +95,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         word_count(F.col(text_col)).alias("size"),
         random_key(F.col(id_col)).alias("key"),
     )
-    rows = materialize(narrow)
+    # rows repeated whole differ in their place in the file only: by it they fill as many ranges as they need
+    rows = materialize(narrow).select("*", F.col("_metadata.row_index").alias("tie"))
     sizes = materialize(rows.groupBy("none", "name").agg(F.sum("size").alias("source_size")))
     targets = source_targets(sizes.select(F.when(~F.col("none"), F.col("name")).alias("source"), "source_size"))
     targets = targets.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "source_size", "target")
-    order = [F.col("none"), F.col("name"), F.col("key"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"), F.col("size")]
+    order = [F.col("none"), F.col("name"), F.col("key"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"), F.col("size"), F.col("tie")]
     joined = prefix_sums(rows, order, {"size": "place"}, ["none", "name"]).join(targets, ["none", "name"])
     budget = F.floor(F.col("target")).cast("long")
     placed = (
@@ -113,25 +125,36 @@ def _mix_keys(doc_id: Column, key: Column, source: Column) -> list[Column]:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each text once per epoch, and once more, cut after ``partial`` words, at the budget's end.
 
-    Columns as in ``docs``; documents that the mix does not reach are not in it.
+    Columns as in ``docs``; documents that the mix does not reach are not in it. Of rows that share id, text and source
+    any may be the one whose further copies stand at the cut. A row learns from its group's sums how often it is
+    taken, so groups of any size are neither listed nor numbered, and a join that meets a large one can be split.
     """
-    k1, k2, no, own, take, partial = free_names(docs, "k1", "k2", "no", "own", "take", "partial")
-    plan = mix(docs, id_col, text_col, source_col).where("taken > 0")
-    named = plan.select(*[c.alias(k) for c, k in zip(_mix_keys(F.col("doc_id"), F.col("text_key"), F.col("source")), (k1, k2))], F.struct("taken", "epochs", "partial", "size").alias(own))
-    shares = named.groupBy(k1, k2).agg(F.sort_array(F.collect_list(own), asc=False).alias(own))
+    k1, k2, own, copies, words = free_names(docs, "k1", "k2", "own", "copies", "words")
+    plan = mix(docs, id_col, text_col, source_col)
+    keys = [c.alias(k) for c, k in zip(_mix_keys(F.col("doc_id"), F.col("text_key"), F.col("source")), (k1, k2))]
+    sums = plan.groupBy(*keys).agg(F.first("epochs").alias("epochs"), F.first("size").alias("size"), F.sum("partial").alias("rest"), F.count("*").alias("members")).where("size > 0 and (epochs > 0 or rest > 0)")
+    # the last epoch takes all rows of a group, or none, or ends among them: that happens once a source
+    groups = materialize(sums.select(k1, k2, F.struct("epochs", "size", "rest", F.expr("rest > 0 and rest < members * size").alias("ends")).alias(own)))
     keyed = docs.withColumns(dict(zip((k1, k2), _mix_keys(F.col(id_col), text_key(F.col(text_col)), F.col(source_col).cast("string")))))
-    # rows that share id, text and source are numbered where they meet their shares: one shuffle of the texts
+
+    def repeated(rows: DataFrame, whole: Column, begun: Column) -> DataFrame:
+        """Each row ``whole`` times, and once more with its first ``begun`` words, where these are any."""
+        cut = F.when(begun > 0, F.array(begun.cast("int"))).otherwise(F.array().cast("array<int>"))
+        opened = rows.withColumn(words, F.explode(F.concat(F.array_repeat(F.lit(-1), whole.cast("int")), cut)))
+        first = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), F.lit(1), F.greatest(F.col(words), F.lit(0)))
+        return opened.withColumn(text_col, F.when(F.col(words) >= 0, F.array_join(first, "")).otherwise(F.col(text_col))).select(*docs.columns)
+
+    more = F.when((F.col(f"{own}.rest") > 0) & ~F.col(f"{own}.ends"), 1).otherwise(0)
+    even = repeated(keyed.join(groups, [k1, k2]), F.col(f"{own}.epochs") + more, F.lit(0))
+    ends = groups.where(F.col(f"{own}.ends"))
+    ends = F.broadcast(ends) if ends.limit(FEW + 1).count() <= FEW else ends
     plain = [F.col(f.name) for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))]
-    numbered = keyed.withColumn(no, F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.xxhash64(*plain))))
-    met = numbered.join(shares, [k1, k2]).withColumn(own, F.get(own, F.col(no) - 1))
-    copies = F.concat(F.array_repeat(F.lit(False), F.col(f"{own}.epochs").cast("int")), F.when(F.col(f"{own}.partial") > 0, F.array(F.col(f"{own}.partial") < F.col(f"{own}.size"))).otherwise(F.array().cast("array<boolean>")))
-    opened = met.withColumn(take, F.explode(copies)).withColumn(partial, F.col(f"{own}.partial").cast("int"))
-    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), F.lit(1), F.col(partial))
-    text = F.when(F.col(take), F.array_join(words, "")).otherwise(F.col(text_col))
-    out = opened.withColumn(text_col, text)
+    one = keyed.join(ends, [k1, k2]).groupBy(k1, k2).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias(copies), F.first(own).alias(own))
+    last = repeated(one.select(f"{copies}.*", own), F.expr(f"`{own}`.rest div `{own}`.size"), F.col(f"{own}.rest") % F.col(f"{own}.size"))
+    out = even.unionByName(last)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(F.col(text_col)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def oracle_sql(weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> str:

@@ -94,3 +94,31 @@ def test_mixed_texts_have_the_taken_words(documents):
 def test_empty(no_documents):
     assert op4_mixing(no_documents).count() == 0
     assert mixed_documents(no_documents).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_many_repeated_rows(spark, monkeypatch, few):
+    """Groups of one id, text and source that the cut runs through, by sums of the group alone."""
+    monkeypatch.setattr(m, "FEW", few)
+    rows = [(7, "a b c d e", "x", i) for i in range(400)] + [(i, "f g h", "x", 0) for i in range(100, 130)] + [(1, "k l", "y", i) for i in range(60)] + [(None, "m n o", None, 5)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k1 int")
+    check(docs.collect(), op4_mixing(docs).collect())
+    plan, mine = Counter(), Counter()
+    for r in mix(docs).collect():
+        plan[(r["doc_id"], r["source"])] += r["taken"]
+    out = mixed_documents(docs).collect()
+    for r in out:
+        mine[(r["doc_id"], r["source"])] += len(r["text"].split())
+    assert +plan == +mine
+    assert sum(r["text"] not in {t for _, t, _, _ in rows} for r in out) <= 3  # at most one text a source is cut
+
+
+def test_repeated_rows_fill_many_ranges(spark, monkeypatch):
+    """Rows repeated whole are no hot range."""
+    monkeypatch.setattr("loomspan.operators.ranges.range_count", lambda _: 8)
+    seen = []
+    own = m.prefix_sums
+    monkeypatch.setattr(m, "prefix_sums", lambda rows, order, *a: seen.append(rows.repartitionByRange(8, *order).groupBy(m.F.spark_partition_id()).count().collect()) or own(rows, order, *a))
+    docs = spark.createDataFrame([(1, "a b", "x")] * 4000, "doc_id long, text string, source string")
+    assert sum(r["taken"] for r in op4_mixing(docs).collect()) == 8000
+    assert max(n for _, n in seen[-1]) < 2000
