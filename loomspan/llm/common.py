@@ -8,12 +8,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.storage import spread
+
 #: Rows handled at once in a worker. Spark bounds the bytes of a batch, this bounds the Python objects made of it.
 ARROW_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables; documents in fewer splits than cores are dealt to all cores."""
+    own = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(own) if name == "documents" else own
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:

@@ -181,6 +181,8 @@ def read_ogg(data: bytes) -> tuple[bytes, dict]:
     tracks: dict[int, LogicalStream] = {}
     rate, count, total = RATE, 0, 0
     for own in streams.values():
+        if not own.packets or len(own.packets[0]) != _IDENT.size:
+            raise OggError("a stream without a first packet of its kind")
         magic, rate, k, count, total = _IDENT.unpack(own.packets[0])
         if magic != MAGIC or k in tracks:
             raise OggError("not a stream of samples")

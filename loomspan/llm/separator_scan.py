@@ -189,7 +189,8 @@ def file_lengths(manifest: DataFrame) -> DataFrame:
 
 
 def op9_separator_scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, file, doc_no, n_tokens`` of every document, counted in flat token files."""
+    """``doc_id, file, doc_no, n_tokens`` of every document, counted in flat token files. ``file`` names the partition
+    that wrote it, without the number of the attempt, so that reruns agree."""
     manifest = write_token_files(docs)
     counted = count_tokens(token_blocks(materialize(file_lengths(manifest))))
-    return counted.join(manifest.drop("width"), ["file", "doc_no"]).select("doc_id", F.element_at(F.split("file", "/"), -1).alias("file"), "doc_no", "n_tokens")
+    return counted.join(manifest.drop("width"), ["file", "doc_no"]).select("doc_id", F.regexp_extract("file", r"(part-\d+)-\d+\.bin$", 1).alias("file"), "doc_no", "n_tokens")

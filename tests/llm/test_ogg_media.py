@@ -2,10 +2,11 @@ import hashlib
 import random
 import struct
 import zlib
+from dataclasses import replace
 
 import pytest
 
-from loomspan.llm.ogg_media import OggError, demultiplex, media_columns, ogg_crc, op7_ogg, payload_of, read_ogg, read_pages, write_ogg
+from loomspan.llm.ogg_media import OggError, _page_bytes, demultiplex, media_columns, ogg_crc, op7_ogg, payload_of, read_ogg, read_pages, stream_pages, write_ogg
 
 
 def crc_by_bit(data):
@@ -57,6 +58,11 @@ def test_damage_is_found():
     with pytest.raises(OggError):
         demultiplex(pages[:2] + pages[4:])
     assert struct.unpack_from("<4s", media)[0] == b"OggS"
+    ended = stream_pages(1, [b"short"], [0])
+    without = [replace(ended[0], lacing=b"", body=b"", granule=-1)]
+    for pages in (ended, without):  # streams that end before a first packet of their kind
+        with pytest.raises(OggError):
+            read_ogg(b"".join(map(_page_bytes, pages)))
 
 
 def test_every_row(documents, no_documents):
