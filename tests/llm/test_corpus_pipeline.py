@@ -87,6 +87,6 @@ def test_empty_null_and_clashing_columns(spark, no_documents, documents):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
     assert list(STAGES) == ["toxicity", "simhash_near_dedup", "substring_dedup", "source_mixing", "byte_bpe"]
