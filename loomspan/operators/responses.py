@@ -18,7 +18,9 @@ def decoded(raw: DataFrame, column: str = "body") -> DataFrame:
     one of the usual names, else the first list among the values of the object.
     """
     plain = raw.withColumn("_plain", T.unfenced(column))
-    fixed = plain.withColumn("_strict", T.strict_json("_plain")).withColumn("_fixed", F.when(F.col("_strict").isNull(), T.strict_json(T.repaired_json("_plain"))))
+    # a Python function runs for every row, whatever stands around it: sound bodies are nulls to it
+    broken = F.when(F.col("_strict").isNull(), F.col("_plain"))
+    fixed = plain.withColumn("_strict", T.strict_json("_plain")).withColumn("_fixed", T.strict_json(T.repaired_json(broken)))
     body = F.coalesce("_strict", "_fixed")
     inner = F.when(body.startswith("["), body).otherwise(F.coalesce(*[F.get_json_object(body, f"$.{w}") for w in WRAPPERS], F.get(F.filter(F.map_values(F.from_json(body, "map<string,string>")), lambda v: v.startswith("[")), F.lit(0))))
     rows = F.from_json(inner, RESPONSE)
