@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ from loomspan.storage import checkpointed, materialize
 #: Takes the units of one batch, ``[{"id": ..., "runs": [{"id": ..., "text": ...}]}]``, and gives the response text. In a job with a glossary it
 #: also takes the entries, ``{term: translation}``, that occur in the batch.
 BatchFunction = Callable[..., str]
+#: Runs of an Arrow batch that are Python objects at a time.
+ROWS = 256
 #: Takes runs done, all runs, calls so far and a message.
 Progress = Callable[[int, int, int, str], None]
 
@@ -37,16 +39,16 @@ def responded(batched: DataFrame, call: BatchFunction, entries: DataFrame | None
         rows = rows.unionByName(entries.select("batch", none.cast("string").alias("unit_id"), none.cast("string").alias("run_id"), none.cast("long").alias("place"), none.cast("int").alias("run_ord"), F.col("glossary").alias("text")))
     given = entries is not None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
         now, units, glossary = None, [], {}
 
-        def answer() -> pd.DataFrame:
-            return pd.DataFrame([(now, call(units, glossary) if given else call(units))], columns=["batch", "body"])
+        def answer() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([now], pa.string()), pa.array([call(units, glossary) if given else call(units)], pa.string())], ["batch", "body"])
 
-        for pdf in batches:
-            for batch, unit, run_id, text in zip(*(pdf[c].tolist() for c in ("batch", "unit_id", "run_id", "text"))):
+        for part in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+            for batch, unit, run_id, text in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("batch", "unit_id", "run_id", "text"))):
                 if batch != now:
                     if units:
                         yield answer()
@@ -60,7 +62,7 @@ def responded(batched: DataFrame, call: BatchFunction, entries: DataFrame | None
         if units:
             yield answer()
 
-    return rows.repartition("batch").sortWithinPartitions("batch", F.col("place").isNotNull(), "place", "unit_id", "run_ord").mapInPandas(run, "batch string, body string")
+    return rows.repartition("batch").sortWithinPartitions("batch", F.col("place").isNotNull(), "place", "unit_id", "run_ord").mapInArrow(run, "batch string, body string")
 
 
 @contextlib.contextmanager
