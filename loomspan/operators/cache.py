@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
+from loomspan.operators.ranges import range_count
+from loomspan.storage import materialize
+
+#: Ids that one task compares: their number sets that of the tasks.
+TASK_IDS = 500_000
 
 
 def fingerprints(runs: DataFrame) -> DataFrame:
@@ -52,8 +57,11 @@ def pending_runs(runs: DataFrame, targets: DataFrame) -> DataFrame:
 
 def coverage(runs: DataFrame, targets: DataFrame) -> DataFrame:
     """``side, run_id``: runs without a target and targets without a run; empty when both sets are equal."""
-    a, b = runs.select("run_id").distinct(), targets.select("run_id").distinct()
-    return a.exceptAll(b).select(F.lit("missing").alias("side"), "run_id").union(b.exceptAll(a).select(F.lit("unknown").alias("side"), "run_id"))
+    own = runs.select("run_id", F.lit(True).alias("_run")).unionByName(targets.select("run_id", F.lit(False).alias("_run")))
+    both = materialize(own)
+    n = max(range_count(both), both.count() // TASK_IDS + 1)
+    seen = both.repartition(n, "run_id").groupBy("run_id").agg(F.bool_and("_run").alias("_runs"), F.bool_or("_run").alias("_any"))
+    return seen.where(F.col("_runs") | ~F.col("_any")).select(F.when(F.col("_runs"), "missing").otherwise("unknown").alias("side"), "run_id")
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str = "run_id") -> DataFrame:
