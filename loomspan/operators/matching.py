@@ -69,19 +69,19 @@ def occurrences(units: DataFrame, known: DataFrame, text: str = "text", unit: st
     for r in known.select("width", "first").distinct().collect() if few else ():
         firsts.setdefault(r["width"], []).append(r["first"])
 
-    def runs(width: int) -> Column:
-        places = F.when(F.size("_t") >= width, F.sequence(F.lit(0), F.size("_t") - width)).otherwise(F.array().cast("array<int>"))
+    def run(width: int) -> Column:
         begins = firsts.get(width)
-        places = F.filter(places, lambda i: F.get("_t", i).isin(begins) if begins else F.get("_t", i) != " ")
-
-        def one(i: Column) -> Column:
-            own = F.get("_t", i) if width == 1 else F.array_join(F.slice("_t", i + 1, F.lit(width)), "")
-            return F.struct(F.lit(width).alias("width"), i.alias("at"), own.alias("run"), F.get("_t", i - 1).alias("before"), F.get("_t", i + width).alias("after"))
-
-        return F.transform(places, one)
-
-    every = [runs(w) for w in sorted(r["width"] for r in sizes)] or [runs(1)]
-    opened = cut.select(unit, F.explode(F.concat(*every)).alias("r")).select(unit, "r.*")
+        here = F.col("at") + width <= F.size("_t")
+        if begins:
+            here &= F.col("own").isin(begins)
+        own = F.col("own") if width == 1 else F.concat(*[F.get("_t", F.col("at") + k) for k in range(width)])
+        return F.when(here, F.struct(F.lit(width).alias("width"), own.alias("run"), F.get("_t", F.col("at") - 1).alias("before"), F.get("_t", F.col("at") + width).alias("after")))
+
+    # a row per token, passed over in compiled code where no phrase begins
+    begun = F.col("own").isin(sorted({t for own in firsts.values() for t in own})) if firsts else F.col("own") != " "
+    every = [run(w) for w in sorted(r["width"] for r in sizes)] or [run(1)]
+    places = cut.select(unit, "_t", F.posexplode("_t").alias("at", "own")).where(begun)
+    opened = places.select(unit, "at", F.explode(F.array(*every)).alias("r") if len(every) > 1 else every[0].alias("r")).where("r is not null").select(unit, "at", "r.*")
     last = F.get("tokens", F.col("width") - 1)
     keyed = known.select("phrase", "width", F.array_join("tokens", "").alias("run"), _is_word(F.col("first")).alias("opens"), _is_word(last).alias("closes"))
     met = opened.join(F.broadcast(keyed) if n <= broadcast_terms else keyed, ["width", "run"])

@@ -1,6 +1,6 @@
 """Steps that several queries share: decoded once, compared in tasks of bounded size."""
 
-from loomspan.operators import cache, responses
+from loomspan.operators import cache, matching, responses
 
 
 def test_coverage_deals_ids_to_as_many_tasks_as_they_fill(spark, monkeypatch):
@@ -18,3 +18,12 @@ def test_answers_are_decoded_once(spark):
     judged = responses.reconciled(expected, responses.decoded(raw))
     assert sorted(map(tuple, judged.select("run_id", "target", "fault").collect())) == [("r", "t", None), ("w", None, "unit_missing")]
     assert "repaired_json" not in judged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_of_phrases_are_no_lambdas(spark):
+    units = spark.createDataFrame([("u", "The cat, the  cat sat. Cat!"), ("v", ""), ("w", None), ("x", "cat")], "unit_id string, text string")
+    known = matching.phrases(spark.createDataFrame([("the cat",), ("cat",), ("sat. cat",), ("gone",)], "term string"))
+    found = matching.occurrences(units, known)
+    want = [("u", "cat", 1, 2), ("u", "cat", 1, 7), ("u", "cat", 1, 12), ("u", "sat. cat", 4, 9), ("u", "the cat", 3, 0), ("u", "the cat", 3, 5), ("x", "cat", 1, 0)]
+    assert sorted(map(tuple, found.collect())) == want
+    assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
