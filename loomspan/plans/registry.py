@@ -715,7 +715,7 @@ WHEN NOT regexp_matches(text, '[^\s\p{{Z}}]') THEN 'empty' END AS fault FROM uni
 @query("w11_salvage", rf"WITH {S_UNITS}, {S_JUDGED} SELECT unit_id AS run_id, fault IS NULL AS kept, coalesce(fault, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g'))) AS detail FROM judged")
 def _(spark, sf):
     own, bodies = _answers(spark, sf)
-    good, bad = responses.salvaged(responses.reconciled(own, responses.decoded(bodies)))
+    good, bad = responses.salvaged(materialize(responses.reconciled(own, responses.decoded(bodies)).drop("text")))
     return good.select("run_id", F.lit(True).alias("kept"), T.digest("target").alias("detail")).unionByName(bad.select("run_id", F.lit(False).alias("kept"), F.col("fault").alias("detail")))
 
 
