@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -42,46 +43,65 @@ class Minute:
         self.rpm, self.tpm = rpm, tpm
         self.times, self.tokens = np.array(times or [], np.float64), np.array(tokens or [], np.int64)
 
-    def admit(self, at: float, tokens: int) -> float:
-        """When the request goes out; infinite, and not kept, if it is beyond the whole limit."""
-        if tokens > self.tpm:
+    def admit(self, at: float, tokens: int, unknown: bool = False) -> float:
+        """When the request goes out; infinite, and not kept, if it is beyond the whole limit.
+
+        Tokens may be negative (a correction). A request of ``unknown`` tokens waits for its place only, and holds none; one without a time (NaN) has no
+        admission and is not kept.
+        """
+        if tokens > self.tpm and not unknown:
             return float("inf")
+        if at != at:
+            return at
         live = np.searchsorted(self.times, at - MINUTE, side="right")
         times, held = self.times[live:], self.tokens[live:]
         upto = np.cumsum(held)
         free = [at]
         if len(times) >= self.rpm:
             free.append(times[-self.rpm] + MINUTE)
-        excess = upto[-1] + tokens - self.tpm if len(upto) else 0
+        excess = upto[-1] + tokens - self.tpm if len(upto) and not unknown else 0
         if excess > 0:
-            free.append(times[np.searchsorted(upto, excess)] + MINUTE)
+            free.append(times[np.argmax(upto >= excess)] + MINUTE)  # sums may fall again where tokens are negative; the last one always covers it
         when = float(max(free))
         place = np.searchsorted(times, when, side="right")
-        self.times, self.tokens = np.insert(times, place, when), np.insert(held, place, tokens)
+        self.times, self.tokens = np.insert(times, place, when), np.insert(held, place, 0 if unknown else tokens)
         return when
 
 
 ADMITTED = "scope string, at double, tokens long, admitted double, waited double"
 
 
-def _admitted(scope: str, rows: pd.DataFrame, own: Minute) -> pd.DataFrame:
-    at, tokens = rows["at"].to_numpy(np.float64), rows["tokens"].to_numpy(np.int64)
-    when = np.fromiter(map(own.admit, at.tolist(), tokens.tolist()), np.float64, len(at))
-    return pd.DataFrame({"scope": scope, "at": at, "tokens": tokens, "admitted": when, "waited": when - at})
+def _known(requests: DataFrame) -> DataFrame:
+    """``tokens`` without nulls, which would make the longs of a pandas batch floats; ``_unknown`` marks them."""
+    tokens = F.col("tokens").cast("long")
+    return requests.select("scope", F.col("at").cast("double").alias("at"), F.coalesce(tokens, F.lit(0)).alias("tokens"), tokens.isNull().alias("_unknown"))
+
+
+def _admitted(rows: pd.DataFrame, minutes: Iterator[Minute]) -> pd.DataFrame:
+    """``rows`` admitted in their order, each by its scope's minute."""
+    at, tokens, unknown = rows["at"].to_numpy(np.float64), rows["tokens"].to_numpy(np.int64), rows["_unknown"].to_numpy(bool)
+    when = np.fromiter((own.admit(*row) for own, *row in zip(minutes, at.tolist(), tokens.tolist(), unknown.tolist(), strict=False)), np.float64, len(at))
+    return pd.DataFrame({"scope": rows["scope"].to_numpy(), "at": at, "tokens": pd.arrays.IntegerArray(tokens, unknown), "admitted": when, "waited": when - at})
 
 
 def admission_replay(requests: DataFrame, rpm: int, tpm: int) -> DataFrame:
-    """The table form of ``admissions``: each scope in the order of its requests, state of one minute."""
+    """The table form of ``admissions``: each scope in the order of its requests (those without a time or tokens last), state of one minute.
+    Requests without a scope are left out."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scope, own = None, Minute(rpm, tpm)
-        for pdf in batches:
-            for name, rows in pdf.groupby("scope", sort=False):
+
+        def minutes(names: list[str]) -> Iterator[Minute]:
+            nonlocal scope, own
+            for name in names:
                 if name != scope:
                     scope, own = name, Minute(rpm, tpm)
-                yield _admitted(name, rows, own)
+                yield own
+
+        for pdf in batches:
+            yield _admitted(pdf, minutes(pdf["scope"].tolist()))
 
-    sorted_rows = requests.select("scope", "at", "tokens").repartition("scope").sortWithinPartitions("scope", "at", "tokens")
+    sorted_rows = _known(requests).where("scope is not null").repartition("scope").sortWithinPartitions("scope", F.asc_nulls_last("at"), "_unknown", "tokens")
     return sorted_rows.mapInPandas(fold, ADMITTED)
 
 
@@ -98,12 +118,12 @@ def admissions(requests: DataFrame, rpm: int, tpm: int, late: str = "1 hour") ->
             return
         own = Minute(rpm, tpm, *(state.get if state.exists else ()))
         for pdf in batches:
-            yield _admitted(key[0], pdf.sort_values(["at", "tokens"]), own)
+            yield _admitted(pdf.sort_values(["at", "_unknown", "tokens"]), repeat(own))
         state.update((own.times.tolist(), own.tokens.tolist()))
         if len(own.times):
             state.setTimeoutTimestamp(max(int((own.times[-1] + MINUTE) * 1000), state.getCurrentWatermarkMs() + 1))
 
-    timed = requests.withColumn("_time", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).withWatermark("_time", late)
+    timed = _known(requests).withColumn("_time", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).withWatermark("_time", late)
     return timed.groupBy("scope").applyInPandasWithState(step, ADMITTED, "times array<double>, tokens array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
