@@ -87,18 +87,28 @@ def keep_list(x: Column | str) -> Column:
 # ---- sizes and estimates ----------------------------------------------------------------------------
 
 
-def text_tokens(x: Column | str) -> Column:
-    """Estimated tokens: five ASCII word characters, one ASCII mark, or two bytes of anything else are one; four
-    line ends are one; at least one."""
+def token_pieces(x: Column | str) -> Column:
+    """Estimated tokens but for line ends: five ASCII word characters, one ASCII mark, or two bytes of anything else are one. What stands apart by marks adds up."""
     text = F.coalesce(col(x), F.lit(""))
-    # words and marks with anything beyond ASCII are measured one by one; pieces of the others need only be counted
+    # words and marks with anything beyond ASCII are measured one by one; pieces of the others need only be counted: all pieces, less those inside the former
     wide = F.lit(rf"(?<![{WORD_CHARS}])[A-Za-z0-9_]*+[{WORD_CHARS}&&[^\x00-\x7F]][{WORD_CHARS}]*+|[^{WORD_CHARS}\s\x00-\x7F]")
     narrow = F.lit(r"\w{1,5}+|[^\w\s]")  # ASCII; faster than the same classes as ranges
-    beyond = F.aggregate(F.regexp_extract_all(text, wide, F.lit(0)), F.lit(0).cast("long"), lambda a, w: a + F.ceil(F.octet_length(w) / 2).cast("long"))
+    measured = F.transform(F.regexp_extract_all(text, wide, F.lit(0)), lambda w: F.ceil(F.octet_length(w) / 2).cast("long") - F.regexp_count(w, narrow))
     plain = F.octet_length(text) == F.length(text)
-    amount = F.when(plain, F.regexp_count(text, narrow)).otherwise(beyond + F.regexp_count(F.regexp_replace(text, wide, F.lit(" ")), narrow))
-    lines = F.floor(F.regexp_count(text, F.lit("\\n")) / 4)
-    return F.greatest(F.lit(1).cast("long"), amount.cast("long") + lines)
+    return (F.regexp_count(text, narrow) + F.when(plain, 0).otherwise(F.aggregate(measured, F.lit(0).cast("long"), lambda a, n: a + n))).cast("long")
+
+
+def text_tokens(x: Column | str) -> Column:
+    """Estimated tokens: five ASCII word characters, one ASCII mark, or two bytes of anything else are one; four
+    line ends are one; at least one."""
+    return tokens_of(token_pieces(x), x)
+
+
+def tokens_of(pieces: Column, x: Column | str) -> Column:
+    """``text_tokens`` of a text whose pieces are known."""
+    text = F.coalesce(col(x), F.lit(""))
+    lines = F.floor((F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))) / 4)
+    return F.greatest(F.lit(1).cast("long"), pieces + lines)
 
 
 def word_count(x: Column | str) -> Column:
@@ -165,10 +175,21 @@ def redacted(x: Column | str, secret: Column | str, most: int = 1200) -> Column:
 # ---- checks of texts --------------------------------------------------------------------------------
 
 
+def trimmed(x: Column | str, blank: str = r"\s") -> Column:
+    """Without the characters of the class ``blank`` at both ends. Texts that have none there, or no line end that counts as the end, are not searched."""
+    ends = F.concat(F.left(col(x), F.lit(1)), F.right(col(x), F.lit(1)))
+    return F.when(ends.rlike(rf"[{blank}\x{{85}}\x{{2028}}\x{{2029}}]"), F.regexp_replace(col(x), f"^[{blank}]+|[{blank}]+$", "")).otherwise(col(x))
+
+
 def text_fault(source: Column | str, target: Column | str) -> Column:
     """Why a target text may not stand for its source; null if it may."""
-    t = F.regexp_replace(col(target), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    n, m = F.length(col(source)), F.length(t)
+    return length_fault(F.length(col(source)), target)
+
+
+def length_fault(length: Column | str, target: Column | str) -> Column:
+    """``text_fault`` for a source of a known length."""
+    t = trimmed(target, r"\s\p{Z}")
+    n, m = col(length), F.length(t)
     return (
         F.when(col(target).isNull() | (m == 0), F.lit("empty"))
         .when(col(target).rlike("[^\\x{9}\\x{A}\\x{D}\\x{20}-\\x{D7FF}\\x{E000}-\\x{FFFD}\\x{10000}-\\x{10FFFF}]"), F.lit("illegal_character"))
@@ -184,9 +205,9 @@ def adds_markup(source: Column | str, target: Column | str) -> Column:
 
 def unfenced(x: Column | str) -> Column:
     """Without a code fence around the whole."""
-    trimmed = F.regexp_replace(col(x), r"^\s+|\s+$", "")
-    inner = F.regexp_replace(F.regexp_replace(trimmed, r"^```[A-Za-z]*\s*", ""), r"\s*```$", "")
-    return F.when(trimmed.startswith("```"), F.regexp_replace(inner, r"^\s+|\s+$", "")).otherwise(trimmed)
+    plain = trimmed(x)
+    inner = F.regexp_replace(F.regexp_replace(plain, r"^```[A-Za-z]*\s*", ""), r"\s*```$", "")
+    return F.when(plain.startswith("```"), F.regexp_replace(inner, r"^\s+|\s+$", "")).otherwise(plain)
 
 
 def strict_json(x: Column | str) -> Column:

@@ -38,10 +38,11 @@ def namespaces(chapters: DataFrame, base: str, terms: DataFrame) -> DataFrame:
     return named.select("chapter", F.concat(F.lit("ch"), F.left(T.digest(key), F.lit(16))).alias("namespace"))
 
 
-def lookup(runs: DataFrame, cache: DataFrame, job: str) -> DataFrame:
-    """``run_id, target`` for runs whose row in ``cache`` has the same fingerprint, an intact checksum and a sound text."""
+def lookup(runs: DataFrame, cache: DataFrame, job: str, *more: str) -> DataFrame:
+    """``run_id, target`` (and the columns ``more`` of ``runs``) for runs whose row in ``cache`` has the same fingerprint, an intact checksum and a sound text."""
     own = cache.where((F.col("job") == job) & (T.digest("target") == F.col("checksum"))).select(F.col("run").alias("run_id"), "fingerprint", "target")
-    return runs.join(own, ["run_id", "fingerprint"]).where(T.text_fault("text", "target").isNull()).select("run_id", "target")
+    asked = runs.select("run_id", "fingerprint", F.length("text").alias("_length"), *[c for c in more if c != "fingerprint"])  # texts do not travel
+    return asked.join(own, ["run_id", "fingerprint"]).where(T.length_fault("_length", "target").isNull()).select("run_id", "target", *more)
 
 
 def upsert(current: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:

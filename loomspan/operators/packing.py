@@ -28,17 +28,18 @@ def placed(units: DataFrame, *order: str) -> DataFrame:
     return prefix_sums(own, by, {"_one": "place"}, ["_none", "_name"]).drop("_none", "_name", "_one")
 
 
-def payloads(runs: DataFrame) -> DataFrame:
+def payloads(runs: DataFrame, single: bool = False) -> DataFrame:
     """One row per unit of ``book, document, unit_ord, unit_id, run_ord, run_id, text, style, prefix, suffix, context``: what a request
     says of it. ``payload`` (JSON with ids, texts, formats, blanks around, and the context where it says more than the unit), ``tokens`` of it, ``source_tokens`` of its texts,
-    ``overhead_tokens`` of an answer without texts, and the unit's whole ``text``.
+    ``overhead_tokens`` of an answer without texts, and the unit's whole ``text``. ``single``: every unit is one run, so nothing need be gathered.
     """
-    def named(c: str, when: Column) -> Column:
-        return F.when(when, F.col(c))
-
-    run = F.struct("run_ord", F.struct(F.col("run_id").alias("id"), "text", named("style", F.col("style") != "").alias("format"), F.when(F.col("prefix") != "", True).alias("space_before"), F.when(F.col("suffix") != "", True).alias("space_after")).alias("r"), F.concat(F.coalesce("prefix", F.lit("")), "text", F.coalesce("suffix", F.lit(""))).alias("whole"))
-    own = runs.groupBy("book", "document", "unit_ord", "unit_id").agg(F.array_sort(F.collect_list(run)).alias("_runs"), F.first("context", ignorenulls=True).alias("context"))
-    text = F.array_join(F.transform("_runs", lambda x: x["whole"]), "")
+    run = F.struct("run_ord", F.struct(F.col("run_id").alias("id"), "text", F.when(F.col("style") != "", F.col("style")).alias("format"), F.when(F.col("prefix") != "", True).alias("space_before"), F.when(F.col("suffix") != "", True).alias("space_after")).alias("r"), "prefix", "suffix")
+    unit = ["book", "document", "unit_ord", "unit_id"]
+    if single:
+        own = runs.select(*unit, F.array(run).alias("_runs"), "context")
+    else:
+        own = runs.groupBy(*unit).agg(F.array_sort(F.collect_list(run)).alias("_runs"), F.first("context", ignorenulls=True).alias("context"))
+    text = F.array_join(F.transform("_runs", lambda x: F.concat(F.coalesce(x["prefix"], F.lit("")), x["r"]["text"], F.coalesce(x["suffix"], F.lit("")))), "")
 
     def plain(x: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(x, T.BLANKS, " "), "^ | $", "")
@@ -46,8 +47,15 @@ def payloads(runs: DataFrame) -> DataFrame:
     context = F.when(plain(F.col("context")) != plain(F.col("_text")), F.col("context"))
     payload = F.to_json(F.struct(F.col("unit_id").alias("id"), F.transform("_runs", lambda x: x["r"]).alias("runs"), context.alias("context")))
     empty = F.to_json(F.struct(F.col("unit_id").alias("id"), F.transform("_runs", lambda x: F.struct(x["r"]["id"].alias("id"), F.lit("").alias("text"))).alias("runs")))
-    said = own.withColumn("_text", text).withColumns({"payload": payload, "overhead_tokens": T.text_tokens(empty), "source_tokens": T.text_tokens("_text")})
-    return said.select("book", "document", "unit_ord", "unit_id", F.col("_text").alias("text"), "payload", T.text_tokens("payload").alias("tokens"), "source_tokens", "overhead_tokens")
+    # the payload is measured as its frame and its texts, which quotes keep apart; most frames are the empty answer, and most texts the unit's own
+    frame = F.to_json(F.struct(F.col("unit_id").alias("id"), F.transform("_runs", lambda x: x["r"].withField("text", F.when(x["r"]["text"].isNotNull(), F.lit("")))).alias("runs"), context.alias("context")))
+    texts = F.transform(F.filter("_runs", lambda x: x["r"]["text"].isNotNull()), lambda x: x["r"]["text"])
+    quoted = own.withColumn("_text", text).withColumns({"_empty": empty, "_frame": frame, "_texts": F.to_json(texts), "_marks": F.greatest(3 * F.size(texts) + 1, F.lit(2))})
+    said = quoted.withColumns({"_empty_n": T.token_pieces("_empty"), "_text_n": T.token_pieces("_text")})
+    frame_n = F.when(F.col("_frame") == F.col("_empty"), F.col("_empty_n")).otherwise(T.token_pieces("_frame"))
+    texts_n = F.when(F.col("_texts") == F.concat(F.lit('["'), "_text", F.lit('"]')), F.col("_text_n")).otherwise(T.token_pieces("_texts") - F.col("_marks"))
+    sizes = {"tokens": frame_n + texts_n, "source_tokens": T.tokens_of(F.col("_text_n"), "_text"), "overhead_tokens": F.col("_empty_n")}
+    return said.select("book", "document", "unit_ord", "unit_id", F.col("_text").alias("text"), payload.alias("payload"), *[n.alias(name) for name, n in sizes.items()])
 
 
 def with_terms(units: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:

@@ -770,9 +770,7 @@ def _(spark, sf):
 
 @query("w1_job", rf"WITH {S_UNITS} SELECT unit_id AS run_id, sha256('«' || text || '»') AS digest FROM units WHERE regexp_matches(text, '[^\s\p{{Z}}]')")
 def _(spark, sf):
-    own = _units(spark, sf)
-    own = packing.placed(own.select(F.col("source").alias("book"), "doc_id", "unit_ord", "unit_id", "text"), "doc_id", "unit_ord")
-    runs = own.select("book", F.col("place").alias("unit_ord"), "unit_id", F.col("unit_id").alias("run_id"), F.lit(0).alias("run_ord"), "text", F.lit(None).cast("string").alias("context"))
+    runs = _units(spark, sf).select(F.col("source").alias("book"), F.struct("doc_id", "unit_ord").alias("unit_ord"), "unit_id", F.col("unit_id").alias("run_id"), F.lit(0).alias("run_ord"), "text", F.lit(None).cast("string").alias("context"))
     done, _kept = jobs.run_job(runs, jobs.echo, "job", target=20_000, output_limit=65_536)
     return done.select("run_id", T.digest("target").alias("digest"))
 
@@ -818,8 +816,8 @@ def _first_word_sql(c: int) -> str:
 SELECT chapter::INTEGER AS chapter, unit_id AS run_id, sha256('«' || CASE chapter WHEN 1 THEN {_said_sql('text', 1)} ELSE {_said_sql('text', 2)} END || '»') AS digest FROM u""")
 def _(spark, sf):
     # every second document is of the first chapter; the word found there is replaced in the second
-    own = packing.placed(_units(spark, sf).select(F.col("source").alias("book"), "doc_id", "unit_ord", "unit_id", "text"), "doc_id", "unit_ord")
-    runs = own.select((F.col("doc_id") % 2 + 1).cast("int").alias("chapter"), "book", F.col("place").alias("unit_ord"), "unit_id", F.col("unit_id").alias("run_id"), F.lit(0).alias("run_ord"), "text", F.lit(None).cast("string").alias("context"))
+    place = F.struct("doc_id", "unit_ord").alias("unit_ord")
+    runs = _units(spark, sf).select((F.col("doc_id") % 2 + 1).cast("int").alias("chapter"), F.col("source").alias("book"), place, "unit_id", F.col("unit_id").alias("run_id"), F.lit(0).alias("run_ord"), "text", F.lit(None).cast("string").alias("context"))
     job = chapters.Chapters(runs, _unsteady, chapters.job_store(spark), "w2", _usual_first_word, target=20_000, output_limit=65_536)
     job.publish()
     return job.targets().select("chapter", "run_id", T.digest("target").alias("digest"))

@@ -22,6 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 _to_release: set[str] = set()
 
+#: With it, the shuffle files of a query go at its end instead of with the driver's garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 _shipped: set[str] = set()
 
@@ -103,14 +106,26 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _written.reset(token)
 
 
-def materialize(df: DataFrame, stays: bool = False) -> DataFrame:
+@contextlib.contextmanager
+def without_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that are run inside leave no shuffle files: for writers, whose result is in the table."""
+    held = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLES_GO, held)
+
+
+def materialize(df: DataFrame, stays: bool = False, path: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends here.
 
-    ``stays``: the table outlives the ``scratch`` around it.
+    ``stays``: the table outlives the ``scratch`` around it. ``path``: a ``new_path`` of an outer scope, with which the table goes.
     """
     spark = df.sparkSession
-    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}" if stays else new_path(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    path = path or (f"{tables_dir(spark)}/{uuid.uuid4().hex}" if stays else new_path(spark))
+    with without_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
