@@ -20,7 +20,7 @@ from loomspan.operators import cache, glossary, matching, review
 from loomspan.operators.ranges import range_count
 from loomspan.plans import jobs
 from loomspan.sources.store import Store
-from loomspan.storage import checkpointed, materialize, new_path
+from loomspan.storage import checkpointed, materialize, new_path, scratch, without_shuffles
 
 TERMS = "ord long, term string, translation string, approved boolean, status string, source_chapter int"
 TARGETS = "run_id string, unit_id string, fingerprint string, target string"
@@ -42,8 +42,10 @@ class Chapters:
         self.spark, self.store, self.job, self.call, self.discover, self.verify, self.limits = runs.sparkSession, store, job, call, discover, verify, limits
         # each chapter is read alone: the runs are dealt to chapters once
         path = new_path(self.spark)
-        runs.repartitionByRange(range_count(runs), "chapter", "unit_ord").write.partitionBy("chapter").parquet(path)
-        self.runs = self.spark.read.schema(runs.schema).parquet(path)
+        dealt = cache.fingerprints(runs.repartitionByRange(range_count(runs), "chapter", "unit_ord"))
+        with without_shuffles(self.spark):
+            dealt.write.option("compression", "zstd").partitionBy("chapter").parquet(path)
+        self.runs = self.spark.read.schema(dealt.schema).parquet(path)
         self.numbers = sorted(r["chapter"] for r in self.runs.select("chapter").distinct().collect())  # one number per chapter of a book
         none = self.spark.createDataFrame([], TERMS)
         self.manual = none if manual is None else manual.select("ord", "term", "translation", F.lit(True).alias("approved"), F.lit("verified").alias("status"), F.lit(None).cast("int").alias("source_chapter"))
@@ -75,7 +77,11 @@ class Chapters:
     # ---- one chapter ----
 
     def chapter(self, n: int) -> bool:
-        """Publish chapter ``n``; False if it is published with the same entries."""
+        """Publish chapter ``n``; False if it is published with the same entries. What it wrote on the way goes."""
+        with scratch(self.spark):
+            return self._published(n)
+
+    def _published(self, n: int) -> bool:
         known = self.known(n)
         namespace = cache.namespaces(known.sparkSession.range(1).select(F.lit(n).alias("chapter")), self.job, known).first()["namespace"]
         published = self.store.names("chapters")
@@ -89,16 +95,16 @@ class Chapters:
         def commit(rows: DataFrame) -> None:
             self.store.commit(f"rounds-{namespace}", uuid.uuid4().hex, cache=rows)
 
-        done, _ = jobs.run_job(own.drop("chapter"), self.call, namespace, rounds.unionByName(before), glossary=known.select("term", "translation"), commit=commit, **self.limits)
+        done, _ = jobs.answered(own.drop("chapter"), self.call, namespace, rounds.unionByName(before), glossary=known.select("term", "translation"), commit=commit, **self.limits)
         missing = cache.coverage(own, done).count()
         if missing:
             raise Unfinished(f"chapter {n}: {missing} runs have no target")
-        marked = cache.fingerprints(own).select("run_id", "unit_id", "text", "fingerprint")
-        targets = materialize(marked.join(done, "run_id"))
-        terms = self._found(n, targets) if first else self.spark.createDataFrame([], TERMS)
-        terms = checkpointed(terms)
-        log = self.spark.createDataFrame([(n, namespace, len(published), "published", targets.count(), before.count(), terms.count())], LOG)
-        return self.store.commit("chapters", _name(n, namespace), targets=targets.select("run_id", "unit_id", "fingerprint", "target"), terms=terms, glossary=known.select("ord", "term", "translation", F.lit(True).alias("approved")), log=log)
+        terms = self._found(n, own.select("unit_id", "run_id", "text").join(done.select("run_id", "target"), "run_id")) if first else self.spark.createDataFrame([], TERMS)
+        terms = materialize(terms)
+        log = self.spark.createDataFrame([(n, namespace, len(published), "published", done.count(), before.count(), terms.count())], LOG)
+        fresh = self.store.commit("chapters", _name(n, namespace), targets=done.select("run_id", "unit_id", "fingerprint", "target"), terms=terms, glossary=known.select("ord", "term", "translation", F.lit(True).alias("approved")), log=log)
+        self.store.drop(f"rounds-{namespace}")  # its answers are in the commit
+        return fresh
 
     def _found(self, n: int, targets: DataFrame) -> DataFrame:
         """The entries that chapter ``n`` adds: those discovered and, with a verifier, judged ``verified``."""

@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomspan.storage import without_shuffles
+
 
 class Store:
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -27,12 +29,18 @@ class Store:
             return False
         staged = uuid.uuid4().hex
         for kind, table in tables.items():
-            table.write.option("compression", "zstd").parquet("/".join([self.path, "staged", staged, kind]))
+            with without_shuffles(self.spark):
+                table.write.option("compression", "zstd").parquet("/".join([self.path, "staged", staged, kind]))
         fs.mkdirs(final.getParent())
         if not fs.rename(self._at("staged", staged)[0], final):
             raise OSError(f"{group}/{name} was not committed")
         return True
 
+    def drop(self, group: str) -> None:
+        """Delete all commits of a group that nothing reads any more."""
+        at, fs = self._at("committed", group)
+        fs.delete(at, True)
+
     def names(self, group: str) -> list[str]:
         at, fs = self._at("committed", group)
         return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []

@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from loomspan.operators import packing, responses
-from loomspan.plans import jobs
+from loomspan.plans import chapters, jobs
 from loomspan.storage import materialize, tables_dir
 
 RUNS = "book string, unit_ord struct<doc:long,line:int>, unit_id string, run_id string, run_ord int, text string, context string"
@@ -44,6 +44,16 @@ def test_a_job_keeps_its_runs_and_answers_only(spark):
     assert kept.count() == 12 and kept.where("length(fingerprint) = 64").count() == 12
 
 
+def test_published_chapters_keep_their_commits_only(spark):
+    own = runs(spark).withColumn("chapter", F.col("unit_ord.line") % 2)
+    store = chapters.job_store(spark)
+    job = chapters.Chapters(own, lambda units, glossary: jobs.echo(units), store, "j", lambda n, t: None)
+    before = tables(spark)
+    assert job.publish() == [0, 1] and not tables(spark) - before - {os.path.basename(store.path)}
+    assert os.listdir(f"{store.path.removeprefix('file:')}/committed") == ["chapters"]  # rounds go once they are published
+    assert sorted((r["run_id"], r["target"]) for r in job.targets().collect()) == sorted((f"u{i}", f"«text number {i}»") for i in range(12))
+
+
 def test_texts_asked_do_not_travel_to_be_judged(spark):
     expected = spark.createDataFrame([("b", "u", "r", "x" * 400), ("b", None, "s", "x"), (None, "v", "t", "x"), ("b", "u", None, "x"), ("b", "u", "r", "x")], "batch string, unit_id string, run_id string, text string")
     raw = spark.createDataFrame([("b", '[{"id": "u", "runs": [{"id": "r", "text": " y "}, {"text": "z"}]}, {"runs": [{"id": "s", "text": "y"}]}]'), (None, '[{"id": "v", "runs": [{"id": "t", "text": "y"}]}]')], "batch string, body string")
